@@ -52,13 +52,12 @@ def first_colocated(annotations: DataFrame) -> DataFrame:
 
 def term_rows(annotations: DataFrame, csq_types: Sequence[str] = CONSEQUENCE_TYPES) -> DataFrame:
     """Distinct ``(csq_type, term)`` rows over several consequence lists, in one pass over the records."""
-    per_type = [
-        F.transform(
-            F.array_distinct(F.flatten(quoted(name).getField("consequence_terms"))),
-            lambda term, name=name: F.struct(F.lit(name).alias("csq_type"), term.alias("term")),
-        )
-        for name in csq_types
-    ]
+
+    def labelled(name: str) -> Column:
+        terms = F.array_distinct(F.flatten(quoted(name).getField("consequence_terms")))
+        return F.transform(terms, lambda term: F.struct(F.lit(name).alias("csq_type"), term.alias("term")))
+
+    per_type = [labelled(name) for name in csq_types]
     # A missing list must not swallow the others, so nulls become empty before concatenation.
     present = [F.coalesce(terms, F.array().cast("array<struct<csq_type:string,term:string>>")) for terms in per_type]
     return annotations.select(F.explode(F.concat(*present)).alias("t")).select("t.*").distinct()

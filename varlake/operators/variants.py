@@ -58,8 +58,11 @@ def split_multiallelics(df: DataFrame) -> DataFrame:
     Calls are recoded for the row's allele, per-allele INFO arrays, allele depths and diploid likelihoods are cut to
     it. Rows without alternate alleles are kept as they are. Row-local: no shuffle.
     """
-    n_alts = F.size("alternateAlleles")
-    numbered = df.select("*", F.posexplode_outer("alternateAlleles").alias("__pos", "__alt"))
+    # A column of its own: in one select, `alternateAlleles` inside a lambda would mean the new, one-element array.
+    numbered = df.select("*", F.posexplode_outer("alternateAlleles").alias("__pos", "__alt")).withColumn(
+        "__n_alts", F.size("alternateAlleles")
+    )
+    n_alts = F.col("__n_alts")
     changed = _split_info(df, F.col("__pos"), n_alts)
     if "genotypes" in df.columns:
         dtype = df.schema["genotypes"].dataType.elementType

@@ -110,9 +110,7 @@ def _info_column(declaration: Declaration) -> Column:
     return _typed(F.regexp_extract("INFO", rf"(?:^|;){key}=([^;]*)", 1), declaration)
 
 
-def _genotype(sample: Column, sample_id: Column | None, formats: Sequence[Declaration]) -> Column:
-    values = F.split(sample, ":")
-
+def _genotype(values: Column, sample_id: Column | None, formats: Sequence[Declaration]) -> Column:
     def raw(key: str) -> Column:
         return F.get(values, F.col(f"__at_{key}"))
 
@@ -140,12 +138,12 @@ def parse_vcf_lines(
     whose sample columns differ from the header's fail instead of being misread.
     """
     value = F.col("value")
+    data = ~value.startswith("#")
     if header.column_line is not None:
-        same = value == F.lit(header.column_line)
-        check = F.when(value.startswith("#CHROM") & ~same, F.raise_error(F.lit("sample columns differ between files")))
-        body = lines.filter(~value.startswith("#") & check.cast("boolean").isNull())
-    else:
-        body = lines.filter(~value.startswith("#"))
+        other = value.startswith("#CHROM") & (F.rtrim(value) != F.lit(header.column_line))
+        message = F.lit("sample columns differ between files")
+        data = F.when(other, F.raise_error(message).cast("boolean")).otherwise(data)
+    body = lines.filter(data)
     fields = F.split(F.rtrim(value), "\t")
     rows = body.filter(F.length(value) > 0).select(fields.alias("__f"))
     rows = rows.select(
@@ -185,13 +183,12 @@ def parse_vcf_lines(
                 for d in header.formats
             }
         )
+        split = F.transform("__samples", lambda sample: F.split(sample, ":"))
         if include_sample_ids:
             ids = F.array(*[F.lit(s) for s in header.sample_ids]).cast("array<string>")
-            genotypes = F.transform(
-                F.col("__samples"), lambda sample, i: _genotype(sample, F.get(ids, i), header.formats)
-            )
+            genotypes = F.transform(split, lambda values, i: _genotype(values, F.get(ids, i), header.formats))
         else:
-            genotypes = F.transform(F.col("__samples"), lambda sample: _genotype(sample, None, header.formats))
+            genotypes = F.transform(split, lambda values: _genotype(values, None, header.formats))
         columns.append(genotypes.alias("genotypes"))
     parsed = rows.select(*columns)
     if split_to_biallelic:
