@@ -138,14 +138,14 @@ def parse_vcf_lines(
     whose sample columns differ from the header's fail instead of being misread.
     """
     value = F.col("value")
-    data = ~value.startswith("#")
+    data = ~value.startswith("#") & (F.length(value) > 0)
     if header.column_line is not None:
         other = value.startswith("#CHROM") & (F.rtrim(value) != F.lit(header.column_line))
         message = F.lit("sample columns differ between files")
         data = F.when(other, F.raise_error(message).cast("boolean")).otherwise(data)
     body = lines.filter(data)
     fields = F.split(F.rtrim(value), "\t")
-    rows = body.filter(F.length(value) > 0).select(fields.alias("__f"))
+    rows = body.select(fields.alias("__f"))
     rows = rows.select(
         *[F.get("__f", F.lit(i)).alias(name) for i, name in enumerate(FIXED_COLUMNS)],
         F.split(F.get("__f", F.lit(len(FIXED_COLUMNS))), ":").alias("FORMAT"),
