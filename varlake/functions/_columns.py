@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,3 +16,12 @@ def as_column(value: str | Column) -> Column:
 def quoted(name: str) -> Column:
     """A top-level column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    Expressions built in Python repeat what they mention, and the optimiser inlines projections into filters and
+    lambdas. Inside a lambda that would compute the value per element. A lambda's own variable is never inlined.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from varlake.functions._columns import as_column
+from varlake.functions._columns import as_column, bind
 
 #: Genotype state of a sample with at least one missing call.
 NOT_MEASURED = -1
@@ -53,30 +53,34 @@ def call_summary_stats(
     ``alleleCounts`` and ``alleleFrequencies`` list the reference allele first. Frequencies are relative to the
     called alleles and null when nothing was called.
     """
+    none = F.array().cast("array<int>")
     array = as_column(genotypes)
-    calls = F.flatten(F.transform(array, lambda g: F.coalesce(g.getField("calls"), F.array().cast("array<int>"))))
-    called = F.filter(calls, lambda c: c >= 0)
-    states = genotype_states(array)
-    n_called = _count(states, lambda x: x >= 0)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.size(as_column(alternate_alleles))),
-        lambda allele: _count(called, lambda c: c == allele),
-    )
-    n_alleles = F.size(called)
-    return F.struct(
-        (n_called / F.nullif(F.size(array), F.lit(0))).alias("callRate"),
-        n_called.alias("nCalled"),
-        (F.size(array) - n_called).alias("nUncalled"),
-        _count(array, _heterozygous).alias("nHet"),
-        F.transform(
-            F.sequence(F.lit(0), F.size(as_column(alternate_alleles))),
-            lambda allele: _count(array, lambda g: _homozygous(g, allele)),
-        ).alias("nHomozygous"),
-        _count(calls, lambda c: c > 0).alias("nNonRef"),
-        n_alleles.alias("nAllelesCalled"),
-        counts.alias("alleleCounts"),
-        F.transform(counts, lambda n: n / F.nullif(n_alleles, F.lit(0))).alias("alleleFrequencies"),
+    alleles = F.sequence(F.lit(0), F.size(as_column(alternate_alleles)))
+    calls = F.flatten(F.transform(array, lambda g: F.coalesce(g.getField("calls"), none)))
+
+    def from_called(called: Column) -> Column:
+        counts = F.transform(alleles, lambda allele: _count(called, lambda c: c == allele))
+        return F.struct(F.size(called).alias("n"), counts.alias("counts"))
+
+    def summary(x: Column) -> Column:
+        n_called, n, counts = x["n_called"], x["called"]["n"], x["called"]["counts"]
+        return F.struct(
+            (n_called / F.nullif(F.size(array), F.lit(0))).alias("callRate"),
+            n_called.alias("nCalled"),
+            (F.size(array) - n_called).alias("nUncalled"),
+            _count(array, _heterozygous).alias("nHet"),
+            F.transform(alleles, lambda allele: _count(array, lambda g: _homozygous(g, allele))).alias("nHomozygous"),
+            _count(calls, lambda c: c > 0).alias("nNonRef"),
+            n.alias("nAllelesCalled"),
+            counts.alias("alleleCounts"),
+            F.transform(counts, lambda count: count / F.nullif(n, F.lit(0))).alias("alleleFrequencies"),
+        )
+
+    parts = F.struct(
+        _count(genotype_states(array), lambda state: state >= 0).alias("n_called"),
+        bind(F.filter(calls, lambda c: c >= 0), from_called).alias("called"),
     )
+    return bind(parts, summary)
 
 
 def _complete(genotype: Column) -> Column:
@@ -93,19 +97,38 @@ def _homozygous(genotype: Column, allele: Column) -> Column:
 
 
 def _moments(values: Column) -> Column:
-    """mean, sample standard deviation, min and max of the non-null elements of an array."""
-    present = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: v.cast("double"))
-    n = F.size(present)
-    total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
-    mean = total / F.nullif(n, F.lit(0))
-    squares = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    return F.struct(
-        mean.alias("mean"),
-        F.sqrt(squares / F.nullif(n - 1, F.lit(0))).alias("stdDev"),
-        F.array_min(present).alias("min"),
-        F.array_max(present).alias("max"),
+    """mean, sample standard deviation, min and max of the non-null elements of an array, in one pass over it."""
+    start = F.struct(
+        F.lit(0).alias("n"),
+        F.lit(0.0).alias("mean"),
+        F.lit(0.0).alias("m2"),
+        F.lit(None).cast("double").alias("min"),
+        F.lit(None).cast("double").alias("max"),
     )
 
+    def step(acc: Column, value: Column) -> Column:
+        n = acc["n"] + 1
+        delta = value - acc["mean"]
+        mean = acc["mean"] + delta / n
+        seen = F.struct(
+            n.alias("n"),
+            mean.alias("mean"),
+            (acc["m2"] + delta * (value - mean)).alias("m2"),
+            F.least(acc["min"], value).alias("min"),
+            F.greatest(acc["max"], value).alias("max"),
+        )
+        return F.when(value.isNull(), acc).otherwise(seen)
+
+    def finish(acc: Column) -> Column:
+        return F.struct(
+            F.when(acc["n"] > 0, acc["mean"]).alias("mean"),
+            F.when(acc["n"] > 1, F.sqrt(acc["m2"] / (acc["n"] - 1))).alias("stdDev"),
+            acc["min"].alias("min"),
+            acc["max"].alias("max"),
+        )
+
+    return F.aggregate(F.transform(values, lambda v: v.cast("double")), start, step, finish)
+
 
 def depth_summary_stats(genotypes: str | Column = "genotypes") -> Column:
     """mean / stdDev / min / max of the samples' read depth."""

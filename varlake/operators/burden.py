@@ -4,10 +4,10 @@ Three equivalent plans are offered.
 
 * ``count_consequences`` / ``min_af_consequences`` followed by ``pivot_zygosity``: two aggregations, two shuffles.
 * ``gene_burden``: one conditional aggregation over the joined rows, one shuffle after the join.
-* ``gene_burden_from_tables``: consequences are summed up per (site, gene) *before* the join and genotypes are
-  exploded *after* it. The joined rows number (samples x genes) per site instead of (samples x transcripts), variants
-  cross the network as one row each, and a site holding a large share of all annotation rows collapses in the map-side
-  combine. This is the plan to use on large tables.
+* ``gene_burden_from_tables``: consequences are summed up per (site, gene) *before* the join, and only carriers are
+  exploded, *after* it. Rows number (carriers x genes) per site instead of (samples x transcripts), variants cross the
+  network as one row each, and a site holding a large share of all annotation rows collapses in the map-side combine.
+  This is the plan to use on large tables.
 """
 
 from __future__ import annotations
@@ -170,49 +170,58 @@ def gene_burden_from_tables(
     """The burden table from the variant table (nested ``genotypes``) and the annotation table."""
     per_gene = site_gene_consequences(annotations, terms, measure)
     # Everything the burden needs of a genotype; Parquet nested pruning keeps the rest on disk.
-    slim = variants.select(
+    samples = F.col("genotypes.sampleId")
+    pairs = F.arrays_zip(samples.alias("sampleId"), genotype_states("genotypes").alias("state"))
+    slim = variants.filter(F.size("genotypes") > 0).select(
         "contigName",
         (F.col("start") + shift_start_by).alias("start"),
         "end",
         *(["INFO_AF"] if measure == "min_af" else []),
-        F.arrays_zip(
-            F.col("genotypes.sampleId").alias("sampleId"),
-            genotype_states("genotypes").alias("num_alt_alleles"),
-        ).alias("samples"),
-    ).filter(F.size("samples") > 0)
+        samples.alias("samples"),
+        F.filter(pairs, lambda p: p.getField("state").isin(*ZYGOSITIES.values())).alias("carriers"),
+    )
     joined = slim.join(per_gene, ["contigName", "start", "end"], "inner")
-    rows = joined.withColumn("sample", F.explode("samples")).drop("samples")
-    state = F.col("sample.num_alt_alleles")
+
+    # Carriers become rows. The other samples only have to show up in the result, so each joined row passes on its
+    # whole sample list as one more entry: the lists are mostly the same and collapse in the first aggregation.
+    nobody = F.struct(F.lit(None).cast("string").alias("sampleId"), F.lit(None).cast("int").alias("state"))
+    entries = F.concat(
+        F.transform("carriers", lambda c: F.struct(c.alias("carrier"), F.lit(None).cast("array<string>").alias("all"))),
+        F.array(F.struct(nobody.alias("carrier"), F.col("samples").alias("all"))),
+    )
+    rows = joined.withColumn("entry", F.explode(entries)).drop("samples", "carriers")
 
     def flag_value(column: Column) -> Column:
         if measure == "count":
             return column
         return F.when(column, 1 - F.col("INFO_AF")).otherwise(F.lit(0.0))
 
-    def combine(condition: Column) -> list[Column]:
+    reduce = F.sum if measure == "count" else F.max
+    flags = [c for c in per_gene.columns if c.split("__")[0] in FLAG_STRUCTS]
+    merged = [reduce(flag_value(quoted(c))).alias(c) for c in flags]
+    for prefix, field in SCORES.items():
+        n = F.nullif(F.sum(f"{field}__n"), F.lit(0))
+        merged += [
+            F.min(f"{field}__min").alias(f"scores__{prefix}_min"),
+            (F.sum(f"{field}__sum") / n).alias(f"scores__{prefix}_mean"),
+            F.max(f"{field}__max").alias(f"scores__{prefix}_max"),
+        ]
+    per_state = rows.groupBy(
+        "contigName",
+        "gene_id",
+        F.col("entry.carrier.sampleId").alias("sampleId"),
+        F.col("entry.carrier.state").alias("state"),
+        F.col("entry.all").alias("all"),
+    ).agg(*merged)
+    per_sample = per_state.withColumn("sampleId", F.explode(F.coalesce("all", F.array("sampleId")))).drop("all")
+
+    def zygosity(state: int) -> Column:
+        # At most one row per sample has this state, so max only picks it.
         structs = []
-        reduce = F.sum if measure == "count" else F.max
-        for struct in FLAG_STRUCTS:
-            columns = [c for c in per_gene.columns if c.startswith(f"{struct}__")]
-            structs.append(
-                F.struct(
-                    *[
-                        reduce(F.when(condition, flag_value(quoted(c)))).alias(c.removeprefix(f"{struct}__"))
-                        for c in columns
-                    ]
-                ).alias(struct)
-            )
-        scores = []
-        for prefix, field in SCORES.items():
-            total = F.sum(F.when(condition, F.col(f"{field}__sum")))
-            n = F.sum(F.when(condition, F.col(f"{field}__n")))
-            scores += [
-                F.min(F.when(condition, F.col(f"{field}__min"))).alias(f"{prefix}_min"),
-                (total / F.nullif(n, F.lit(0))).alias(f"{prefix}_mean"),
-                F.max(F.when(condition, F.col(f"{field}__max"))).alias(f"{prefix}_max"),
-            ]
-        return [*structs, F.struct(*scores).alias("scores")]
-
-    return rows.groupBy("contigName", "gene_id", F.col("sample.sampleId").alias("sampleId")).agg(
-        *[F.struct(*combine(state == n)).alias(name) for name, n in ZYGOSITIES.items()]
-    )
+        for struct in (*FLAG_STRUCTS, "scores"):
+            columns = [c for c in per_state.columns if c.startswith(f"{struct}__")]
+            picked = [F.max(F.when(F.col("state") == state, quoted(c))).alias(c.removeprefix(f"{struct}__")) for c in columns]
+            structs.append(F.struct(*picked).alias(struct))
+        return F.struct(*structs)
+
+    return per_sample.groupBy(*GENE_SAMPLE).agg(*[zygosity(n).alias(name) for name, n in ZYGOSITIES.items()])

@@ -35,15 +35,18 @@ def keep_rare_genotypes(
     """
     het_ok = F.col(f"{zygosity}.n_hetero") <= max_het
     hom_ok = F.col(f"{zygosity}.n_homo") <= max_hom
+    pairs = F.arrays_zip(F.col("genotypes").alias("gt"), F.col("num_alt_alleles").alias("state"))
 
-    def rare(pair):
-        state = pair.getField("state")
-        return ((state == 1) & het_ok) | ((state == 2) & hom_ok)
+    def carriers(*states: int):
+        return F.filter(pairs, lambda pair: pair.getField("state").isin(*states))
 
-    pairs = F.arrays_zip(F.col("genotypes").alias("gt"), F.col("num_alt_alleles").alias("state"))
+    # Which states are rare is decided once per variant; inside the filter it would be decided per sample.
+    kept = (
+        F.when(het_ok & hom_ok, carriers(1, 2)).when(het_ok, carriers(1)).when(hom_ok, carriers(2))
+    )
     return (
-        df.withColumn("__rare", F.filter(pairs, rare))
-        .filter(F.size("__rare") > 0)
+        df.withColumn("__rare", kept)
+        .filter((het_ok | hom_ok) & (F.size("__rare") > 0))
         .withColumns({"genotypes": F.col("__rare.gt"), "num_alt_alleles": F.col("__rare.state")})
         .drop("__rare")
     )

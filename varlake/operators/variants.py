@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varlake._shared import ensure_checkpoint_dir
+from varlake.functions._columns import bind
 from varlake.sources.fasta import CHUNK
 
 # --- splitting -----------------------------------------------------------------------------------------------------
@@ -102,37 +103,39 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(_first_true(differs), n).cast("int")
 
 
-def _trim(df: DataFrame) -> DataFrame:
-    """Add ``__ref``, ``__alt``, ``__start`` (trimmed), ``__seq`` (S of a pure indel, else null) and ``__next``.
+def _trimmed(ref: Column, alt: Column) -> Column:
+    """Struct ``ref, alt, skipped`` (bases cut off the left), ``seq`` (S of a pure indel, else null) and ``next``.
 
-    All of them are null where ``__skip`` is set.
+    One expression with bound intermediate values, so that filtering on it does not repeat its parts.
     """
-    ref, alt = F.col("referenceAllele"), F.col("__allele")
-    suffixed = df.withColumn("__suffix", F.when(~F.col("__skip"), _common_prefix(F.reverse(ref), F.reverse(alt))))
-    suffix = F.col("__suffix")
-    cut = suffixed.withColumns(
-        {
-            "__r": F.substring(ref, F.lit(1), F.length(ref) - suffix),
-            "__a": F.substring(alt, F.lit(1), F.length(alt) - suffix),
+
+    def cut_right(suffix: Column) -> Column:
+        return F.struct(
+            F.substring(ref, F.lit(1), F.length(ref) - suffix).alias("r"),
+            F.substring(alt, F.lit(1), F.length(alt) - suffix).alias("a"),
             # First base behind the event; the anchor of last resort at a contig's very beginning.
-            "__next": F.substring(ref, F.length(ref) - suffix + 1, F.lit(1)),
-        }
-    )
-    r, a = F.col("__r"), F.col("__a")
-    pure = (F.length(r) == 0) | (F.length(a) == 0)
-    prefix = F.when(pure, F.lit(0)).otherwise(
-        F.least(_common_prefix(r, a), F.least(F.length(r), F.length(a)) - 1)
-    )
-    trimmed = cut.withColumn("__prefix", prefix)
-    p = F.col("__prefix")
-    return trimmed.withColumns(
-        {
-            "__seq": F.when(pure, F.concat(r, a)),
-            "__ref": F.substring(r, p + 1, F.length(r)),
-            "__alt": F.substring(a, p + 1, F.length(a)),
-            "__start": F.col("start") + p,
-        }
-    ).drop("__suffix", "__r", "__a", "__prefix")
+            F.substring(ref, F.length(ref) - suffix + 1, F.lit(1)).alias("next"),
+        )
+
+    def cut_left(cut: Column) -> Column:
+        r, a = cut["r"], cut["a"]
+        pure = (F.length(r) == 0) | (F.length(a) == 0)
+        common = F.when(pure, F.lit(0)).otherwise(
+            F.least(_common_prefix(r, a), F.least(F.length(r), F.length(a)) - 1)
+        )
+
+        def result(prefix: Column) -> Column:
+            return F.struct(
+                F.substring(r, prefix + 1, F.length(r)).alias("ref"),
+                F.substring(a, prefix + 1, F.length(a)).alias("alt"),
+                prefix.alias("skipped"),
+                F.when(pure, F.concat(r, a)).alias("seq"),
+                cut["next"].alias("next"),
+            )
+
+        return bind(common, result)
+
+    return bind(bind(_common_prefix(F.reverse(ref), F.reverse(alt)), cut_right), cut_left)
 
 
 def _rotation_mismatch(seq: Column, bases: Column, bases_start: Column, right: Column, offset: Column) -> Column:
@@ -269,23 +272,30 @@ def normalize_variants(
     idle = ((F.length("referenceAllele") == 1) & (F.length("__allele") == 1)) | (
         F.col("referenceAllele") == F.col("__allele")
     )
-    prepared = df.withColumn("__allele", F.when(plain, allele)).withColumn("__skip", F.coalesce(idle, F.lit(True)))
-    trimmed = _trim(prepared)
-    is_indel = F.coalesce(F.length("__seq") > 0, F.lit(False))
+    prepared = df.withColumn("__allele", F.when(plain, allele)).withColumn("__idle", F.coalesce(idle, F.lit(True)))
+    trimmed = prepared.withColumn(
+        "__trim", F.when(~F.col("__idle"), _trimmed(F.col("referenceAllele"), F.col("__allele")))
+    )
+    is_indel = F.coalesce(F.length("__trim.seq") > 0, F.lit(False))
     in_place = trimmed.filter(~is_indel).withColumns(
         {
-            "__new_ref": F.when(F.col("__skip") & F.col("__allele").isNotNull(), F.col("referenceAllele")).otherwise(
-                F.col("__ref")
-            ),
-            "__new_alt": F.when(F.col("__skip"), F.col("__allele")).otherwise(F.col("__alt")),
-            "__start": F.coalesce("__start", "start"),
+            "__new_ref": F.when(F.col("__allele").isNotNull(), F.coalesce("__trim.ref", "referenceAllele")),
+            "__new_alt": F.coalesce("__trim.alt", "__allele"),
+            "__start": F.col("start") + F.coalesce("__trim.skipped", F.lit(0)),
         }
     )
-    indels = trimmed.filter(is_indel)
+    indels = trimmed.filter(is_indel).withColumns(
+        {
+            "__seq": F.col("__trim.seq"),
+            "__next": F.col("__trim.next"),
+            "__ref": F.col("__trim.ref"),
+            "__start": F.col("start"),
+        }
+    ).drop("__trim")
     looked = _look_left(indels, reference_bases, chunk)
     if follow_long_repeats:
         narrow = _look_left(
-            indels.select(*_KEY, "__seq", "__start", "__ref", "__next"), reference_bases, chunk
+            indels.select(*_KEY, "__seq", "__start"), reference_bases, chunk
         )
         open_rows = narrow.filter(F.col("__shift").isNull() & F.col("__seen_to").isNotNull())
         ensure_checkpoint_dir(df.sparkSession)
