@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     lambdas. Inside a lambda that would compute the value per element. A lambda's own variable is never inlined.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df.withColumn(name, value)`` for values that are expensive to compute.
+
+    A filter on a projected column is pushed below the projection with the column's whole expression in it, once per
+    mention. A generator's output is left alone, so the value is computed once per row.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

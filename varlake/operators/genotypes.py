@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varlake.functions._columns import with_computed
 from varlake.functions.genotypes import genotype_states, zygosity_summary
 from varlake.operators.reshape import zip_explode_cols
 
 
 def with_genotype_states(df: DataFrame) -> DataFrame:
     """Add ``num_alt_alleles``, aligned with ``genotypes``."""
-    return df.withColumn("num_alt_alleles", genotype_states("genotypes"))
+    return with_computed(df, "num_alt_alleles", genotype_states("genotypes"))
 
 
 def with_zygosity(df: DataFrame, name: str = "zygosity") -> DataFrame:
     """Add the struct of sample counts per genotype state."""
-    return df.withColumn(name, zygosity_summary("num_alt_alleles"))
+    return with_computed(df, name, zygosity_summary("num_alt_alleles"))
 
 
 def explode_genotypes(df: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def keep_rare_genotypes(
         F.when(het_ok & hom_ok, carriers(1, 2)).when(het_ok, carriers(1)).when(hom_ok, carriers(2))
     )
     return (
-        df.withColumn("__rare", kept)
-        .filter((het_ok | hom_ok) & (F.size("__rare") > 0))
+        with_computed(df.filter(het_ok | hom_ok), "__rare", kept)
+        .filter(F.size("__rare") > 0)
         .withColumns({"genotypes": F.col("__rare.gt"), "num_alt_alleles": F.col("__rare.state")})
         .drop("__rare")
     )

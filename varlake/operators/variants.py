@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varlake._shared import ensure_checkpoint_dir
-from varlake.functions._columns import bind
+from varlake.functions._columns import bind, with_computed
 from varlake.sources.fasta import CHUNK
 
 # --- splitting -----------------------------------------------------------------------------------------------------
@@ -273,8 +273,8 @@ def normalize_variants(
         F.col("referenceAllele") == F.col("__allele")
     )
     prepared = df.withColumn("__allele", F.when(plain, allele)).withColumn("__idle", F.coalesce(idle, F.lit(True)))
-    trimmed = prepared.withColumn(
-        "__trim", F.when(~F.col("__idle"), _trimmed(F.col("referenceAllele"), F.col("__allele")))
+    trimmed = with_computed(
+        prepared, "__trim", F.when(~F.col("__idle"), _trimmed(F.col("referenceAllele"), F.col("__allele")))
     )
     is_indel = F.coalesce(F.length("__trim.seq") > 0, F.lit(False))
     in_place = trimmed.filter(~is_indel).withColumns(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varlake.functions._columns import with_computed
 from varlake.sources.tables import spread
 
 N_SAMPLES = 8
@@ -41,7 +42,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
             'depth', case when (o_custkey + k) % 11 = 0 then null else cast((o_custkey + 7 * k) % 60 as int) end,
             'conditionalQuality', cast((o_orderkey + k) % 99 as int)))
     """
-    return table(spark, sf_dir, "orders").select(
+    return with_computed(table(spark, sf_dir, "orders"), "genotypes", F.expr(genotype)).select(
         _contig("o_orderkey").alias("contigName"),
         F.expr("o_orderkey * 10").alias("start"),
         F.expr("o_orderkey * 10 + 1").alias("end"),
@@ -57,7 +58,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("array((o_orderkey % 64 + 1) / 128D)").alias("INFO_AF"),
         F.expr("array(cast((o_custkey + 1) % 9 as int))").alias("INFO_MLEAC"),
         F.expr("array((o_orderkey % 32 + 1) / 64D)").alias("INFO_MLEAF"),
-        F.expr(genotype).alias("genotypes"),
+        "genotypes",
     )
 
 

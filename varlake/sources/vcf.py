@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varlake.functions._columns import quoted
+from varlake.functions._columns import quoted, with_computed
 
 # Column names of the format.
 FIXED_COLUMNS = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
@@ -145,7 +145,7 @@ def parse_vcf_lines(
         data = F.when(other, F.raise_error(message).cast("boolean")).otherwise(data)
     body = lines.filter(data)
     fields = F.split(F.rtrim(value), "\t")
-    rows = body.select(fields.alias("__f"))
+    rows = with_computed(body, "__f", fields)
     rows = rows.select(
         *[F.get("__f", F.lit(i)).alias(name) for i, name in enumerate(FIXED_COLUMNS)],
         F.split(F.get("__f", F.lit(len(FIXED_COLUMNS))), ":").alias("FORMAT"),
@@ -306,7 +306,7 @@ def format_vcf_lines(df: DataFrame) -> DataFrame:
             return F.concat_ws(":", *[F.coalesce(v, missing) for v in values])
 
         columns.append(F.array_join(F.transform("genotypes", sample), "\t"))
-    return df.select(F.concat_ws("\t", *columns).alias("value"))
+    return with_computed(df, "value", F.concat_ws("\t", *columns)).select("value")
 
 
 def sample_ids_of(df: DataFrame) -> list[str]:
