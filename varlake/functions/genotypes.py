@@ -1,6 +1,8 @@
 """Per-variant summaries of the nested genotype list.
 
-All of them are higher-order functions over one row's array: no shuffle and no Python worker.
+All of them are higher-order functions over one row's array: no shuffle and no Python worker. They take the needed
+field of all genotypes first (``genotypes.calls``), which lets Parquet leave the other fields on disk; a field access
+inside a lambda would not.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ NOT_MEASURED = -1
 def genotype_states(genotypes: str | Column = "genotypes") -> Column:
     """Number of alternate alleles per sample; -1 where a call is missing or there are no calls."""
 
-    def state(genotype: Column) -> Column:
-        calls = genotype.getField("calls")
+    def state(calls: Column) -> Column:
         unknown = calls.isNull() | (F.size(calls) == 0) | F.exists(calls, lambda c: c.isNull() | (c < 0))
         return F.when(unknown, F.lit(NOT_MEASURED)).otherwise(
             F.aggregate(calls, F.lit(0), lambda total, call: total + call)
         )
 
-    return F.transform(as_column(genotypes), state)
+    return F.transform(as_column(genotypes).getField("calls"), state)
 
 
 def _count(array: Column, predicate) -> Column:
@@ -54,9 +55,9 @@ def call_summary_stats(
     called alleles and null when nothing was called.
     """
     none = F.array().cast("array<int>")
-    array = as_column(genotypes)
+    array = as_column(genotypes).getField("calls")
     alleles = F.sequence(F.lit(0), F.size(as_column(alternate_alleles)))
-    calls = F.flatten(F.transform(array, lambda g: F.coalesce(g.getField("calls"), none)))
+    calls = F.flatten(F.transform(array, lambda sample: F.coalesce(sample, none)))
 
     def from_called(called: Column) -> Column:
         counts = F.transform(alleles, lambda allele: _count(called, lambda c: c == allele))
@@ -69,7 +70,7 @@ def call_summary_stats(
             n_called.alias("nCalled"),
             (F.size(array) - n_called).alias("nUncalled"),
             _count(array, _heterozygous).alias("nHet"),
-            F.transform(alleles, lambda allele: _count(array, lambda g: _homozygous(g, allele))).alias("nHomozygous"),
+            F.transform(alleles, lambda allele: _count(array, lambda sample: _homozygous(sample, allele))).alias("nHomozygous"),
             _count(calls, lambda c: c > 0).alias("nNonRef"),
             n.alias("nAllelesCalled"),
             counts.alias("alleleCounts"),
@@ -77,23 +78,22 @@ def call_summary_stats(
         )
 
     parts = F.struct(
-        _count(genotype_states(array), lambda state: state >= 0).alias("n_called"),
+        _count(genotype_states(genotypes), lambda state: state >= 0).alias("n_called"),
         bind(F.filter(calls, lambda c: c >= 0), from_called).alias("called"),
     )
     return bind(parts, summary)
 
 
-def _complete(genotype: Column) -> Column:
-    calls = genotype.getField("calls")
+def _complete(calls: Column) -> Column:
     return (F.size(calls) > 0) & ~F.exists(calls, lambda c: c < 0)
 
 
-def _heterozygous(genotype: Column) -> Column:
-    return _complete(genotype) & (F.size(F.array_distinct(genotype.getField("calls"))) > 1)
+def _heterozygous(calls: Column) -> Column:
+    return _complete(calls) & (F.size(F.array_distinct(calls)) > 1)
 
 
-def _homozygous(genotype: Column, allele: Column) -> Column:
-    return _complete(genotype) & F.forall(genotype.getField("calls"), lambda c: c == allele)
+def _homozygous(calls: Column, allele: Column) -> Column:
+    return _complete(calls) & F.forall(calls, lambda c: c == allele)
 
 
 def _moments(values: Column) -> Column:
@@ -132,9 +132,9 @@ def _moments(values: Column) -> Column:
 
 def depth_summary_stats(genotypes: str | Column = "genotypes") -> Column:
     """mean / stdDev / min / max of the samples' read depth."""
-    return _moments(F.transform(as_column(genotypes), lambda g: g.getField("depth")))
+    return _moments(as_column(genotypes).getField("depth"))
 
 
 def quality_summary_stats(genotypes: str | Column = "genotypes") -> Column:
     """mean / stdDev / min / max of the samples' conditional genotype quality."""
-    return _moments(F.transform(as_column(genotypes), lambda g: g.getField("conditionalQuality")))
+    return _moments(as_column(genotypes).getField("conditionalQuality"))

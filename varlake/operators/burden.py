@@ -172,7 +172,7 @@ def gene_burden_from_tables(
     # Everything the burden needs of a genotype; Parquet nested pruning keeps the rest on disk.
     samples = F.col("genotypes.sampleId")
     pairs = F.arrays_zip(samples.alias("sampleId"), genotype_states("genotypes").alias("state"))
-    slim = variants.filter(F.size("genotypes") > 0).select(
+    slim = variants.filter(F.size(samples) > 0).select(
         "contigName",
         (F.col("start") + shift_start_by).alias("start"),
         "end",

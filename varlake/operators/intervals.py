@@ -12,7 +12,7 @@ inside the rest of the left one. Both cases are tagged into the same key, so one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BITS = 4
@@ -23,38 +23,47 @@ _LEVEL_SHIFT = 48
 _CASE_SHIFT = 52
 
 
-def _key(block: Column, level: int, case: int) -> Column:
-    return block + F.lit((level << _LEVEL_SHIFT) + (case << _CASE_SHIFT))
+# The expressions are SQL text: built column by column, their hundreds of nodes would take the driver half a second.
 
 
-def _range(low: Column, high: Column, level: int, case: int) -> Column:
+def _keys(low: str, high: str, level: int, case: int) -> str:
     """Keys of the blocks ``low … high - 1``; empty if there are none."""
-    blocks = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(blocks, lambda b: _key(b, level, case))
+    tag = (level << _LEVEL_SHIFT) + (case << _CASE_SHIFT)
+    return (
+        f"if({high} > {low}, transform(sequence({low}, {high} - 1), b -> b + {tag}L), cast(array() as array<bigint>))"
+    )
+
+
+def cover(start: str, end: str, case: int = 0) -> str:
+    """SQL for the keys of the aligned blocks that exactly tile ``[start, end)``; an empty array if it is empty.
+
+    ``start`` and ``end`` are SQL expressions of type bigint.
+    """
+
+    def up(level: int) -> str:
+        return f"shiftright({start} + {(1 << (_BITS * level)) - 1}L, {_BITS * level})"
 
+    def down(level: int) -> str:
+        return f"shiftright({end}, {_BITS * level})"
 
-def cover(start: Column, end: Column, case: int = 0) -> Column:
-    """Keys of the aligned blocks that exactly tile ``[start, end)``; an empty array for an empty interval."""
     pieces = []
-    for level in _LEVELS:
-        size = 1 << (_BITS * level)
-        first = F.shiftright(start + (size - 1), _BITS * level)
-        last = F.shiftright(end, _BITS * level)
-        if level == _TOP_LEVEL:
-            pieces.append(_range(first, last, level, case))
-            continue
+    for level in _LEVELS[:-1]:
         # Blocks whose parent block also lies inside belong to the next level; keep what sticks out on both sides.
-        parent = size << _BITS
-        inner_from = F.shiftleft(F.shiftright(start + (parent - 1), _BITS * (level + 1)), _BITS)
-        inner_to = F.shiftleft(F.shiftright(end, _BITS * (level + 1)), _BITS)
-        pieces.append(_range(first, F.least(last, inner_from), level, case))
-        pieces.append(_range(F.greatest(inner_from, inner_to), last, level, case))
-    return F.flatten(F.array(*pieces))
+        inner_from = f"shiftleft({up(level + 1)}, {_BITS})"
+        inner_to = f"shiftleft({down(level + 1)}, {_BITS})"
+        pieces.append(_keys(up(level), f"least({down(level)}, {inner_from})", level, case))
+        pieces.append(_keys(f"greatest({inner_from}, {inner_to})", down(level), level, case))
+    pieces.append(_keys(up(_TOP_LEVEL), down(_TOP_LEVEL), _TOP_LEVEL, case))
+    return f"concat({', '.join(pieces)})"
 
 
-def ancestors(position: Column, case: int = 0) -> Column:
-    """Keys of the blocks of every size that contain a position."""
-    return F.array(*[_key(F.shiftright(position, _BITS * level), level, case) for level in _LEVELS])
+def ancestors(position: str, case: int = 0) -> str:
+    """SQL for the keys of the blocks of every size that contain a position."""
+    keys = [
+        f"shiftright({position}, {_BITS * level}) + {(level << _LEVEL_SHIFT) + (case << _CASE_SHIFT)}L"
+        for level in _LEVELS
+    ]
+    return f"array({', '.join(keys)})"
 
 
 def overlap_pairs(
@@ -69,10 +78,10 @@ def overlap_pairs(
     Both frames need the three coordinate columns; the right ones are called ``feature_start`` and ``feature_end``
     in the result. An empty interval, such as an insertion point, counts as its one position.
     """
-    a = F.col(start).cast("long")
-    b = F.greatest(F.col(end).cast("long"), a + 1)
-    left_keys = F.concat(ancestors(a, 0), cover(a + 1, b, 1))
-    right_keys = F.concat(cover(a, b, 0), ancestors(a, 1))
+    a = f"cast(`{start}` as bigint)"
+    b = f"greatest(cast(`{end}` as bigint), {a} + 1)"
+    left_keys = F.expr(f"concat({ancestors(a, 0)}, {cover(f'({a} + 1)', b, 1)})")
+    right_keys = F.expr(f"concat({cover(a, b, 0)}, {ancestors(a, 1)})")
     lefts = left.withColumn("__block", F.explode(left_keys))
     rights = right.withColumn("__block", F.explode(right_keys)).withColumnsRenamed(
         {start: "feature_start", end: "feature_end"}

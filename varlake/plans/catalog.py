@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -427,6 +427,11 @@ def join_consequences_on_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SITE = ["contigName", "start", "end"]
 
 
+def _number(name: str) -> Column:
+    """The number in a name. Minima of strings would need a sorting aggregation; those of numbers are hashed."""
+    return F.regexp_extract(name, "([0-9]+)$", 1).cast("long")
+
+
 @query
 def annotate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.annotate_overlap(
@@ -434,9 +439,9 @@ def annotate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.groupBy(*_SITE).agg(
         F.count("feature").alias("n_features"),
-        F.min("feature.name").alias("first_name"),
+        F.min(_number("feature.name")).alias("first_name"),
         F.max("feature.fields.size").alias("max_size"),
-        F.max("feature.fields.brand").alias("last_brand"),
+        F.max(_number("feature.fields.brand")).alias("last_brand"),
     )
 
 
@@ -461,8 +466,8 @@ def annotate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.groupBy("contigName", "start", "alternateAllele").agg(
         F.count("known").alias("n_known"),
-        F.min("known.name").alias("first_name"),
-        F.max("known.allele").alias("allele"),
+        F.min(_number("known.name")).alias("first_name"),
+        F.count_if(F.col("known.allele") == F.col("alternateAllele")).alias("n_allele"),
         F.sum("known.fields.quantity").alias("quantity"),
     )
 
@@ -475,8 +480,8 @@ def annotate_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = "colocated_variants"
     return rows.groupBy("contigName", "start").agg(
         F.count(known).alias("n_known"),
-        F.min(f"{known}.id").alias("first_id"),
-        F.max(f"{known}.allele_string").alias("last_alleles"),
+        F.min(_number(f"{known}.id")).alias("first_id"),
+        F.count_if(F.col(f"{known}.allele_string") == "R/F").alias("n_alleles"),
         F.max(f"{known}.start").alias("known_start"),
         F.sum(f"{known}.strand").alias("strands"),
     )

@@ -367,7 +367,8 @@ def all_oracles() -> dict[str, str]:
         "annotate_overlap": f"""
             with {_SITES}
             select site.contig as "contigName", s as start, e as "end", count(name) as n_features,
-                   min(name) as first_name, max(size) as max_size, max(brand) as last_brand
+                   min(cast(substr(name, 2) as bigint)) as first_name, max(size) as max_size,
+                   max(cast(split_part(brand, '#', 2) as bigint)) as last_brand
             from site left join feature on site.contig = feature.contig and s < fe and fs < e
             group by site.contig, s, e
         """,
@@ -379,13 +380,14 @@ def all_oracles() -> dict[str, str]:
         "annotate_exact": f"""
             with {_VARIANT}, {_KNOWN}
             select contig as "contigName", start0 as start, alt as "alternateAllele", count(id) as n_known,
-                   min(id) as first_name, max(allele) as allele, cast(sum(quantity) as bigint) as quantity
+                   min(cast(substr(id, 3) as bigint)) as first_name, count(id) as n_allele,
+                   cast(sum(quantity) as bigint) as quantity
             from variant left join known on l_orderkey = o_orderkey and allele = alt group by contig, start0, alt
         """,
         "annotate_colocated": f"""
             with {_VARIANT}, {_KNOWN}
-            select contig as "contigName", start0 as start, count(id) as n_known, min(id) as first_id,
-                   max(alleles) as last_alleles, case when count(id) > 0 then start0 + 1 end as known_start,
+            select contig as "contigName", start0 as start, count(id) as n_known,
+                   min(cast(substr(id, 3) as bigint)) as first_id, count(*) filter (alleles = 'R/F') as n_alleles, case when count(id) > 0 then start0 + 1 end as known_start,
                    cast(sum(strand) as bigint) as strands
             from variant left join known on l_orderkey = o_orderkey group by contig, start0
         """,

@@ -18,10 +18,14 @@ N_SAMPLES = 8
 TERMS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
+_ROW_KEYS = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; the two fact tables are spread over the cores where their files are too few for that."""
     stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(stored) if name in ("orders", "lineitem") else stored
+    keys = _ROW_KEYS.get(name)
+    return spread(stored, *keys) if keys else stored
 
 
 def _contig(key: str):
