@@ -435,7 +435,7 @@ def _number(name: str) -> Column:
 @query
 def annotate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.annotate_overlap(
-        views.sites(spark, sf_dir), views.features(spark, sf_dir), "feature", ["size", "brand"], nested=False
+        views.sites(spark, sf_dir).distinct(), views.features(spark, sf_dir), "feature", ["size", "brand"], nested=False
     )
     return rows.groupBy(*_SITE).agg(
         F.count("feature").alias("n_features"),
@@ -454,8 +454,9 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annotate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir)))
+    # Copies of a variant would each be paired with every feature at their site; the report is per distinct one.
     rows = op.annotate_exact(
-        variants,
+        variants.select(*_SITE, "alternateAllele").distinct(),
         views.known_variants(spark, sf_dir),
         "known",
         ["quantity"],
@@ -475,7 +476,7 @@ def annotate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annotate_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.annotate_colocated(
-        select_site_columns(views.variants(spark, sf_dir)), views.known_variants(spark, sf_dir), nested=False
+        views.variants(spark, sf_dir).select(*_SITE).distinct(), views.known_variants(spark, sf_dir), nested=False
     )
     known = "colocated_variants"
     return rows.groupBy("contigName", "start").agg(

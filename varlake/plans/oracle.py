@@ -128,7 +128,7 @@ multi as (
 
 _SITES = """
 site as (
-    select 'chr' || (o_orderkey % 22 + 1) as contig, o_orderkey * 10 as s, o_orderkey * 10 + 1 + o_custkey % 50 as e
+    select distinct 'chr' || (o_orderkey % 22 + 1) as contig, o_orderkey * 10 as s, o_orderkey * 10 + 1 + o_custkey % 50 as e
     from orders
 ), feature as (
     select 'chr' || (p_partkey % 22 + 1) as contig, p_partkey * 70 as fs, p_partkey * 70 + p_size * 40 as fe,
@@ -382,14 +382,17 @@ def all_oracles() -> dict[str, str]:
             select contig as "contigName", start0 as start, alt as "alternateAllele", count(id) as n_known,
                    min(cast(substr(id, 3) as bigint)) as first_name, count(id) as n_allele,
                    cast(sum(quantity) as bigint) as quantity
-            from variant left join known on l_orderkey = o_orderkey and allele = alt group by contig, start0, alt
+            from (select distinct contig, start0, alt, o_orderkey from variant) v
+                 left join known on l_orderkey = o_orderkey and allele = alt
+            group by contig, start0, alt
         """,
         "annotate_colocated": f"""
             with {_VARIANT}, {_KNOWN}
             select contig as "contigName", start0 as start, count(id) as n_known,
                    min(cast(substr(id, 3) as bigint)) as first_id, count(*) filter (alleles = 'R/F') as n_alleles, case when count(id) > 0 then start0 + 1 end as known_start,
                    cast(sum(strand) as bigint) as strands
-            from variant left join known on l_orderkey = o_orderkey group by contig, start0
+            from (select distinct contig, start0, o_orderkey from variant) v left join known on l_orderkey = o_orderkey
+            group by contig, start0
         """,
         "annotate_cadd": f"""
             with {_VARIANT}, scored as (
