@@ -31,7 +31,7 @@ def _attach(
     return variants.join(found, list(keys), "left")
 
 
-def _custom_entry(features: DataFrame, fields: Sequence[str], name_col: str | None, allele_col: str | None) -> Column:
+def _custom_entry(fields: Sequence[str], name_col: str | None, allele_col: str | None) -> Column:
     null = F.lit(None).cast("string")
     return F.struct(
         (quoted(name_col).cast("string") if name_col else null).alias("name"),
@@ -40,7 +40,7 @@ def _custom_entry(features: DataFrame, fields: Sequence[str], name_col: str | No
     )
 
 
-def _prefixed(features: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _needed_columns(features: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Only the coordinate columns and what the entry needs."""
     wanted = [*SITE, *[c for c in keep if c not in SITE]]
     return features.select(*[quoted(c) for c in dict.fromkeys(wanted)])
@@ -58,8 +58,8 @@ def annotate_overlap(
     """Add every feature that overlaps the variant by at least one base as ``struct<name, allele, fields>``."""
     needed = [c for c in (name_col, allele_col, *fields) if c]
     sites = variants.select(*SITE).distinct()
-    pairs = overlap_pairs(sites, _prefixed(features, needed))
-    return _attach(variants, pairs, SITE, _custom_entry(features, fields, name_col, allele_col), short_name, nested)
+    pairs = overlap_pairs(sites, _needed_columns(features, needed))
+    return _attach(variants, pairs, SITE, _custom_entry(fields, name_col, allele_col), short_name, nested)
 
 
 def annotate_exact(
@@ -75,11 +75,11 @@ def annotate_exact(
     """Add the features with exactly the variant's coordinates and, if both allele columns are named, its allele."""
     needed = [c for c in (name_col, allele_col, *fields) if c]
     keys = list(SITE)
-    entries = _prefixed(features, needed)
+    entries = _needed_columns(features, needed)
     if variant_allele_col and allele_col:
         keys.append(variant_allele_col)
         entries = entries.withColumn(variant_allele_col, quoted(allele_col))
-    entry = _custom_entry(features, fields, name_col, allele_col)
+    entry = _custom_entry(fields, name_col, allele_col)
     # No need to look at the variants before collecting: equal keys are all that is compared.
     return _attach(variants, entries, keys, entry, short_name, nested)
 
