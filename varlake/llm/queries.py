@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlake.llm import eliasfano, packing, warc
+from varlake.llm import eliasfano, minhash, mixing, packing, quality, suffix, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,6 +26,40 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=2, capacity=1024)[1]
 
 
+def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
+    )
+
+
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
+
+
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    row = F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))
+    return decided.withColumn("__row", row).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    )
+
+
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op8_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_removal(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.token_files(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=0)
 
@@ -34,6 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_dictionary": op1_warc_dictionary,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_isolation_forest": op3_isolation_forest,
+        "op4_circulant_minhash": op4_circulant_minhash,
+        "op6_pivotal_mixing": op6_pivotal_mixing,
+        "op7_toxicity_grammar": op7_toxicity_grammar,
+        "op8_suffix_blocks": op8_suffix_blocks,
         "op10_elias_fano_tokens": op10_elias_fano_tokens,
     }
 

@@ -44,6 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_slices(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``step`` over Arrow batches of at most SLICE rows each."""
 
