@@ -13,13 +13,14 @@ rounded. That leaves an error of about a mean document.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varlake.llm.shared import n_words, stored
+from varlake.llm.shared import extended, n_words, stored
 
 #: Documents that are rounded in one group, and groups whose rests meet at the next level.
 GROUP = 20_000
@@ -79,41 +80,46 @@ def _paired(fractions: np.ndarray, masses: np.ndarray, draws: np.ndarray) -> tup
     return out, held
 
 
+def _rounding(seed: str, level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    """Rounds a group; its open document, if any, keeps a null ``drawn``, but at the ``last`` level is drawn alone."""
+
+    def rounded(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        source, group, n = table.column("source")[0].as_py(), table.column("group")[0].as_py(), table.num_rows
+        digest = hashlib.blake2b(repr((seed, source, level, group)).encode(), digest_size=8).digest()
+        draws = np.random.default_rng(int.from_bytes(digest, "little")).random((2, n))
+        fractions, masses = table.column("fraction").to_numpy().copy(), table.column("mass").to_numpy()
+        weightless = masses <= 0
+        fractions[weightless] = draws[1][weightless] < fractions[weightless]
+        fractions, held = _paired(fractions, masses, draws[0])
+        is_open = np.zeros(n, bool)
+        if held is not None and last:
+            fractions[held] = draws[1][held] < fractions[held]
+        elif held is not None:
+            is_open[held] = True
+        drawn = pa.array(fractions.round().astype("i4"), mask=is_open)
+        at = table.schema.get_field_index("fraction")
+        return table.set_column(at, "fraction", pa.array(fractions)).append_column("drawn", drawn)
+
+    return rounded
+
+
 def pivotal(units: DataFrame, seed: str, name: str) -> DataFrame:
     """Adds ``drawn`` (0 or 1) to units (source, doc_id, size, mass, fraction, group): the rounded fraction.
 
     Units of no mass are drawn alone. Rerunning gives the same draws.
     """
-    out_schema = units.schema.add("drawn", "int")
+    out_schema = extended(units.schema, drawn="int")
     n_groups = (units.agg(F.max("group")).first()[0] or 0) + 1
     open_units, decided, level = units, [], 0
     while True:
         last = n_groups == 1
-
-        def rounded(table: pa.Table, level: int = level, last: bool = last) -> pa.Table:
-            table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
-            source, group = table.column("source")[0].as_py(), table.column("group")[0].as_py()
-            digest = hashlib.blake2b(repr((seed, source, level, group)).encode(), digest_size=8).digest()
-            draws = np.random.default_rng(int.from_bytes(digest, "little")).random(2 * table.num_rows)
-            fractions, masses = table.column("fraction").to_numpy().copy(), table.column("mass").to_numpy()
-            weightless = masses <= 0
-            fractions[weightless] = draws[table.num_rows :][weightless] < fractions[weightless]
-            fractions, held = _paired(fractions, masses, draws)
-            if held is not None and last:
-                fractions[held] = draws[table.num_rows + held] < fractions[held]
-                held = None
-            open_rows = np.zeros(len(fractions), bool)
-            if held is not None:
-                open_rows[held] = True
-            drawn = pa.array(fractions.round().astype("i4"), mask=open_rows)
-            at = table.schema.get_field_index("fraction")
-            return table.set_column(at, "fraction", pa.array(fractions)).append_column("drawn", drawn)
-
-        done = stored(open_units.groupBy("source", "group").applyInArrow(rounded, out_schema), f"{name}-{level}")
+        step = _rounding(seed, level, last)
+        done = stored(open_units.groupBy("source", "group").applyInArrow(step, out_schema), f"{name}-{level}")
         decided.append(done.where("drawn is not null"))
         if last:
             break
-        open_units = done.where("drawn is null").drop("drawn").withColumn("group", F.expr(f"group div {FAN_IN}"))
+        open_units = done.where("drawn is null").drop("drawn").withColumn("group", F.expr(f"cast(group div {FAN_IN} as int)"))
         n_groups = -(-n_groups // FAN_IN)
         level += 1
     all_decided = decided[0]

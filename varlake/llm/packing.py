@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varlake.llm.shared import map_slices, stored
+from varlake.llm.shared import extended, map_slices, stored
 from varlake.llm.tokens import encoder
 
 #: Pieces of one length that are numbered in one group.
@@ -134,7 +134,7 @@ def pack_best_fit(pieces: DataFrame, order: list[str], capacity: int = 1024, len
         size: tuple(np.array(column, "i8") for column in zip(*runs)) for size, runs in best_fit_plan(histogram, capacity).items()
     }
     ranked = numbered(pieces, order, length)
-    schema = ranked.drop("number").schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(ranked.drop("number").schema, sequence_id="long", offset="long")
     names = schema.names
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:

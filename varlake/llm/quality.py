@@ -1,7 +1,8 @@
 """Quality by rule statistics and an isolation forest over them.
 
 Each tree of the forest splits a small sample by random features at random values; a document that few splits set apart is
-anomalous. The forest learns from the statistics alone; where a score becomes a rejection is calibrated on labelled rows.
+anomalous. One forest sees all statistics, and one each of them. They learn from the statistics alone; where a score becomes
+a rejection is calibrated on labelled rows, for each forest.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varlake.llm.shared import map_slices, stored
+from varlake.llm.shared import extended, map_slices, stored
 
 #: Trees and rows of each tree's sample: the forest is fitted on their product at most.
 TREES, TREE_ROWS = 100, 256
-#: Bins of scores between 0 and 1 that labels are counted in, and the share of good labelled rows that may be lost.
-BINS, MOST_LOST = 1000, 0.01
+#: Bins of scores between 0 and 1 that labels are counted in, the share of good labelled rows that may be lost, and how much
+#: the share of lost good rows weighs against that of rejected bad ones.
+BINS, MOST_LOST, LOSS_WEIGHT = 1000, 0.01, 50.0
 
 # The rules' characters and limits.
 SYMBOLS = "#*$%&|<>"
@@ -134,58 +136,71 @@ def _usual_path(n: int) -> float:
     return 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def fitted_forest(statistics: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> Forest:
-    """From a hash sample of about ``trees * rows / 4`` documents that pass the base rules; each tree draws from it."""
-    most = trees * rows // 4
+def fitted_forests(statistics: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> list[tuple[list[int], Forest]]:
+    """One forest over all features and one over each: (columns, forest).
+
+    They share a hash sample of about ``trees * rows / 4`` documents that pass the base rules; each tree draws from it.
+    """
     usable = statistics.where(~base_failed())
-    share = min(1.0, most / max(1, usable.count()))
+    share = min(1.0, trees * rows / 4 / max(1, usable.count()))
     sampled = usable.where(F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    points = sampled.select(*features()).collect()
-    return Forest.fitted(np.array(sorted(map(tuple, points)), "f8").reshape(-1, 4), trees, rows)
+    columns = features()
+    points = np.array(sorted(map(tuple, sampled.select(*columns).collect())), "f8").reshape(-1, len(columns))
+    views = [list(range(len(columns))), *([at] for at in range(len(columns)))]
+    return [(view, Forest.fitted(points[:, view], trees, rows, seed)) for seed, view in enumerate(views)]
 
 
-def anomaly(statistics: DataFrame, forest: Forest) -> DataFrame:
-    """Adds ``anomaly``: the forest's score."""
-    schema = statistics.schema.add("anomaly", "double")
+def anomalies(statistics: DataFrame, forests: list[tuple[list[int], Forest]]) -> DataFrame:
+    """Adds ``anomalies``: the score of each forest."""
+    schema = extended(statistics.schema, anomalies="array<double>")
     wide = statistics.select(*statistics.columns, F.array(*features()).alias("__features"))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        points = np.array(batch.column("__features").to_pylist(), "f8").reshape(-1, 4)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(forest.scores(points))], names=schema.names)
+        points = np.array(batch.column("__features").to_pylist(), "f8").reshape(batch.num_rows, -1)
+        scores = np.stack([forest.scores(points[:, view]) for view, forest in forests], axis=1)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores.tolist(), pa.list_(pa.float64()))], names=schema.names)
 
     return map_slices(wide, score, schema)
 
 
-def threshold(scored: DataFrame, labels: DataFrame, label: str = "quality", most_lost: float = MOST_LOST) -> float:
-    """The score at which the most bad rows more than good ones are rejected, by shares, over all labelled rows.
+def thresholds(scored: DataFrame, labels: DataFrame, label: str = "quality", most_lost: float = MOST_LOST) -> list[float]:
+    """Per forest the score from which on documents are rejected, calibrated over all labelled rows.
 
-    No more than ``most_lost`` of the good ones may be. Only rows that pass the base rules count. Without labels of both
-    kinds, or where nothing is gained, it is 2: nothing is rejected. Of conflicting labels of a doc_id the smaller counts.
+    It is where the rejected share of bad rows most exceeds LOSS_WEIGHT times that of good ones, of which ``most_lost`` may
+    be lost over all forests. Only rows that pass the base rules count. A forest that gains nothing, or has no labels of both
+    kinds, rejects nothing (threshold 2). Of conflicting labels of a doc_id the smaller counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
-    bins = F.floor(F.col("anomaly") * BINS).cast("int")
-    joined = scored.where(~base_failed()).select("doc_id", bins.alias("bin")).join(known, "doc_id")
-    rows = joined.groupBy("bin", (F.col("__label") > 0).alias("good")).agg(F.count("*").alias("n")).collect()
-    counts = np.zeros((2, BINS + 2))
+    bins = F.transform("anomalies", lambda score: F.floor(score * BINS).cast("int"))
+    joined = scored.where(~base_failed()).select("doc_id", F.posexplode(bins).alias("forest", "bin")).join(known, "doc_id")
+    rows = joined.groupBy("forest", "bin", (F.col("__label") > 0).alias("good")).agg(F.count("*").alias("n")).collect()
+    n_forests = len(features()) + 1
+    counts = np.zeros((n_forests, 2, BINS + 2))
     for row in rows:
-        counts[int(row["good"]), row["bin"]] += row["n"]
-    if not counts.sum(axis=1).all():
-        return 2.0
-    # Shares at or above each bin.
-    bad, good = counts[:, ::-1].cumsum(axis=1)[:, ::-1] / counts.sum(axis=1, keepdims=True)
-    gain = np.where(good <= most_lost, bad - good, -1.0)
-    best = int(np.flatnonzero(gain == gain.max())[-1])
-    return best / BINS if gain[best] > 0 else 2.0
+        counts[row["forest"], int(row["good"]), row["bin"]] += row["n"]
+    out = []
+    for one in counts:
+        if not one.sum(axis=1).all():
+            out.append(2.0)
+            continue
+        bad, good = one[:, ::-1].cumsum(axis=1)[:, ::-1] / one.sum(axis=1, keepdims=True)
+        gain = np.where(good <= most_lost / n_forests, bad - LOSS_WEIGHT * good, -1.0)
+        best = int(np.flatnonzero(gain == gain.max())[-1])
+        out.append(best / BINS if gain[best] > 0 else 2.0)
+    return out
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, base_failed, anomaly and kept per row of ``docs`` (doc_id, text).
+    """Statistics, base_failed, anomalies, anomaly (that of all features) and kept per row of ``docs`` (doc_id, text).
 
     Null texts have no words and fail the base rules. Rows that repeat a doc_id are judged each by its own text.
     """
     counted = stored(with_statistics(docs), "statistics")
-    scored = anomaly(counted, fitted_forest(counted))
-    limit = threshold(scored, labels)
-    return scored.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(limit))
+    scored = anomalies(counted, fitted_forests(counted))
+    limits = F.array(*map(F.lit, thresholds(scored, labels)))
+    over = F.exists(F.arrays_zip(F.col("anomalies").alias("score"), limits.alias("limit")), lambda one: one["score"] >= one["limit"])
+    return (
+        scored.withColumn("base_failed", base_failed())
+        .withColumn("kept", ~F.col("base_failed") & ~over)
+        .withColumn("anomaly", F.get("anomalies", F.lit(0)))
     )

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that are turned into Python objects at a time; bounds what a task holds of long texts.
 SLICE = 256
@@ -44,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: T.StructType, **kinds: str) -> T.StructType:
+    """``schema`` with further fields, name=type."""
+    return T.StructType([*schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items())])
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects garbage."""
     spark.sparkContext._jvm.System.gc()

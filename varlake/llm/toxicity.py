@@ -19,15 +19,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varlake.llm.shared import SLICE, map_slices
+from varlake.llm.shared import SLICE, extended, map_slices, stored
 
 #: Labelled rows that lexicon and weights are learned from, about; a hash sample if there are more.
 TRAINING_ROWS = 20_000
-#: Learned entries, at most; documents they must occur in, and how often more in toxic ones (odds against all).
-LEARNED, LEAST_DOCS, LEAST_ODDS = 2_000, 6, 12.0
+#: Learned entries, at most; how often more they occur in toxic documents (odds), and twice the log likelihood ratio against
+#: chance, which is high because a million terms are tried.
+LEARNED, LEAST_ODDS, LEAST_RATIO = 2_000, 12.0, 30.0
+#: Toxic documents that an entry must hit for each other one that it hits.
+FALSE_COST = 10
 #: Lengths of stems.
 STEMS = range(4, 8)
 #: Words of which a worker remembers the symbol.
@@ -171,8 +175,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc_id")).select("text", "label")
 
 
+def without_copies(training: DataFrame) -> DataFrame:
+    """One row of each group of copies, edited ones too: copies would make any of their words look like evidence.
+
+    Rows with the same smallest hash of three-word shingles count as copies, tried with two hash functions. Texts of fewer
+    words are compared as a whole.
+    """
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys: tuple[list[int], list[int]] = ([], [])
+        for text in batch.column(0).to_pylist():
+            words = (text or "").lower().split()
+            shingles = [" ".join(run) for run in zip(words, words[1:], words[2:])] or [" ".join(words)]
+            for seed, column in enumerate(keys):
+                column.append(min(xxhash.xxh64_intdigest(shingle, seed) for shingle in shingles) - (1 << 63))
+        return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys)], names=["text", "label", "one", "two"])
+
+    sketched = map_slices(training, sketch, "text string, label int, one long, two long")
+    return sketched.dropDuplicates(["label", "one"]).dropDuplicates(["label", "two"]).select("text", "label")
+
+
 def learned_lexicon(training: DataFrame) -> Lexicon:
-    """Words and stems that occur in toxic rows far more often than elsewhere."""
+    """Words and stems that occur in toxic rows far more often than elsewhere, beyond chance."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[int]] = {}
@@ -191,24 +215,28 @@ def learned_lexicon(training: DataFrame) -> Lexicon:
                 totals = {}
         yield _counts(totals)
 
-    sums = training.mapInArrow(counted, "term string, others long, toxic long").groupBy("term").agg(
+    sums = without_copies(training).mapInArrow(counted, "term string, others long, toxic long").groupBy("term").agg(
         F.sum("others").alias("others"), F.sum("toxic").alias("toxic")
     )
-    all_docs = sums.where("term = ''").first()
-    if all_docs is None or not all_docs["toxic"] or not all_docs["others"]:
+    # Terms of one toxic row are the many, and of no use.
+    sums = stored(sums.where("toxic > 1"), "terms")
+    everything = sums.where("term = ''").first()
+    if everything is None or not everything["others"]:
         return Lexicon(set(), set())
-    usual = all_docs["toxic"] / all_docs["others"]
-    odds = (F.col("toxic") + 0.5) / (F.col("others") + 0.5) / F.lit(usual)
-    strong = sums.where((F.col("term") != "") & (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS))
-    # A stem stands before its words: with equal counts the shorter entry explains the longer.
-    ranked = strong.orderBy((F.col("toxic") * F.log(odds)).desc(), F.length("term"), "term").limit(LEARNED)
+    share = everything["toxic"] / (everything["toxic"] + everything["others"])
+    a, b = F.col("toxic"), F.col("others")
+    odds = (a + 0.5) / (b + 0.5) * F.lit((1 - share) / share)
+    surprise = a * F.log(a / (a + b) / F.lit(share)) + F.when(b > 0, b * F.log(b / (a + b) / F.lit(1 - share))).otherwise(0.0)
+    gain = (a - FALSE_COST * b).alias("gain")
+    strong = sums.where((F.col("term") != "") & (odds >= LEAST_ODDS) & (2 * surprise >= LEAST_RATIO)).select("term", gain)
     stems: set[str] = set()
     words: set[str] = set()
-    for row in ranked.collect():
+    # The best first; with equal gain the shorter entry explains the longer. A stem of a better entry only adds errors.
+    for row in strong.where("gain > 0").orderBy(F.desc("gain"), F.length("term"), "term").limit(LEARNED).collect():
         term, word = row["term"], row["term"].removeprefix("=")
-        if any(word[:n] in stems for n in STEMS):
-            continue
-        (words if term.startswith("=") else stems).add(word)
+        better = words | stems
+        if not any(word[:n] in stems for n in STEMS) and not any(one.startswith(word) for one in better):
+            (words if term.startswith("=") else stems).add(word)
     return Lexicon(words, stems)
 
 
@@ -220,16 +248,25 @@ def _counts(totals: dict[str, list[int]]) -> pa.RecordBatch:
 
 def learned_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method, drawn towards PRIOR; with no rows it is PRIOR."""
-    weights = PRIOR.copy()
     x = np.hstack([features, np.ones((len(features), 1))])
-    for _ in range(30):
+
+    def loss(weights: np.ndarray) -> float:
+        z = x @ weights
+        return float(np.logaddexp(0, z).sum() - labels @ z + ridge / 2 * np.sum((weights - PRIOR) ** 2))
+
+    weights, now = PRIOR.copy(), loss(PRIOR)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = x.T @ (labels - p) - ridge * (weights - PRIOR)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(weights))
         step = np.linalg.solve(hessian, gradient)
-        weights += step
-        if np.abs(step).max() < 1e-9:
+        # A full step can overshoot: halve it until the loss falls.
+        while (after := loss(weights + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        weights = weights + step
+        if now - after < 1e-9:
             break
+        now = after
     return weights
 
 
@@ -270,7 +307,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds the score, 0 to 1, of each whole text; null texts score as empty ones. No row is moved."""
     at = docs.columns.index(text_col)
-    schema = docs.schema.add(score_col, "double")
+    schema = extended(docs.schema, **{score_col: "double"})
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = [model.score(text) for text in batch.column(at).to_pylist()]
