@@ -1,0 +1,51 @@
+from pyspark.sql import functions as F
+
+from varlake.llm import licences
+
+
+def found(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: (r["licence"], r["notices"]) for r in licences.scanned(docs).collect()}
+
+
+def test_variants_of_a_licence_have_its_digest(spark):
+    mit = licences.MIT_GRANT
+    rows = [
+        (1, mit),
+        (2, "Copyright (c) 2020 Some One\nCopyright © Another\n\n" + mit.upper()),
+        (3, "MIT LICENCE\n\n© me\n" + mit.replace("sublicense", "sub-license").replace(",", " ;").replace("\n", "  ")),
+        (4, mit + " and more"),
+        (5, "prose\nReleased under the MIT License.\n * licensed under the Apache Licence, Version 2.0\nprose"),
+        (6, "All rights reserved. Licensed under the MIT License"),
+        (7, "we talk of code released under the MIT License today"),
+        (8, None),
+        (9, ""),
+    ]
+    assert found(spark, rows) == {
+        1: ("MIT", ""),
+        2: ("MIT", ""),
+        3: ("MIT", ""),
+        4: (None, ""),
+        5: (None, "Apache-2.0,MIT"),
+        6: (None, ""),
+        7: (None, ""),
+        8: (None, ""),
+        9: (None, ""),
+    }
+
+
+def test_known_texts_are_found_whole(spark):
+    texts = list(licences.known_texts().items())
+    got = found(spark, [(i, text) for i, (text, _) in enumerate(texts)])
+    assert [got[i][0] for i in range(len(texts))] == [licence for _, licence in texts]
+
+
+def test_odd_rows(spark, odd, none):
+    assert licences.scanned(odd).count() == odd.count()
+    assert licences.scanned(odd).where("licence is not null or notices <> ''").count() == 0
+    assert licences.scanned(none).count() == 0
+
+
+def test_documents_are_not_shuffled(odd):
+    plan = licences.scanned(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan

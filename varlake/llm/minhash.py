@@ -4,10 +4,11 @@ Two permutations give all coordinates of a signature: the first shuffles a docum
 their places shifted circularly by 0, 1, 2, ... (both are bijections of 32-bit numbers). Texts with equal shingle sets form
 one class, and all later steps see a class once.
 
-A bucket (equal band) of classes is never paired out. In each round every bucket compares one pivot with its other classes:
-first the class that meets most others, which in a group of edited copies is the least edited. Links join components; buckets
-whose classes all lie in one component are done. What is left of the others compares a next pivot, until nothing is left.
-Before that, classes are set aside that cannot have a link: those with over 20 % of their shingles in no other class left.
+A bucket (equal band) of classes is never paired out. It compares its pivot with its other classes: the class that meets most
+others, which in a group of edited copies is the least edited. Links join components. Of the classes that were compared with
+one pivot but lie in different components, only those pairs are compared that can be linked at all: what two classes differ
+by is the symmetric difference of what either differs from the pivot by, and of that they can only have in common what more
+than one class of the pivot has. Such counts, of which a pivot has few different ones, are paired, not the classes.
 """
 
 from __future__ import annotations
@@ -95,51 +96,64 @@ def sketched(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
     return map_slices(narrow, sketch, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union of their whole sets."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    lefts = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    rights = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.select("a", "b").join(rights, "b").join(lefts, "a").select("a", "b", "text_a", "text_b")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_set = None, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                a, b, left, right = (column.to_pylist() for column in batch.slice(at, SLICE).columns)
-                links = []
-                for row in range(len(a)):
-                    if a[row] != known:
-                        known, known_set = a[row], shingle_set(left[row], width)
-                    other = shingle_set(right[row], width)
-                    common = len(np.intersect1d(known_set, other, assume_unique=True))
-                    if 100 * common >= percent * (len(known_set) + len(other) - common):
-                        links.append(row)
-                take = pa.array(links, pa.int64())
-                part = batch.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take)], names=["a", "b"])
-
-    lefts = texts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("text").alias("text_a"))
-    rights = texts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("text").alias("text_b"))
-    sized = (100 * F.least("n_a", "n_b")) >= (percent * F.greatest("n_a", "n_b"))
-    joined = pairs.select("a", "b").join(rights, "b").join(lefts, "a").where(sized)
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool) -> DataFrame:
+    """(a, b, n, linked, differences) of pairs (a, b), from their whole sets.
 
-def _linkable(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``nodes`` those of whose shingles at least ``percent`` occur in another of them too: without that, no link."""
+    Linked is 100 * intersection >= percent * union; ``n`` is the size of b's set. ``differences`` are the shingles that one
+    of the sets lacks, where asked for, else empty; those that only a has are turned round bit by bit.
+    """
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_set = None, None
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shingles = shingle_set(text, width).view("i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node] * len(shingles), pa.int64()), pa.array(shingles)], names=["node", "shingle"]
-                )
-
-    rows = texts.join(nodes, "node").select("node", "text").mapInArrow(exploded, "node long, shingle long")
-    # A shingle of one node only is counted for it; the others need no count.
-    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    unique = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = texts.select("node", "n").join(nodes, "node")
-    joined = sizes.join(unique, "node", "left")
-    return joined.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("node")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sizes, linked, lists = [], [], []
+                for a, left, right in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                    if a != known:
+                        known, known_set = a, shingle_set(left, width)
+                    other = shingle_set(right, width)
+                    common = len(np.intersect1d(known_set, other, assume_unique=True))
+                    sizes.append(len(other))
+                    linked.append(100 * common >= percent * (len(known_set) + len(other) - common))
+                    if differences:
+                        lost = np.setdiff1d(known_set, other, assume_unique=True)
+                        lists.append(np.concatenate([~lost, np.setdiff1d(other, known_set, assume_unique=True)]).view("i8"))
+                    else:
+                        lists.append([])
+                columns = [pa.array(sizes, pa.int64()), pa.array(linked), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], names=["a", "b", "n", "linked", "differences"])
+
+    return _with_texts(pairs, texts).mapInArrow(compare, "a long, b long, n long, linked boolean, differences array<long>")
+
+
+def _possible_pairs(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different components that were compared with one pivot and may be linked."""
+    entries = compared.select("a", "b", F.explode("differences").alias("one"))
+    alone = entries.groupBy("a", "one").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+    alone = alone.groupBy("a", "b").agg(F.count("*").alias("alone"))
+    members = compared.select("a", "b", "n", F.size("differences").alias("differ")).join(alone, ["a", "b"], "left")
+    members = _rooted(members.withColumnRenamed("b", "node"), roots).withColumn("common", F.col("differ") - F.coalesce("alone", F.lit(0)))
+    kind = ["n", "differ", "common"]
+    members = stored(members.select(F.col("a").alias("pivot"), "node", "root", *kind), "members")
+    kinds = members.groupBy("pivot", *kind).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    one = kinds.select("pivot", *[F.col(c).alias(f"{c}_1") for c in (*kind, "low", "high")])
+    two = kinds.select("pivot", *[F.col(c).alias(f"{c}_2") for c in (*kind, "low", "high")])
+    least = F.col("differ_1") + F.col("differ_2") - 2 * F.least("common_1", "common_2")
+    possible = (100 + percent) * least <= (100 - percent) * (F.col("n_1") + F.col("n_2"))
+    ordered = F.struct("n_1", "differ_1", "common_1") <= F.struct("n_2", "differ_2", "common_2")
+    apart = (F.col("low_1") != F.col("high_2")) | (F.col("high_1") != F.col("low_2"))
+    chosen = one.join(two, "pivot").where(possible & ordered & apart).drop("low_1", "high_1", "low_2", "high_2")
+    left = members.select("pivot", F.col("node").alias("a"), F.col("root").alias("root_1"), *[F.col(c).alias(f"{c}_1") for c in kind])
+    right = members.select("pivot", F.col("node").alias("b"), F.col("root").alias("root_2"), *[F.col(c).alias(f"{c}_2") for c in kind])
+    pairs = chosen.join(left, ["pivot", *[f"{c}_1" for c in kind]]).join(right, ["pivot", *[f"{c}_2" for c in kind]])
+    return pairs.where("root_1 <> root_2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -168,36 +182,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_hash") == F.col("__hash"))
     texts = stored(source.join(wanted, same).select("node", "n", "text").dropDuplicates(["node"]), "texts")
 
-    links, roots, first = [], None, True
-    while True:
-        labelled = left.withColumn("root", F.col("node")) if roots is None else _rooted(left, roots)
-        if not first:
-            mixed = labelled.groupBy("bucket").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high")
-            labelled = stored(labelled.join(mixed.select("bucket"), "bucket"), "unsettled")
-            if labelled.isEmpty():
-                break
-            linkable = _linkable(labelled.select("node").distinct(), texts, width, percent)
-            labelled = labelled.join(linkable, "node")
-        # The pivot: most met, then the smallest. Packed into one number, so that partial maxima combine before the shuffle.
-        rank = F.struct(F.col("meets"), (-F.col("node")).alias("__minus"))
-        pivots = labelled.groupBy("bucket").agg(F.max_by(F.struct("node", "root"), rank).alias("pivot"))
-        compared = labelled.join(pivots, "bucket")
-        pairs = (
-            compared.where("root <> pivot.root")
-            .select(F.least("node", "pivot.node").alias("__x"), F.greatest("node", "pivot.node").alias("__y"), F.col("pivot.node").alias("a"))
-            .groupBy("__x", "__y")
-            .agg(F.min("a").alias("a"))
-            .select("a", F.when(F.col("a") == F.col("__x"), F.col("__y")).otherwise(F.col("__x")).alias("b"))
-        )
-        found = stored(_verified(pairs, texts, width, percent), "links")
-        left = stored(compared.where("node <> pivot.node").select("bucket", "node", "meets"), "left")
-        if first or not found.isEmpty():
-            links.append(found)
-            everything = links[0]
-            for more in links[1:]:
-                everything = everything.unionByName(more)
-            roots = stored(components(everything), "roots")
-        first = False
+    rank = F.struct(F.col("meets"), (-F.col("node")).alias("__minus"))
+    pivots = left.groupBy("bucket").agg(F.max_by("node", rank).alias("pivot"))
+    pairs = left.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    compared = stored(_compared(pairs, texts, width, percent, differences=True), "compared")
+    links = compared.where("linked").select("a", "b")
+    roots = stored(components(links), "roots")
+    more = stored(_compared(_possible_pairs(compared, roots, percent), texts, width, percent, differences=False), "links")
+    if not more.where("linked").isEmpty():
+        roots = stored(components(links.unionByName(more.where("linked").select("a", "b"))), "roots")
 
     smallest = filled.groupBy("digest").agg(F.min("doc_id").alias("least"))
     placed = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))

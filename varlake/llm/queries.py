@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlake.llm import eliasfano, minhash, mixing, packing, quality, suffix, toxicity, warc
+from varlake.llm import eliasfano, licences, minhash, mixing, packing, quality, suffix, toxicity, warc, winnow
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -37,6 +37,10 @@ def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
 
+def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     row = F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))
@@ -60,6 +64,10 @@ def op8_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_removal(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compared(_table(spark, sf_dir, "documents"))
+
+
 def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.token_files(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=0)
 
@@ -70,9 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_isolation_forest": op3_isolation_forest,
         "op4_circulant_minhash": op4_circulant_minhash,
+        "op5_licence_digests": op5_licence_digests,
         "op6_pivotal_mixing": op6_pivotal_mixing,
         "op7_toxicity_grammar": op7_toxicity_grammar,
         "op8_suffix_blocks": op8_suffix_blocks,
+        "op9_winnowing": op9_winnowing,
         "op10_elias_fano_tokens": op10_elias_fano_tokens,
     }
 
@@ -93,4 +103,4 @@ ORACLES = {
 
 
 def oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op5_licence_digests": licences.scan_sql()}
