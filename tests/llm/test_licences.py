@@ -24,7 +24,7 @@ def test_variants_of_a_licence_have_its_digest(spark):
     assert found(spark, rows) == {
         1: ("MIT", ""),
         2: ("MIT", ""),
-        3: ("MIT", ""),
+        3: ("MIT", "MIT"),
         4: (None, ""),
         5: (None, "Apache-2.0,MIT"),
         6: (None, ""),

@@ -7,6 +7,8 @@ GRAM bytes is never found.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,15 @@ def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(data) - F.lit(gram - 1), F.lit(1))), one)
 
+    def doubled(span: int) -> Callable[[Column], Column]:
+        """Minima over twice as many: each entry with that ``span`` further on, if there is one."""
+        return lambda a: F.zip_with(a, F.slice(a, F.lit(span + 1), F.size(a)), lambda x, y: F.least(x, y))
+
     def least(hashes: Column) -> Column:
         found = hashes
         span = 1
         while span < window:
-            found = bind(found, lambda a, span=span: F.zip_with(a, F.slice(a, F.lit(span + 1), F.size(a)), lambda x, y: F.least(x, y)))
+            found = bind(found, doubled(span))
             span *= 2
         # Windows that reach over the end are left out, unless there is no other.
         full = F.greatest(F.size(hashes) - F.lit(window - 1), F.lit(1))
@@ -87,8 +93,9 @@ def with_next(docs: DataFrame, group: int = GROUP) -> DataFrame:
     last of the one before. In one place only go the numbers of the ranges.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * group // max(1, n))
-    place = F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {width}L"), F.lit(-1))
+    low, spanned = low or 0, (high or 0) - (low or 0) + 1
+    width = min(max(1, spanned * group // max(1, n)), spanned, (1 << 63) - 1)
+    place = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(-low // width if low < 0 else 0) - 1).cast("long"))
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("range"))
     dealt = narrow.repartition("range")
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
@@ -118,13 +125,13 @@ def compared(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    both = with_computed(with_computed(with_next(docs), "edited", edited), "edited_fingerprint", winnowed(F.col("edited")))
+    both = with_computed(with_computed(with_next(docs).withColumnRenamed("fingerprint", "__own"), "edited", edited), "__edited", winnowed(F.col("edited")))
     return both.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        spelled(F.col("fingerprint")).alias("fingerprint"),
-        spelled(F.col("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        spelled(F.col("__own")).alias("fingerprint"),
+        spelled(F.col("__edited")).alias("edited_fingerprint"),
+        likeness(F.col("__own"), F.col("__edited")).alias("near_edited"),
+        likeness(F.col("__own"), F.col("next_fingerprint")).alias("near_next"),
     )
