@@ -104,6 +104,6 @@ def test_ecdf_equals_cume_dist(spark):
     wanted = spark.sql(
         "select x, count(*) n, max(c) e from (select x, cume_dist() over (order by x) c from ecdf_in where x is not null) group by x"
     )
-    got = v.ecdf(df, "x", buckets=16)
+    got = v.ecdf(df, "x")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
     assert v.ecdf(df.filter("x < 0"), "x").count() == 0

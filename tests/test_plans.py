@@ -46,9 +46,13 @@ def test_quality_reaches_the_scan_through_the_derived_columns(stored):
 
 def test_burden_reads_and_shuffles_little(stored):
     text = plan(workflows.burden_table(*stored, "count", TERMS))
-    variants, records = sorted(read_schemas(text), key=lambda s: "genotypes" not in s)
+    lists, variants, records = sorted(read_schemas(text), key=lambda s: ("genotypes" not in s, "calls" in s))
+    assert lists == "struct<qual:double,filters:array<string>,genotypes:array<struct<sampleId:string>>>"
     assert "depth" not in variants and "phredLikelihoods" not in variants and "names" not in variants
     assert "struct<gene_id" in records and "Python" not in text
+    # Lists of samples are a grouping key only where different ones are found, once per variant.
+    keys = re.findall(r"Keys \[\d+\]: (.*)", text)
+    assert any("__list_high" in k for k in keys) and not any("gene_id" in k and re.search(r"\ball#", k) for k in keys)
     assert text.count("CartesianProduct") == text.count("BroadcastNestedLoopJoin") == 0
 
 

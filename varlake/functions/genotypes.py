@@ -36,12 +36,17 @@ def zygosity_summary(states: str | Column = "num_alt_alleles") -> Column:
     """Struct of sample counts per genotype state; every field is null for a null array."""
     array = as_column(states)
     known = (NOT_MEASURED, 0, 1, 2)
+
+    def counted(count: Column) -> Column:
+        # Without ANSI mode the size of null is -1.
+        return F.when(array.isNotNull(), count)
+
     return F.struct(
-        F.size(array).alias("n_samples"),
-        _count(array, lambda x: x == 2).alias("n_homo"),
-        _count(array, lambda x: x == 1).alias("n_hetero"),
-        _count(array, lambda x: x == 0).alias("n_ref"),
-        _count(array, lambda x: x == NOT_MEASURED).alias("n_not_measured"),
+        counted(F.size(array)).alias("n_samples"),
+        counted(_count(array, lambda x: x == 2)).alias("n_homo"),
+        counted(_count(array, lambda x: x == 1)).alias("n_hetero"),
+        counted(_count(array, lambda x: x == 0)).alias("n_ref"),
+        counted(_count(array, lambda x: x == NOT_MEASURED)).alias("n_not_measured"),
         F.array_distinct(F.filter(array, lambda x: ~x.isin(*known))).alias("other"),
     )
 

@@ -49,7 +49,7 @@ from varlake.operators.reshape import (
     unstack_columns,
     zip_explode_cols,
 )
-from varlake.operators.stats import ecdf
+from varlake.operators.stats import ecdf, ecdfs
 from varlake.operators.variants import normalize_variants, split_and_normalize, split_multiallelics
 
 __all__ = [
@@ -66,6 +66,7 @@ __all__ = [
     "display_head",
     "drop_missing",
     "ecdf",
+    "ecdfs",
     "expand_struct",
     "explode_genotypes",
     "explode_rare_genotypes",

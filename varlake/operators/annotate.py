@@ -16,8 +16,9 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varlake.functions._columns import quoted
+from varlake.functions._columns import quoted, with_computed
 from varlake.operators.intervals import overlap_pairs
+from varlake.operators.variants import minimal_alleles
 
 SITE = ["contigName", "start", "end"]
 
@@ -28,18 +29,28 @@ def _attach(
     found = pairs.select(*[quoted(k) for k in keys], entry.alias(name))
     if nested:
         found = found.groupBy(*[quoted(k) for k in keys]).agg(F.array_sort(F.collect_list(name)).alias(name))
-    return variants.join(found, list(keys), "left")
+        # One row per site on the right, so only copies of a site can be many, and those are on the side that is split.
+        return variants.join(found, list(keys), "left")
+    # In a left join only the left side of a hot key is split; an inner join splits both.
+    matched = variants.join(found, list(keys))
+    bare = variants.join(found.select(*[quoted(k) for k in keys]), list(keys), "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True)
 
 
-def _custom_entry(fields: Sequence[str], name_col: str | None, allele_col: str | None) -> Column:
+def _custom_entry(fields: Sequence[str], name_col: str | None, allele_col: str | None, coordinates: Column) -> Column:
+    """Features are named by an identifier, else by their coordinates: contig, 1-based start and end."""
     null = F.lit(None).cast("string")
     return F.struct(
-        (quoted(name_col).cast("string") if name_col else null).alias("name"),
+        (F.coalesce(quoted(name_col).cast("string"), coordinates) if name_col else coordinates).alias("name"),
         (quoted(allele_col).cast("string") if allele_col else null).alias("allele"),
         F.struct(*[quoted(f).alias(f) for f in fields]).alias("fields"),
     )
 
 
+def _coordinates(contig: str, start: str, end: str) -> Column:
+    return F.concat(quoted(contig), F.lit(":"), (quoted(start) + 1).cast("string"), F.lit("-"), quoted(end).cast("string"))
+
+
 def _needed_columns(features: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Only the coordinate columns and what the entry needs."""
     wanted = [*SITE, *[c for c in keep if c not in SITE]]
@@ -54,12 +65,18 @@ def annotate_overlap(
     name_col: str | None = "name",
     allele_col: str | None = None,
     nested: bool = True,
+    force_coordinates: bool = False,
 ) -> DataFrame:
-    """Add every feature that overlaps the variant by at least one base as ``struct<name, allele, fields>``."""
+    """Add every feature that overlaps the variant by at least one base as ``struct<name, allele, fields>``.
+
+    Features without a name, or all with ``force_coordinates``, are named by their coordinates.
+    """
+    name_col = None if force_coordinates else name_col
     needed = [c for c in (name_col, allele_col, *fields) if c]
     sites = variants.select(*SITE).distinct()
     pairs = overlap_pairs(sites, _needed_columns(features, needed))
-    return _attach(variants, pairs, SITE, _custom_entry(fields, name_col, allele_col), short_name, nested)
+    entry = _custom_entry(fields, name_col, allele_col, _coordinates("contigName", "feature_start", "feature_end"))
+    return _attach(variants, pairs, SITE, entry, short_name, nested)
 
 
 def annotate_exact(
@@ -71,17 +88,41 @@ def annotate_exact(
     allele_col: str | None = None,
     variant_allele_col: str | None = None,
     nested: bool = True,
+    ref_col: str | None = None,
+    variant_ref_col: str | None = None,
+    force_coordinates: bool = False,
 ) -> DataFrame:
-    """Add the features with exactly the variant's coordinates and, if both allele columns are named, its allele."""
-    needed = [c for c in (name_col, allele_col, *fields) if c]
-    keys = list(SITE)
+    """Add the features with exactly the variant's coordinates and, if both allele columns are named, its allele.
+
+    If the reference alleles of both sides are named too, bases that a pair of alleles has in common at its ends are cut on
+    both sides before they are compared, and coordinates move along: ``CA>CT`` meets ``A>T``. Names as in
+    ``annotate_overlap``.
+    """
+    name_col = None if force_coordinates else name_col
+    needed = [c for c in (name_col, allele_col, ref_col, *fields) if c]
     entries = _needed_columns(features, needed)
-    if variant_allele_col and allele_col:
-        keys.append(variant_allele_col)
-        entries = entries.withColumn(variant_allele_col, quoted(allele_col))
-    entry = _custom_entry(fields, name_col, allele_col)
-    # No need to look at the variants before collecting: equal keys are all that is compared.
-    return _attach(variants, entries, keys, entry, short_name, nested)
+    entry = _custom_entry(fields, name_col, allele_col, _coordinates(*SITE))
+    if not (variant_allele_col and allele_col):
+        return _attach(variants, entries, SITE, entry, short_name, nested)
+    if not (ref_col and variant_ref_col):
+        keys = [*SITE, variant_allele_col]
+        return _attach(variants, entries.withColumn(variant_allele_col, quoted(allele_col)), keys, entry, short_name, nested)
+    keys = ["__contig", "__start", "__ref", "__alt"]
+    left = _with_minimal_alleles(variants, variant_ref_col, variant_allele_col)
+    right = _with_minimal_alleles(entries, ref_col, allele_col)
+    return _attach(left, right, keys, entry, short_name, nested).drop(*keys)
+
+
+def _with_minimal_alleles(df: DataFrame, ref: str, alt: str) -> DataFrame:
+    """Keys of the change itself: bases common to both alleles are cut at the end, then at the beginning."""
+    trimmed = with_computed(df, "__trimmed", minimal_alleles(quoted(ref), quoted(alt)))
+    return trimmed.select(
+        *[quoted(c) for c in df.columns],
+        F.col("contigName").alias("__contig"),
+        (F.col("start") + F.col("__trimmed.skipped")).alias("__start"),
+        F.col("__trimmed.ref").alias("__ref"),
+        F.col("__trimmed.alt").alias("__alt"),
+    )
 
 
 def annotate_colocated(variants: DataFrame, known: DataFrame, nested: bool = True) -> DataFrame:
@@ -112,10 +153,11 @@ def annotate_cadd(
     an allele twice, the highest raw score counts, so no variant is ever duplicated.
     """
     columns = ["contigName", "start", "referenceAllele", "alternateAllele", "cadd_raw", "cadd_phred"]
-    both = snv_scores.select(*columns).unionByName(indel_scores.select(*columns))
+    both = snv_scores.select(*columns).unionByName(indel_scores.select(*columns)).withColumnRenamed("alternateAllele", alt)
     keys = ["contigName", "start", "referenceAllele", alt]
+    # The score tables hold every possible change: only those of the variants' alleles are compared any further.
     best = (
-        both.withColumnRenamed("alternateAllele", alt)
+        both.join(variants.select(*[quoted(k) for k in keys]), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.max(F.struct("cadd_raw", "cadd_phred")).alias("__best"))
     )
@@ -135,20 +177,26 @@ def annotate_transcript_scores(
     kind: Literal["sift", "polyphen"],
     annotype: Literal["p", "s", "b"] = "b",
     keys: Mapping[str, str] | None = None,
+    conflicts: Literal["error", "highest", "lowest"] = "error",
 ) -> DataFrame:
     """Add ``<kind>_prediction`` and ``<kind>_score`` of an amino-acid change; the unrequested one is null.
 
+    Should ``scores`` list a change more than once with different values, that is an error, or the entry with the highest
+    or lowest score counts (a low SIFT score is the damaging one, of PolyPhen a high one).
+
     ``consequences`` has one row per transcript consequence; ``keys`` maps its columns to those of ``scores``
     (default: transcript, protein position, amino acids).
     """
     if annotype not in _ANNOTYPES:
         raise ValueError(f"annotype must be one of {sorted(_ANNOTYPES)}, not {annotype!r}")
     keys = keys or {c: c for c in ("transcript_id", "protein_start", "amino_acids")}
-    best = (
-        scores.select(*[quoted(right).alias(left) for left, right in keys.items()], "prediction", "score")
-        .groupBy(*keys)
-        .agg(F.max(F.struct("score", "prediction")).alias("__best"))
-    )
+    listed = scores.select(*[quoted(right).alias(left) for left, right in keys.items()], "prediction", "score")
+    wanted = listed.join(consequences.select(*[quoted(k) for k in keys]), list(keys), "left_semi")
+    entry = F.struct("score", "prediction")
+    least, most = F.min(entry), F.max(entry)
+    error = F.raise_error(F.concat(F.lit(f"{kind} scores differ for one change: "), F.to_json(least), F.lit(" "), F.to_json(most)))
+    chosen = {"error": F.when(least != most, error).otherwise(most), "highest": most, "lowest": least}[conflicts]
+    best = wanted.groupBy(*keys).agg(chosen.alias("__best"))
     types = {"prediction": "string", "score": "float"}
     added = {
         f"{kind}_{part}": (F.col(f"__best.{part}") if part in _ANNOTYPES[annotype] else F.lit(None)).cast(dtype)

@@ -160,6 +160,14 @@ def site_gene_consequences(annotations: DataFrame, terms: Iterable[str], measure
     return rows.groupBy("contigName", "start", "end", "gene_id").agg(*aggregates)
 
 
+#: 128 bits that stand for a variant's list of samples.
+LIST_KEY = ("__list_high", "__list_low")
+
+
+def _list_key(samples: Column) -> list[Column]:
+    return [F.xxhash64(samples).alias(LIST_KEY[0]), F.xxhash64(F.lit(1), samples).alias(LIST_KEY[1])]
+
+
 def gene_burden_from_tables(
     variants: DataFrame,
     annotations: DataFrame,
@@ -177,19 +185,20 @@ def gene_burden_from_tables(
         (F.col("start") + shift_start_by).alias("start"),
         "end",
         *(["INFO_AF"] if measure == "min_af" else []),
-        samples.alias("samples"),
+        *_list_key(samples),
         F.filter(pairs, lambda p: p.getField("state").isin(*ZYGOSITIES.values())).alias("carriers"),
     )
     joined = slim.join(per_gene, ["contigName", "start", "end"], "inner")
 
-    # Carriers become rows. The other samples only have to show up in the result, so each joined row passes on its
-    # whole sample list as one more entry: the lists are mostly the same and collapse in the first aggregation.
+    # Carriers become rows. The other samples only have to show up in the result, so each joined row passes on the key of
+    # its whole sample list as one more entry; the lists, few different ones as a rule, come back after the aggregation.
     nobody = F.struct(F.lit(None).cast("string").alias("sampleId"), F.lit(None).cast("int").alias("state"))
+    none = [F.lit(None).cast("long").alias(name) for name in LIST_KEY]
     entries = F.concat(
-        F.transform("carriers", lambda c: F.struct(c.alias("carrier"), F.lit(None).cast("array<string>").alias("all"))),
-        F.array(F.struct(nobody.alias("carrier"), F.col("samples").alias("all"))),
+        F.transform("carriers", lambda c: F.struct(c.alias("carrier"), *none)),
+        F.array(F.struct(nobody.alias("carrier"), *LIST_KEY)),
     )
-    rows = joined.withColumn("entry", F.explode(entries)).drop("samples", "carriers")
+    rows = joined.withColumn("entry", F.explode(entries)).drop("carriers", *LIST_KEY)
 
     def flag_value(column: Column) -> Column:
         if measure == "count":
@@ -211,9 +220,13 @@ def gene_burden_from_tables(
         "gene_id",
         F.col("entry.carrier.sampleId").alias("sampleId"),
         F.col("entry.carrier.state").alias("state"),
-        F.col("entry.all").alias("all"),
+        *[F.col(f"entry.{name}").alias(name) for name in LIST_KEY],
     ).agg(*merged)
-    per_sample = per_state.withColumn("sampleId", F.explode(F.coalesce("all", F.array("sampleId")))).drop("all")
+    # Carriers have no list. A key that no list has keeps their rows from meeting in one task.
+    spread = per_state.withColumn(LIST_KEY[0], F.coalesce(LIST_KEY[0], F.xxhash64("gene_id", "sampleId")))
+    lists = variants.filter(F.size(samples) > 0).select(*_list_key(samples), samples.alias("all")).distinct()
+    listed = spread.join(lists, list(LIST_KEY), "left")
+    per_sample = listed.withColumn("sampleId", F.explode(F.coalesce("all", F.array("sampleId")))).drop("all", *LIST_KEY)
 
     def zygosity(state: int) -> Column:
         # At most one row per sample has this state, so max only picks it.

@@ -22,9 +22,7 @@ CONSEQUENCE_TYPES = (
     "transcript_consequences",
 )
 
-#: A vocabulary becomes columns, so it must stay small; more terms than this is an error, never a cut.
-MAX_TERMS = 2000
-
+# Record-level fields that an exploded consequence does not carry.
 _RECORD_LEVEL_EXTRAS = (
     "colocated_variants",
     "intergenic_consequences",
@@ -68,22 +66,15 @@ def consequence_terms(annotations: DataFrame, csq_type: str = "transcript_conseq
     return term_rows(annotations, [csq_type]).select("term")
 
 
-def collect_terms(terms: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Bring a one-column vocabulary to the driver, sorted; refuse one that is too large to be columns."""
-    rows = terms.limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"more than {max_terms} distinct terms: not a consequence vocabulary")
-    return sorted(row[0] for row in rows if row[0] is not None)
+def collect_terms(terms: DataFrame) -> list[str]:
+    """Bring a one-column vocabulary to the driver, sorted. It becomes columns, so it should be small."""
+    return sorted(row[0] for row in terms.collect() if row[0] is not None)
 
 
 def vocabulary(annotations: DataFrame, csq_types: Sequence[str] = CONSEQUENCE_TYPES) -> dict[str, list[str]]:
     """Sorted terms of each consequence list; one job for all of them."""
     found: dict[str, list[str]] = {name: [] for name in csq_types}
-    limit = MAX_TERMS * len(csq_types)
-    rows = term_rows(annotations, csq_types).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct terms: not a consequence vocabulary")
-    for csq_type, term in rows:
+    for csq_type, term in term_rows(annotations, csq_types).collect():
         if term is not None:
             found[csq_type].append(term)
     return {name: sorted(terms) for name, terms in found.items()}

@@ -36,5 +36,5 @@ def filter_feature(df: DataFrame, feature: str = "transcript", column: str = "Fe
 
 
 def drop_missing(df: DataFrame, column: str = "missing") -> DataFrame:
-    """Drop observations flagged as missing."""
-    return df.filter(~F.col(column))
+    """Drop observations flagged as missing; a null flag is no flag, as in ``unstack_arrays``."""
+    return df.filter(~F.coalesce(F.col(column), F.lit(False)))

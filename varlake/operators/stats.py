@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varlake._shared import shared_folder
+
+
+def ecdf(df: DataFrame, column: str) -> DataFrame:
+    """Empirical cumulative distribution of a column: ``value, n, ecdf``, the value under its own name; see ``ecdfs``."""
+    values = df.select(F.lit(0).alias("quantity"), F.col(column).alias("value"))
+    return _cumulated(values).select(F.col("value").alias(column), "n", "ecdf")
+
+
+def ecdfs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distributions of several numeric columns as ``quantity, value, n, ecdf``, in one pass over ``df``."""
+    entries = [F.struct(F.lit(c).alias("quantity"), F.col(c).cast("double").alias("value")) for c in columns]
+    return _cumulated(df.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+
 
-def ecdf(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
-    """Empirical cumulative distribution of a numeric column: ``value, n, ecdf``; nulls are left out.
+def _cumulated(values: DataFrame) -> DataFrame:
+    """Running shares per quantity; null values are left out.
 
-    Values are counted first, so repeated values never reach a window. The running total is then taken in parallel:
-    inside value buckets by a window per bucket, across buckets by offsets from one total per bucket. Bucket bounds
-    are approximate quantiles of the distinct values and only balance the work; any bounds give the same result.
-    Finding them is one extra job over the column, and ``buckets`` bounds what the driver and the offset window see.
+    Values are counted first, so repeated ones never reach a window. The counts, dealt into ranges, are stored in the shared
+    folder; running totals are then taken inside each range, and the ranges' totals, one row each, give their offsets.
     """
-    values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull())
-    counts = values.groupBy("value").agg(F.count("*").alias("n"))
-    quantiles = [i / buckets for i in range(1, buckets)]
-    place = F.col("value").cast("double")
-    bounds = sorted(set(counts.select(F.percentile_approx(place, quantiles, 1000)).first()[0] or []))
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < place))
-    placed = counts.withColumn("bucket", bucket)
-    # At most `buckets` rows, whatever the data: they fit one window and one broadcast.
-    totals = placed.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
+    counts = values.filter(F.col("value").isNotNull()).groupBy("quantity", "value").agg(F.count("*").alias("n"))
+    path = f"{shared_folder(values.sparkSession)}/varlake-ecdf-{uuid.uuid4().hex}"
+    counts.repartitionByRange("quantity", "value").withColumn("range", F.spark_partition_id()).write.parquet(path)
+    placed = values.sparkSession.read.parquet(path)
+    totals = placed.groupBy("quantity", "range").agg(F.sum("n").alias("range_n"))
+    every = Window.partitionBy("quantity")
+    before = every.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "bucket",
-        F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset"),
-        F.sum("bucket_n").over(everything).alias("total"),
+        "quantity",
+        "range",
+        F.coalesce(F.sum("range_n").over(before), F.lit(0)).alias("offset"),
+        F.sum("range_n").over(every).alias("total"),
     )
-    running = Window.partitionBy("bucket").orderBy("value")
+    running = Window.partitionBy("quantity", "range").orderBy("value")
+    share = (F.col("within") + F.col("offset")) / F.col("total")
     return (
         placed.withColumn("within", F.sum("n").over(running))
-        .join(F.broadcast(offsets), "bucket")
-        .select(
-            F.col("value").alias(column),
-            "n",
-            ((F.col("within") + F.col("offset")) / F.col("total")).alias("ecdf"),
-        )
+        .join(offsets, ["quantity", "range"])
+        .select("quantity", "value", "n", share.alias("ecdf"))
     )

@@ -16,23 +16,42 @@ from varlake.sources.fasta import CHUNK
 
 
 def _split_info(df: DataFrame, position: Column, n_alts: Column) -> dict[str, Column]:
-    """INFO arrays with one value per alternate allele keep the row's own value, other columns stay as they are."""
-    return {
-        field.name: F.when(F.size(field.name) == n_alts, F.array(F.get(field.name, position))).otherwise(
-            F.col(field.name)
-        )
-        for field in df.schema.fields
-        if field.name.startswith("INFO_") and isinstance(field.dataType, T.ArrayType)
-    }
+    """What becomes of INFO arrays. The header's Number decides where it is known, else the length does.
+
+    ``A``: the row's allele; ``R``: the reference and the row's allele; ``G``: as likelihoods; other numbers and ``.``: as
+    they are. Lists that are not as long as their Number says become null.
+    """
+    allele, n_alleles = position + 1, n_alts + 1
+    out = {}
+    for field in df.schema.fields:
+        if not (field.name.startswith("INFO_") and isinstance(field.dataType, T.ArrayType)):
+            continue
+        value, number = F.col(field.name), field.metadata.get("number")
+        own = F.when(F.size(value) == n_alts, F.array(F.get(value, position)))
+        if number == "A":
+            out[field.name] = own
+        elif number == "R":
+            out[field.name] = F.when(F.size(value) == n_alleles, F.array(F.get(value, F.lit(0)), F.get(value, allele)))
+        elif number == "G":
+            out[field.name] = _split_likelihoods(value, allele, n_alleles)
+        elif number is None:
+            out[field.name] = F.when(F.size(value) == n_alts, F.array(F.get(value, position))).otherwise(value)
+    return out
+
+
+def _split_likelihoods(value: Column, allele: Column, n_alleles: Column) -> Column:
+    """Likelihoods of diploid or haploid genotypes of the reference and one allele; of any other ploidy null."""
+    # Index of a diploid genotype (j, k), j <= k, in the likelihood list is k(k+1)/2 + j.
+    own_row = (allele * (allele + 1) / 2).cast("int")
+    n_diploid = (n_alleles * (n_alleles + 1) / 2).cast("int")
+    diploid = F.array(*[F.get(value, i) for i in (F.lit(0), own_row, own_row + allele)])
+    haploid = F.array(F.get(value, F.lit(0)), F.get(value, allele))
+    return F.when(F.size(value) == n_diploid, diploid).when(F.size(value) == n_alleles, haploid)
 
 
 def _split_genotype(genotype: Column, dtype: T.StructType, position: Column, n_alts: Column) -> Column:
     allele = position + 1
     n_alleles = n_alts + 1
-    # Index of a diploid genotype (j, k), j <= k, in the likelihood list is k(k+1)/2 + j.
-    own_row = (allele * (allele + 1) / 2).cast("int")
-    diploid = [F.lit(0), own_row, own_row + allele]
-    n_diploid = (n_alleles * (n_alleles + 1) / 2).cast("int")
     fields = []
     for field in dtype.fields:
         value = genotype.getField(field.name)
@@ -42,9 +61,7 @@ def _split_genotype(genotype: Column, dtype: T.StructType, position: Column, n_a
                 value, lambda c: F.when(c == allele, F.lit(1)).when(c == 0, F.lit(0)).otherwise(F.lit(-1))
             )
         elif isinstance(field.dataType, T.ArrayType) and field.name in ("phredLikelihoods", "genotypeLikelihoods"):
-            value = F.when(
-                F.size(value) == n_diploid, F.array(*[F.get(value, i) for i in diploid])
-            ).otherwise(value)
+            value = _split_likelihoods(value, allele, n_alleles)
         elif isinstance(field.dataType, T.ArrayType) and field.name == "alleleDepths":
             value = F.when(
                 F.size(value) == n_alleles, F.array(F.get(value, F.lit(0)), F.get(value, allele))
@@ -56,8 +73,8 @@ def _split_genotype(genotype: Column, dtype: T.StructType, position: Column, n_a
 def split_multiallelics(df: DataFrame) -> DataFrame:
     """One row per alternate allele, with ``splitFromMultiAllelic`` telling which rows were split.
 
-    Calls are recoded for the row's allele, per-allele INFO arrays, allele depths and diploid likelihoods are cut to
-    it. Rows without alternate alleles are kept as they are. Row-local: no shuffle.
+    Calls are recoded for the row's allele, per-allele INFO arrays, allele depths and diploid or haploid likelihoods are
+    cut to it. Rows without alternate alleles are kept as they are. Row-local: no shuffle.
     """
     # A column of its own: in one select, `alternateAlleles` inside a lambda would mean the new, one-element array.
     numbered = df.select("*", F.posexplode_outer("alternateAlleles").alias("__pos", "__alt")).withColumn(
@@ -138,6 +155,29 @@ def _trimmed(ref: Column, alt: Column) -> Column:
     return bind(bind(_common_prefix(F.reverse(ref), F.reverse(alt)), cut_right), cut_left)
 
 
+def minimal_alleles(ref: Column, alt: Column) -> Column:
+    """Struct ``ref, alt, skipped``: both alleles without the bases they have in common at the end, then at the beginning."""
+
+    def cut_right(suffix: Column) -> Column:
+        return F.struct(
+            F.substring(ref, F.lit(1), F.length(ref) - suffix).alias("r"),
+            F.substring(alt, F.lit(1), F.length(alt) - suffix).alias("a"),
+        )
+
+    def cut_left(cut: Column) -> Column:
+        def result(prefix: Column) -> Column:
+            return F.struct(
+                F.substring(cut["r"], prefix + 1, F.length(cut["r"])).alias("ref"),
+                F.substring(cut["a"], prefix + 1, F.length(cut["a"])).alias("alt"),
+                prefix.alias("skipped"),
+            )
+
+        shortest = F.least(F.length(cut["r"]), F.length(cut["a"]))
+        return bind(F.when(shortest == 0, F.lit(0)).otherwise(_common_prefix(cut["r"], cut["a"])), result)
+
+    return bind(bind(_common_prefix(F.reverse(ref), F.reverse(alt)), cut_right), cut_left)
+
+
 def _rotation_mismatch(seq: Column, bases: Column, bases_start: Column, right: Column, offset: Column) -> Column:
     """First step ``i >= offset`` at which the context differs, looking at bases ``[bases_start, right)`` only.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,15 @@ from varlake.functions import (
 from varlake.operators.consequences import term_rows
 from varlake.plans import views, workflows
 from varlake.schema.annotation import AnnotationSchema, parse_annotations
-from varlake.sources.gtf import parse_gtf_lines
+from varlake.sources.fasta import read_reference_bases
+from varlake.sources.gtf import parse_gtf_lines, read_gtf
 from varlake.sources.pipe import annotate, pipe_lines
 from varlake.sources.tables import read_table, select_site_columns, write_table
-from varlake.sources.vcf import VcfHeader, format_vcf_lines, infer_vcf_header, parse_vcf_lines
+from varlake.sources.vcf import VcfHeader, format_vcf_lines, infer_vcf_header, parse_vcf_lines, read_vcf, write_vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A quality that about half of the orders reach; the usual 99 would keep all, and the queries that filter show nothing.
 MIN_QUAL = 150_000
 SAMPLES = [f"S{k}" for k in range(views.N_SAMPLES)]
 
@@ -89,24 +91,20 @@ def gene_burden_min_af_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gene_burden_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.flatten(
         workflows.rare_burden_table(
-            views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS, max_het=1, max_hom=1
+            views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS
         )
     )
 
 
 @query
 def count_consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = workflows.joined_genotypes(
-        views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS, "and", MIN_QUAL
-    )
+    joined = workflows.joined_genotypes(views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS)
     return op.flatten(op.count_consequences(joined))
 
 
 @query
 def min_af_consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = workflows.joined_genotypes(
-        views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS, "and", MIN_QUAL
-    )
+    joined = workflows.joined_genotypes(views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS)
     return op.flatten(op.min_af_consequences(joined))
 
 
@@ -181,11 +179,7 @@ def allele_count_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ecdf_allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = op.allele_counts(workflows.prepare_variants(views.variants(spark, sf_dir)))
-    parts = [
-        op.ecdf(counts, c).select(F.lit(c).alias("quantity"), F.col(c).cast("int").alias("value"), "n", "ecdf")
-        for c in ("INFO_AC", "n_homo", "n_hetero")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return op.ecdfs(counts, ["INFO_AC", "n_homo", "n_hetero"]).withColumn("value", F.col("value").cast("int"))
 
 
 @query
@@ -399,7 +393,7 @@ def _joined_columns(joined: DataFrame) -> DataFrame:
 
 
 def _genotype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.explode_genotypes(op.with_genotype_states(op.filter_quality(views.variants(spark, sf_dir), "and", MIN_QUAL)))
+    return op.explode_genotypes(op.with_genotype_states(views.variants(spark, sf_dir)))
 
 
 @query
@@ -435,7 +429,7 @@ def _number(name: str) -> Column:
 @query
 def annotate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.annotate_overlap(
-        views.sites(spark, sf_dir).distinct(), views.features(spark, sf_dir), "feature", ["size", "brand"], nested=False
+        views.repeated(views.sites(spark, sf_dir)), views.features(spark, sf_dir), "feature", ["size", "brand"], nested=False
     )
     return rows.groupBy(*_SITE).agg(
         F.count("feature").alias("n_features"),
@@ -454,9 +448,8 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annotate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir)))
-    # Copies of a variant would each be paired with every feature at their site; the report is per distinct one.
     rows = op.annotate_exact(
-        variants.select(*_SITE, "alternateAllele").distinct(),
+        views.repeated(variants.select(*_SITE, "alternateAllele")),
         views.known_variants(spark, sf_dir),
         "known",
         ["quantity"],
@@ -476,7 +469,7 @@ def annotate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annotate_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.annotate_colocated(
-        views.variants(spark, sf_dir).select(*_SITE).distinct(), views.known_variants(spark, sf_dir), nested=False
+        views.repeated(views.variants(spark, sf_dir).select(*_SITE)), views.known_variants(spark, sf_dir), nested=False
     )
     known = "colocated_variants"
     return rows.groupBy("contigName", "start").agg(
@@ -488,6 +481,77 @@ def annotate_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(entries: str, *parts: str) -> Column:
+    """A list of annotations as text, in its own order."""
+    texts = F.transform(entries, lambda e: F.concat_ws("|", *[F.coalesce(_path(e, p).cast("string"), F.lit("-")) for p in parts]))
+    return F.array_join(texts, ";")
+
+
+def _path(entry: Column, path: str) -> Column:
+    for name in path.split("."):
+        entry = entry.getField(name)
+    return entry
+
+
+@query
+def annotate_overlap_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = views.repeated(views.sites(spark, sf_dir))
+    rows = op.annotate_overlap(sites, views.features(spark, sf_dir), "feature", ["size", "brand"])
+    return rows.select(*_SITE, _listed("feature", "name", "allele", "fields.size", "fields.brand").alias("features"))
+
+
+@query
+def annotate_exact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir)))
+    rows = op.annotate_exact(
+        views.repeated(variants),
+        views.known_variants(spark, sf_dir),
+        "known",
+        ["quantity"],
+        name_col="id",
+        allele_col="allele",
+        variant_allele_col="alternateAllele",
+    )
+    return rows.select("contigName", "start", _listed("known", "name", "allele", "fields.quantity").alias("known"))
+
+
+@query
+def annotate_exact_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alleles of different padding meet; features are named by their coordinates."""
+    base = op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir)))
+    # The same change with two more bases on the left and one on the right.
+    padded = base.withColumns(
+        {
+            "start": F.col("start") - 2,
+            "end": F.col("end") + 1,
+            "referenceAllele": F.concat(F.lit("GT"), "referenceAllele", F.lit("C")),
+            "alternateAllele": F.concat(F.lit("GT"), "alternateAllele", F.lit("C")),
+        }
+    )
+    rows = op.annotate_exact(
+        base,
+        padded.withColumn("quality", F.col("end") - F.col("start")),
+        "padded",
+        ["quality"],
+        name_col=None,
+        allele_col="alternateAllele",
+        variant_allele_col="alternateAllele",
+        ref_col="referenceAllele",
+        variant_ref_col="referenceAllele",
+    )
+    return rows.select("contigName", "start", _listed("padded", "name", "allele", "fields.quality").alias("padded"))
+
+
+@query
+def annotate_colocated_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op.annotate_colocated(
+        views.repeated(views.variants(spark, sf_dir).select(*_SITE)), views.known_variants(spark, sf_dir)
+    )
+    return rows.select(
+        "contigName", "start", _listed("colocated_variants", "seq_region_name", "strand", "start", "end", "id", "allele_string").alias("known")
+    )
+
+
 @query
 def annotate_cadd(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir)))
@@ -557,6 +621,8 @@ def parse_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         first["gene_id"].alias("gene_id"),
         first["lof"].alias("lof"),
         first["sift_score"].cast("double").alias("sift_score"),
+        first["polyphen_score"].cast("double").alias("polyphen_score"),
+        first["cadd_raw"].cast("double").alias("cadd_raw"),
         F.size("transcript_consequences").alias("n_transcripts"),
         F.get("colocated_variants", F.lit(0))["id"].alias("known_id"),
         F.get("custom_annotations.GnomADg_v3", F.lit(0))["fields"]["AF"].cast("double").alias("af"),
@@ -583,10 +649,12 @@ def promoter_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = views.variants(spark, sf_dir)
+    more = {f"INFO_X{j}": F.expr(f"cast((INFO_AC[0] + {j}) % 97 as int)") for j in range(50)}
+    table = views.variants(spark, sf_dir).withColumns(more)
     header = VcfHeader.parse(infer_vcf_header(table.schema, SAMPLES))
-    parsed = op.with_genotype_states(parse_vcf_lines(format_vcf_lines(table), header))
+    parsed = op.with_genotype_states(parse_vcf_lines(format_vcf_lines(table, SAMPLES), header))
     return parsed.select(
+        sum((F.col(name) for name in more), F.lit(0)).cast("long").alias("sum_x"),
         "contigName",
         "start",
         "end",
@@ -604,6 +672,61 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/varlake-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def vcf_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders of files with different INFO keys and differently ordered samples, read as one table."""
+    table = views.variants(spark, sf_dir)
+    even = F.col("start") % 20 == 0
+    backwards = F.reverse("genotypes")
+    one, two = _scratch(spark, "vcf"), _scratch(spark, "vcf")
+    write_vcf(table.filter(even).withColumns({"INFO_E": F.col("start"), "genotypes": backwards}), one, SAMPLES)
+    write_vcf(table.filter(~even).drop("INFO_AF").withColumn("INFO_O", F.lit(True)), two, SAMPLES)
+    read = op.with_genotype_states(read_vcf(spark, [one, two]))
+    return read.select(
+        "start",
+        "INFO_E",
+        "INFO_O",
+        F.get("INFO_AC", F.lit(0)).alias("ac"),
+        F.get("INFO_AF", F.lit(0)).alias("af"),
+        F.array_join("genotypes.sampleId", ",").alias("samples"),
+        F.array_join("num_alt_alleles", ",").alias("states"),
+    )
+
+
+@query
+def pipe_added_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command that declares and adds an INFO key."""
+    program = (
+        '/^#CHROM/ { print "##INFO=<ID=CSQ,Number=1,Type=String,Description=\\"\\">" } /^#/ { print; next }'
+        ' { $8 = "CSQ=" $4 $5; print }'
+    )
+    sites = select_site_columns(views.variants(spark, sf_dir))
+    piped = pipe_lines(sites, ["awk", "-F", "\t", "-v", "OFS=\t", program], output_format="vcf")
+    return piped.select("contigName", "start", "INFO_CSQ")
+
+
+@query
+def gtf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "gtf")
+    views.gtf_lines(spark, sf_dir).write.text(path)
+    return read_gtf(spark, path, ("gene_id", "transcript_id", "exon_number"))
+
+
+@query
+def fasta_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contig of 64 bases in lines of 30 for each order, read in chunks of 32."""
+    path = _scratch(spark, "fasta")
+    genome = views.repeat_genome(spark, sf_dir)
+    contig = F.concat(F.lit(">"), "contigName", F.lit("_"), F.col("chunk_id").cast("string"))
+    lines = F.regexp_replace("bases", "(.{30})", "$1\n")
+    genome.select(F.concat(contig, F.lit(" some text\n"), lines).alias("value")).write.text(path)
+    return read_reference_bases(spark, path, chunk=32, overlap=8).select("contigName", "chunk_id", "chunk_start", "bases")
+
+
 @query
 def pipe_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     piped = pipe_lines(select_site_columns(views.variants(spark, sf_dir)), ["cat"], output_format="vcf")
@@ -645,6 +768,32 @@ def position_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.sort_by_position(op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir))))
 
 
+def _disorder(ordered: DataFrame) -> DataFrame:
+    """Rows, and how many of them come before their predecessor inside a partition or over partitions."""
+    at = F.struct("contigName", "start", "end", "referenceAllele")
+    placed = ordered.select(at.alias("at"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    inside = Window.partitionBy("part").orderBy("row")
+    stepped = placed.withColumn("back", F.coalesce(F.lag("at").over(inside) > F.col("at"), F.lit(False)))
+    parts = stepped.groupBy("part").agg(
+        F.count("*").alias("n"), F.count_if("back").alias("back"), F.min("at").alias("low"), F.max("at").alias("high")
+    )
+    # One row per partition.
+    over = F.coalesce(F.lag("high").over(Window.orderBy("part")) > F.col("low"), F.lit(False))
+    return parts.withColumn("over", over).agg(
+        F.sum("n").alias("n_rows"), F.sum("back").alias("n_back"), F.count_if("over").alias("n_overlapping")
+    )
+
+
+@query
+def position_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _disorder(position_layout(spark, sf_dir))
+
+
+@query
+def position_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _disorder(position_sort(spark, sf_dir))
+
+
 @query
 def write_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in position order to the cluster's shared folder, and read back."""

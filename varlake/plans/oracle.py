@@ -27,7 +27,7 @@ gt as (
            case when (o_custkey + k) % 11 = 0 then null else cast((o_custkey + 7 * k) % 60 as int) end as depth,
            cast((o_orderkey + k) % 99 as int) as gq
     from (
-        select v.*, cast(t.k as int) as k, (o_orderkey + 3 * t.k + o_custkey) % 9 as mix
+        select v.*, cast(t.k as int) as k, (o_orderkey % 13 * (t.k + 1) + o_custkey + t.k * t.k) % 9 as mix
         from variant v, range({N_SAMPLES}) t(k)
     )
 )"""
@@ -100,7 +100,7 @@ def _per_state(measure: str) -> str:
         select gt.contig as "contigName", sample as "sampleId", cast(n_alt as int) as num_alt_alleles, gene_id,
                {", ".join(_measures(measure, "", ""))}
         from gt join csq on gt.contig = csq.contig and gt.start0 = csq.start0
-        where {AND_QUAL} group by gt.contig, sample, n_alt, gene_id
+        where {AND_99} group by gt.contig, sample, n_alt, gene_id
     """
 
 
@@ -108,7 +108,7 @@ _JOINED = f"""
     with {_VARIANT}, {_GT}, {_CSQ}
     select gt.contig as "contigName", sample as "sampleId", cast(n_alt as int) as num_alt_alleles, gene_id,
            cadd as cadd_raw
-    from gt join csq on gt.contig = csq.contig and gt.start0 = csq.start0 where {AND_QUAL}
+    from gt join csq on gt.contig = csq.contig and gt.start0 = csq.start0
 """
 
 _RARE = f"""
@@ -128,8 +128,10 @@ multi as (
 
 _SITES = """
 site as (
-    select distinct 'chr' || (o_orderkey % 22 + 1) as contig, o_orderkey * 10 as s, o_orderkey * 10 + 1 + o_custkey % 50 as e
+    select 'chr' || (o_orderkey % 22 + 1) as contig, o_orderkey * 10 as s, o_orderkey * 10 + 1 + o_custkey % 50 as e
     from orders
+), site_copy as (
+    select * from site union all select * from site where s // 10 % 3 = 0
 ), feature as (
     select 'chr' || (p_partkey % 22 + 1) as contig, p_partkey * 70 as fs, p_partkey * 70 + p_size * 40 as fe,
            'F' || p_partkey as name, p_size as size, p_brand as brand
@@ -137,7 +139,9 @@ site as (
 )"""
 
 _KNOWN = """
-known as (
+variant_copy as (
+    select * from variant union all select * from variant where o_orderkey % 3 = 0
+), known as (
     select l_orderkey, 'rs' || l_partkey as id, l_returnflag || '/' || l_linestatus as alleles,
            l_linenumber % 2 * 2 - 1 as strand, l_quantity as quantity,
            substr('CGTA', cast((l_orderkey + l_linenumber % 2) % 4 as int) + 1, 1) as allele
@@ -190,6 +194,11 @@ _SITE_ROWS = f"""
 """
 
 
+_ORDERED = """
+    select cast(count(*) as bigint) as n_rows, cast(0 as bigint) as n_back, cast(0 as bigint) as n_overlapping from orders
+"""
+
+
 def all_oracles() -> dict[str, str]:
     burden = _burden("count", AND_99)
     min_af = _burden("min_af", OR_QUAL)
@@ -201,7 +210,7 @@ def all_oracles() -> dict[str, str]:
         "gene_burden_min_af": min_af,
         "gene_burden_min_af_two_step": min_af,
         "gene_burden_rare": _burden(
-            "count", f"{AND_99} and ((n_alt = 1 and n_hetero <= 1) or (n_alt = 2 and n_homo <= 1))"
+            "count", f"{AND_99} and ((n_alt = 1 and n_hetero <= 2) or (n_alt = 2 and n_homo <= 2))"
         ),
         "count_consequences": _per_state("count"),
         "min_af_consequences": _per_state("min_af"),
@@ -369,9 +378,39 @@ def all_oracles() -> dict[str, str]:
             select site.contig as "contigName", s as start, e as "end", count(name) as n_features,
                    min(cast(substr(name, 2) as bigint)) as first_name, max(size) as max_size,
                    max(cast(split_part(brand, '#', 2) as bigint)) as last_brand
-            from site left join feature on site.contig = feature.contig and s < fe and fs < e
+            from site_copy site left join feature on site.contig = feature.contig and s < fe and fs < e
             group by site.contig, s, e
         """,
+        "annotate_overlap_nested": f"""
+            with {_SITES}, lists as (
+                select site.contig, s, e,
+                       string_agg(name || '|-|' || size || '|' || brand, ';' order by name, size, brand) as features
+                from site join feature on site.contig = feature.contig and s < fe and fs < e group by site.contig, s, e
+            )
+            select contig as "contigName", s as start, e as "end", features from site_copy left join lists using (contig, s, e)
+        """,
+        "annotate_exact_nested": f"""
+            with {_VARIANT}, {_KNOWN}, lists as (
+                select l_orderkey, allele, string_agg(id || '|' || allele || '|' || cast(quantity as int), ';' order by id, cast(quantity as int)) as known
+                from known group by l_orderkey, allele
+            )
+            select contig as "contigName", start0 as start, known
+            from variant_copy left join lists on l_orderkey = o_orderkey and allele = alt
+        """,
+        "annotate_exact_coordinates": f"""
+            with {_VARIANT}
+            select contig as "contigName", start0 as start,
+                   contig || ':' || (start0 - 1) || '-' || (start0 + 2) || '|GT' || alt || 'C|4' as padded
+            from variant
+        """,
+        "annotate_colocated_nested": f"""
+            with {_VARIANT}, {_KNOWN}, lists as (
+                select l_orderkey, string_agg('chr' || (l_orderkey % 22 + 1) || '|' || strand || '|' || (l_orderkey * 10 + 1) || '|'
+                           || (l_orderkey * 10 + 1) || '|' || id || '|' || alleles, ';' order by strand, id, alleles) as known
+                from known group by l_orderkey
+            )
+            select contig as "contigName", start0 as start, known from variant_copy left join lists on l_orderkey = o_orderkey
+        """,
         "overlap_pairs": f"""
             with {_SITES}
             select site.contig as "contigName", s as start, e as "end", fs as feature_start, fe as feature_end, name
@@ -382,7 +421,7 @@ def all_oracles() -> dict[str, str]:
             select contig as "contigName", start0 as start, alt as "alternateAllele", count(id) as n_known,
                    min(cast(substr(id, 3) as bigint)) as first_name, count(id) as n_allele,
                    cast(sum(quantity) as bigint) as quantity
-            from (select distinct contig, start0, alt, o_orderkey from variant) v
+            from variant_copy v
                  left join known on l_orderkey = o_orderkey and allele = alt
             group by contig, start0, alt
         """,
@@ -391,7 +430,7 @@ def all_oracles() -> dict[str, str]:
             select contig as "contigName", start0 as start, count(id) as n_known,
                    min(cast(substr(id, 3) as bigint)) as first_id, count(*) filter (alleles = 'R/F') as n_alleles, case when count(id) > 0 then start0 + 1 end as known_start,
                    cast(sum(strand) as bigint) as strands
-            from (select distinct contig, start0, o_orderkey from variant) v left join known on l_orderkey = o_orderkey
+            from variant_copy v left join known on l_orderkey = o_orderkey
             group by contig, start0
         """,
         "annotate_cadd": f"""
@@ -421,6 +460,8 @@ def all_oracles() -> dict[str, str]:
             select 'chr' || (l_orderkey % 22 + 1) as seq_region_name, l_orderkey * 10 + 1 as start,
                    'rs' || l_orderkey as id, p_type as most_severe_consequence, p_brand as gene_id,
                    case p_size % 5 when 0 then 'HC' when 1 then 'LC' end as lof, l_quantity / 64 as sift_score,
+                   case when p_size % 7 = 0 then null else p_size / 64.0::double end as polyphen_score,
+                   l_linenumber / 4.0::double as cadd_raw,
                    case when l_linenumber % 2 = 0 then 2 else 1 end as n_transcripts,
                    case when l_linenumber <= 3 then 'rs' || l_partkey end as known_id,
                    cast((l_orderkey * 10 + 1) % 64 / 64.0 as double) as af
@@ -446,12 +487,39 @@ def all_oracles() -> dict[str, str]:
                    ref as "referenceAllele", alt as alts, o_totalprice as qual,
                    case o_orderstatus when 'F' then 'PASS' when 'O' then 'LowQual,q10' else '' end as filters,
                    cast(o_custkey % 9 as int) as ac, af,
+                   (select cast(sum((o_custkey % 9 + t.x) % 97) as bigint) from range(50) t(x)) as sum_x,
                    string_agg(sample, ',' order by k) as samples,
                    string_agg(cast(n_alt as varchar), ',' order by k) as states,
                    string_agg(coalesce(cast(depth as varchar), '-'), ',' order by k) as depths,
                    string_agg(case when k % 2 = 1 then 'true' else 'false' end, ',' order by k) as phased
             from gt group by contig, start0, o_orderkey, ref, alt, o_totalprice, o_orderstatus, o_custkey, af
         """,
+        "vcf_file_round_trip": f"""
+            with {_VARIANT}, {_GT}
+            select start0 as start, case when o_orderkey % 2 = 0 then cast(start0 as int) end as "INFO_E", o_orderkey % 2 = 1 as "INFO_O",
+                   cast(o_custkey % 9 as int) as ac, case when o_orderkey % 2 = 0 then af end as af,
+                   string_agg(sample, ',' order by k) as samples,
+                   string_agg(cast(n_alt as varchar), ',' order by k) as states
+            from gt group by start0, o_orderkey, o_custkey, af
+        """,
+        "pipe_added_info": f"""
+            with {_VARIANT} select contig as "contigName", start0 as start, ref || alt as "INFO_CSQ" from variant
+        """,
+        "gtf_file": f"""
+            with {_GTF}
+            select chrom as "Chromosome", 'model' as "Source", feature as "Feature", s as "Start", e as "End",
+                   score as "Score", strand as "Strand", frame as "Frame", gene_id, transcript_id, exon_number from gtf
+        """,
+        "fasta_file": f"""
+            with {_REPEATS}, contigs as (
+                select 'chr' || (o_orderkey % 22 + 1) || '_' || o_orderkey // 22 as name,
+                       rpad('G' || repeat(unit, cast(o_custkey % 10 + 3 as int)), {STRETCH}, 'G') as bases
+                from repeats
+            )
+            select name as "contigName", cast(0 as bigint) as chunk_id, cast(0 as bigint) as chunk_start,
+                   substr(bases, 1, 32) as bases from contigs
+            union all select name, 1, 24, substr(bases, 25, 40) from contigs
+        """,
         "pipe_cat": f"""
             with {_VARIANT}
             select contig as "contigName", start0 as start, start0 + 1 as "end", ref as "referenceAllele", alt as alts
@@ -464,5 +532,7 @@ def all_oracles() -> dict[str, str]:
         """,
         "position_layout": _SITE_ROWS,
         "position_sort": _SITE_ROWS,
+        "position_layout_order": _ORDERED,
+        "position_sort_order": _ORDERED,
         "write_read_table": _SITE_ROWS,
     }

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varlake.functions._columns import with_computed
-from varlake.sources.tables import spread
 
 N_SAMPLES = 8
 
@@ -18,14 +17,9 @@ N_SAMPLES = 8
 TERMS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
-_ROW_KEYS = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey"]}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; the two fact tables are spread over the cores where their files are too few for that."""
-    stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    keys = _ROW_KEYS.get(name)
-    return spread(stored, *keys) if keys else stored
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _contig(key: str):
@@ -38,10 +32,10 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         transform(sequence(0, 7), k -> named_struct(
             'sampleId', concat('S', cast(k as string)),
             'phased', k % 2 = 1,
-            'calls', case when (o_orderkey + 3 * k + o_custkey) % 9 = 0 then array(0, -1)
-                          when (o_orderkey + 3 * k + o_custkey) % 9 <= 4 then array(0, 0)
-                          when (o_orderkey + 3 * k + o_custkey) % 9 <= 6 then array(0, 1)
-                          when (o_orderkey + 3 * k + o_custkey) % 9 = 7 then array(1, 1)
+            'calls', case when (o_orderkey % 13 * (k + 1) + o_custkey + k * k) % 9 = 0 then array(0, -1)
+                          when (o_orderkey % 13 * (k + 1) + o_custkey + k * k) % 9 <= 4 then array(0, 0)
+                          when (o_orderkey % 13 * (k + 1) + o_custkey + k * k) % 9 <= 6 then array(0, 1)
+                          when (o_orderkey % 13 * (k + 1) + o_custkey + k * k) % 9 = 7 then array(1, 1)
                           else array(1, 2) end,
             'depth', case when (o_custkey + k) % 11 = 0 then null else cast((o_custkey + 7 * k) % 60 as int) end,
             'conditionalQuality', cast((o_orderkey + k) % 99 as int)))
@@ -90,6 +84,11 @@ def multiallelic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated(rows: DataFrame, key: str = "start") -> DataFrame:
+    """``rows`` with every third site (by its order) once more: repeated variants."""
+    return rows.select("*", F.explode(F.expr(f"array_repeat(1, if({key} div 10 % 3 = 0, 2, 1))")).alias("__copy")).drop("__copy")
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site intervals of 1 to 50 bases, one per order."""
     return table(spark, sf_dir, "orders").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 import threading
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Literal
 
@@ -12,10 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varlake._shared import shared_folder
 from varlake.functions._columns import as_column
 from varlake.functions.identifiers import variant_spdi
 from varlake.schema.annotation import AnnotationSchema, parse_annotations
-from varlake.sources.vcf import VcfHeader, format_vcf_lines, infer_vcf_header, parse_vcf_lines, sample_ids_of
+from varlake.sources.vcf import (
+    VcfHeader,
+    format_vcf_lines,
+    header_of_lines,
+    infer_vcf_header,
+    parse_vcf_lines,
+    sample_ids_of,
+)
 
 _BATCH = 10_000
 
@@ -83,20 +92,29 @@ def pipe_lines(
     """Run a command once per partition, with the partition's rows as lines on its standard input.
 
     ``vcf`` input writes a header before each partition's lines; ``text`` input needs a column ``value``. ``text``
-    output is one column ``text``, ``vcf`` output is parsed with the command's own header if that can be known: it
-    is the input's header. A failing command fails the task; give it arguments as a list, no shell is involved.
+    output is one column ``text``. ``vcf`` output is parsed with the header that the command writes, so what it declares
+    becomes columns; to read that header the command runs at once, and its output is kept in the shared folder. Where it
+    writes none, the input's header counts. A failing command fails the task; give it arguments as a list, no shell is
+    involved.
     """
     if input_format == "vcf":
+        samples = sample_ids_of(df) if header == "infer" and "genotypes" in df.columns else None
         if header == "infer":
-            header = infer_vcf_header(df.schema, sample_ids_of(df) if "genotypes" in df.columns else ())
-        lines = format_vcf_lines(df)
+            header = infer_vcf_header(df.schema, samples or ())
+        elif "genotypes" in df.columns:
+            samples = VcfHeader.parse(header).sample_ids
+        lines = format_vcf_lines(df, samples)
     else:
         header = [] if header == "infer" else header
         lines = df.select("value")
     text = lines.mapInPandas(_through_command(list(command), list(header), dict(env) if env else None), "text string")
     if output_format == "text":
         return text
-    return parse_vcf_lines(text.withColumnRenamed("text", "value"), VcfHeader.parse(header))
+    path = f"{shared_folder(df.sparkSession)}/varlake-pipe-{uuid.uuid4().hex}"
+    text.withColumnRenamed("text", "value").write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    written = header_of_lines(kept)
+    return parse_vcf_lines(kept, VcfHeader.parse(header) if written.column_line is None else written)
 
 
 def annotate(

@@ -17,18 +17,6 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Use all cores on a scan that yields fewer partitions than there are cores.
-
-    A large table has more splits than cores and is returned as it is; a small file, or one written as a single row
-    group, would otherwise keep every row-local step on one core. ``by`` names columns whose values differ between
-    rows; filters and column pruning still reach the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
-    return df.repartition(cores, *by) if few else df
-
-
 def write_table(
     df: DataFrame,
     path: str,

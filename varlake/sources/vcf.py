@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varlake.functions._columns import quoted, with_computed
+from varlake.functions._columns import bind, quoted, with_computed
 
 # Column names of the format.
 FIXED_COLUMNS = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
@@ -77,17 +78,37 @@ class VcfHeader:
         return VcfHeader(tuple(found["INFO"].values()), tuple(found["FORMAT"].values()), samples, column_line)
 
 
-def _read_header(spark: SparkSession, lines: DataFrame) -> VcfHeader:
-    """The header of the first file. Only the beginning of that file is read."""
-    first = spark.read.text(lines.inputFiles()[0])
-    wanted = 1024
-    while True:
-        head = [row.value for row in first.head(wanted)]
-        comments = [line for line in head if line.startswith("#")]
-        # The column line ends the header; without one, anything that is no comment does.
-        if len(comments) < len(head) or len(head) < wanted or any(c.startswith("#CHROM") for c in comments):
-            return VcfHeader.parse(comments)
-        wanted *= 8
+def merge_headers(headers: Iterable[VcfHeader]) -> VcfHeader:
+    """One header for several files: every declared key, in order of first mention.
+
+    Declarations of one key that differ in number or type, and different sample columns, are errors.
+    """
+    found: dict[str, dict[str, Declaration]] = {"info": {}, "formats": {}}
+    column_line = None
+    samples: tuple[str, ...] = ()
+    for header in headers:
+        for kind, known in found.items():
+            for declared in getattr(header, kind):
+                if known.setdefault(declared.key, declared) != declared:
+                    raise ValueError(f"{declared.key} is declared in different ways: {known[declared.key]}, {declared}")
+        if header.column_line is not None:
+            if column_line not in (None, header.column_line):
+                raise ValueError("sample columns differ between files")
+            column_line, samples = header.column_line, header.sample_ids
+    return VcfHeader(tuple(found["info"].values()), tuple(found["formats"].values()), samples, column_line)
+
+
+def header_of_lines(lines: DataFrame) -> VcfHeader:
+    """The merged header of all header lines among ``lines`` (column ``value``).
+
+    One distributed pass; only different declarations and column lines reach the driver.
+    """
+    value = F.rtrim(F.col("value"))
+    wanted = value.startswith("##INFO=") | value.startswith("##FORMAT=") | value.startswith("#CHROM")
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.filter(F.col("value").startswith("#")).filter(wanted).select(value.alias("value"), place.alias("place"))
+    first = rows.groupBy("value").agg(F.min("place").alias("place")).orderBy("place")
+    return merge_headers(VcfHeader.parse([row.value]) for row in first.collect())
 
 
 def _present(value: Column) -> Column:
@@ -102,12 +123,20 @@ def _typed(text: Column, declaration: Declaration) -> Column:
     return F.transform(F.split(_present(text), ","), lambda v: _present(v).try_cast(base))
 
 
+def _info_fields(info: Column, declarations: Sequence[Declaration]) -> Column:
+    """The declared entries of an INFO text as a struct of strings, in one parse however many there are.
+
+    The text is rewritten as a JSON object. A flag's value is "", an absent key's null; of a repeated key the last counts.
+    """
+    escaped = F.regexp_replace(info, r'([\\"])', r"\\$1")
+    members = F.regexp_replace(escaped, "([^;=]+)(?:=([^;]*))?(?:;|$)", '"$1":"$2",')
+    schema = T.StructType([T.StructField(d.key, T.StringType()) for d in declarations])
+    return F.from_json(F.concat(F.lit("{"), members, F.lit('"":""}')), schema, {"allowUnquotedControlChars": "true"})
+
+
 def _info_column(declaration: Declaration) -> Column:
-    key = re.escape(declaration.key)
-    if declaration.number == "0":
-        return F.col("INFO").rlike(rf"(?:^|;){key}(?:;|=|$)")
-    # regexp_extract gives "" both for an absent and an empty value: null either way.
-    return _typed(F.regexp_extract("INFO", rf"(?:^|;){key}=([^;]*)", 1), declaration)
+    value = F.col("__info").getField(declaration.key)
+    return value.isNotNull() if declaration.number == "0" else _typed(value, declaration)
 
 
 def _genotype(values: Column, sample_id: Column | None, formats: Sequence[Declaration]) -> Column:
@@ -153,10 +182,12 @@ def parse_vcf_lines(
             "__samples"
         ),
     )
+    if header.info:
+        rows = with_computed(rows, "__info", _info_fields(F.col("INFO"), header.info))
     start = F.col("POS").try_cast("long") - 1
     end = start + F.length("REF")
     if any(d.key == "END" and d.type == "Integer" and d.number == "1" for d in header.info):
-        end = F.coalesce(F.regexp_extract("INFO", r"(?:^|;)END=([^;]*)", 1).try_cast("long"), end)
+        end = F.coalesce(F.col("__info").getField("END").try_cast("long"), end)
 
     def listed(column: str, separator: str) -> Column:
         empty = F.array().cast("array<string>")
@@ -204,10 +235,17 @@ def read_vcf(
     include_sample_ids: bool = True,
     split_to_biallelic: bool = False,
     header: VcfHeader | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Read VCF files with one header; unless given, it is taken from the beginning of the first file."""
+    """Read VCF files as one table; unless a header is given, the headers of all files are read and merged.
+
+    A key that only some files declare is a column of all rows, null where absent. See ``merge_headers`` for what fails.
+    A compressed file is one split, so its lines are dealt out again by ``partitions`` before they are parsed, if given.
+    """
     lines = spark.read.text(path)
-    return parse_vcf_lines(lines, header or _read_header(spark, lines), include_sample_ids, split_to_biallelic)
+    header = header or header_of_lines(lines)
+    lines = lines.repartition(partitions) if partitions else lines
+    return parse_vcf_lines(lines, header, include_sample_ids, split_to_biallelic)
 
 
 # --- writing -------------------------------------------------------------------------------------------------------
@@ -255,10 +293,27 @@ def infer_vcf_header(schema: T.StructType, sample_ids: Sequence[str] = ()) -> li
     return [*lines, "#" + "\t".join(columns)]
 
 
-def format_vcf_lines(df: DataFrame) -> DataFrame:
+def _in_order(genotypes: Column, sample_ids: Sequence[str]) -> Column:
+    """A row's genotypes in the order of ``sample_ids``; null for samples it lacks, an error for any it has besides."""
+    wanted = F.array(*map(F.lit, sample_ids)).cast("array<string>")
+
+    def aligned(listed: Column) -> Column:
+        own = listed.getField("sampleId")
+        places = F.transform(wanted, lambda sample: F.array_position(own, sample))
+        strange = (F.size(F.array_distinct(own)) < F.size(own)) | F.coalesce(F.size(F.array_except(own, wanted)) > 0, F.lit(True))
+        found = F.transform(places, lambda at: F.get(listed, F.nullif(at, F.lit(0)).cast("int") - 1))
+        error = F.raise_error(F.concat(F.lit("samples not in the header, or repeated: "), F.array_join(own, ",")))
+        return F.when(own == wanted, listed).when(strange, error).otherwise(found)
+
+    return bind(genotypes, aligned)
+
+
+def format_vcf_lines(df: DataFrame, sample_ids: Sequence[str] | None = None) -> DataFrame:
     """Variant rows → VCF data lines in the column ``value``; absent columns are written as missing.
 
-    The matching header is ``infer_vcf_header(df.schema, sample_ids)``.
+    The matching header is ``infer_vcf_header(df.schema, sample_ids)``. With ``sample_ids`` each row's genotypes are written
+    in that order, whatever order the row lists them in; a sample that a row lacks is missing, one that is not in
+    ``sample_ids`` fails. Without, a row's own order is written, which only suits rows that all list the same samples.
     """
     names = df.columns
     missing = F.lit(".")
@@ -305,25 +360,35 @@ def format_vcf_lines(df: DataFrame) -> DataFrame:
             values = [F.nullif(gt, F.lit("")), *[_text(g.getField(f.name), f.dataType) for _, f in keys]]
             return F.concat_ws(":", *[F.coalesce(v, missing) for v in values])
 
-        columns.append(F.array_join(F.transform("genotypes", sample), "\t"))
+        named = sample_ids is not None and "sampleId" in element.fieldNames()
+        genotypes = _in_order(F.col("genotypes"), sample_ids) if named else F.col("genotypes")
+        columns.append(F.array_join(F.transform(genotypes, sample), "\t"))
     return with_computed(df, "value", F.concat_ws("\t", *columns)).select("value")
 
 
 def sample_ids_of(df: DataFrame) -> list[str]:
-    """Sample names of a table whose rows all list the same samples; reads one row."""
+    """All sample names of a table, by their first place in a row's list.
+
+    The distinct lists are found first, which usually are one.
+    """
     element = df.schema["genotypes"].dataType.elementType
     if "sampleId" in element.fieldNames():
-        row = df.select("genotypes.sampleId").first()
-        return list(row[0]) if row else []
-    row = df.select(F.size("genotypes")).first()
-    return [f"sample_{i + 1}" for i in range(row[0])] if row else []
+        lists = df.select(F.col("genotypes.sampleId").alias("ids")).distinct()
+        places = lists.select(F.posexplode("ids").alias("place", "id")).groupBy("id").agg(F.min("place").alias("place"))
+        return [row.id for row in places.orderBy("place", "id").collect()]
+    most = df.agg(F.max(F.size("genotypes"))).first()[0] or 0
+    return [f"sample_{i + 1}" for i in range(most)]
 
 
 def write_vcf(df: DataFrame, path: str, sample_ids: Sequence[str] | None = None, mode: str = "errorifexists") -> None:
-    """Write data lines as text files, with the header as a file of its own that sorts first when they are read."""
+    """Write a folder of VCF files, each with the header; ``read_vcf`` reads the folder or any of its files."""
     if sample_ids is None:
         sample_ids = sample_ids_of(df) if "genotypes" in df.columns else ()
-    spark = df.sparkSession
-    header = spark.createDataFrame([("\n".join(infer_vcf_header(df.schema, sample_ids)),)], "value string").coalesce(1)
-    header.write.mode(mode).text(f"{path}/header")
-    format_vcf_lines(df).write.mode(mode).text(f"{path}/lines")
+    header = infer_vcf_header(df.schema, sample_ids)
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(header, pa.string())], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    format_vcf_lines(df, sample_ids).mapInArrow(with_header, "value string").write.mode(mode).text(path)
