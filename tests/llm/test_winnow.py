@@ -29,7 +29,7 @@ def key(row):
 def test_fingerprints_and_likeness(odd):
     rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
     rows.sort(key=lambda row: (row[0] is not None, row[0] or 0, row[1]))
-    spell = lambda found: " ".join(f"{h:x}@{at}" for h, at in found)
+    spell = lambda found: " ".join(f"{(h << winnow.PLACE_BITS) + winnow.PLACE_MASK - 1 - at:X}" for h, at in found)
 
     def likeness(a, b):
         a, b = {h for h, _ in a}, {h for h, _ in b}
@@ -51,7 +51,7 @@ def test_fingerprints_and_likeness(odd):
 def test_rightmost_of_equal_hashes(spark):
     text = "x" * 200
     row = spark.createDataFrame([(text,)], "text string").select(
-        winnow.places(winnow.winnowed(F.col("text"))).alias("places")
+        winnow.places(winnow.winnowed(F.encode("text", "utf-8"))).alias("places")
     ).first()
     # All hashes are equal, so each window chooses its last.
     assert row["places"] == list(range(winnow.WINDOW - 1, len(text) - winnow.GRAM + 1))
@@ -61,7 +61,7 @@ def test_long_shared_runs_share_a_fingerprint(spark):
     shared = "a passage of just as many bytes as the window and the gram need"[: winnow.GRAM + winnow.WINDOW - 1]
     rows = [(f"{'one two three ' * 5}{shared} and so on", f"{'4 5 6 ' * 9}{shared}?")]
     found = spark.createDataFrame(rows, "a string, b string").select(
-        winnow.hashes(winnow.winnowed(F.col("a"))).alias("a"), winnow.hashes(winnow.winnowed(F.col("b"))).alias("b")
+        winnow.hashes(winnow.winnowed(F.encode("a", "utf-8"))).alias("a"), winnow.hashes(winnow.winnowed(F.encode("b", "utf-8"))).alias("b")
     ).first()
     assert set(found["a"]) & set(found["b"])
 

@@ -99,6 +99,48 @@ ORACLES = {
             case when page_id = first then null else first end as refers_to
         from digests d join firsts f on d.hex = f.hex
     """,
+    "op4_circulant_minhash": r"""
+        with recursive texts as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+            from documents
+        ), shingles as (
+            select distinct doc_id, unnest(case when len(words) < 2 then words
+                else list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) end) as shingle
+            from texts
+        ), sizes as (
+            select doc_id, count(shingle) as n from texts left join shingles using (doc_id) group by doc_id
+        ), links as (
+            select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+            join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+            group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), reached as (
+            select doc_id, doc_id as other from sizes union select r.doc_id, l.b from reached r join links l on l.a = r.other
+        )
+        select doc_id, any_value(n) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+        from sizes join reached using (doc_id) group by doc_id
+    """,
+    "op8_suffix_blocks": """
+        with bytes as (
+            select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+        ), places as (
+            select doc_id, h, n, unnest(range(n)) as i from bytes
+        ), windows as (
+            select doc_id, i, n, substr(h, 2 * i + 1, 2) as byte, case when i + 200 <= n then md5(substr(h, 2 * i + 1, 400)) end as print from places
+        ), counted as (
+            select *, print is not null and count(*) over (partition by print) > 1 as again from windows
+        ), covered as (
+            select doc_id, i, byte, bool_or(again) over (partition by doc_id order by i rows 199 preceding) as gone from counted
+        ), edges as (
+            select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from covered
+        ), found as (
+            select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans,
+                   string_agg(byte, '' order by i) filter (not gone) as kept
+            from edges group by doc_id
+        )
+        select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(coalesce(kept, ''))) as kept_sha256
+        from bytes left join found using (doc_id)
+    """,
 }
 
 

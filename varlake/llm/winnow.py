@@ -21,11 +21,11 @@ GRAM, WINDOW = 20, 16
 PLACE_BITS = 28
 HASH_MASK, PLACE_MASK = (1 << 35) - 1, (1 << PLACE_BITS) - 1
 #: Documents that are put in order in one group.
-GROUP = 2_048
+GROUP = 1_024
 
 
-def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """array<long> of the chosen (hash, place), each once, by place.
+def winnowed(data: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """array<long> of the chosen (hash, place) of a text's UTF-8 bytes, each once, by place.
 
     A text of under ``gram`` bytes is one k-gram, one of few k-grams one window; an empty text has no fingerprint.
     """
@@ -53,8 +53,27 @@ def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         full = F.greatest(F.size(hashes) - F.lit(window - 1), F.lit(1))
         return F.array_distinct(F.slice(found, F.lit(1), full))
 
-    chosen = bind(F.encode(text, "utf-8"), lambda data: bind(packed(data), least))
-    return F.when(F.length(text) == 0, F.array().cast("array<long>")).otherwise(chosen)
+    return F.when(F.length(data) == 0, F.array().cast("array<long>")).otherwise(bind(data, lambda d: bind(packed(d), least)))
+
+
+def rewinnowed(fingerprint: Column, kept: Column, data: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """``winnowed(data)``, from the fingerprint of other bytes that share their first ``kept`` bytes with ``data``.
+
+    Whether a k-gram is chosen is up to the windows that hold it. Where these lie in the shared bytes, the choice stays;
+    from the first place where one does not, all windows that hold a k-gram are looked at again.
+    """
+
+    def from_place(first: Column) -> Column:
+        start = F.greatest(first - F.lit(window - 1), F.lit(0))
+        before = F.filter(fingerprint, lambda one: one.bitwiseAND(F.lit(PLACE_MASK)) > F.lit(PLACE_MASK - 1) - first)
+
+        def joined(tail: Column) -> Column:
+            later = F.filter(tail, lambda one: one.bitwiseAND(F.lit(PLACE_MASK)) - start <= F.lit(PLACE_MASK - 1) - first)
+            return F.concat(before, F.transform(later, lambda one: one - start))
+
+        return bind(winnowed(F.substring(data, start + 1, F.length(data)), gram, window), joined)
+
+    return bind(F.greatest(kept - F.lit(gram + window - 2), F.lit(0)), from_place)
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -67,12 +86,8 @@ def places(fingerprint: Column) -> Column:
 
 
 def spelled(fingerprint: Column) -> Column:
-    """The fingerprint as text: hash@place, by place."""
-    place = lambda one: F.lit(PLACE_MASK - 1) - one.bitwiseAND(F.lit(PLACE_MASK))
-    return F.array_join(
-        F.transform(fingerprint, lambda one: F.concat(F.lower(F.hex(F.shiftright(one, PLACE_BITS))), F.lit("@"), place(one).cast("string"))),
-        " ",
-    )
+    """The fingerprint as text: its entries in hexadecimal, by place."""
+    return F.array_join(F.transform(fingerprint, F.hex), " ")
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -100,7 +115,7 @@ def with_next(docs: DataFrame, group: int = GROUP) -> DataFrame:
     dealt = narrow.repartition("range")
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     follow = (
-        dealt.withColumn("fingerprint", winnowed(F.col("text")))
+        dealt.withColumn("fingerprint", winnowed(F.encode("text", "utf-8")))
         .withColumn("after", F.lead(F.struct("text", "fingerprint")).over(order))
     )
     firsts = dealt.withColumn("__at", F.row_number().over(order)).where("__at = 1").select("range", "text")
@@ -109,7 +124,7 @@ def with_next(docs: DataFrame, group: int = GROUP) -> DataFrame:
     last = F.max("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     before = narrow.groupBy("range").agg(F.count("*")).select("range", F.coalesce(F.lag("range").over(every), last).alias("before"))
     heads = firsts.join(before, "range").select(
-        F.col("before").alias("range"), F.struct("text", winnowed(F.col("text")).alias("fingerprint")).alias("head")
+        F.col("before").alias("range"), F.struct("text", winnowed(F.encode("text", "utf-8")).alias("fingerprint")).alias("head")
     )
     after = F.coalesce("after", "head")
     return follow.join(heads, "range").select(
@@ -124,12 +139,16 @@ def compared(docs: DataFrame) -> DataFrame:
     """
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    both = with_computed(with_computed(with_next(docs).withColumnRenamed("fingerprint", "__own"), "edited", edited), "__edited", winnowed(F.col("edited")))
+    kept = F.encode(F.substring("text", F.lit(1), n - quarter), "utf-8")
+    taken = F.encode(F.substring("next_text", F.lit(1), quarter), "utf-8")
+    bytes_ = bind(kept, lambda k: F.struct(F.length(k).alias("kept"), F.concat(k, taken).alias("data")))
+    edited = with_computed(with_next(docs).withColumnRenamed("fingerprint", "__own"), "edited", bytes_)
+    again = rewinnowed(F.col("__own"), F.col("edited.kept"), F.col("edited.data"))
+    both = with_computed(edited, "__edited", again)
     return both.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        F.sha2("edited.data", 256).alias("edited_sha256"),
         spelled(F.col("__own")).alias("fingerprint"),
         spelled(F.col("__edited")).alias("edited_fingerprint"),
         likeness(F.col("__own"), F.col("__edited")).alias("near_edited"),
