@@ -330,10 +330,12 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     """
     scanned = stored(_scanned(docs, length), "blocks")
     grams = scanned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("__n")).where("__n > 1")
+    # Stored, so that the join shuffles both sides for itself and adaptive execution can split a hot k-gram's rows.
+    grams = stored(grams.select("gram"), "grams")
     rows = scanned.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("grams", "keys")).alias("number", "block")).select(
         "doc_id", "text_hash", F.col("number").cast("int"), F.col("block.grams").alias("gram"), F.col("block.keys").alias("key")
     )
-    shared = stored(rows.join(grams.select("gram"), "gram"), "shared")
+    shared = stored(rows.join(grams, "gram"), "shared")
     released(docs.sparkSession)
     different = stored(
         shared.groupBy("gram", "key").agg(
