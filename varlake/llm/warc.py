@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlake.llm.shared import SLICE, scratch
+from varlake.llm.shared import SLICE, scratch, stored
 
 #: Magic numbers of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -60,10 +60,12 @@ def with_responses(pages: DataFrame, page_id: str, payload: str, least_bytes: in
     long_enough = F.octet_length(F.coalesce(F.col(payload), F.lit(""))) >= least_bytes
     narrow = keyed.where(long_enough).select(F.col(page_id).alias("__page"), "__digest")
     repeated = narrow.groupBy("__digest").agg(F.min("__page").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    # Stored, so that the join shuffles both sides for itself; only then can a hot digest's pages be split.
+    repeated = stored(repeated.select(F.col("__digest").alias("__key"), "__first"), "digests")
     alone = F.concat(F.lit("-"), F.xxhash64(page_id).cast("string"))
     again = keyed.withColumn("__key", F.when(long_enough, F.col("__digest")).otherwise(alone))
     return (
-        again.join(repeated.select(F.col("__digest").alias("__key"), "__first"), "__key", "left")
+        again.join(repeated, "__key", "left")
         .withColumn("refers_to", F.when(~F.col("__first").eqNullSafe(F.col(page_id)), F.col("__first")))
         .drop("__key", "__first", "__digest")
     )
