@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     keyed = classes.select("node", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("__low"), F.max("node").alias("__high"), F.count("*").alias("size"))
     # A row for each class and bucket that it shares with another class.
-    left = stored(keyed.join(shared.where("__low <> __high").select("bucket", "size"), "bucket"), "buckets")
+    # The counts are stored, so that the join shuffles both sides for itself and a hot bucket's rows can be split.
+    shared = stored(shared.where("__low <> __high").select("bucket", "size"), "shared")
+    left = stored(keyed.join(shared, "bucket"), "buckets")
     meets = left.groupBy("node").agg(F.sum("size").alias("meets"))
     left = stored(left.select("bucket", "node").join(meets, "node"), "ranked")
     wanted = meets.select("node").join(classes.select("node", "doc_id", "text_hash", "n_shingles"), "node")
