@@ -1,3 +1,6 @@
+import textwrap
+
+import pytest
 from pyspark.sql import functions as F
 
 from varlake.llm import licences
@@ -40,6 +43,30 @@ def test_known_texts_are_found_whole(spark):
     assert [got[i][0] for i in range(len(texts))] == [licence for _, licence in texts]
 
 
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "// "])
+def test_known_texts_are_found_in_any_wrapping(spark, leader):
+    def wrapped(text, width):
+        lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(" ".join(part.split()), width, break_long_words=False, break_on_hyphens=False), ""]]
+        return "\n".join((leader + line).rstrip() for line in ["Copyright (c) 2020 Some One", "", *lines])
+
+    texts = [(text, licence) for text, licence in licences.known_texts().items() if "\n" in text]
+    rows = [(wrapped(text, width), licence) for text, licence in texts for width in [*range(20, 101), 10_000]]
+    got = found(spark, [(i, text) for i, (text, _) in enumerate(rows)])
+    assert [text for i, (text, licence) in enumerate(rows) if got[i][0] != licence] == []
+
+
+@pytest.mark.parametrize(
+    "notice",
+    [
+        "Copyright", "Copyright\n(c) 2020 Me", "Copyright 2020", "Copyright: Me", "Copyright Me and others", "COPYRIGHTED (C) 2020",
+        "Copyright The Authors", "Copyright [yyyy] [name]", "Copyright holder: Me", "(c) 2020, 2021 Me", "© Me", "All rights reserved.",
+    ],
+)
+def test_notices_are_dropped(spark, notice):
+    rows = [(1, f"{notice}\n\n{licences.MIT_GRANT}"), (2, f"/*\n * {notice}\n *\n */\n{licences.MIT_GRANT}")]
+    assert {licence for licence, _ in found(spark, rows).values()} == {"MIT"}
+
+
 def test_odd_rows(spark, odd, none):
     assert licences.scanned(odd).count() == odd.count()
     assert licences.scanned(odd).where("licence is not null or notices <> ''").count() == 0

@@ -1,6 +1,6 @@
 """Licence scans by canonical digests.
 
-A text is reduced to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space do not matter)
+A text is reduced to a canonical form (case, copyright notices, equivalent spellings, punctuation and white space do not matter)
 and hashed. Whole texts, and each line as a text of its own, are hash-joined with the digests of known licences and notices.
 """
 
@@ -99,6 +99,24 @@ SPELLINGS = {
     "©": "(c)",
 }
 
+# What follows "copyright" or a list item's "(c)" at the start of a line of a sentence that was wrapped there.
+SENTENCE = (
+    "and|are|as|can|claims?|disclaimers?|for|holders?|if|in|infringements?|interests?|is|laws?|licensee?s?|licensors?|may|must|not|"
+    "notices?|of|on|or|owners?|ownership|permissions?|protections?|rights?|shall|statements?|status|subject|terms?|that|to|"
+    "treat(?:y|ies)|under|was|which|will|with|within"
+)
+ITEM = "an?|any|each|for|if|in|that|to|under|when|where|which|with|you"
+LEADERS = r"[ \t*#/;!>-]"
+#: A copyright notice: a mark or a year follows, or a holder; or the word is a heading of its own.
+COPYRIGHT_NOTICE = (
+    rf"(?:^|\n){LEADERS}*+(?:"
+    rf"copyright(?:s|ed)?[ \t:,]*(?:\r?\n{LEADERS}*)?(?:[(]c[)]|[(<{{\[]?[0-9]{{4}})"
+    rf"|copyrights?+[ \t:]++(?=[^\s,.;()'\"/-])(?!(?:{SENTENCE})\b(?![ \t]*:))"
+    rf"|(?:\n{LEADERS}*+|(?<=\A{LEADERS}{{0,20}}))copyrights?+[ \t:]*+(?=\n{LEADERS}*+(?:\n|\z)|\z)"
+    rf"|[(]c[)][ \t]*+(?=\S)(?!(?:{ITEM})\b)"
+    r"|all rights reserved)[^\n]*"
+)
+#: What ``scan_sql`` drops instead: any line that begins so, also one of a sentence.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;!>-]*(copyright|[(]c[)]|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f“”‘’–—]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,7 +144,7 @@ def canonical_lines(text: Column) -> Column:
     form = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for variant, usual in SPELLINGS.items():
         form = F.replace(form, F.lit(variant), F.lit(usual))
-    form = F.regexp_replace(form, COPYRIGHT_LINE, "\n")
+    form = F.regexp_replace(form, COPYRIGHT_NOTICE, "\n")
     return F.regexp_replace(form, PUNCTUATION, " ")
 
 
@@ -161,7 +179,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql(documents: str = "documents") -> str:
-    """``scanned`` as DuckDB SQL."""
+    """``scanned`` as DuckDB SQL, but for ``COPYRIGHT_LINE``: lines of sentences that begin with the word are lost here."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
