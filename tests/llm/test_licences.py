@@ -1,3 +1,5 @@
+import os
+import re
 import textwrap
 
 import pytest
@@ -67,6 +69,33 @@ def test_notices_are_dropped(spark, notice):
     assert {licence for licence, _ in found(spark, rows).values()} == {"MIT"}
 
 
+SYSTEM = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(SYSTEM), reason="licence texts are not here")
+def test_entire_texts_are_found(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {name: open(f"{SYSTEM}/{name}").read() for name in names if os.path.exists(f"{SYSTEM}/{name}")}
+    rows = [(text, names[name]) for name, text in texts.items()]
+    for name in {"Apache-2.0", "MPL-2.0", "CC0-1.0"} & set(texts):
+        for width in [*range(60, 101), 10_000]:
+            parts = [textwrap.fill(" ".join(part.split()), width, break_on_hyphens=False) for part in re.split(r"\n\s*\n", texts[name])]
+            rows.append(("\n\n".join(parts), names[name]))
+    got = found(spark, [(i, text) for i, (text, _) in enumerate(rows)])
+    assert [got[i][0] for i in range(len(rows))] == [licence for _, licence in rows]
+
+
+def test_headings(spark):
+    bsd = licences.BSD_HEAD + licences.BSD_WARRANTY
+    rows = [
+        (1, "The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n" + licences.MIT_GRANT),
+        (2, "BSD 2-Clause License\n\nCopyright (c) 2020, Me\nAll rights reserved.\n\n" + bsd),
+        (3, "BSD 3-Clause License\n\n" + licences.BSD_HEAD + licences.BSD_ENDORSE + licences.BSD_WARRANTY),
+        (4, "BSD 3-Clause License\n\n" + bsd),
+    ]
+    assert [found(spark, rows)[i][0] for i in (1, 2, 3, 4)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", None]
+
+
 def test_odd_rows(spark, odd, none):
     assert licences.scanned(odd).count() == odd.count()
     assert licences.scanned(odd).where("licence is not null or notices <> ''").count() == 0

@@ -101,9 +101,9 @@ SPELLINGS = {
 
 # What follows "copyright" or a list item's "(c)" at the start of a line of a sentence that was wrapped there.
 SENTENCE = (
-    "and|are|as|can|claims?|disclaimers?|for|holders?|if|in|infringements?|interests?|is|laws?|licensee?s?|licensors?|may|must|not|"
-    "notices?|of|on|or|owners?|ownership|permissions?|protections?|rights?|shall|statements?|status|subject|terms?|that|to|"
-    "treat(?:y|ies)|under|was|which|will|with|within"
+    "and|are|as|can|claims?|disclaimers?|doctrines?|for|holders?|if|in|including|infringements?|interests?|is|laws?|licensee?s?|"
+    "licensors?|may|must|not|notices?|of|on|or|owners?|ownership|permissions?|protections?|resulting|rights?|shall|statements?|"
+    "status|subject|terms?|that|the software|to|treat(?:y|ies)|under|was|which|will|with|within"
 )
 ITEM = "an?|any|each|for|if|in|that|to|under|when|where|which|with|you"
 LEADERS = r"[ \t*#/;!>-]"
@@ -111,7 +111,7 @@ LEADERS = r"[ \t*#/;!>-]"
 COPYRIGHT_NOTICE = (
     rf"(?:^|\n){LEADERS}*+(?:"
     rf"copyright(?:s|ed)?[ \t:,]*(?:\r?\n{LEADERS}*)?(?:[(]c[)]|[(<{{\[]?[0-9]{{4}})"
-    rf"|copyrights?+[ \t:]++(?=[^\s,.;()'\"/-])(?!(?:{SENTENCE})\b(?![ \t]*:))"
+    rf"|copyrights?+[ \t:]++(?=[^\s,.;()'\"/-])(?!(?!(?:holder|owner|notice)s?[ \t]*:)(?:{SENTENCE})\b)"
     rf"|(?:\n{LEADERS}*+|(?<=\A{LEADERS}{{0,20}}))copyrights?+[ \t:]*+(?=\n{LEADERS}*+(?:\n|\z)|\z)"
     rf"|[(]c[)][ \t]*+(?=\S)(?!(?:{ITEM})\b)"
     r"|all rights reserved)[^\n]*"
@@ -121,6 +121,26 @@ COPYRIGHT_LINE = r"(^|\n)[ \t*#/;!>-]*(copyright|[(]c[)]|all rights reserved)[^\
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f“”‘’–—]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Digests of entire texts that are too long to be kept here, as published.
+ENTIRE = {
+    "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6": "Apache-2.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "aa997bc1c3422ccdc7ccabdc6f9aaa9ce2ebeed7be208887d2b13ff901326c75": "GPL-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "0d3bfcceda6470dcd13089cae938e4e0251be32d7ab34ca76aea6195a56230bf": "GPL-3.0",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "6fd32d7fe30fa66c101714769c97e3e375bdf90cc19532508e2dfb4d98a92a9d": "CC-BY-SA-4.0",
+}
+#: Lines above a text of ``known_texts``, by licence.
+HEADINGS = {
+    "MIT": ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("The ISC License", "The ISC License (ISC)", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "3-Clause BSD License"),
+}
+
 
 def known_texts() -> dict[str, str]:
     """Text to licence identifier; the notices follow from names and openings."""
@@ -139,6 +159,22 @@ def known_texts() -> dict[str, str]:
     return texts
 
 
+def headed_texts() -> dict[str, str]:
+    """The entire texts of ``known_texts`` under each of ``HEADINGS``."""
+    texts = {
+        "MIT": MIT_GRANT,
+        "ISC": ISC_GRANT + ISC_WARRANTY,
+        "BSD-2-Clause": BSD_HEAD + BSD_WARRANTY,
+        "BSD-3-Clause": BSD_HEAD + BSD_ENDORSE + BSD_WARRANTY,
+    }
+    found = {}
+    for licence, headings in HEADINGS.items():
+        for heading in headings:
+            names = [heading] if heading.startswith("The ") else [heading, f"The {heading}"]
+            found |= {f"{name}\n\n{texts[licence]}": licence for name in names}
+    return found
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line breaks. Only A-Z are lowered; letters beyond ASCII stay."""
     form = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -154,9 +190,11 @@ def joined_lines(form: Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, licence): one row per known canonical form."""
-    rows = spark.createDataFrame(list(known_texts().items()), "text string, licence string")
-    digest = F.sha2(joined_lines(canonical_lines(F.col("text"))), 256).alias("digest")
-    return rows.groupBy(digest).agg(F.min("licence").alias("licence"))
+    texts = known_texts() | headed_texts()
+    rows = spark.createDataFrame(list(texts.items()), "text string, licence string")
+    digests = rows.select(F.sha2(joined_lines(canonical_lines(F.col("text"))), 256).alias("digest"), "licence")
+    entire = spark.createDataFrame(list(ENTIRE.items()), "digest string, licence string")
+    return digests.union(entire).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -179,7 +217,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql(documents: str = "documents") -> str:
-    """``scanned`` as DuckDB SQL, but for ``COPYRIGHT_LINE``: lines of sentences that begin with the word are lost here."""
+    """``scanned`` as DuckDB SQL, but for ``COPYRIGHT_LINE`` (lines of sentences that begin with the word are lost here) and
+    without the texts of ``HEADINGS`` and ``ENTIRE``."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
