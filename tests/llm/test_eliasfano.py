@@ -63,5 +63,17 @@ def test_files_round_trip(odd, monkeypatch):
     assert [tuple(row) for row in got] == expected
 
 
+def test_added_tokens_are_found(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "after"]
+    start, expected = 0, []
+    for doc_id, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        expected.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [tuple(row) for row in eliasfano.token_files(docs, VOCABULARY, end_id=0).orderBy("start").collect()] == expected
+
+
 def test_empty_table(none):
     assert eliasfano.token_files(none, VOCABULARY).count() == 0

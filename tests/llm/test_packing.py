@@ -79,6 +79,35 @@ def test_ids_equal_the_library_s(tokenizer):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "é <|endoftext|>\n\n<|endoftext|>日本 ", "<|endoftext", " \n<|endoftext|>"]
+
+
+@pytest.mark.parametrize("text", ADDED)
+def test_encoded_equals_the_library_s_defaults(text):
+    plain = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    assert np.frombuffer(encoder(VOCABULARY).encoded(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_that_take_white_space(tmp_path):
+    from tokenizers import AddedToken
+
+    other = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    other.add_special_tokens([AddedToken("<mask>", lstrip=True, rstrip=True), "<mask>s"])
+    other.save(f"{tmp_path}/other.json")
+    for text in [*ADDED, "a <mask>  b", "a <mask>s <|endoftext|> b"]:
+        ids = np.frombuffer(encoder(f"{tmp_path}/other.json").encoded(text), "<u4").tolist()
+        assert ids == other.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_texts_with_added_tokens(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.packed_documents(docs, VOCABULARY, end_id=2)[1].collect()}
+    for doc_id, text in enumerate(ADDED):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert got[doc_id] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_pieces_and_sequences(odd, tokenizer):
     pieces, placement = packing.packed_documents(odd, VOCABULARY, end_id=2, capacity=64)
     rows = placement.collect()

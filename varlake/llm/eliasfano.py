@@ -160,7 +160,7 @@ def write_token_files(
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).ids
+        encode = encoder(vocabulary).encoded
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         held = 0

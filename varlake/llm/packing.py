@@ -168,7 +168,7 @@ def token_pieces(
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(vocabulary).ids
+        encode = encoder(vocabulary).encoded
         rows: list[int] = []
         numbers, starts, lengths, parts = [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):

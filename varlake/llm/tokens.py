@@ -36,7 +36,8 @@ class Encoder:
     """Ids of ``tokenizers`` for a byte-level vocabulary, as little-endian unsigned 32-bit bytes.
 
     The vocabulary never merges over the bounds of its pre-tokenization, so a text is cut there and each different piece is
-    encoded by the library once. Strings of special tokens are ordinary text.
+    encoded by the library once. ``encoded`` finds the added tokens in a text as the library does by default; to ``ids`` their
+    strings are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,10 +49,25 @@ class Encoder:
         if not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.normalizer is not None:
             raise ValueError("the vocabulary must be byte-level and without a normalizer")
         self._model = tokenizer.model
+        self._tokenizer = tokenizer
+        added = tokenizer.get_added_tokens_decoder()
+        self._added = {token.content: np.array([number], "<u4").tobytes() for number, token in added.items()}
+        # White space beside some tokens is theirs, and some are whole words only: the library must see such texts whole.
+        self._plain = not any(token.lstrip or token.rstrip or token.single_word for token in added.values())
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._bounds = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self._letters = _byte_letters()
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def encoded(self, text: str | None) -> bytes:
+        """Ids as ``Tokenizer.encode`` gives them with ``add_special_tokens=False``. Null and empty texts have none."""
+        if not text or self._bounds is None or not self._bounds.search(text):
+            return self.ids(text)
+        if not self._plain:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(self._added[part] if at % 2 else self.ids(part) for at, part in enumerate(self._bounds.split(text)))
+
     def ids(self, text: str | None) -> bytes:
         """Null and empty texts have no ids."""
         if not text:
