@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlake.llm import eliasfano, licences, minhash, mixing, packing, quality, suffix, toxicity, warc, winnow
+from varlake.llm import eliasfano, fptree, kmeans, licences, minhash, mixing, packing, quality, suffix, topk, toxicity, warc, winnow
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -72,6 +72,18 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.token_files(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=0)
 
 
+def op11_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clustered(_table(spark, sf_dir, "embeddings"), dims=64, k=16, rounds=3)
+
+
+def op13_document_fptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_dictionary": op1_warc_dictionary,
@@ -84,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_blocks": op8_suffix_blocks,
         "op9_winnowing": op9_winnowing,
         "op10_elias_fano_tokens": op10_elias_fano_tokens,
+        "op11_block_pruning": op11_block_pruning,
+        "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_document_fptree": op13_document_fptree,
     }
 
 
@@ -141,8 +156,78 @@ ORACLES = {
                sha256(unhex(coalesce(kept, ''))) as kept_sha256
         from bytes left join found using (doc_id)
     """,
+    "op11_block_pruning": """
+        with vectors as (
+            select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.place, q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+            from vectors q, vectors c where q.vec_id % 20 = 0 and q.place <> c.place
+        ), ranked as (
+            select *, row_number() over (partition by place order by score desc, vec_id nulls last)::int as rank from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 20
+    """,
+    "op13_document_fptree": r"""
+        with words as (
+            select row_number() over () as doc, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') as terms
+            from documents
+        ), asked as (
+            select distinct item, item_id, unnest(terms) as term from (
+                select row_number() over () as item, item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') as terms
+                from benchmark)
+        ), sizes as (
+            select doc, doc_id, len(terms)::bigint as n from words where len(terms) > 0
+        ), totals as (
+            select count(*)::bigint as docs, sum(n)::bigint as length from sizes
+        ), counts as (
+            select doc, term, count(*)::bigint as tf from (select doc, unnest(terms) as term from words) group by doc, term
+        ), weights as (
+            select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double))::bigint as w from counts, totals group by term
+        ), scored as (
+            select item, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // length))))::bigint as score
+            from asked join counts using (term) join weights using (term) join sizes using (doc), totals
+            group by item, item_id, doc, doc_id
+        ), ranked as (
+            select *, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank from scored where score > 0
+        )
+        select item_id, rank, doc_id, score from ranked where rank <= 10
+    """,
 }
 
 
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds written out: each assigns in one subquery and averages in the next."""
+    nearest = """
+        select place, vec_id, v, (best).cluster as cluster, (best).distance as distance from (
+            select place, vec_id, v, min(struct_pack(distance := list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint, cluster := cluster)) as best
+            from vectors, {centroids} group by place, vec_id, v)"""
+    steps = []
+    for at in range(rounds):
+        steps.append(f"assigned{at} as ({nearest.format(centroids=f'centroids{at}')})")
+        steps.append(f"""means{at} as (
+            select cluster, list(mean order by i) as c from (
+                select cluster, i, ((s - ((s % n) + n) % n) // n)::bigint as mean from (
+                    select cluster, i, sum(v[i])::bigint as s, count(*)::bigint as n from assigned{at}, range(1, 65) t(i) group by cluster, i))
+            group by cluster)""")
+        steps.append(f"""centroids{at + 1} as (
+            select o.cluster, coalesce(m.c, o.c) as c from centroids{at} o left join means{at} m on m.cluster = o.cluster)""")
+    steps.append(f"final as ({nearest.format(centroids=f'centroids{rounds}')})")
+    return f"""
+        with vectors as (
+            select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+            from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), centroids0 as (
+            select (row_number() over (order by sha256('1:' || vec_id) nulls last, v) - 1)::int as cluster, v as c
+            from vectors order by cluster limit {k}
+        ), {", ".join(steps)},
+        inertias as (select cluster, sum(distance)::bigint as cluster_inertia from final group by cluster)
+        select vec_id, cluster, distance, cluster_inertia, (select sum(cluster_inertia)::bigint from inertias) as inertia,
+            sha256(array_to_string(list_transform(c, lambda x: x::varchar), ',')) as centroid_sha256
+        from final join inertias using (cluster) join centroids{rounds} using (cluster)
+    """
+
+
 def oracles() -> dict[str, str]:
-    return ORACLES | {"op5_licence_digests": licences.scan_sql()}
+    return ORACLES | {"op5_licence_digests": licences.scan_sql(), "op12_centroid_clusters": _clusters_sql()}
