@@ -101,3 +101,31 @@ def test_paths_and_hubs_become_components(spark):
 
 def test_empty_table(none):
     assert minhash.near_duplicates(none).count() == 0
+
+
+def swapped(n, others):
+    """``n`` copies of a text of 60 words, each word swapped with probability 0.1 for one of ``others`` words of its place."""
+    rng = random.Random(1)
+    return [(at, " ".join(f"o{i}x{rng.randrange(others)}" if rng.random() < 0.1 else f"b{i}" for i in range(60))) for at in range(n)]
+
+
+# With one fixed other word the linked pairs themselves grow with nearly the square: 21 and 103.
+@pytest.mark.parametrize(("others", "growth"), [(1_000, 2.6), (1, 3.5)])
+def test_compared_pairs_of_an_edited_group(spark, monkeypatch, others, growth):
+    real, compared = minhash._compared, []
+
+    def counting(pairs, *rest, **named):
+        compared.append(pairs.count())
+        return real(pairs, *rest, **named)
+
+    monkeypatch.setattr(minhash, "_compared", counting)
+    totals = []
+    for n in (200, 400):
+        compared.clear()
+        rows = swapped(n, others)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = minhash.near_duplicates(docs, width=2).drop("text_hash").collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 2, 80), key=key)
+        totals.append(sum(compared))
+        print(n, compared)
+    assert totals[1] <= growth * totals[0] and totals[1] < 0.25 * 400 * 399 / 2

@@ -7,8 +7,10 @@ one class, and all later steps see a class once.
 A bucket (equal band) of classes is never paired out. It compares its pivot with its other classes: the class that meets most
 others, which in a group of edited copies is the least edited. Links join components. Of the classes that were compared with
 one pivot but lie in different components, only those pairs are compared that can be linked at all: what two classes differ
-by is the symmetric difference of what either differs from the pivot by, and of that they can only have in common what more
-than one class of the pivot has. Such counts, of which a pivot has few different ones, are paired, not the classes.
+by is the symmetric difference of what either differs from the pivot by, so linked classes share a known number of their
+differences from the pivot, and then one of them lies in a prefix of both if differences are ordered rarest first. Classes
+meet by such a difference, never by the pivot alone. Where a pivot's classes edit the same few places, prefixes still meet
+often: these classes are banded once more, so finely that a bucket holds hardly any that are not linked, and take new pivots.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlake.llm.components import components
@@ -27,6 +29,10 @@ from varlake.llm.shared import SLICE, map_slices, stored
 
 #: At 40 bands of 5 rows a pair of similarity 0.8 shares no bucket once in 8 million times.
 BANDS, ROWS = 40, 5
+#: The fine banding: the same pair shares none of its buckets once in 8 million times, one of similarity 0.5 does once in 120.
+FINE_BANDS, FINE_ROWS = 560, 16
+#: Meetings for each class of a pivot from which on its classes are banded finely.
+CROWDED = 128
 #: Elements of the (shift, shingle) matrix that is worked on at a time.
 BLOCK = 1 << 20
 
@@ -72,6 +78,14 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _keys(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A 64-bit key for each band of the signature; an empty set has none."""
+    if not len(shingles):
+        return []
+    parts = signature(shingles, bands * rows).reshape(bands, rows)
+    return [xxhash.xxh64_intdigest(part.tobytes(), seed=band) - (1 << 63) for band, part in enumerate(parts)]
+
+
 def sketched(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, digest, bands): digest of the whole set, and a 64-bit key for each band."""
 
@@ -81,11 +95,7 @@ def sketched(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
             shingles = shingle_set(text, width)
             sizes.append(len(shingles))
             digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-            if not len(shingles):
-                keys.append([])
-                continue
-            parts = signature(shingles, bands * rows).reshape(bands, rows)
-            keys.append([xxhash.xxh64_intdigest(part.tobytes(), seed=band) - (1 << 63) for band, part in enumerate(parts)])
+            keys.append(_keys(shingles, bands, rows))
         columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "n_shingles", "digest", "bands"]
@@ -96,6 +106,16 @@ def sketched(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
     return map_slices(narrow, sketch, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
+def _finely_banded(texts: DataFrame, width: int) -> DataFrame:
+    """(node, bucket) by the fine banding."""
+
+    def band(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [_keys(shingle_set(text, width), FINE_BANDS, FINE_ROWS) for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands"])
+
+    return map_slices(texts.select("node", "text"), band, "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     lefts = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     rights = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -133,27 +153,71 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, diff
     return _with_texts(pairs, texts).mapInArrow(compare, "a long, b long, n long, linked boolean, differences array<long>")
 
 
-def _possible_pairs(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of different components that were compared with one pivot and may be linked."""
-    entries = compared.select("a", "b", F.explode("differences").alias("one"))
-    alone = entries.groupBy("a", "one").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
-    alone = alone.groupBy("a", "b").agg(F.count("*").alias("alone"))
-    members = compared.select("a", "b", "n", F.size("differences").alias("differ")).join(alone, ["a", "b"], "left")
-    members = _rooted(members.withColumnRenamed("b", "node"), roots).withColumn("common", F.col("differ") - F.coalesce("alone", F.lit(0)))
-    kind = ["n", "differ", "common"]
-    members = stored(members.select(F.col("a").alias("pivot"), "node", "root", *kind), "members")
-    kinds = members.groupBy("pivot", *kind).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    one = kinds.select("pivot", *[F.col(c).alias(f"{c}_1") for c in (*kind, "low", "high")])
-    two = kinds.select("pivot", *[F.col(c).alias(f"{c}_2") for c in (*kind, "low", "high")])
-    least = F.col("differ_1") + F.col("differ_2") - 2 * F.least("common_1", "common_2")
-    possible = (100 + percent) * least <= (100 - percent) * (F.col("n_1") + F.col("n_2"))
-    ordered = F.struct("n_1", "differ_1", "common_1") <= F.struct("n_2", "differ_2", "common_2")
-    apart = (F.col("low_1") != F.col("high_2")) | (F.col("high_1") != F.col("low_2"))
-    chosen = one.join(two, "pivot").where(possible & ordered & apart).drop("low_1", "high_1", "low_2", "high_2")
-    left = members.select("pivot", F.col("node").alias("a"), F.col("root").alias("root_1"), *[F.col(c).alias(f"{c}_1") for c in kind])
-    right = members.select("pivot", F.col("node").alias("b"), F.col("root").alias("root_2"), *[F.col(c).alias(f"{c}_2") for c in kind])
-    pairs = chosen.join(left, ["pivot", *[f"{c}_1" for c in kind]]).join(right, ["pivot", *[f"{c}_2" for c in kind]])
-    return pairs.where("root_1 <> root_2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _starred(members: DataFrame) -> DataFrame:
+    """(a, b): the pivot of each bucket with its other nodes, of ``members`` (bucket, node, meets)."""
+    rank = F.struct(F.col("meets"), (-F.col("node")).alias("__minus"))
+    pivots = members.groupBy("bucket").agg(F.max_by("node", rank).alias("pivot"))
+    pairs = members.join(pivots, "bucket").where("node <> pivot")
+    return pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _entries(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(pivot, members, one, node, root, far, g, differ, place): what classes of pivots that join several components differ by.
+
+    ``g`` is (100 + percent) * differ - (100 - percent) * n: two classes are linked only if they share at least
+    (g_1 + g_2) / (2 * (100 + percent)) differences. ``place`` numbers a class's differences, rarest first; those of one class
+    only are left out, as are places behind the longest prefix that any partner asks for. ``far`` says that the class lies in
+    another component than its pivot.
+    """
+    pivot_roots = roots.select(F.col("node").alias("a"), F.col("root").alias("__pivot_root"))
+    placed = _rooted(compared.withColumnRenamed("b", "node"), roots).join(pivot_roots, "a", "left")
+    g = F.col("differ") * (100 + percent) - F.col("n") * (100 - percent)
+    members = (
+        placed.withColumn("far", F.col("root") != F.coalesce("__pivot_root", "a"))
+        .withColumn("differ", F.size("differences"))
+        .withColumn("g", g)
+        .select(F.col("a").alias("pivot"), "node", "root", "far", "g", "differ", "differences")
+    )
+    least = members.groupBy("pivot").agg(
+        F.count("*").alias("members"), F.min("g").alias("least"), F.min(F.when(F.col("far"), F.col("g"))).alias("least_far")
+    )
+    members = stored(members.join(least.where("least_far is not null"), "pivot"), "members")
+    rows = members.withColumn("one", F.explode("differences")).drop("differences")
+    often = rows.groupBy("pivot", "one").agg(F.count("*").alias("often"), F.max("far").alias("__far"))
+    rows = rows.join(often.withColumnsRenamed({"pivot": "__pivot", "one": "__one"}), (F.col("pivot") == F.col("__pivot")) & (F.col("one") == F.col("__one")))
+    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "one"))
+    least_shared = _shared_at_least(F.col("g"), F.when(F.col("far"), F.col("least")).otherwise(F.col("least_far")), percent)
+    rows = rows.withColumn("place", place).where((F.col("often") > 1) & F.col("__far") & (F.col("place") <= F.col("differ") - least_shared + 1))
+    return rows.select("pivot", "members", "one", "node", "root", "far", "g", "differ", "place")
+
+
+def _shared_at_least(g_1: Column, g_2: Column, percent: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil((g_1 + g_2) / (2 * (100 + percent))))
+
+
+def _possible_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different components, compared with one pivot, that share a difference in both their prefixes.
+
+    Where entries have ``buckets``, the classes share one of these too.
+    """
+    names = ["node", "root", "g", "differ", "place", *(["buckets"] if "buckets" in entries.columns else [])]
+    ones = entries.where("far").select("pivot", "one", *[F.col(c).alias(f"{c}_1") for c in names])
+    twos = entries.select("pivot", "one", *[F.col(c).alias(f"{c}_2") for c in [*names, "far"]])
+    shared = _shared_at_least(F.col("g_1"), F.col("g_2"), percent)
+    within = (F.col("place_1") <= F.col("differ_1") - shared + 1) & (F.col("place_2") <= F.col("differ_2") - shared + 1)
+    once = ~F.col("far_2") | (F.col("node_1") < F.col("node_2"))
+    wanted = (ones["pivot"] == twos["pivot"]) & (ones["one"] == twos["one"]) & (F.col("root_1") != F.col("root_2")) & once & within
+    if "buckets" in names:
+        wanted = wanted & F.arrays_overlap("buckets_1", "buckets_2")
+    pairs = ones.join(twos, wanted)
+    return pairs.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """(pivot): those whose classes would meet over CROWDED times each, before any look at places."""
+    lists = entries.groupBy("pivot", "one").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far"), F.first("members").alias("members"))
+    meetings = lists.groupBy("pivot").agg(F.sum(F.col("n") * F.col("n_far")).alias("meetings"), F.first("members").alias("members"))
+    return meetings.where(F.col("meetings") > CROWDED * F.col("members")).select("pivot")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,15 +248,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_hash") == F.col("__hash"))
     texts = stored(source.join(wanted, same).select("node", "n", "text").dropDuplicates(["node"]), "texts")
 
-    rank = F.struct(F.col("meets"), (-F.col("node")).alias("__minus"))
-    pivots = left.groupBy("bucket").agg(F.max_by("node", rank).alias("pivot"))
-    pairs = left.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    compared = stored(_compared(pairs, texts, width, percent, differences=True), "compared")
+    compared = stored(_compared(_starred(left), texts, width, percent, differences=True), "compared")
     links = compared.where("linked").select("a", "b")
     roots = stored(components(links), "roots")
-    more = stored(_compared(_possible_pairs(compared, roots, percent), texts, width, percent, differences=False), "links")
-    if not more.where("linked").isEmpty():
-        roots = stored(components(links.unionByName(more.where("linked").select("a", "b"))), "roots")
+    entries = stored(_entries(compared, roots, percent), "entries")
+    crowded = stored(_crowded(entries), "crowded")
+    more = stored(_compared(_possible_pairs(entries.join(crowded, "pivot", "left_anti"), percent), texts, width, percent, False), "links")
+    links = links.unionByName(more.where("linked").select("a", "b"))
+    if not crowded.isEmpty():
+        nodes = entries.join(crowded, "pivot", "left_semi").select("node").distinct()
+        roots = stored(components(links), "roots")
+        fine = _rooted(_finely_banded(texts.join(nodes, "node", "left_semi"), width), roots)
+        fine = stored(fine, "fine")
+        mixed = fine.groupBy("bucket").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high")
+        mixed = stored(mixed.select("bucket"), "mixed")
+        ranked = fine.join(mixed, "bucket").select("bucket", "node").join(meets, "node")
+        closer = stored(_compared(_starred(ranked), texts, width, percent, differences=True), "closer")
+        links = links.unionByName(closer.where("linked").select("a", "b"))
+        roots = stored(components(links), "roots")
+        met = ranked.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+        last = stored(_entries(closer, roots, percent).join(met, "node"), "entries")
+        last = stored(_compared(_possible_pairs(last, percent), texts, width, percent, differences=False), "links")
+        links = links.unionByName(last.where("linked").select("a", "b"))
+    roots = stored(components(links), "roots")
 
     smallest = filled.groupBy("digest").agg(F.min("doc_id").alias("least"))
     placed = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
