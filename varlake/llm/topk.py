@@ -7,7 +7,7 @@ order of their bound, the query's positive components times the largest weights
 and are scored through the forward index until the bound falls below the k-th score.
 
 A query first meets the shard that it lies in; the k-th score there is its threshold in all others. Queries and shards meet in
-groups of bounded size; nothing is broadcast, and only what reaches the threshold goes on to the final ranking.
+groups of bounded size, within which thresholds go on rising; nothing is broadcast, and only what reaches the threshold goes on to the final ranking.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlake.llm.shared import stored
@@ -27,8 +27,8 @@ from varlake.llm.vectors import integers
 BLOCK, STEP = 16, 8
 #: Vectors of a shard, at least and at most: it grows with the table, so that queries travel to fewer of them.
 LEAST_SHARD, MOST_SHARD = 4_096, 65_536
-#: Vectors in the shards whose queries visit another shard together.
-VISIT = 1 << 18
+#: Shards that queries visit in one task, and shards whose queries do so together, at most and in proportion to all.
+HOSTS, GUESTS = 16, 64
 #: Scores that a search holds at a time.
 HELD = 1 << 20
 
@@ -196,12 +196,19 @@ _ARROW = pa.schema(
 )
 
 
-def visits(shards: DataFrame, n_shards: int, rows: int, k: int) -> DataFrame:
-    """What the queries of each shard find in all others, at or above their thresholds (schema HIT)."""
-    together = max(1, VISIT // rows)
-    parties = -(-n_shards // together)
+def visits(shards: DataFrame, n_shards: int, k: int) -> DataFrame:
+    """What the queries of each shard find in the others, at or above their thresholds (schema HIT).
+
+    A task takes some shards and the queries of some others; a query's threshold rises from one of its shards to the next.
+    """
+    hosts_each, guests_each = max(1, min(HOSTS, n_shards // 16)), max(1, min(GUESTS, n_shards // 4))
+    rooms, parties = -(-n_shards // hosts_each), -(-n_shards // guests_each)
+
+    def counted(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
     hosts = shards.select(
-        F.col("shard").alias("host"), "dims", "vec_ids", "matrix", F.explode(F.sequence(F.lit(0), F.lit(parties - 1))).alias("party")
+        "shard", "dims", "vec_ids", "matrix", F.floor(F.col("shard") / hosts_each).alias("room"), counted(parties).alias("party")
     )
     guests = shards.where(F.size("query_ids") > 0).select(
         "shard",
@@ -209,31 +216,41 @@ def visits(shards: DataFrame, n_shards: int, rows: int, k: int) -> DataFrame:
         "query_ids",
         "query_matrix",
         "thresholds",
-        F.floor(F.col("shard") / together).cast("int").alias("party"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("host"),
+        F.floor(F.col("shard") / guests_each).alias("party"),
+        counted(rooms).alias("room"),
     )
 
-    def meet(host: pa.Table, guests: pa.Table) -> pa.Table:
+    def meet(hosts: pa.Table, guests: pa.Table) -> pa.Table:
         columns: list[list] = [[], [], [], [], []]
-        if host.num_rows and guests.num_rows:
-            (one,) = host.to_pylist()
-            matrix = np.frombuffer(one["matrix"], "<i4").astype("i8").reshape(len(one["vec_ids"]), one["dims"])
-            index = Blocks(one["vec_ids"], matrix)
-            for guest in guests.to_pylist():
-                asked = len(guest["query_ids"])
-                queries = np.frombuffer(guest["query_matrix"], "<i4").astype("i8").reshape(asked, guest["dims"])
-                lowest = np.array([np.iinfo("i8").min if low is None else low for low in guest["thresholds"]], "i8")
+        rooms = [(one["shard"], Blocks(one["vec_ids"], _matrix(one["matrix"], len(one["vec_ids"]), one["dims"]))) for one in hosts.to_pylist()]
+        for guest in guests.to_pylist() if rooms else ():
+            asked = len(guest["query_ids"])
+            queries = _matrix(guest["query_matrix"], asked, guest["dims"])
+            lowest = np.array([np.iinfo("i8").min if low is None else low for low in guest["thresholds"]], "i8")
+            best: list[list[tuple]] = [[] for _ in range(asked)]
+            for shard, index in rooms:
+                if shard == guest["shard"]:
+                    continue
                 query, place, score = index.search(queries, k, lowest, np.full(asked, -1))
-                columns[0] += [guest["shard"]] * len(query)
-                columns[1] += query.tolist()
-                columns[2] += [guest["query_ids"][at] for at in query]
-                columns[3] += [one["vec_ids"][at] for at in place]
-                columns[4] += score.tolist()
+                for at, where, value in zip(query.tolist(), place.tolist(), score.tolist()):
+                    best[at].append((-value, index.vec_ids[where] is None, index.vec_ids[where] or 0))
+                for at in set(query.tolist()):
+                    best[at] = sorted(best[at])[:k]
+                    if len(best[at]) == k:
+                        lowest[at] = max(lowest[at], -best[at][-1][0])
+            for at, found in enumerate(best):
+                for minus, null, vec_id in found:
+                    row = guest["shard"], at, guest["query_ids"][at], None if null else vec_id, -minus
+                    for column, value in zip(columns, row):
+                        column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["shard", "query", "query_id", "vec_id", "score"])
 
-    guests = guests.where("shard <> host")
-    return hosts.groupBy("host", "party").cogroup(guests.groupBy("host", "party")).applyInArrow(meet, HIT)
+    return hosts.groupBy("room", "party").cogroup(guests.groupBy("room", "party")).applyInArrow(meet, HIT)
+
+
+def _matrix(data: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4").astype("i8").reshape(n, dims)
 
 
 def top_products(
@@ -256,7 +273,7 @@ def top_products(
     home = shards.select("shard", "query_ids", F.explode("found").alias("hit")).select(
         "shard", "hit.query", F.col("query_ids")[F.col("hit.query")].alias("query_id"), "hit.vec_id", "hit.score"
     )
-    hits = home if last is None else home.unionByName(visits(shards, n_partitions * (numbers + 1), size, k))
+    hits = home if last is None else home.unionByName(visits(shards, n_partitions * (numbers + 1), k))
     best = Window.partitionBy("shard", "query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
