@@ -94,3 +94,34 @@ def test_words(spark, odd):
 
 def test_empty_table(none):
     assert mixing.mix(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_dominated_source_meets_its_target(seed):
+    """The draw of the large documents minds what the small ones can make up for; all without Spark, as a task does it."""
+    import pyarrow as pa
+
+    # 4170 words of which one text has 3000: the target can be met with one copy of it, or nearly, never with two.
+    sizes, target, cap = [3_000, *[30] * 39], 5_512.0, 2.0
+    total = sum(sizes)
+    ratio = min(target / total, cap)
+    unit = {"source": "a", "doc_id": 0, "size": 3_000, "mass": 3_000.0, "group": 0, "fraction": ratio - 1, "target": target, "source_size": total, "large_mass": 3_000.0}
+    table = pa.Table.from_pylist([unit])
+    drawn = mixing._rounding(f"{seed}/large", 0, True, cap)(table).column("drawn")[0].as_py()
+    left = target - 3_000 * (1 + drawn)
+    best = min(max(0.0, -(target - 3_000 * n), target - 3_000 * n - cap * 1_170) for n in (1, 2))
+    assert max(0.0, -left, left - cap * 1_170) == best
+
+
+def test_dominated_sources_through_spark(spark):
+    rows = [(0, "w " * 3_000, "a"), *((i, "w " * 30, "a") for i in range(1, 40)), *((100 + i, "w " * 50, "b") for i in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in ("mix", "x", "y", "z"):
+        out = mixing.mix(docs, weights=(53, 30), share=1.3, seed=seed).toPandas()
+        for source, part in out.groupby("source"):
+            taken, target = (part["copies"] * part["size"]).sum(), part["target"].iloc[0]
+            size, mean = part["source_size"].iloc[0], part["size"].mean()
+            large = part[part["size"] > mean]["size"].sum()
+            # What no choice of copies of the large document can meet is left.
+            missed = min(max(0.0, large * n - target, target - large * n - 2 * (size - large)) for n in (0, 1, 2)) if large else 0.0
+            assert abs(taken - target) <= missed + mean + 1, (source, seed, taken, target)

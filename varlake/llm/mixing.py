@@ -6,8 +6,10 @@ has no fraction left, so that each document's expectation and the source's total
 hashed groups of a source; what each leaves, one document at most, meets those of 64 groups at the next level of a tree.
 
 The tree's last document is drawn alone, and would put the total off by up to its own size. So documents above the source's
-mean size go first, and what their last draw gained or lost (zero on average) is spread over the others before these are
-rounded. That leaves an error of about a mean document.
+mean size go first, and what their last draw gained or lost is spread over the others before these are rounded: their common ratio
+is shifted, within 0 and the cap, and split into a whole number and a fraction again. That last draw is free only where the
+others can make up for either outcome; else it takes the one that they can, or that leaves less. An error of about a mean
+document is left wherever the target can be met at all.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlake.llm.shared import extended, n_words, stored
@@ -80,8 +82,28 @@ def _paired(fractions: np.ndarray, masses: np.ndarray, draws: np.ndarray) -> tup
     return out, held
 
 
-def _rounding(seed: str, level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
-    """Rounds a group; its open document, if any, keeps a null ``drawn``, but at the ``last`` level is drawn alone."""
+def _last_draw(table: pa.Table, held: int, fraction: float, draw: float, cap: float) -> bool:
+    """Whether the last open document is taken: a free draw only if the source's target can be met either way.
+
+    Pairing has kept the mass of the source's large documents, so the two possible totals are known here.
+    """
+    one = {name: table.column(name)[held].as_py() for name in ("mass", "target", "source_size", "large_mass")}
+    expected = one["target"] / one["source_size"] * one["large_mass"]
+    room = cap * (one["source_size"] - one["large_mass"])
+
+    def missed(taken: int) -> float:
+        left = one["target"] - expected - (taken - fraction) * one["mass"]
+        return max(0.0, -left, left - room)
+
+    without, with_it = missed(0), missed(1)
+    return draw < fraction if without == with_it else with_it < without
+
+
+def _rounding(seed: str, level: int, last: bool, cap: float | None) -> Callable[[pa.Table], pa.Table]:
+    """Rounds a group; its open document, if any, keeps a null ``drawn``, but at the ``last`` level is drawn.
+
+    With ``cap`` that draw minds what the source's other documents can make up for, see ``_last_draw``.
+    """
 
     def rounded(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
@@ -94,7 +116,8 @@ def _rounding(seed: str, level: int, last: bool) -> Callable[[pa.Table], pa.Tabl
         fractions, held = _paired(fractions, masses, draws[0])
         is_open = np.zeros(n, bool)
         if held is not None and last:
-            fractions[held] = draws[1][held] < fractions[held]
+            alone = draws[1][held] < fractions[held]
+            fractions[held] = alone if cap is None else _last_draw(table, held, fractions[held], draws[1][held], cap)
         elif held is not None:
             is_open[held] = True
         drawn = pa.array(fractions.round().astype("i4"), mask=is_open)
@@ -104,17 +127,18 @@ def _rounding(seed: str, level: int, last: bool) -> Callable[[pa.Table], pa.Tabl
     return rounded
 
 
-def pivotal(units: DataFrame, seed: str, name: str) -> DataFrame:
+def pivotal(units: DataFrame, seed: str, name: str, cap: float | None = None) -> DataFrame:
     """Adds ``drawn`` (0 or 1) to units (source, doc_id, size, mass, fraction, group): the rounded fraction.
 
-    Units of no mass are drawn alone. Rerunning gives the same draws.
+    Units of no mass are drawn alone. Rerunning gives the same draws. With ``cap`` the units are the large ones of their
+    sources and have target, source_size and large_mass too.
     """
     out_schema = extended(units.schema, drawn="int")
     n_groups = (units.agg(F.max("group")).first()[0] or 0) + 1
     open_units, decided, level = units, [], 0
     while True:
         last = n_groups == 1
-        step = _rounding(seed, level, last)
+        step = _rounding(seed, level, last, cap)
         done = stored(open_units.groupBy("source", "group").applyInArrow(step, out_schema), f"{name}-{level}")
         decided.append(done.where("drawn is not null"))
         if last:
@@ -128,6 +152,12 @@ def pivotal(units: DataFrame, seed: str, name: str) -> DataFrame:
     return all_decided
 
 
+def _parted(units: DataFrame, ratio: Column) -> DataFrame:
+    """Copies per document as a whole number and a fraction."""
+    whole = F.floor(ratio).cast("int")
+    return units.withColumn("whole", whole).withColumn("fraction", ratio - F.col("whole")).drop("__ratio", "__large")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -161,23 +191,23 @@ def mix(
         units.join(known, F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("mass", mass.cast("double"))
         .withColumn("__ratio", ratio)
-        .withColumn("whole", F.floor("__ratio").cast("int"))
-        .withColumn("fraction", F.col("__ratio") - F.col("whole"))
         .withColumn("group", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("units") / GROUP)).cast("int"))
         .withColumn("__large", F.col("mass") * F.col("units") > F.col("source_size"))
-        .drop("__source", "__ratio", "units")
+        .drop("__source", "units")
     )
-    large = pivotal(placed.where("__large").drop("__large"), f"{seed}/large", "mix-large")
-    gained = F.sum(F.col("mass") * (F.col("drawn") + F.col("whole"))) - F.first("expected") * F.sum("mass")
-    expected = large.withColumn("expected", F.col("target") / F.col("source_size"))
-    gains = expected.groupBy("source").agg(gained.alias("__gain")).withColumnRenamed("source", "__source")
-    small = placed.where("not __large").drop("__large")
-    small_mass = small.groupBy("source").agg(F.sum("mass").alias("__mass")).withColumnRenamed("source", "__other")
-    shift = small_mass.join(gains, F.col("__other").eqNullSafe(F.col("__source")), "inner").where("__mass > 0")
-    shift = shift.select("__other", (F.col("__gain") / F.col("__mass")).alias("__shift"))
-    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction") - F.coalesce("__shift", F.lit(0.0))))
-    adjusted = small.join(shift, F.col("source").eqNullSafe(F.col("__other")), "left").withColumn("fraction", moved)
-    decided = large.unionByName(pivotal(adjusted.drop("__other", "__shift"), f"{seed}/small", "mix-small"))
+    large_mass = placed.where("__large").groupBy("source").agg(F.sum("mass").alias("large_mass"))
+    large_mass = stored(large_mass.withColumnRenamed("source", "__source"), "mix-large-mass")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    large = _parted(placed.where("__large"), F.col("__ratio")).join(large_mass, same).drop("__source")
+    large = pivotal(large, f"{seed}/large", "mix-large", cap)
+    total = F.sum(F.col("mass") * (F.col("whole") + F.col("drawn")))
+    gained = total - F.first(F.col("target") / F.col("source_size") * F.col("large_mass"))
+    others = F.first(F.col("source_size") - F.col("large_mass"))
+    shift = large.groupBy(F.col("source").alias("__source")).agg(F.when(others > 0, gained / others).alias("__shift"))
+    small = placed.where("not __large").join(shift, same, "left")
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.col("__ratio") - F.coalesce("__shift", F.lit(0.0))))
+    small = pivotal(_parted(small, moved).drop("__source", "__shift"), f"{seed}/small", "mix-small")
+    decided = large.drop("large_mass").unionByName(small)
     copies = (F.col("whole") + F.col("drawn")).cast("int").alias("copies")
     return decided.select("doc_id", "source", "size", "n", "source_size", "target", copies)
 
