@@ -64,3 +64,28 @@ def test_dictionary_leads_and_records_stand_alone(spark):
 
 def test_empty_table(spark):
     assert warc.archived(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_records_are_valid_and_files_are_rolled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SEGMENTS", 2)
+    rows = [(i % 900, f"http://x/{i}", f"<p>{'common words ' * 40}{i % 700}</p>") for i in range(1_000)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    path = str(tmp_path / "archive")
+    warc.write_archives(pages, path, date="2024-01-02T03:04:05Z", segment_bytes=40_000)
+    files = sorted((tmp_path / "archive").glob("part-*"))
+    assert len(files) > 4
+    fields = []
+    for file in files:
+        content = file.read_bytes()
+        assert content.startswith(warc.struct.pack("<I", warc.DICTIONARY_FRAME))
+        fields += [one for one, _ in warc.records(memoryview(content))]
+    assert len(fields) == 1_001 == len({one["WARC-Record-ID"] for one in fields})
+    assert {one["WARC-Date"] for one in fields} == {"2024-01-02T03:04:05Z"}
+    back = warc.read_archives(spark, path)
+    assert sorted((r[0] is None, r[0] or 0) for r in back.select("page_id").collect()) == sorted((r[0] is None, r[0] or 0) for r in rows)
+
+
+def test_dictionary_of_a_table_with_a_hot_payload(spark):
+    hot, rare = "<p>hot</p>" * 30, [f"<div>{i} {'text ' * 30}{i * 7919}</div>" for i in range(300)]
+    pages = spark.createDataFrame([(i, hot if i % 2 else rare[i // 2 % 300]) for i in range(4_000)], "page_id long, html string")
+    assert warc.trained_dictionary(pages, "html").count(b"hot") < 40

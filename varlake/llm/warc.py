@@ -1,9 +1,10 @@
 """WARC archives whose records are Zstandard frames sharing a dictionary.
 
 Each file starts with a skippable frame that holds the dictionary (magic 0x184D2A5D, as the WARC-Zstandard draft has it);
-each record is a frame of its own, so a reader can start at any record. Files are written by Spark's text writer, one record
-a row: its line separator is set to an empty skippable frame, which decoders pass over. So the files have Spark's commit
-protocol and any file system it knows.
+each record is a frame of its own, so a reader can start at any record. Files are written by Spark's text writer, a segment of
+records a row, led by the dictionary again: its line separator is set to an empty skippable frame, which decoders pass over. So
+the files have Spark's commit protocol and any file system it knows, and a new one is begun after some segments, however much
+one task writes.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,9 @@ DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE_FRAMES = range(0x184D2A50, 0x184D2A60)
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 
+#: Bytes of records before compression from which on a segment, one row for the text writer, is closed; segments in a file.
+SEGMENT_BYTES, SEGMENTS = 32 * 1024 * 1024, 8
+
 #: Bounds of the dictionary and of what it is trained on: records, and characters of each.
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_RECORDS = 1000
@@ -36,12 +42,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def trained_dictionary(pages: DataFrame, payload: str, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from a hash sample of about ``records`` archived records, at most SAMPLE_CHARS of each.
 
-    Empty if there are too few to train on. It only affects sizes; every record is archived whole.
+    Payloads are sampled, each but once, however often it is archived. Empty if there are too few to train on. It only affects sizes; every record is archived whole.
     """
-    share = min(1.0, 1.5 * records / max(1, pages.count()))
-    sampled = pages.where(F.pmod(F.xxhash64(payload), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    rows = sampled.select(F.substring(payload, 1, SAMPLE_CHARS)).limit(records).collect()
-    samples = [_record("0", "", (row[0] or "").encode(), "", None) for row in rows]
+    hashed = pages.select(F.substring(payload, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(payload).alias("hash"))
+    different = hashed.agg(F.approx_count_distinct("hash")).first()[0]
+    # Whole 64-bit hashes are compared with the bound, so a sample of any table that is not empty has rows.
+    bound = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, 1.5 * records / max(1, different)) * (1 << 64)))
+    rows = hashed.where(F.col("hash") <= bound).dropDuplicates(["hash"]).select("text").limit(records).collect()
+    if different and not rows:
+        raise RuntimeError("the sample that the dictionary is trained on is empty")
+    samples = [_record("0", "0", "", "", (row[0] or "").encode(), "", None) for row in rows]
     if sum(map(len, samples)) < 20 * 1024 or len(samples) < 20:
         return b""
     size = min(size, sum(map(len, samples)) // 10)
@@ -72,12 +82,22 @@ def with_responses(pages: DataFrame, page_id: str, payload: str, least_bytes: in
 
 
 def write_archives(
-    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0
+    pages: DataFrame,
+    path: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    payload: str = "html",
+    least_bytes: int = 0,
+    date: str | None = None,
+    segment_bytes: int = SEGMENT_BYTES,
 ) -> None:
     """Writes a response or revisit record for every row; a revisit keeps its HTTP header but not the payload.
 
-    Null payloads are empty, null urls give records without a target, a null page_id gives a record without an identifier.
+    Null payloads are empty, null urls give records without a target, a null page_id gives a record without ``Page-ID``. Each
+    record has an identifier of its own, made of its place, also where page_ids repeat; page_ids are in the extension fields
+    ``Page-ID`` and ``Page-Refers-To``. ``date`` is that of all records (ISO 8601), by default when writing began.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     dictionary = trained_dictionary(pages, payload)
     narrow = pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string"))
     narrow = narrow.toDF("page_id", "url", "html")
@@ -86,34 +106,40 @@ def write_archives(
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor = zstandard.ZstdCompressor(level=3, dict_data=shared, write_checksum=True)
         lead = [struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary] if dictionary else []
+        partition, number, frames, held = TaskContext.get().partitionId(), 0, list(lead), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                frames = lead
-                lead = []
                 for page, target, html, first in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns)):
                     body = (html or "").encode()
                     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    record = _record("" if page is None else str(page), target or "", body, digest, first)
+                    record = _record(f"{partition}:{number}", "" if page is None else str(page), target or "", date, body, digest, first)
                     frames.append(compressor.compress(record))
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["value"])
+                    number, held = number + 1, held + len(record)
+                    if held >= segment_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], names=["value"])
+                        frames, held = list(lead), 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], names=["value"])
 
     rows = with_responses(narrow, "page_id", "html", least_bytes).select("page_id", "url", "html", "refers_to")
     frames = rows.mapInArrow(write, "value binary")
     # A binary column as text: the writer copies the bytes as they are.
-    frames.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
+    frames.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
-def _record(page: str, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(name: str, page: str, url: str, date: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page}>"),
+        ("WARC-Record-ID", f"<urn:record:{date}:{name}>"),
+        ("WARC-Date", date),
+        ("Page-ID", page),
         ("WARC-Target-URI", " ".join(url.split())),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", PROFILE), ("Page-Refers-To", str(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     head = "".join(f"{name}: {value}\r\n" for name, value in fields if value)
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -179,7 +205,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     revisit = fields["WARC-Type"] == "revisit"
                     if not revisit and (len(payload), digest) != (size, base64.b32encode(hashlib.sha1(payload).digest()).decode()):
                         raise ValueError("a payload does not agree with its header")
-                    page, first = (fields.get(k, "").removeprefix("<urn:page:").rstrip(">") for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                    page, first = fields.get("Page-ID"), fields.get("Page-Refers-To")
                     rows.append(
                         (
                             int(page) if page else None,
