@@ -77,3 +77,27 @@ def test_added_tokens_are_found(spark):
 
 def test_empty_table(none):
     assert eliasfano.token_files(none, VOCABULARY).count() == 0
+
+
+def test_select_of_runs():
+    rng = np.random.default_rng(4)
+    for n, universe in ((1, 0), (1, 9), (700, 100), (5_000, 10**9), (2_000, 2_000)):
+        numbers = np.sort(rng.integers(0, universe + 1, n))
+        made, _ = eliasfano.EliasFano.read(memoryview(eliasfano.EliasFano.of(numbers).to_bytes()), 0)
+        for first, stop in ((0, n), (0, 0), (n, n), (n // 3, n // 2), (min(n, 255), min(n, 257)), (min(n, 256), min(n, 512))):
+            assert made.selected(first, stop).tolist() == numbers[first:stop].tolist()
+        assert [made.select(at) for at in range(0, n, 97)] == numbers[::97].tolist()
+
+
+def test_files_are_rolled(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(eliasfano, "SEGMENTS", 3)
+    monkeypatch.setattr(eliasfano, "SEGMENT", 0)
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    path = str(tmp_path / "rolled")
+    eliasfano.write_token_files(docs, path, "byte_bpe_50k.json", files=2)
+    assert len(list((tmp_path / "rolled").glob("part-*"))) >= 2
+    rows = eliasfano.read_token_files(spark, path).orderBy("doc_id").collect()
+    start = 0
+    for at, row in enumerate(rows):
+        assert (row["doc_id"], row["start"]) == (at, start)
+        start += row["n_tokens"]

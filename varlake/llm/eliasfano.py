@@ -32,6 +32,8 @@ LIST = struct.Struct("<QQIIQ")
 SAMPLE = 256
 #: Ids after which a segment is closed; one longer document makes a longer segment.
 SEGMENT = 2_000_000
+#: Segments of a file: a task that writes more begins another one.
+SEGMENTS = 32
 
 
 class EliasFano:
@@ -81,12 +83,27 @@ class EliasFano:
         low = sum(int(bit) << place for place, bit in enumerate(field[: self.low_bits]))
         return high << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every number: ``select`` of all indexes at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype("u8")
-        low = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits).astype("u8")
+    def selected(self, first: int, stop: int) -> np.ndarray:
+        """Numbers ``first`` to ``stop`` - 1: ``select`` of each, all from the kept position before the first of them on."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        n, kept = stop - first, first // SAMPLE
+        if not n:
+            return np.empty(0, "u8")
+        start = int(self.samples[kept]) // 8
+        after = -(-stop // SAMPLE)
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start:end], bitorder="little")) + 8 * start
+        at = int(np.searchsorted(ones, self.samples[kept])) + first - kept * SAMPLE
+        high = ones[at : at + n].astype("u8") - np.arange(first, stop, dtype="u8")
+        bit = first * self.low_bits
+        field = np.unpackbits(self.low[bit // 8 : (stop * self.low_bits + 7) // 8], bitorder="little")
+        low = field[bit % 8 : bit % 8 + n * self.low_bits].reshape(n, self.low_bits).astype("u8")
         places = (low << np.arange(self.low_bits, dtype="u8")).sum(axis=1, dtype="u8")
-        return (ones - np.arange(self.n, dtype="u8")) << np.uint64(self.low_bits) | places
+        return high << np.uint64(self.low_bits) | places
+
+    def all(self) -> np.ndarray:
+        return self.selected(0, self.n)
 
     def to_bytes(self) -> bytes:
         head = LIST.pack(self.n, self.universe, self.low_bits, len(self.samples), len(self.high))
@@ -136,8 +153,11 @@ class Segment:
     def document(self, index: int) -> np.ndarray:
         return self.ids[self.boundary(index) : self.boundary(index + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_docs if self.null else [self.first + int(offset) for offset in self.offsets.all()]
+    def doc_ids(self, first: int = 0, stop: int | None = None) -> list[int | None]:
+        stop = self.n_docs if stop is None else stop
+        if self.null:
+            return [None] * (stop - first)
+        return [self.first + int(offset) for offset in self.offsets.selected(first, stop)]
 
 
 def segments(content: bytes) -> Iterator[Segment]:
@@ -186,7 +206,7 @@ def write_token_files(
     dealt = narrow.repartitionByRange(files, *ranges) if files else narrow.repartitionByRange(*ranges)
     rows = dealt.sortWithinPartitions(*ranges, F.col("text").asc_nulls_first()).mapInArrow(write, "value binary")
     # A binary column as text: the writer copies the bytes as they are.
-    rows.select(F.col("value").cast("string")).write.text(path)
+    rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -196,24 +216,28 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for number, found in enumerate(segments(content.as_buffer())):
-                    bounds = found.boundaries.all().astype("i8")
-                    words = found.ids.astype("<u4")
-                    crcs = [zlib.crc32(words[a:b]) for a, b in zip(bounds, bounds[1:])]
-                    n = len(crcs)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name] * n, pa.int64()),
-                            pa.array([number] * n, pa.int64()),
-                            pa.array(found.doc_ids(), pa.int64()),
-                            pa.array(bounds[:-1], pa.int64()),
-                            pa.array(np.diff(bounds), pa.int64()),
-                            pa.array(crcs, pa.int64()),
-                        ],
-                        names=["file", "segment", "doc_id", "at", "n_tokens", "ids_crc32"],
-                    )
+                    # Select gives the bounds of some documents at a time; no table of all is made.
+                    for first in range(0, found.n_docs, SLICE):
+                        stop = min(first + SLICE, found.n_docs)
+                        bounds = found.boundaries.selected(first, stop + 1).astype("i8")
+                        crcs = [zlib.crc32(found.ids[a:b].astype("<u4")) for a, b in zip(bounds, bounds[1:])]
+                        n = len(crcs)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([name] * n, pa.int64()),
+                                pa.array([number] * n, pa.int64()),
+                                pa.array(found.doc_ids(first, stop), pa.int64()),
+                                pa.array(bounds[:-1], pa.int64()),
+                                pa.array(np.diff(bounds), pa.int64()),
+                                pa.array(crcs, pa.int64()),
+                            ],
+                            names=["file", "segment", "doc_id", "at", "n_tokens", "ids_crc32"],
+                        )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    found = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long"), "content").mapInArrow(
+    # A task's files are numbered after its own number.
+    place = F.regexp_extract("path", r"part-(\d+)", 1).cast("long") * (1 << 24) + F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).cast("long")
+    found = files.select(place, "content").mapInArrow(
         read, "file long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long"
     )
     # One row a segment: millions of ids each, so a plain running total over them is small.
