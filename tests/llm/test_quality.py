@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest_llm import prose
+from pyspark.sql import functions as F
 
 from varlake.llm import quality
 
@@ -81,3 +82,21 @@ def test_odd_rows(spark, odd, none):
     assert not any(r["kept"] for r in got if r["base_failed"])
     assert quality.judged(none, labels).count() == 0
     assert quality.judged(none, labels.where("false")).count() == 0
+
+
+def test_a_kind_of_junk_that_only_labelled_rows_show(spark):
+    good = [(i, prose(i, 120)) for i in range(600)]
+    junk = [(1_000 + i, prose(i, 120) + " #" * 60) for i in range(12)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1_000)) for i, _ in [*good[:60], *junk]], "doc_id long, quality int")
+    counted = quality.with_statistics(docs)
+    usual = counted.where("doc_id < 1000")
+    forests = quality.fitted_forests(usual.unionByName(counted.where("doc_id >= 1000")), labels)
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(docs, labels).select("doc_id", "kept").collect()}
+    assert len(forests) == 5 and not any(kept[i] for i, _ in junk) and sum(kept[i] for i, _ in good) > 580
+
+
+def test_samples_are_whole_at_any_share(spark):
+    counted = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 97).alias("word_chars"))
+    assert 20 < quality._sample(counted, 50).count() < 100
+    assert quality._sample(counted, 10**9).count() == 100_000

@@ -136,16 +136,38 @@ def _usual_path(n: int) -> float:
     return 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def fitted_forests(statistics: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> list[tuple[list[int], Forest]]:
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """About ``n`` of ``rows`` by a hash of theirs, compared in 64 bits: not empty for any table that is not."""
+    bound = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, n / max(1, rows.count())) * (1 << 64)))
+    return rows.where(F.xxhash64("doc_id", "word_chars") <= bound)
+
+
+def fitted_forests(
+    statistics: DataFrame, labels: DataFrame | None = None, trees: int = TREES, rows: int = TREE_ROWS
+) -> list[tuple[list[int], Forest]]:
     """One forest over all features and one over each: (columns, forest).
 
-    They share a hash sample of about ``trees * rows / 4`` documents that pass the base rules; each tree draws from it.
+    Each tree draws from a pool: a hash sample of about ``trees * rows / 4`` documents that pass the base rules, as many again
+    of those with a label, whose kinds of junk may be rare elsewhere, and, of each feature that is constant among these, the
+    smallest and the largest value over all documents, without which nothing could stand out by it.
     """
     usable = statistics.where(~base_failed())
-    share = min(1.0, trees * rows / 4 / max(1, usable.count()))
-    sampled = usable.where(F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    columns = features()
-    points = np.array(sorted(map(tuple, sampled.select(*columns).collect())), "f8").reshape(-1, len(columns))
+    n, columns = trees * rows // 4, features()
+    names = [f"__{at}" for at in range(len(columns))]
+    valued = [column.alias(name) for name, column in zip(names, columns)]
+    pool = _sample(usable, n).select(*valued)
+    if labels is not None:
+        known = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        pool = pool.unionByName(_sample(usable.join(known, "doc_id", "left_semi"), n).select(*valued))
+    points = np.array(sorted(map(tuple, pool.collect())), "f8").reshape(-1, len(columns))
+    if len(points):
+        limits = usable.select(*valued).agg(*[f(name).alias(f"{kind}{name}") for name in names for kind, f in (("low", F.min), ("high", F.max))]).first()
+        for at, name in enumerate(names):
+            if points[:, at].min() == points[:, at].max():
+                ends = np.repeat(np.median(points, axis=0)[None], 2, axis=0)
+                ends[:, at] = limits[f"low{name}"], limits[f"high{name}"]
+                # As many rows as make one of them likely in each tree, but few enough to stay unusual.
+                points = np.concatenate([points, np.repeat(ends, max(1, len(points) // rows), axis=0)])
     views = [list(range(len(columns))), *([at] for at in range(len(columns)))]
     return [(view, Forest.fitted(points[:, view], trees, rows, seed)) for seed, view in enumerate(views)]
 
@@ -196,7 +218,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts have no words and fail the base rules. Rows that repeat a doc_id are judged each by its own text.
     """
     counted = stored(with_statistics(docs), "statistics")
-    scored = anomalies(counted, fitted_forests(counted))
+    scored = anomalies(counted, fitted_forests(counted, labels))
     limits = F.array(*map(F.lit, thresholds(scored, labels)))
     over = F.exists(F.arrays_zip(F.col("anomalies").alias("score"), limits.alias("limit")), lambda one: one["score"] >= one["limit"])
     return (
