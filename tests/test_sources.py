@@ -1,16 +1,18 @@
 import gzip
 
+import golden_ids
 import pytest
 from pyspark.sql import functions as F
 
 import varlake as v
 
+# Keys, numbers and types of the declarations, and the first site, are those of a published sample.
 HEADER = """##fileformat=VCFv4.2
-##FILTER=<ID=LowQual,Description="Low quality">
+##FILTER=<ID=LowQual,Description="little to go by">
 ##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Allelic depths, ref and alt">
 ##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">
-##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">
-##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
+##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="how sure the call is">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="the call">
 ##FORMAT=<ID=PL,Number=G,Type=Integer,Description="Likelihoods">
 ##INFO=<ID=AC,Number=A,Type=Integer,Description="Allele count, Number=9">
 ##INFO=<ID=AF,Number=A,Type=Float,Description="Allele Frequency">
@@ -182,3 +184,66 @@ def test_tables(spark, tmp_path):
     assert len(preview) == 5 and v.read_table(spark, str(tmp_path / "t")).count() == 10
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         v.write_table(df, str(tmp_path / "t"))
+
+
+def test_identifiers_of_a_whole_sample(spark, tmp_path):
+    sites = [line.split() for line in golden_ids.SITES.split("\n") if line]
+    path = tmp_path / "sample.vcf.gz"
+    with gzip.open(path, "wt") as f:
+        f.write(HEADER + COLUMNS.replace("\tNA2", ""))
+        f.writelines(f"20\t{pos}\t.\t{ref}\t{alt}\t1\t.\t.\tGT\t0/1\n" for pos, ref, alt in sites)
+    df = v.read_vcf(spark, str(path))
+    whole = df.select(v.variant_spdi(alt="alternateAlleles", join_alternate_alleles=True)).collect()
+    split = v.split_multiallelics(df).select(v.variant_spdi(alt=F.get("alternateAlleles", F.lit(0)))).collect()
+    assert [r[0] for r in whole] == golden_ids.WHOLE.split() and len(whole) == 50
+    assert sorted(r[0] for r in split) == sorted(golden_ids.SPLIT.split()) and len(split) == 51
+
+
+def test_keys_that_differ_in_case(spark, tmp_path):
+    lines = [
+        '##INFO=<ID=AC,Number=A,Type=Integer,Description="">',
+        '##INFO=<ID=ac,Number=1,Type=String,Description="">',
+        '##INFO=<ID=Ac,Number=0,Type=Flag,Description="">',
+        '##FORMAT=<ID=GT,Number=1,Type=String,Description="">',
+        '##FORMAT=<ID=XY,Number=1,Type=Integer,Description="">',
+        '##FORMAT=<ID=xy,Number=1,Type=String,Description="">',
+        "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts",
+        "1\t5\t.\tA\tC\t.\t.\tAC=3;ac=low;Ac\tGT:XY:xy\t0/1:1:two",
+        "1\t6\t.\tA\tC\t.\t.\tac=x\tGT:xy\t0/0:only",
+    ]
+    header = v.VcfHeader.parse(lines)
+    table = v.parse_vcf_lines(spark.createDataFrame([(x,) for x in lines], "value string"), header)
+    first, second = sorted(table.collect(), key=lambda r: r.start)
+    assert (first.INFO_AC, first.INFO_ac_2, first.INFO_Ac_3) == ([3], "low", True)
+    assert (second.INFO_AC, second.INFO_ac_2, second.INFO_Ac_3) == (None, "x", False)
+    assert (first.genotypes[0].XY, first.genotypes[0].xy_2, second.genotypes[0].XY, second.genotypes[0].xy_2) == (1, "two", None, "only")
+    v.write_vcf(table, str(tmp_path / "cases"))
+    again = sorted(v.read_vcf(spark, str(tmp_path / "cases")).collect(), key=lambda r: r.start)
+    assert [r.asDict(True) for r in again] == [first.asDict(True), second.asDict(True)]
+
+
+def test_plans_of_many_samples_are_built_at_once(spark):
+    import time
+
+    names = [f"sample{i * 7919 % 100_003}" for i in range(100_000)]
+    header = v.VcfHeader.parse(['##FORMAT=<ID=GT,Number=1,Type=String,Description="">', "\t".join(["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT", *names])])
+    line = "\t".join(["1\t5\t.\tA\tC\t.\t.\t.\tGT", *(["0/1", "0/0"] * 50_000)])
+    lines = spark.createDataFrame([(line,)], "value string")
+    began = time.time()
+    table = v.parse_vcf_lines(lines, header)
+    written = v.format_vcf_lines(table.withColumn("genotypes", F.reverse("genotypes")), names)
+    table.schema, written.schema
+    assert time.time() - began < 1
+    back = written.first()[0].split("\t")
+    assert back[9:] == ["0/1", "0/0"] * 50_000
+    assert [g.sampleId for g in table.select("genotypes").first()[0]] == names
+
+
+def test_samples_that_a_row_lacks_or_has_besides(spark):
+    kind = "contigName string, start long, referenceAllele string, alternateAlleles array<string>, genotypes array<struct<calls:array<int>,sampleId:string>>"
+    rows = [("1", 1, "A", ["C"], [([0, 1], "b"), ([1, 1], "d")]), ("1", 2, "A", ["C"], [])]
+    got = [r[0].split("\t")[9:] for r in v.format_vcf_lines(spark.createDataFrame(rows, kind), ["d", "a", "b"]).collect()]
+    assert got == [["1/1", ".", "0/1"], [".", ".", "."]]
+    for bad in ([([0, 1], "z")], [([0, 1], "b"), ([0, 1], "b")], [([0, 1], None)]):
+        with pytest.raises(Exception, match="not in the header"):
+            v.format_vcf_lines(spark.createDataFrame([("1", 1, "A", ["C"], bad)], kind), ["d", "a", "b"]).collect()

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from varlake.operators.variants import normalize_variants, split_and_normalize, split_multiallelics
-from varlake.sources.fasta import read_reference_bases
+from varlake.sources.fasta import index_fasta, read_reference_bases
+from varlake.sources.vcf import VcfHeader, parse_vcf_lines
 
 from brute import chunked, left_align
 
@@ -89,11 +90,71 @@ def test_rows_that_cannot_be_normalised_are_kept(spark):
     assert all(got[k].normalized is None for k in ("sym", "multi", "none", "nocontig"))
 
 
-def test_gap_in_reference_is_an_error(spark):
-    chunks = [c for c in chunked({"1": "G" + "CA" * 500 + "T"}, 64, 16) if c[1] != 10]
-    df = spark.createDataFrame([("1", 998, 1001, ["d"], "ACA", ["A"])], SITE)
-    with pytest.raises(ValueError, match="do not cover"):
-        normalize_variants(df, spark.createDataFrame(chunks, BASES), chunk=64)
+def test_what_the_reference_does_not_hold_gives_null_near_or_far(spark):
+    genome = "G" + "CA" * 500 + "T" + "C" * 20
+    chunks = [c for c in chunked({"1": genome}, 64, 16) if c[1] != 10]
+    rows = [
+        ("1", 998, 1001, ["far"], "ACA", ["A"]),
+        ("1", 700, 703, ["near"], "ACA", ["A"]),
+        ("1", 660, 663, ["nearest"], "ACA", ["A"]),
+        ("1", 1010, 1012, ["beside"], "CC", ["C"]),
+        ("1", 300, 303, ["before"], "ACA", ["A"]),
+    ]
+    df = spark.createDataFrame(rows, SITE)
+    got = {r.names[0]: r for r in normalize_variants(df, spark.createDataFrame(chunks, BASES), chunk=64).collect()}
+    assert [got[k].normalized for k in ("far", "near", "nearest")] == [None] * 3
+    assert (got["beside"].start, got["before"].start) == (1001, 0)
+    assert all((got[r[3][0]].start, got[r[3][0]].referenceAllele) == (r[1], r[4]) for r in rows[:3])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_by_index_as_step_by_step(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    genome = {"1": _genome(rng, 900), "2": "G" + "CA" * 60_000 + "T" + "ACGTTGCA" * 4_000 + "C"}
+    path = tmp_path / "g.fa"
+    path.write_text("".join(f">{n}\n" + "\n".join(b[i : i + 61] for i in range(0, len(b), 61)) + "\n" for n, b in genome.items()))
+    index_fasta(spark, str(path))
+    rows = []
+    for i in range(150):
+        contig = rng.choice("12")
+        start = rng.randrange(len(genome[contig]) - 20)
+        ref = genome[contig][start : start + rng.randrange(1, 18)]
+        alt = rng.choice([ref[0], ref + ref, ref[: rng.randrange(1, len(ref) + 1)], ref[0] + ref, rng.choice("ACGT")])
+        rows.append((contig, start, start + len(ref), [str(i)], ref, [alt]))
+    rows.append(("2", 120_000 - 1, 120_002, ["end"], "ACA"[:3], ["A"]))
+    rows.append(("9", 5, 7, ["nowhere"], "AA", ["A"]))
+    df = spark.createDataFrame(rows, SITE)
+    lazy = normalize_variants(df, str(path))
+    got = {r.names[0]: r for r in lazy.collect()}
+    for contig, start, _, (name,), ref, (alt,) in rows:
+        if contig == "9":
+            assert got[name].normalized is None and got[name].start == 5
+            continue
+        s, r, a = left_align(genome[contig], start, ref, alt)
+        one = got[name]
+        assert (one.start, one.referenceAllele, one.alternateAlleles, one.normalized) == (s, r, [a], (s, r, a) != (start, ref, alt))
+    plan = lazy._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_genotype_lists_are_cut_by_their_number(spark):
+    lines = [
+        '##FORMAT=<ID=GT,Number=1,Type=String,Description="">',
+        '##FORMAT=<ID=GP,Number=G,Type=Float,Description="">',
+        '##FORMAT=<ID=EC,Number=A,Type=Integer,Description="">',
+        '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="">',
+        '##FORMAT=<ID=XX,Number=R,Type=Integer,Description="">',
+        '##FORMAT=<ID=YY,Number=.,Type=Integer,Description="">',
+        "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts",
+        "1\t5\t.\tA\tC,G\t.\t.\t.\tGT:GP:EC:AD:XX:YY\t1/2:1,2,3,4,5,6:7,8:1,2,3:4,5,6:1,2,3",
+        "1\t6\t.\tA\tC,G\t.\t.\t.\tGT:GP:EC:AD:XX:YY\t0/1:1,2:7,8,9:1,2:4,5:1,2",
+    ]
+    table = parse_vcf_lines(spark.createDataFrame([(x,) for x in lines], "value string"), VcfHeader.parse(lines))
+    got = {(r.start, r.alternateAlleles[0]): r.genotypes[0] for r in split_multiallelics(table).collect()}
+    g = got[4, "G"]
+    assert (g.posteriorProbabilities, g.expectedAlleleCounts, g.alleleDepths, g.XX, g.YY) == ([1.0, 4.0, 6.0], [8], [1, 3], [4, 6], [1, 2, 3])
+    bad = got[5, "C"]
+    assert (bad.posteriorProbabilities, bad.expectedAlleleCounts, bad.alleleDepths, bad.XX, bad.YY) == (None, None, None, None, [1, 2])
 
 
 def test_split(spark):

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varlake._shared import ensure_checkpoint_dir
 from varlake.functions._columns import bind, with_computed
-from varlake.sources.fasta import CHUNK
+from varlake.sources.fasta import CHUNK, IndexedReference
+
+#: Bases left of an event that are looked at first, and at most at a time.
+NEAREST, WIDEST = 64, 1 << 20
 
 # --- splitting -----------------------------------------------------------------------------------------------------
 
@@ -49,23 +55,30 @@ def _split_likelihoods(value: Column, allele: Column, n_alleles: Column) -> Colu
     return F.when(F.size(value) == n_diploid, diploid).when(F.size(value) == n_alleles, haploid)
 
 
-def _split_genotype(genotype: Column, dtype: T.StructType, position: Column, n_alts: Column) -> Column:
+#: The Number of genotype fields that the format itself defines, where no header says it.
+_NUMBERS = {"alleleDepths": "R", "phredLikelihoods": "G", "genotypeLikelihoods": "G", "posteriorProbabilities": "G", "expectedAlleleCounts": "A"}
+
+
+def _split_genotype(genotype: Column, genotypes: T.StructField, position: Column, n_alts: Column) -> Column:
+    """Calls recoded for the row's allele, per-allele fields cut to it by their Number; lists of another length become null."""
     allele = position + 1
     n_alleles = n_alts + 1
+    numbers = _NUMBERS | genotypes.metadata.get("numbers", {})
     fields = []
-    for field in dtype.fields:
+    for field in genotypes.dataType.elementType.fields:
         value = genotype.getField(field.name)
+        number = numbers.get(field.name) if isinstance(field.dataType, T.ArrayType) else None
         if field.name == "calls":
             # 0 stays, the row's allele becomes 1; what was called as another allele is unknown here.
             value = F.transform(
                 value, lambda c: F.when(c == allele, F.lit(1)).when(c == 0, F.lit(0)).otherwise(F.lit(-1))
             )
-        elif isinstance(field.dataType, T.ArrayType) and field.name in ("phredLikelihoods", "genotypeLikelihoods"):
+        elif number == "A":
+            value = F.when(F.size(value) == n_alts, F.array(F.get(value, position)))
+        elif number == "R":
+            value = F.when(F.size(value) == n_alleles, F.array(F.get(value, F.lit(0)), F.get(value, allele)))
+        elif number == "G":
             value = _split_likelihoods(value, allele, n_alleles)
-        elif isinstance(field.dataType, T.ArrayType) and field.name == "alleleDepths":
-            value = F.when(
-                F.size(value) == n_alleles, F.array(F.get(value, F.lit(0)), F.get(value, allele))
-            ).otherwise(value)
         fields.append(value.alias(field.name))
     return F.struct(*fields)
 
@@ -73,8 +86,8 @@ def _split_genotype(genotype: Column, dtype: T.StructType, position: Column, n_a
 def split_multiallelics(df: DataFrame) -> DataFrame:
     """One row per alternate allele, with ``splitFromMultiAllelic`` telling which rows were split.
 
-    Calls are recoded for the row's allele, per-allele INFO arrays, allele depths and diploid or haploid likelihoods are
-    cut to it. Rows without alternate alleles are kept as they are. Row-local: no shuffle.
+    Calls are recoded for the row's allele; INFO and genotype lists with a value per allele or per genotype, by the declared
+    Number where it is known, are cut to it. Rows without alternate alleles are kept as they are. Row-local: no shuffle.
     """
     # A column of its own: in one select, `alternateAlleles` inside a lambda would mean the new, one-element array.
     numbered = df.select("*", F.posexplode_outer("alternateAlleles").alias("__pos", "__alt")).withColumn(
@@ -86,7 +99,7 @@ def split_multiallelics(df: DataFrame) -> DataFrame:
         dtype = df.schema["genotypes"].dataType.elementType
         if "calls" in dtype.fieldNames():
             changed["genotypes"] = F.transform(
-                "genotypes", lambda g: _split_genotype(g, dtype, F.col("__pos"), n_alts)
+                "genotypes", lambda g: _split_genotype(g, df.schema["genotypes"], F.col("__pos"), n_alts)
             )
     multi = F.coalesce(n_alts > 1, F.lit(False))
     columns = []
@@ -277,34 +290,74 @@ def _look_further(unresolved: DataFrame, reference_bases: DataFrame, chunk: int)
             F.min(F.when(F.col("__mismatch").isNotNull(), F.struct(F.col("__mismatch"), anchor.alias("a")))).alias(
                 "__best"
             ),
-            # Null if any chunk was missing: what lies beyond a gap must not be trusted.
-            F.when(F.count("chunk_start") == F.count("*"), F.min("chunk_start")).alias("__seen_to"),
+            F.min("chunk_start").alias("__seen_to"),
+            # The first step that needs a chunk which is not there: what lies beyond must not be trusted.
+            F.min(F.when(F.col("chunk_start").isNull(), F.col("__start") - (F.col("chunk_id") + 1) * chunk)).alias("__gap"),
         )
-        reached = F.col("__seen_to") == 0
+        near = F.coalesce(F.col("__best.__mismatch") < F.col("__gap"), F.col("__gap").isNull())
+        reached = F.col("__gap").isNull() & (F.col("__seen_to") == 0)
         state = best.withColumns(
             {
-                "__shift": F.coalesce(F.col("__best.__mismatch"), F.when(reached, F.col("__start"))).cast("long"),
-                "__anchor": F.col("__best.a"),
+                "__shift": F.coalesce(
+                    F.when(near, F.col("__best.__mismatch")), F.when(reached, F.col("__start"))
+                ).cast("long"),
+                "__anchor": F.when(near, F.col("__best.a")),
             }
         ).drop("__best").checkpoint()
-        if state.filter(F.col("__seen_to").isNull()).limit(1).count():
-            raise ValueError("the reference bases do not cover every position left of the variants")
         done.append(state.filter(F.col("__shift").isNotNull()).select(*_KEY, "__shift", "__anchor"))
-        unresolved = state.filter(F.col("__shift").isNull()).drop("__shift", "__anchor")
+        unresolved = state.filter(F.col("__shift").isNull() & F.col("__gap").isNull()).drop("__shift", "__anchor", "__gap")
         width *= 8
     return done
 
 
+def _left_of(reference: IndexedReference, contig: str, start: int, seq: str) -> tuple[int | None, str | None]:
+    """How far ``seq``, which begins at ``start``, can move left, and the base where that ends (None: the contig's begin).
+
+    Looks at ever larger pieces, so that the work is proportional to the repeat. (None, None): outside of the reference.
+    """
+    known = reference.contigs.get(contig)
+    if known is None or not 0 <= start <= known.length:
+        return None, None
+    shift, width = 0, NEAREST
+    while shift < start:
+        context = reference.bases(contig, max(0, start - shift - width), start - shift)
+        n, turn = len(context), -(shift + len(context)) % len(seq)
+        expected = (seq[turn:] + seq * (n // len(seq) + 1))[:n]
+        if context != expected:
+            differs = np.frombuffer(context.encode(), "u1") != np.frombuffer(expected.encode(), "u1")
+            last = int(np.flatnonzero(differs)[-1])
+            return shift + n - 1 - last, context[last]
+        shift, width = shift + n, min(16 * width, WIDEST)
+    return start, None
+
+
+def _looked_up(indels: DataFrame, path: str | Sequence[str]) -> DataFrame:
+    """``__shift`` and ``__anchor`` of each indel by reads of an indexed genome: no join, and no shuffle of rows."""
+    reference = IndexedReference.of(path)
+
+    @F.arrow_udf("shift long, anchor string")
+    def left_of(contigs: pa.Array, starts: pa.Array, seqs: pa.Array) -> pa.Array:
+        found = [_left_of(reference, *row) for row in zip(contigs.to_pylist(), starts.to_pylist(), seqs.to_pylist())]
+        return pa.StructArray.from_arrays(
+            [pa.array([one[0] for one in found], pa.int64()), pa.array([one[1] for one in found], pa.string())], ["shift", "anchor"]
+        )
+
+    looked = indels.withColumn("__found", left_of("contigName", "__start", "__seq"))
+    return looked.withColumns({"__shift": F.col("__found.shift"), "__anchor": F.col("__found.anchor")}).drop("__found")
+
+
 def normalize_variants(
-    df: DataFrame, reference_bases: DataFrame, chunk: int = CHUNK, follow_long_repeats: bool = True
+    df: DataFrame, reference_bases: DataFrame | str | Sequence[str], chunk: int = CHUNK, follow_long_repeats: bool = True
 ) -> DataFrame:
     """Parsimonious, left-aligned alleles for biallelic rows; adds ``normalized``: whether the row changed.
 
-    Only pure insertions and deletions are joined with the reference, on the chunk left of them; everything else is
-    trimmed in place, without a shuffle. Events in repeats that reach beyond one chunk are looked up first, by an
-    extra job over the coordinate and allele columns of the indels, and followed to their end whatever the length.
-    With ``follow_long_repeats=False`` the plan stays lazy, and such rows (and indels outside the given reference) keep
-    their input alleles and get ``normalized = null``; so does a row without exactly one plain alternate allele.
+    ``reference_bases`` is a table of chunks, or the path of FASTA files with indexes. By index, each pure insertion or deletion
+    reads the bases left of it, as far as its repeat goes: no join and no shuffle, the plan stays lazy, and the input is read
+    twice. A table of chunks is joined on the chunk left of each such event; events in repeats that reach beyond one chunk
+    are looked up first, by an extra job over the coordinate and allele columns of the indels, and followed to their end
+    whatever the length. Everything else is trimmed in place. Rows whose outcome hangs on bases that the reference does not
+    hold, however near or far, keep their input alleles and get ``normalized = null``; so does a row without exactly one
+    plain alternate allele, and with ``follow_long_repeats=False`` one whose repeat reaches beyond a chunk.
     """
     allele = F.when(F.size("alternateAlleles") == 1, F.get("alternateAlleles", F.lit(0)))
     plain = allele.rlike("^[A-Za-z]+$") & F.col("referenceAllele").rlike("^[A-Za-z]+$")
@@ -332,11 +385,10 @@ def normalize_variants(
             "__start": F.col("start"),
         }
     ).drop("__trim")
-    looked = _look_left(indels, reference_bases, chunk)
-    if follow_long_repeats:
-        narrow = _look_left(
-            indels.select(*_KEY, "__seq", "__start"), reference_bases, chunk
-        )
+    by_index = not isinstance(reference_bases, DataFrame)
+    looked = _looked_up(indels, reference_bases) if by_index else _look_left(indels, reference_bases, chunk)
+    if follow_long_repeats and not by_index:
+        narrow = _look_left(indels.select(*_KEY, "__seq", "__start"), reference_bases, chunk)
         open_rows = narrow.filter(F.col("__shift").isNull() & F.col("__seen_to").isNotNull())
         ensure_checkpoint_dir(df.sparkSession)
         unresolved = open_rows.select(*_KEY, "__seq", "__start", "__seen_to").distinct().checkpoint()
@@ -371,6 +423,6 @@ def normalize_variants(
     return finish(in_place).unionByName(finish(moved))
 
 
-def split_and_normalize(df: DataFrame, reference_bases: DataFrame, **options) -> DataFrame:
+def split_and_normalize(df: DataFrame, reference_bases: DataFrame | str | Sequence[str], **options) -> DataFrame:
     """``split_multiallelics``, then ``normalize_variants``."""
     return normalize_variants(split_multiallelics(df), reference_bases, **options)

@@ -20,7 +20,8 @@ from varlake.functions import (
 from varlake.operators.consequences import term_rows
 from varlake.plans import views, workflows
 from varlake.schema.annotation import AnnotationSchema, parse_annotations
-from varlake.sources.fasta import read_reference_bases
+from varlake.sources.bgzip import read_vcf_blocks, write_vcf_blocks
+from varlake.sources.fasta import index_fasta, read_indexed_bases, read_reference_bases
 from varlake.sources.gtf import parse_gtf_lines, read_gtf
 from varlake.sources.pipe import annotate, pipe_lines
 from varlake.sources.tables import read_table, select_site_columns, write_table
@@ -697,6 +698,31 @@ def vcf_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def vcf_block_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted, block-compressed files with an index, each read back by several tasks."""
+    path = _scratch(spark, "vcf-blocks")
+    write_vcf_blocks(views.variants(spark, sf_dir), path, SAMPLES)
+    read = op.with_genotype_states(read_vcf_blocks(spark, path, part_bytes=1 << 18))
+    return read.select(
+        "contigName",
+        "start",
+        F.get("INFO_AC", F.lit(0)).alias("ac"),
+        F.get("INFO_AF", F.lit(0)).alias("af"),
+        F.array_join("genotypes.sampleId", ",").alias("samples"),
+        F.array_join("num_alt_alleles", ",").alias("states"),
+    )
+
+
+@query
+def vcf_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region and a quality, handed down to the index and the scan."""
+    path = _scratch(spark, "vcf-region")
+    write_vcf_blocks(select_site_columns(views.variants(spark, sf_dir), "qual"), path)
+    where = f"contigName in ('chr3', 'chr7') and start >= 2000 and end <= 400000 and qual > {MIN_QUAL}"
+    return read_vcf_blocks(spark, path, where=where).select("contigName", "start", "end", "qual")
+
+
 @query
 def pipe_added_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A command that declares and adds an INFO key."""
@@ -727,6 +753,50 @@ def fasta_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reference_bases(spark, path, chunk=32, overlap=8).select("contigName", "chunk_id", "chunk_start", "bases")
 
 
+@query
+def fasta_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contigs of ``fasta_file`` by an index, those chunks that variants need."""
+    path = _scratch(spark, "fasta-indexed")
+    genome = views.repeat_genome(spark, sf_dir)
+    contig = F.concat("contigName", F.lit("_"), F.col("chunk_id").cast("string"))
+    lines = F.rtrim(F.regexp_replace("bases", "(.{30})", "$1\n"))
+    genome.select(F.concat(F.lit(">"), contig, F.lit(" some text\n"), lines).alias("value")).write.text(path)
+    index_fasta(spark, path)
+    events = views.repeat_variants(spark, sf_dir).select(
+        F.concat("contigName", F.lit("_"), F.expr(f"cast(start div {views.STRETCH} as string)")).alias("contigName"),
+        F.expr(f"start % {views.STRETCH} div 32").alias("chunk_id"),
+    )
+    return read_indexed_bases(spark, path, events, chunk=32, overlap=8)
+
+
+def _long_repeats(spark: SparkSession, sf_dir: str, by_index: bool) -> DataFrame:
+    path = _scratch(spark, "long-repeats")
+    views.long_repeat_lines(spark, sf_dir).write.text(path)
+    if by_index:
+        index_fasta(spark, path)
+    reference: DataFrame | str = path
+    if not by_index:
+        # Stored, because every round of the join reads it.
+        chunks = _scratch(spark, "chunks")
+        write_table(read_reference_bases(spark, path), chunks)
+        reference = read_table(spark, chunks)
+    done = workflows.ingest_variants(views.long_repeat_variants(spark, sf_dir), reference)
+    alternate = F.get("alternateAlleles", F.lit(0))
+    return done.select(F.get("names", F.lit(0)).alias("id"), "start", "normalized", variant_spdi(alt=alternate).alias("variant_id"))
+
+
+@query
+def normalise_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left alignment over many chunks by reads of an indexed genome."""
+    return _long_repeats(spark, sf_dir, True)
+
+
+@query
+def normalise_long_repeats_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a table of chunks, which is joined in rounds."""
+    return _long_repeats(spark, sf_dir, False)
+
+
 @query
 def pipe_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     piped = pipe_lines(select_site_columns(views.variants(spark, sf_dir)), ["cat"], output_format="vcf")

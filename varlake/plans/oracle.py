@@ -161,6 +161,20 @@ repeats as (
 )"""
 
 
+_LONG_REPEATS = """
+    with owned as (
+        select c_custkey, (['CA', 'T', 'CTA'])[c_custkey % 3 + 1] as unit, c_custkey // 3 % 3 as kind from customer
+    ), canonical as (
+        select c_custkey, 'G' || unit as ref, 'G' as alt from owned where kind in (0, 2)
+        union all select c_custkey, 'G', 'G' || unit || unit from owned where kind = 1
+        union all select c_custkey, 'G' || unit || unit, 'G' from owned where kind = 2
+    )
+    select 'rs' || c_custkey as id, cast(0 as bigint) as start, true as normalized,
+           'c' || c_custkey || ':0:' || ref || ':' || alt as variant_id
+    from canonical
+"""
+
+
 def _ecdf(value: str, source: str) -> str:
     return f"""
         select v as {value}, count(*) as n, any_value(c) as ecdf
@@ -502,6 +516,17 @@ def all_oracles() -> dict[str, str]:
                    string_agg(cast(n_alt as varchar), ',' order by k) as states
             from gt group by start0, o_orderkey, o_custkey, af
         """,
+        "vcf_block_round_trip": f"""
+            with {_VARIANT}, {_GT}
+            select contig as "contigName", start0 as start, cast(o_custkey % 9 as int) as ac, af,
+                   string_agg(sample, ',' order by k) as samples,
+                   string_agg(cast(n_alt as varchar), ',' order by k) as states
+            from gt group by contig, start0, o_orderkey, o_custkey, af
+        """,
+        "vcf_region": f"""
+            with {_VARIANT} select contig as "contigName", start0 as start, start0 + 1 as "end", o_totalprice as qual from variant
+            where contig in ('chr3', 'chr7') and start0 >= 2000 and start0 + 1 <= 400000 and o_totalprice > {MIN_QUAL}
+        """,
         "pipe_added_info": f"""
             with {_VARIANT} select contig as "contigName", start0 as start, ref || alt as "INFO_CSQ" from variant
         """,
@@ -520,6 +545,18 @@ def all_oracles() -> dict[str, str]:
                    substr(bases, 1, 32) as bases from contigs
             union all select name, 1, 24, substr(bases, 25, 40) from contigs
         """,
+        "fasta_indexed": f"""
+            with {_REPEATS}, contigs as (
+                select 'chr' || (o_orderkey % 22 + 1) || '_' || o_orderkey // 22 as name,
+                       rpad('G' || repeat(unit, cast(o_custkey % 10 + 3 as int)), {STRETCH}, 'G') as bases,
+                       case when kind <= 1 then 0 else (o_orderkey % (o_custkey % 10 + 1)) * length(unit) end as place
+                from repeats
+            )
+            select name as "contigName", cast(place // 32 as bigint) as chunk_id, cast(case when place < 32 then 0 else 24 end as bigint) as chunk_start,
+                   case when place < 32 then substr(bases, 1, 32) else substr(bases, 25, 40) end as bases from contigs
+        """,
+        "normalise_long_repeats": _LONG_REPEATS,
+        "normalise_long_repeats_chunks": _LONG_REPEATS,
         "pipe_cat": f"""
             with {_VARIANT}
             select contig as "contigName", start0 as start, start0 + 1 as "end", ref as "referenceAllele", alt as alts

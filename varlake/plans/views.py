@@ -249,6 +249,47 @@ def repeat_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("end", F.col("start") + F.length("referenceAllele"))
 
 
+# --- long repeats ----------------------------------------------------------------------------------------------------
+#
+# Every customer owns a contig of LONG bases: a G, then copies of a unit without G over several chunks, then G to the end. The
+# events lie behind the last copy but one; left-aligned, they all sit at the contig's first base.
+
+LONG = 5_000
+
+
+def _long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.expr("concat('c', cast(c_custkey as string))").alias("contigName"),
+        "c_custkey",
+        F.expr("element_at(array('CA', 'T', 'CTA'), cast(c_custkey % 3 as int) + 1)").alias("unit"),
+        F.expr("cast(1100 + c_custkey % 400 as int)").alias("n"),
+    )
+
+
+def long_repeat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA text with 70 bases a line."""
+    bases = F.expr(f"rpad(concat('G', repeat(unit, n)), {LONG}, 'G')")
+    lines = F.regexp_replace(bases, "(.{70})", "$1\n")
+    return _long_repeats(spark, sf_dir).select(F.concat(F.lit(">"), "contigName", F.lit("\n"), F.rtrim(lines)).alias("value"))
+
+
+def long_repeat_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deletion, an insertion or both deletions of one and two copies at each contig's last copies."""
+    rows = _long_repeats(spark, sf_dir).withColumns({"anchor": F.expr("right(unit, 1)"), "kind": F.expr("c_custkey div 3 % 3")})
+    return rows.select(
+        "contigName",
+        F.expr("cast((n - 3) * length(unit) as bigint)").alias("start"),
+        F.expr("array(concat('rs', cast(c_custkey as string)))").alias("names"),
+        F.expr(
+            "case kind when 0 then concat(anchor, unit) when 1 then anchor else concat(anchor, unit, unit) end"
+        ).alias("referenceAllele"),
+        F.expr(
+            "case kind when 0 then array(anchor) when 1 then array(concat(anchor, unit, unit))"
+            " else array(concat(anchor, unit), anchor) end"
+        ).alias("alternateAlleles"),
+    ).withColumn("end", F.col("start") + F.length("referenceAllele"))
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varlake.sources import blocks
+
 #: Bases per chunk, and how many bases of the chunk before are stored in front of them.
 CHUNK = 1024
 OVERLAP = 128
+#: Bases that an indexed read takes at a time, and how many such blocks are kept; endings of FASTA files in a folder.
+READ, BLOCKS = 1 << 16, 256
+SUFFIXES = (".fa", ".fasta", ".fna", ".fa.gz", ".fasta.gz", ".fna.gz", ".fa.bgz", ".txt")
 
 
 def read_reference_bases(
@@ -115,3 +125,160 @@ def _cut(pieces: DataFrame, chunk: int, overlap: int) -> DataFrame:
     )
     # A chunk made only of overlap lies behind the contig's end.
     return chunks.filter(F.col("chunk_start") + F.length("bases") > F.col("chunk_id") * chunk)
+
+
+# --- indexed reads -------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class IndexedContig:
+    """A line of a file's index: where a contig's bases begin, and how many bases and bytes its lines have."""
+
+    path: str
+    length: int
+    offset: int
+    line_bases: int
+    line_bytes: int
+
+    def place(self, position: int) -> int:
+        return self.offset + position // self.line_bases * self.line_bytes + position % self.line_bases
+
+
+class IndexedReference:
+    """Contigs of indexed FASTA files; opens files, and keeps BLOCKS of the blocks it read, where it is used."""
+
+    def __init__(self, contigs: dict[str, IndexedContig], places: dict[str, list[tuple[int, int]] | None]) -> None:
+        self.contigs, self._places = contigs, places
+        self._files: dict = {}
+        self._blocks: OrderedDict[tuple[str, int], bytes] = OrderedDict()
+
+    def __getstate__(self) -> tuple:
+        return self.contigs, self._places
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    @classmethod
+    def of(cls, path: str | Sequence[str]) -> IndexedReference:
+        """By the index ``.fai`` beside each file; block-compressed files have a ``.gzi`` too. A folder is all files in it."""
+        contigs: dict[str, IndexedContig] = {}
+        places: dict[str, list[tuple[int, int]] | None] = {}
+        for file, _ in blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES):
+            system, name = blocks.located(f"{file}.fai")
+            with system.open_input_file(name) as index:
+                for line in index.read().decode().splitlines():
+                    contig, *numbers = line.split("\t")
+                    if contigs.setdefault(contig, one := IndexedContig(file, *map(int, numbers[:4]))) is not one:
+                        raise ValueError(f"contig {contig} is in more than one place")
+            places[file] = blocks.gzi_places(f"{file}.gzi") if blocks.is_bgzf(file) else None
+        return cls(contigs, places)
+
+    def bases(self, contig: str, low: int, high: int) -> str:
+        """Bases ``low`` to ``high`` of a contig, in upper case."""
+        one = self.contigs[contig]
+        out = []
+        for number in range(low // READ, (high - 1) // READ + 1 if high > low else 0):
+            text = self._block(contig, one, number)
+            out.append(text[max(0, low - number * READ) : high - number * READ])
+        return b"".join(out).decode()
+
+    def _block(self, contig: str, one: IndexedContig, number: int) -> bytes:
+        if (contig, number) in self._blocks:
+            self._blocks.move_to_end((contig, number))
+            return self._blocks[contig, number]
+        if one.path not in self._files:
+            system, name = blocks.located(one.path)
+            self._files[one.path] = system.open_input_file(name)
+        low, high = number * READ, min((number + 1) * READ, one.length)
+        text = blocks.text_range(self._files[one.path], self._places[one.path], one.place(low), one.place(high - 1) + 1)
+        text = self._blocks[contig, number] = text.replace(b"\n", b"").replace(b"\r", b"").upper()
+        if len(self._blocks) > BLOCKS:
+            self._blocks.popitem(last=False)
+        return text
+
+
+def index_fasta(spark: SparkSession, path: str | Sequence[str]) -> None:
+    """Writes ``.fai`` beside each plain FASTA file, a task for each. Lines of a contig but its last must be of one length."""
+    files = blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES)
+    names = spark.createDataFrame([(name,) for name, _ in files], "path string").repartition(max(1, len(files)), "path")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = _index_rows(name)
+                system, place = blocks.located(f"{name}.fai")
+                with system.open_output_stream(place, compression=None) as out:
+                    out.write("".join("\t".join(map(str, one)) + "\n" for one in rows).encode())
+            yield batch
+
+    names.mapInArrow(index, "path string").count()
+
+
+def _index_rows(path: str) -> list[list]:
+    found: list[list] = []
+    at, ended = 0, False
+    system, name = blocks.located(path)
+    with system.open_input_stream(name, compression=None) as raw:
+        for line in _lines(raw):
+            bases = line.rstrip(b"\r\n")
+            if line.startswith(b">"):
+                found.append([line[1:].split()[0].decode(), 0, at + len(line), 0, 0])
+                ended = False
+            elif bases:
+                one = found[-1]
+                if not one[3]:
+                    one[3:] = [len(bases), len(line)]
+                if ended or len(bases) > one[3]:
+                    raise ValueError(f"the lines of {one[0]} differ in length")
+                ended = len(bases) < one[3]
+                one[1] += len(bases)
+            at += len(line)
+    return [one if one[3] else [*one[:3], 1, 1] for one in found]
+
+
+def _lines(raw) -> Iterator[bytes]:
+    tail = b""
+    while data := raw.read(1 << 20):
+        *whole, tail = (tail + data).split(b"\n")
+        yield from (line + b"\n" for line in whole)
+    if tail:
+        yield tail
+
+
+def read_indexed_bases(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    wanted: DataFrame | None = None,
+    chunk: int = CHUNK,
+    overlap: int = OVERLAP,
+    partitions: int | None = None,
+) -> DataFrame:
+    """The chunks of ``read_reference_bases`` by the files' index: all, or those in ``wanted`` (contigName, chunk_id).
+
+    Every task reads just the bytes around its chunks, in their order. Chunks that are wanted twice come once, those outside
+    of the genome not at all.
+    """
+    reference = IndexedReference.of(path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for contig, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one = reference.contigs.get(contig)
+                if one is not None and number is not None and 0 <= number * chunk < one.length:
+                    low, high = max(0, number * chunk - overlap), min((number + 1) * chunk, one.length)
+                    rows.append((contig, number, low, reference.bases(contig, low, high)))
+            columns = zip(*rows) if rows else [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["contigName", "chunk_id", "chunk_start", "bases"])
+
+    if wanted is None:
+        lengths = [(name, one.length) for name, one in reference.contigs.items()]
+        ids = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / chunk)))
+        rows = spark.createDataFrame(lengths, "contigName string, length long").where("length > 0")
+        wanted = rows.select("contigName", ids.alias("chunk_id"))
+    narrow = wanted.select("contigName", F.col("chunk_id").cast("long").alias("chunk_id")).distinct()
+    by = ["contigName", "chunk_id"]
+    dealt = narrow.repartitionByRange(partitions, *by) if partitions else narrow.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by).mapInArrow(read, "contigName string, chunk_id long, chunk_start long, bases string")

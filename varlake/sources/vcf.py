@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -123,47 +124,63 @@ def _typed(text: Column, declaration: Declaration) -> Column:
     return F.transform(F.split(_present(text), ","), lambda v: _present(v).try_cast(base))
 
 
+def _column_names(declarations: Sequence[Declaration], known: Mapping[str, str] | None = None) -> list[str]:
+    """Names of the columns or fields of keys; keys that differ in case only are numbered from the second on, ``AC``, ``ac_2``."""
+    seen: Counter[str] = Counter()
+    names = []
+    for declaration in declarations:
+        name = (known or {}).get(declaration.key, declaration.key)
+        seen[name.lower()] += 1
+        names.append(name if seen[name.lower()] == 1 else f"{name}_{seen[name.lower()]}")
+    return names
+
+
 def _info_fields(info: Column, declarations: Sequence[Declaration]) -> Column:
-    """The declared entries of an INFO text as a struct of strings, in one parse however many there are.
+    """The declared entries of an INFO text as a struct of strings k0, k1, ..., in one parse however many there are.
 
     The text is rewritten as a JSON object. A flag's value is "", an absent key's null; of a repeated key the last counts.
     """
     escaped = F.regexp_replace(info, r'([\\"])', r"\\$1")
     members = F.regexp_replace(escaped, "([^;=]+)(?:=([^;]*))?(?:;|$)", '"$1":"$2",')
     schema = T.StructType([T.StructField(d.key, T.StringType()) for d in declarations])
-    return F.from_json(F.concat(F.lit("{"), members, F.lit('"":""}')), schema, {"allowUnquotedControlChars": "true"})
+    parsed = F.from_json(F.concat(F.lit("{"), members, F.lit('"":""}')), schema, {"allowUnquotedControlChars": "true"})
+    # Numbered, because keys may differ in case only.
+    return parsed.cast(T.StructType([T.StructField(f"k{at}", T.StringType()) for at in range(len(declarations))]))
 
 
-def _info_column(declaration: Declaration) -> Column:
-    value = F.col("__info").getField(declaration.key)
+def _info_column(at: int, declaration: Declaration) -> Column:
+    value = F.col("__info").getField(f"k{at}")
     return value.isNotNull() if declaration.number == "0" else _typed(value, declaration)
 
 
 def _genotype(values: Column, sample_id: Column | None, formats: Sequence[Declaration]) -> Column:
-    def raw(key: str) -> Column:
-        return F.get(values, F.col(f"__at_{key}"))
-
     fields = [] if sample_id is None else [sample_id.alias("sampleId")]
-    for declaration in formats:
+    for at, (name, declaration) in enumerate(zip(_column_names(formats, GENOTYPE_FIELDS), formats)):
+        raw = F.get(values, F.col(f"__at_{at}"))
         if declaration.key == "GT":
-            calls = F.split(raw("GT"), "[/|]")
-            fields.append(F.coalesce(F.contains(raw("GT"), F.lit("|")), F.lit(False)).alias("phased"))
+            calls = F.split(raw, "[/|]")
+            fields.append(F.coalesce(F.contains(raw, F.lit("|")), F.lit(False)).alias("phased"))
             fields.append(
                 F.transform(calls, lambda c: F.coalesce(c.try_cast("int"), F.lit(-1))).alias("calls")
             )
         else:
-            name = GENOTYPE_FIELDS.get(declaration.key, declaration.key)
-            fields.append(_typed(raw(declaration.key), declaration).alias(name))
+            fields.append(_typed(raw, declaration).alias(name))
     return F.struct(*fields)
 
 
+def _strings(values: Sequence[str]) -> Column:
+    """An array literal of strings without tabs, as one expression however many there are."""
+    return F.split(F.lit("\t".join(values)), "\t") if values else F.array().cast("array<string>")
+
+
 def parse_vcf_lines(
     lines: DataFrame, header: VcfHeader, include_sample_ids: bool = True, split_to_biallelic: bool = False
 ) -> DataFrame:
     """VCF text lines (column ``value``) → variant table.
 
     ``start`` is 0-based, ``end`` the last reference base plus one or the declared ``END``. INFO columns are named
-    ``INFO_<key>``, genotypes are one array of structs in header order. Row-local, so it also parses a stream. Files
+    ``INFO_<key>`` (of keys that differ in case only, the second ``INFO_<key>_2``; the key itself is in the metadata),
+    genotypes are one array of structs in header order. Row-local, so it also parses a stream. Files
     whose sample columns differ from the header's fail instead of being misread.
     """
     value = F.col("value")
@@ -186,8 +203,9 @@ def parse_vcf_lines(
         rows = with_computed(rows, "__info", _info_fields(F.col("INFO"), header.info))
     start = F.col("POS").try_cast("long") - 1
     end = start + F.length("REF")
-    if any(d.key == "END" and d.type == "Integer" and d.number == "1" for d in header.info):
-        end = F.coalesce(F.col("__info").getField("END").try_cast("long"), end)
+    for at, declared in enumerate(header.info):
+        if declared == Declaration("END", "1", "Integer"):
+            end = F.coalesce(F.col("__info").getField(f"k{at}").try_cast("long"), end)
 
     def listed(column: str, separator: str) -> Column:
         empty = F.array().cast("array<string>")
@@ -202,25 +220,30 @@ def parse_vcf_lines(
         listed("ALT", ",").alias("alternateAlleles"),
         _present(F.col("QUAL")).try_cast("double").alias("qual"),
         listed("FILTER", ";").alias("filters"),
-        *[_info_column(d).alias(f"INFO_{d.key}", metadata={"number": d.number}) for d in header.info],
+        *[
+            _info_column(at, d).alias(f"INFO_{name}", metadata={"number": d.number, "key": d.key})
+            for at, (name, d) in enumerate(zip(_column_names(header.info), header.info))
+        ],
     ]
     if header.formats:
         # Where each field sits in this row's samples is looked up once per row, not once per sample.
         rows = rows.withColumns(
             {
-                f"__at_{d.key}": F.coalesce(
+                f"__at_{at}": F.coalesce(
                     F.nullif(F.array_position("FORMAT", d.key), F.lit(0)) - 1, F.lit(-1)
                 ).cast("int")
-                for d in header.formats
+                for at, d in enumerate(header.formats)
             }
         )
         split = F.transform("__samples", lambda sample: F.split(sample, ":"))
         if include_sample_ids:
-            ids = F.array(*[F.lit(s) for s in header.sample_ids]).cast("array<string>")
+            ids = _strings(header.sample_ids)
             genotypes = F.transform(split, lambda values, i: _genotype(values, F.get(ids, i), header.formats))
         else:
             genotypes = F.transform(split, lambda values: _genotype(values, None, header.formats))
-        columns.append(genotypes.alias("genotypes"))
+        named = dict(zip(_column_names(header.formats, GENOTYPE_FIELDS), header.formats))
+        numbers = {"numbers": {name: d.number for name, d in named.items()}, "keys": {name: d.key for name, d in named.items()}}
+        columns.append(genotypes.alias("genotypes", metadata=numbers))
     parsed = rows.select(*columns)
     if split_to_biallelic:
         from varlake.operators.variants import split_multiallelics
@@ -272,10 +295,14 @@ def _declaration(kind: str, key: str, dtype: T.DataType) -> str:
     return f'##{kind}=<ID={key},Number={number},Type={name},Description="">'
 
 
-def _genotype_keys(dtype: T.StructType) -> list[tuple[str, T.StructField]]:
-    names = {name: key for key, name in GENOTYPE_FIELDS.items()}
+def _genotype_keys(genotypes: T.StructField) -> list[tuple[str, T.StructField]]:
+    names = {name: key for key, name in GENOTYPE_FIELDS.items()} | genotypes.metadata.get("keys", {})
     own = ("sampleId", "phased", "calls")
-    return [(names.get(f.name, f.name), f) for f in dtype.fields if f.name not in own]
+    return [(names.get(f.name, f.name), f) for f in genotypes.dataType.elementType.fields if f.name not in own]
+
+
+def _info_key(field: T.StructField) -> str:
+    return field.metadata.get("key", field.name.removeprefix("INFO_"))
 
 
 def infer_vcf_header(schema: T.StructType, sample_ids: Sequence[str] = ()) -> list[str]:
@@ -283,27 +310,37 @@ def infer_vcf_header(schema: T.StructType, sample_ids: Sequence[str] = ()) -> li
     lines = ["##fileformat=VCFv4.2"]
     for f in schema.fields:
         if f.name.startswith("INFO_"):
-            lines.append(_declaration("INFO", f.name.removeprefix("INFO_"), f.dataType))
+            lines.append(_declaration("INFO", _info_key(f), f.dataType))
     columns = list(FIXED_COLUMNS)
     if "genotypes" in schema.fieldNames():
-        element = schema["genotypes"].dataType.elementType
         lines.append('##FORMAT=<ID=GT,Number=1,Type=String,Description="">')
-        lines += [_declaration("FORMAT", key, f.dataType) for key, f in _genotype_keys(element)]
+        lines += [_declaration("FORMAT", key, f.dataType) for key, f in _genotype_keys(schema["genotypes"])]
         columns += ["FORMAT", *sample_ids]
     return [*lines, "#" + "\t".join(columns)]
 
 
 def _in_order(genotypes: Column, sample_ids: Sequence[str]) -> Column:
-    """A row's genotypes in the order of ``sample_ids``; null for samples it lacks, an error for any it has besides."""
-    wanted = F.array(*map(F.lit, sample_ids)).cast("array<string>")
+    """A row's genotypes in the order of ``sample_ids``; null for samples it lacks, an error for any it has besides.
+
+    Both are sorted by name: a row's n-th name then belongs where the list's n-th does. Nothing is searched for each sample.
+    """
+    wanted = _strings(sample_ids)
+    place = {sample: at for at, sample in enumerate(sorted(sample_ids))}
+    ranks = _strings([str(place[sample]) for sample in sample_ids]).cast("array<int>")
 
     def aligned(listed: Column) -> Column:
         own = listed.getField("sampleId")
-        places = F.transform(wanted, lambda sample: F.array_position(own, sample))
-        strange = (F.size(F.array_distinct(own)) < F.size(own)) | F.coalesce(F.size(F.array_except(own, wanted)) > 0, F.lit(True))
-        found = F.transform(places, lambda at: F.get(listed, F.nullif(at, F.lit(0)).cast("int") - 1))
+        absent = F.array_except(wanted, own)
+        names = F.array_sort(
+            F.concat(
+                F.transform(own, lambda name, at: F.struct(name.alias("name"), at.alias("at"))),
+                F.transform(absent, lambda name: F.struct(name.alias("name"), F.lit(-1).alias("at"))),
+            )
+        )
+        known = (F.size(names) == len(sample_ids)) & (F.size(F.array_except(own, wanted)) == 0)
+        found = bind(names, lambda sorted_: F.transform(ranks, lambda at: F.get(listed, F.get(sorted_, at)["at"])))
         error = F.raise_error(F.concat(F.lit("samples not in the header, or repeated: "), F.array_join(own, ",")))
-        return F.when(own == wanted, listed).when(strange, error).otherwise(found)
+        return F.when(own == wanted, listed).when(F.coalesce(known, F.lit(False)), found).otherwise(error)
 
     return bind(genotypes, aligned)
 
@@ -329,7 +366,7 @@ def format_vcf_lines(df: DataFrame, sample_ids: Sequence[str] | None = None) ->
     for f in df.schema.fields:
         if not f.name.startswith("INFO_"):
             continue
-        key = f.name.removeprefix("INFO_")
+        key = _info_key(f)
         if isinstance(f.dataType, T.BooleanType):
             info.append(F.when(quoted(f.name), F.lit(key)))
         else:
@@ -348,7 +385,7 @@ def format_vcf_lines(df: DataFrame, sample_ids: Sequence[str] | None = None) ->
     ]
     if "genotypes" in names:
         element = df.schema["genotypes"].dataType.elementType
-        keys = _genotype_keys(element)
+        keys = _genotype_keys(df.schema["genotypes"])
         columns.append(F.lit(":".join(["GT", *[key for key, _ in keys]])))
 
         def sample(g: Column) -> Column:
