@@ -9,8 +9,7 @@ others, which in a group of edited copies is the least edited. Links join compon
 one pivot but lie in different components, only those pairs are compared that can be linked at all: what two classes differ
 by is the symmetric difference of what either differs from the pivot by, so linked classes share a known number of their
 differences from the pivot, and then one of them lies in a prefix of both if differences are ordered rarest first. Classes
-meet by such a difference, never by the pivot alone. Where a pivot's classes edit the same few places, prefixes still meet
-often: these classes are banded once more, so finely that a bucket holds hardly any that are not linked, and take new pivots.
+meet by such a difference, never by the pivot alone.
 """
 
 from __future__ import annotations
@@ -29,10 +28,6 @@ from varlake.llm.shared import SLICE, map_slices, stored
 
 #: At 40 bands of 5 rows a pair of similarity 0.8 shares no bucket once in 8 million times.
 BANDS, ROWS = 40, 5
-#: The fine banding: the same pair shares none of its buckets once in 8 million times, one of similarity 0.5 does once in 120.
-FINE_BANDS, FINE_ROWS = 560, 16
-#: Meetings for each class of a pivot from which on its classes are banded finely.
-CROWDED = 128
 #: Elements of the (shift, shingle) matrix that is worked on at a time.
 BLOCK = 1 << 20
 
@@ -106,16 +101,6 @@ def sketched(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
     return map_slices(narrow, sketch, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
-def _finely_banded(texts: DataFrame, width: int) -> DataFrame:
-    """(node, bucket) by the fine banding."""
-
-    def band(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [_keys(shingle_set(text, width), FINE_BANDS, FINE_ROWS) for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands"])
-
-    return map_slices(texts.select("node", "text"), band, "node long, bands array<long>").select("node", F.explode("bands").alias("bucket"))
-
-
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     lefts = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     rights = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -162,7 +147,7 @@ def _starred(members: DataFrame) -> DataFrame:
 
 
 def _entries(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(pivot, members, one, node, root, far, g, differ, place): what classes of pivots that join several components differ by.
+    """(pivot, one, node, root, far, g, differ, place): what classes of pivots that join several components differ by.
 
     ``g`` is (100 + percent) * differ - (100 - percent) * n: two classes are linked only if they share at least
     (g_1 + g_2) / (2 * (100 + percent)) differences. ``place`` numbers a class's differences, rarest first; those of one class
@@ -178,9 +163,7 @@ def _entries(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         .withColumn("g", g)
         .select(F.col("a").alias("pivot"), "node", "root", "far", "g", "differ", "differences")
     )
-    least = members.groupBy("pivot").agg(
-        F.count("*").alias("members"), F.min("g").alias("least"), F.min(F.when(F.col("far"), F.col("g"))).alias("least_far")
-    )
+    least = members.groupBy("pivot").agg(F.min("g").alias("least"), F.min(F.when(F.col("far"), F.col("g"))).alias("least_far"))
     members = stored(members.join(least.where("least_far is not null"), "pivot"), "members")
     rows = members.withColumn("one", F.explode("differences")).drop("differences")
     often = rows.groupBy("pivot", "one").agg(F.count("*").alias("often"), F.max("far").alias("__far"))
@@ -188,7 +171,7 @@ def _entries(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "one"))
     least_shared = _shared_at_least(F.col("g"), F.when(F.col("far"), F.col("least")).otherwise(F.col("least_far")), percent)
     rows = rows.withColumn("place", place).where((F.col("often") > 1) & F.col("__far") & (F.col("place") <= F.col("differ") - least_shared + 1))
-    return rows.select("pivot", "members", "one", "node", "root", "far", "g", "differ", "place")
+    return rows.select("pivot", "one", "node", "root", "far", "g", "differ", "place")
 
 
 def _shared_at_least(g_1: Column, g_2: Column, percent: int) -> Column:
@@ -196,30 +179,18 @@ def _shared_at_least(g_1: Column, g_2: Column, percent: int) -> Column:
 
 
 def _possible_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of different components, compared with one pivot, that share a difference in both their prefixes.
-
-    Where entries have ``buckets``, the classes share one of these too.
-    """
-    names = ["node", "root", "g", "differ", "place", *(["buckets"] if "buckets" in entries.columns else [])]
+    """(a, b): classes of different components, compared with one pivot, that share a difference in both their prefixes."""
+    names = ["node", "root", "g", "differ", "place"]
     ones = entries.where("far").select("pivot", "one", *[F.col(c).alias(f"{c}_1") for c in names])
     twos = entries.select("pivot", "one", *[F.col(c).alias(f"{c}_2") for c in [*names, "far"]])
     shared = _shared_at_least(F.col("g_1"), F.col("g_2"), percent)
     within = (F.col("place_1") <= F.col("differ_1") - shared + 1) & (F.col("place_2") <= F.col("differ_2") - shared + 1)
     once = ~F.col("far_2") | (F.col("node_1") < F.col("node_2"))
     wanted = (ones["pivot"] == twos["pivot"]) & (ones["one"] == twos["one"]) & (F.col("root_1") != F.col("root_2")) & once & within
-    if "buckets" in names:
-        wanted = wanted & F.arrays_overlap("buckets_1", "buckets_2")
     pairs = ones.join(twos, wanted)
     return pairs.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
-def _crowded(entries: DataFrame) -> DataFrame:
-    """(pivot): those whose classes would meet over CROWDED times each, before any look at places."""
-    lists = entries.groupBy("pivot", "one").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far"), F.first("members").alias("members"))
-    meetings = lists.groupBy("pivot").agg(F.sum(F.col("n") * F.col("n_far")).alias("meetings"), F.first("members").alias("members"))
-    return meetings.where(F.col("meetings") > CROWDED * F.col("members")).select("pivot")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
@@ -252,25 +223,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = compared.where("linked").select("a", "b")
     roots = stored(components(links), "roots")
     entries = stored(_entries(compared, roots, percent), "entries")
-    crowded = stored(_crowded(entries), "crowded")
-    more = stored(_compared(_possible_pairs(entries.join(crowded, "pivot", "left_anti"), percent), texts, width, percent, False), "links")
-    links = links.unionByName(more.where("linked").select("a", "b"))
-    if not crowded.isEmpty():
-        nodes = entries.join(crowded, "pivot", "left_semi").select("node").distinct()
-        roots = stored(components(links), "roots")
-        fine = _rooted(_finely_banded(texts.join(nodes, "node", "left_semi"), width), roots)
-        fine = stored(fine, "fine")
-        mixed = fine.groupBy("bucket").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high")
-        mixed = stored(mixed.select("bucket"), "mixed")
-        ranked = fine.join(mixed, "bucket").select("bucket", "node").join(meets, "node")
-        closer = stored(_compared(_starred(ranked), texts, width, percent, differences=True), "closer")
-        links = links.unionByName(closer.where("linked").select("a", "b"))
-        roots = stored(components(links), "roots")
-        met = ranked.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-        last = stored(_entries(closer, roots, percent).join(met, "node"), "entries")
-        last = stored(_compared(_possible_pairs(last, percent), texts, width, percent, differences=False), "links")
-        links = links.unionByName(last.where("linked").select("a", "b"))
-    roots = stored(components(links), "roots")
+    more = stored(_compared(_possible_pairs(entries, percent), texts, width, percent, differences=False), "links")
+    if not more.where("linked").isEmpty():
+        roots = stored(components(links.unionByName(more.where("linked").select("a", "b"))), "roots")
 
     smallest = filled.groupBy("digest").agg(F.min("doc_id").alias("least"))
     placed = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
