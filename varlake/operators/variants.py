@@ -204,12 +204,22 @@ def _rotation_mismatch(seq: Column, bases: Column, bases_start: Column, right: C
         context = F.substring(bases, n - k, F.lit(1))
         return context != F.substring(seq, m - F.pmod(step, m), F.lit(1))
 
-    def search(length: Column) -> Column:
+    def nearest(length: Column) -> Column:
         steps = F.when(length > 0, F.sequence(F.lit(0), length - 1))
         return _first_true(F.transform(steps, differs))
 
+    def farther() -> Column:
+        # One comparison of texts shows whether all agrees; only else are single bases looked at, which are then cut once.
+        turn = F.pmod(-(offset + n), m).cast("int")
+        turned = F.concat(F.substring(seq, turn + 1, F.length(seq)), F.repeat(seq, (n / m).cast("int") + 1))
+        context, expected = F.substring(bases, F.lit(1), n), F.substring(turned, F.lit(1), n)
+        pairs = F.reverse(F.arrays_zip(F.split(context, "", -1).alias("a"), F.split(expected, "", -1).alias("b")))
+        # Both lists may end in an empty text, which is equal in both.
+        unequal = F.transform(F.filter(pairs, lambda pair: pair["a"] != ""), lambda pair: pair["a"] != pair["b"])
+        return F.when(context != expected, _first_true(unequal))
+
     # Most events move a few bases at most: look at the nearest ones first.
-    return F.coalesce(search(F.least(n, F.lit(16))), search(n)) + offset
+    return F.coalesce(nearest(F.least(n, F.lit(16))), farther()) + offset
 
 
 def _moved(df: DataFrame) -> DataFrame:
