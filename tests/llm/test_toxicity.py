@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -109,3 +110,39 @@ def test_odd_rows(spark, odd, none):
     rows = toxicity.scored(odd, model).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.scored(none, toxicity.fitted(none, labels)).count() == 0
+
+
+def test_weak_stems_count_words_of_a_family(spark):
+    rng = random.Random(4)
+    tails = ["pa", "ou", "en", "re", "oi", "ch", "vi", "au", "eux", "tre"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnprst')}{rng.choice('aeiou')}{rng.choice('xyz')}" for _ in range(60)]
+        toxic = i % 10 == 0
+        # Each word of the family is rare; one of them is in every tenth clean text too.
+        for tail in rng.sample(tails, 4 if toxic else int(i % 10 == 5)):
+            words[rng.randrange(60)] = "grolm" + tail
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fitted(docs, known)
+    assert "grolm" in model.lexicon._weak
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    assert all((scores[i] >= 0.5) == bool(toxic) for i, toxic in labels)
+    again = toxicity.fitted(docs.repartition(7), known.repartition(2))
+    assert (again.weights == model.weights).all() and again.lexicon._weak == model.lexicon._weak
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_held_out_rows(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    known = toxicity.scored(docs, toxicity.fitted(docs, labels)).join(labels.where("toxic is not null"), "doc_id")
+    rows = known.where(toxicity.held_out(F.col("doc_id"))).select("score", "toxic").collect()
+    toxic = [r["score"] >= 0.5 for r in rows if r["toxic"]]
+    clean = [r["score"] >= 0.5 for r in rows if not r["toxic"]]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)

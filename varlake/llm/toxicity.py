@@ -27,13 +27,15 @@ from varlake.llm.shared import SLICE, extended, map_slices, stored
 
 #: Labelled rows that lexicon and weights are learned from, about; a hash sample if there are more.
 TRAINING_ROWS = 20_000
-#: Learned entries, at most; how often more they occur in toxic documents (odds), and twice the log likelihood ratio against
-#: chance, which is high because a million terms are tried.
-LEARNED, LEAST_ODDS, LEAST_RATIO = 2_000, 12.0, 30.0
+#: How often more a learned entry occurs in toxic documents (odds). Twice its log likelihood ratio against chance must pass
+#: 2 * ln(terms that are tried), at which one of them does by chance.
+LEAST_ODDS = 12.0
+#: The same for weak entries, stems whose words, each but once a document, are counted; several in one text make it toxic.
+WEAK_ODDS = 4.0
 #: Toxic documents that an entry must hit for each other one that it hits.
 FALSE_COST = 10
-#: Lengths of stems.
-STEMS = range(4, 8)
+#: Lengths of stems, those of stems of short words, and how many letters a short word has besides.
+STEMS, SHORT_STEMS, TAIL = range(4, 8), range(3, 8), 4
 #: Words of which a worker remembers the symbol.
 REMEMBERED = 300_000
 
@@ -49,8 +51,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 #: Patterns a clause may hold, strongest first: threat with target, insult with target, insult, threat, reported, negated.
 PATTERNS = "KJIVrn"
-#: Weights before learning, per log2(1 + clauses) of a pattern, and the constant last.
-PRIOR = np.array([3.0, 3.0, 2.5, 0.5, 0.5, -0.5, -2.5])
+#: Weights before learning, per log2(1 + clauses) of a pattern, log2(1 + weak words), and the constant last.
+PRIOR = np.array([3.0, 3.0, 2.5, 0.5, 0.5, -0.5, 0.8, -2.5])
 
 
 @dataclass
@@ -81,8 +83,8 @@ class Transducer:
         return Transducer(arcs, start=start)
 
 
-#: o other word, I insult, V threat verb, T target, N negation, R reported speech, "." clause end.
-ALPHABET = "oIVTNR."
+#: o other word, I insult, V threat verb, T target, N negation, R reported speech, W weak word, "." clause end.
+ALPHABET = "oIVTNRW."
 
 
 def grammar() -> Transducer:
@@ -115,11 +117,16 @@ _CLOSED = {word: symbol for symbol, words in zip("RNTVI", (REPORTS, NEGATIONS, T
 
 
 class Lexicon:
-    """Symbols of words: closed classes, then learned insults as whole words or as stems."""
+    """Symbols of words: closed classes, then learned insults as whole words, as stems, or as stems of short words.
 
-    def __init__(self, words: set[str], stems: set[str]) -> None:
-        self._words, self._stems = words, stems
+    Weak words, stems of short words that tell little alone, have a symbol of their own.
+    """
+
+    def __init__(self, words: set[str], stems: set[str], short: set[str] = frozenset(), weak: set[str] = frozenset()) -> None:
+        self._words, self._stems, self._short, self._weak = words, stems, short, weak
+        self._weak_lengths = sorted({len(stem) for stem in weak})
         self._lengths = sorted({len(stem) for stem in stems})
+        self._short_lengths = sorted({len(stem) for stem in short})
         self._known = self._fixed()
 
     @staticmethod
@@ -135,15 +142,17 @@ class Lexicon:
 
     def _symbol(self, word: str) -> str:
         hit = word in self._words or any(word[:n] in self._stems for n in self._lengths if len(word) > n)
+        hit = hit or any(word[:n] in self._short for n in self._short_lengths if n < len(word) <= n + TAIL)
         if len(self._known) >= REMEMBERED:
             self._known = self._fixed()
-        self._known[word] = "I" if hit else "o"
+        weak = any(word[:n] in self._weak for n in self._weak_lengths if n < len(word) <= n + TAIL)
+        self._known[word] = "I" if hit else "W" if weak else "o"
         return self._known[word]
 
 
 def clauses(symbols: str, machine: Transducer) -> list[int]:
-    """Number of clauses by strongest pattern, in the order of PATTERNS."""
-    counts = [0] * len(PATTERNS)
+    """Number of clauses by strongest pattern, in the order of PATTERNS, and of weak words."""
+    counts = [0] * len(PATTERNS) + [symbols.count("W")]
     if "I" not in symbols and "V" not in symbols:
         return counts
     state, best = machine.start, len(PATTERNS)
@@ -192,7 +201,9 @@ def without_copies(training: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys)], names=["text", "label", "one", "two"])
 
     sketched = map_slices(training, sketch, "text string, label int, one long, two long")
-    return sketched.dropDuplicates(["label", "one"]).dropDuplicates(["label", "two"]).select("text", "label")
+    # Of each group the smallest text, so that reruns learn the same.
+    once = sketched.groupBy("label", "one").agg(F.min(F.struct("text", "two")).alias("row")).select("label", "row.*")
+    return once.groupBy("label", "two").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def learned_lexicon(training: DataFrame) -> Lexicon:
@@ -208,57 +219,78 @@ def learned_lexicon(training: DataFrame) -> Lexicon:
                     terms = {"=" + word for word in words if len(word) >= STEMS[0]}
                     terms |= {word[:n] for word in words for n in STEMS if len(word) > n}
                     terms.add("")
-                    for term in terms:
-                        totals.setdefault(term, [0, 0])[1 if toxic else 0] += 1
+                    counts = dict.fromkeys(terms, 1)
+                    counts |= Counter("~" + word[:n] for word in words for n in SHORT_STEMS if n < len(word) <= n + TAIL)
+                    for term, different in counts.items():
+                        row = totals.setdefault(term, [0, 0, 0, 0])
+                        row[1 if toxic else 0] += 1
+                        row[3 if toxic else 2] += different
             if len(totals) > REMEMBERED:
                 yield _counts(totals)
                 totals = {}
         yield _counts(totals)
 
-    sums = without_copies(training).mapInArrow(counted, "term string, others long, toxic long").groupBy("term").agg(
-        F.sum("others").alias("others"), F.sum("toxic").alias("toxic")
-    )
+    names = ["others", "toxic", "other_words", "toxic_words"]
+    counts = without_copies(training).mapInArrow(counted, "term string, " + ", ".join(f"{name} long" for name in names))
+    sums = counts.groupBy("term").agg(*[F.sum(name).alias(name) for name in names])
     # Terms of one toxic row are the many, and of no use.
     sums = stored(sums.where("toxic > 1"), "terms")
     everything = sums.where("term = ''").first()
     if everything is None or not everything["others"]:
         return Lexicon(set(), set())
     share = everything["toxic"] / (everything["toxic"] + everything["others"])
-    a, b = F.col("toxic"), F.col("others")
-    odds = (a + 0.5) / (b + 0.5) * F.lit((1 - share) / share)
-    surprise = a * F.log(a / (a + b) / F.lit(share)) + F.when(b > 0, b * F.log(b / (a + b) / F.lit(1 - share))).otherwise(0.0)
-    gain = (a - FALSE_COST * b).alias("gain")
-    strong = sums.where((F.col("term") != "") & (odds >= LEAST_ODDS) & (2 * surprise >= LEAST_RATIO)).select("term", gain)
-    stems: set[str] = set()
+    least = 2 * math.log(sums.count())
+
+    def evidence(a: Column, b: Column, least_odds: float) -> Column:
+        odds = (a + 0.5) / (b + 0.5) * F.lit((1 - share) / share)
+        ratio = a * F.log(a / (a + b) / F.lit(share)) + F.when(b > 0, b * F.log(b / (a + b) / F.lit(1 - share))).otherwise(0.0)
+        return (F.col("term") != "") & (odds >= least_odds) & (2 * ratio >= least)
+
+    gain = (F.col("toxic") - FALSE_COST * F.col("others")).alias("gain")
+    strong = sums.where(evidence(F.col("toxic"), F.col("others"), LEAST_ODDS)).select("term", gain)
+    several = F.col("term").startswith("~") & (F.col("toxic") > 2) & (F.col("toxic_words") >= 1.5 * F.col("toxic"))
+    weak = sums.where(several & evidence(F.col("toxic_words"), F.col("other_words"), WEAK_ODDS)).select("term").collect()
     words: set[str] = set()
+    stems: set[str] = set()
+    short: set[str] = set()
     # The best first; with equal gain the shorter entry explains the longer. A stem of a better entry only adds errors.
-    for row in strong.where("gain > 0").orderBy(F.desc("gain"), F.length("term"), "term").limit(LEARNED).collect():
-        term, word = row["term"], row["term"].removeprefix("=")
-        better = words | stems
-        if not any(word[:n] in stems for n in STEMS) and not any(one.startswith(word) for one in better):
-            (words if term.startswith("=") else stems).add(word)
-    return Lexicon(words, stems)
+    ordered = strong.where("gain > 0").orderBy(F.desc("gain"), F.length("term"), "term")
+    for (term,) in ordered.select("term").collect():
+        kind, word = (term[0], term[1:]) if term[0] in "=~" else ("", term)
+        if any(word[:n] in stems for n in STEMS):
+            continue
+        if kind == "=" and any(word[:n] in short for n in SHORT_STEMS if n < len(word) <= n + TAIL):
+            continue
+        if any(one.startswith(word) for one in (words | stems | short if kind != "~" else words | short)):
+            continue
+        {"=": words, "~": short, "": stems}[kind].add(word)
+    return Lexicon(words, stems, short, {row["term"][1:] for row in weak})
 
 
 def _counts(totals: dict[str, list[int]]) -> pa.RecordBatch:
-    columns = [list(totals), [n[0] for n in totals.values()], [n[1] for n in totals.values()]]
-    kinds = [pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["term", "others", "toxic"])
+    columns = [list(totals), *([n[at] for n in totals.values()] for at in range(4))]
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, [pa.string(), *[pa.int64()] * 4])]
+    return pa.RecordBatch.from_arrays(arrays, names=["term", "others", "toxic", "other_words", "toxic_words"])
 
 
 def learned_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method, drawn towards PRIOR; with no rows it is PRIOR."""
+    """Logistic regression by Newton's method, drawn towards PRIOR; with no rows it is PRIOR.
+
+    Toxic rows, the rarer kind, weigh the square root of the ratio of the two, so that a miss counts for more than a false hit.
+    """
     x = np.hstack([features, np.ones((len(features), 1))])
+    toxic = float(labels.sum())
+    row = np.where(labels > 0, max(1.0, (len(labels) - toxic) / max(1.0, toxic)) ** 0.5, 1.0)
 
     def loss(weights: np.ndarray) -> float:
         z = x @ weights
-        return float(np.logaddexp(0, z).sum() - labels @ z + ridge / 2 * np.sum((weights - PRIOR) ** 2))
+        return float((row * np.logaddexp(0, z)).sum() - (row * labels) @ z + ridge / 2 * np.sum((weights - PRIOR) ** 2))
 
     weights, now = PRIOR.copy(), loss(PRIOR)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (labels - p) - ridge * (weights - PRIOR)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(weights))
+        gradient = x.T @ (row * (labels - p)) - ridge * (weights - PRIOR)
+        hessian = (x * (row * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(weights))
         step = np.linalg.solve(hessian, gradient)
         # A full step can overshoot: halve it until the loss falls.
         while (after := loss(weights + step)) > now and np.abs(step).max() > 1e-9:
@@ -300,7 +332,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         )
 
     tallies = map_slices(training, counted, "key array<bigint>, n bigint").groupBy("key").agg(F.sum("n")).collect()
-    keys = np.array([key for key, n in tallies for _ in range(n)], "f8").reshape(-1, 1 + len(PATTERNS))
+    keys = np.array([key for key, n in sorted(map(tuple, tallies)) for _ in range(n)], "f8").reshape(-1, len(PRIOR))
     return Model(lexicon, machine, learned_weights(np.log2(1 + keys[:, 1:]), (keys[:, 0] > 0).astype("f8")))
 
 
