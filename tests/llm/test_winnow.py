@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -83,3 +84,22 @@ def test_one_row_and_none(spark, none):
 def test_main_path_is_native(odd):
     plan = winnow.compared(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ranges_hold_as_many_rows_however_ids_are_spread(spark):
+    ids = [*range(2_000), 10**12, -(10**15), 2**62, *range(10**9, 10**9 + 2_000)]
+    docs = spark.createDataFrame([(i, "x") for i in ids] + [(None, "x")], "doc_id long, text string")
+    placed = docs.select("doc_id", winnow.ranges_of(docs, 50).alias("range")).collect()
+    sizes = Counter(r["range"] for r in placed)
+    assert len(sizes) > 60 and max(sizes.values()) < 200 and sizes[-1] == 1
+    ordered = [r["range"] for r in sorted(placed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))]
+    assert ordered == sorted(ordered)
+
+
+def test_far_ids_follow_each_other(spark):
+    texts = {i: f"text of {i} " * 5 for i in [3, 10**12, -(10**15), *range(100, 180)]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    order = sorted(texts)
+    follows = dict(zip(order, [*order[1:], order[0]]))
+    got = {r["doc_id"]: r["next_text"] for r in winnow.with_next(docs, 8).collect()}
+    assert got == {i: texts[follows[i]] for i in order}

@@ -7,6 +7,7 @@ GRAM bytes is never found.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,8 @@ GRAM, WINDOW = 20, 16
 #: that the smallest of equal hashes is the rightmost.
 PLACE_BITS = 28
 HASH_MASK, PLACE_MASK = (1 << 35) - 1, (1 << PLACE_BITS) - 1
-#: Documents that are put in order in one group.
-GROUP = 1_024
+#: Documents that are put in order in one group, about, and groups at most: larger tables have larger groups.
+GROUP, GROUPS = 1_024, 10_000
 
 
 def winnowed(data: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
@@ -53,7 +54,36 @@ def winnowed(data: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         full = F.greatest(F.size(hashes) - F.lit(window - 1), F.lit(1))
         return F.array_distinct(F.slice(found, F.lit(1), full))
 
-    return F.when(F.length(data) == 0, F.array().cast("array<long>")).otherwise(bind(data, lambda d: bind(packed(d), least)))
+    longer = F.raise_error(F.lit(f"a text of over {PLACE_MASK - 1} bytes has places that do not fit")).cast("array<long>")
+    return (
+        F.when(F.length(data) == 0, F.array().cast("array<long>"))
+        .when(F.length(data) >= PLACE_MASK, longer)
+        .otherwise(bind(data, lambda d: bind(packed(d), least)))
+    )
+
+
+def ranges_of(docs: DataFrame, group: int = GROUP) -> Column:
+    """Number of the range of doc_id that a row lies in, from 0; -1 for null.
+
+    Bounds are quantiles, so ranges hold about as many rows each however the ids are spread; equal ids share a range.
+    """
+    n = docs.count()
+    wanted = max(1, min(GROUPS, n // group))
+    shares = [at / wanted for at in range(1, wanted)]
+    found = docs.where("doc_id is not null").approxQuantile("doc_id", shares, 1 / (4 * wanted)) if shares else []
+    cuts = sorted({int(cut) for cut in found})
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    # Two steps of about the square root of the number of cuts each.
+    step = math.isqrt(len(cuts)) + 1
+
+    def listed(numbers: list[int]) -> str:
+        return "array(" + ", ".join(f"{number}L" if number > -(1 << 63) else "-9223372036854775807L" for number in numbers) + ")"
+
+    first = F.expr(f"size(filter({listed(cuts[::step])}, cut -> cut <= doc_id))")
+    passed = F.greatest(first - 1, F.lit(0)) * step
+    second = F.size(F.filter(F.slice(F.expr(listed(cuts)), passed + 1, F.lit(step)), lambda cut: cut <= F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(passed + second).cast("long")
 
 
 def rewinnowed(fingerprint: Column, kept: Column, data: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
@@ -107,11 +137,7 @@ def with_next(docs: DataFrame, group: int = GROUP) -> DataFrame:
     are dealt into ranges of doc_id and sorted there, with one shuffle of the texts; the first of each range follows the
     last of the one before. In one place only go the numbers of the ranges.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, spanned = low or 0, (high or 0) - (low or 0) + 1
-    width = min(max(1, spanned * group // max(1, n)), spanned, (1 << 63) - 1)
-    place = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(-low // width if low < 0 else 0) - 1).cast("long"))
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("range"))
+    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), ranges_of(docs, group).alias("range"))
     dealt = narrow.repartition("range")
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     follow = (
