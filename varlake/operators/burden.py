@@ -168,14 +168,27 @@ def _list_key(samples: Column) -> list[Column]:
     return [F.xxhash64(samples).alias(LIST_KEY[0]), F.xxhash64(F.lit(1), samples).alias(LIST_KEY[1])]
 
 
+def _with_lists(per_state: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of list keys become a row for each sample of the list."""
+    # Carriers have no list. A key that no list has keeps their rows from meeting in one task.
+    spread = per_state.withColumn(LIST_KEY[0], F.coalesce(LIST_KEY[0], F.xxhash64("gene_id", "sampleId")))
+    listed = spread.join(lists.distinct(), list(LIST_KEY), "left")
+    return listed.withColumn("sampleId", F.explode(F.coalesce("all", F.array("sampleId")))).drop("all", *LIST_KEY)
+
+
 def gene_burden_from_tables(
     variants: DataFrame,
     annotations: DataFrame,
     terms: Sequence[str],
     measure: Measure = "count",
     shift_start_by: int = 1,
+    complete: bool = True,
 ) -> DataFrame:
-    """The burden table from the variant table (nested ``genotypes``) and the annotation table."""
+    """The burden table from the variant table (nested ``genotypes``) and the annotation table.
+
+    Without ``complete`` only carriers get rows: for tables whose ``genotypes`` list nobody else, as after
+    ``keep_rare_genotypes``, the result is the same, and no sample lists are read, passed on or joined.
+    """
     per_gene = site_gene_consequences(annotations, terms, measure)
     # Everything the burden needs of a genotype; Parquet nested pruning keeps the rest on disk.
     samples = F.col("genotypes.sampleId")
@@ -185,20 +198,20 @@ def gene_burden_from_tables(
         (F.col("start") + shift_start_by).alias("start"),
         "end",
         *(["INFO_AF"] if measure == "min_af" else []),
-        *_list_key(samples),
+        *(_list_key(samples) if complete else []),
         F.filter(pairs, lambda p: p.getField("state").isin(*ZYGOSITIES.values())).alias("carriers"),
     )
     joined = slim.join(per_gene, ["contigName", "start", "end"], "inner")
 
     # Carriers become rows. The other samples only have to show up in the result, so each joined row passes on the key of
     # its whole sample list as one more entry; the lists, few different ones as a rule, come back after the aggregation.
-    nobody = F.struct(F.lit(None).cast("string").alias("sampleId"), F.lit(None).cast("int").alias("state"))
-    none = [F.lit(None).cast("long").alias(name) for name in LIST_KEY]
-    entries = F.concat(
-        F.transform("carriers", lambda c: F.struct(c.alias("carrier"), *none)),
-        F.array(F.struct(nobody.alias("carrier"), *LIST_KEY)),
-    )
-    rows = joined.withColumn("entry", F.explode(entries)).drop("carriers", *LIST_KEY)
+    keys = LIST_KEY if complete else ()
+    none = [F.lit(None).cast("long").alias(name) for name in keys]
+    entries = F.transform("carriers", lambda c: F.struct(c.alias("carrier"), *none))
+    if complete:
+        nobody = F.struct(F.lit(None).cast("string").alias("sampleId"), F.lit(None).cast("int").alias("state"))
+        entries = F.concat(entries, F.array(F.struct(nobody.alias("carrier"), *keys)))
+    rows = joined.withColumn("entry", F.explode(entries)).drop("carriers", *keys)
 
     def flag_value(column: Column) -> Column:
         if measure == "count":
@@ -220,13 +233,9 @@ def gene_burden_from_tables(
         "gene_id",
         F.col("entry.carrier.sampleId").alias("sampleId"),
         F.col("entry.carrier.state").alias("state"),
-        *[F.col(f"entry.{name}").alias(name) for name in LIST_KEY],
+        *[F.col(f"entry.{name}").alias(name) for name in keys],
     ).agg(*merged)
-    # Carriers have no list. A key that no list has keeps their rows from meeting in one task.
-    spread = per_state.withColumn(LIST_KEY[0], F.coalesce(LIST_KEY[0], F.xxhash64("gene_id", "sampleId")))
-    lists = variants.filter(F.size(samples) > 0).select(*_list_key(samples), samples.alias("all")).distinct()
-    listed = spread.join(lists, list(LIST_KEY), "left")
-    per_sample = listed.withColumn("sampleId", F.explode(F.coalesce("all", F.array("sampleId")))).drop("all", *LIST_KEY)
+    per_sample = _with_lists(per_state, variants.filter(F.size(samples) > 0).select(*_list_key(samples), samples.alias("all"))) if complete else per_state
 
     def zygosity(state: int) -> Column:
         # At most one row per sample has this state, so max only picks it.

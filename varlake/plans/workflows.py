@@ -80,9 +80,9 @@ def rare_burden_table(
     if terms is None:
         terms = vocabulary(annotations, ["transcript_consequences"])["transcript_consequences"]
     carriers = keep_rare_genotypes(prepare_variants(variants, "and", min_qual), max_het, max_hom)
-    return gene_burden_from_tables(carriers, annotations, terms, "count", shift_start_by)
+    return gene_burden_from_tables(carriers, annotations, terms, "count", shift_start_by, complete=False)
 
 
-def ingest_variants(variants: DataFrame, reference_bases: DataFrame, **options) -> DataFrame:
+def ingest_variants(variants: DataFrame, reference_bases: DataFrame | str | Sequence[str], **options) -> DataFrame:
     """Split multi-allelic sites and left-align: what a raw call set goes through before it is stored."""
     return split_and_normalize(variants, reference_bases, **options)
