@@ -71,3 +71,24 @@ def test_infer(spark):
 def test_variant_schema(spark):
     assert v.VARIANT_SCHEMA.fieldNames()[:3] == ["contigName", "start", "end"]
     assert spark.createDataFrame([], v.VARIANT_SCHEMA).count() == 0
+
+
+def test_schema_of_all_records(spark):
+    texts = [
+        '{"a": 1, "b": {"c": "x"}, "d": [{"e": 1}], "n": null}',
+        '{"a": 2.5, "b": {"c": 3}, "d": [{"e": 2, "f": true}], "n": null}',
+        '{"d": [], "odd name": "y"}',
+        "not json",
+        "[1, 2]",
+        None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    schema, conflicts = v.infer_schema_of_all(df)
+    assert conflicts == ["b.c"]
+    assert schema["a"].dataType.simpleString() == "double"
+    assert schema["b"].dataType.simpleString() == "struct<c:string>"
+    assert schema["d"].dataType.simpleString() == "array<struct<e:bigint,f:boolean>>"
+    assert schema["n"].dataType.simpleString() == "string" and "odd name" in schema.fieldNames()
+    parsed = v.parse_annotations(df, schema).collect()
+    assert sorted((r["b"]["c"] if r["b"] else "") for r in parsed) == ["", "", "", "", "3", "x"]
+    assert v.infer_schema_of_all(df.where("text is null"))[0].fieldNames() == []

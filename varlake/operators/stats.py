@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varlake._shared import shared_folder
+from varlake._shared import scratch
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
@@ -30,7 +29,7 @@ def _cumulated(values: DataFrame) -> DataFrame:
     folder; running totals are then taken inside each range, and the ranges' totals, one row each, give their offsets.
     """
     counts = values.filter(F.col("value").isNotNull()).groupBy("quantity", "value").agg(F.count("*").alias("n"))
-    path = f"{shared_folder(values.sparkSession)}/varlake-ecdf-{uuid.uuid4().hex}"
+    path = scratch(values.sparkSession, "ecdf")
     counts.repartitionByRange("quantity", "value").withColumn("range", F.spark_partition_id()).write.parquet(path)
     placed = values.sparkSession.read.parquet(path)
     totals = placed.groupBy("quantity", "range").agg(F.sum("n").alias("range_n"))

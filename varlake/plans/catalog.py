@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varlake import operators as op
-from varlake._shared import shared_folder
+from varlake._shared import scratch
 from varlake.functions import (
     call_summary_stats,
     depth_summary_stats,
@@ -19,12 +18,12 @@ from varlake.functions import (
 )
 from varlake.operators.consequences import term_rows
 from varlake.plans import views, workflows
-from varlake.schema.annotation import AnnotationSchema, parse_annotations
+from varlake.schema.annotation import AnnotationSchema, infer_schema_of_all, parse_annotations, preset
 from varlake.sources.bgzip import read_vcf_blocks, write_vcf_blocks
 from varlake.sources.fasta import index_fasta, read_indexed_bases, read_reference_bases
 from varlake.sources.gtf import parse_gtf_lines, read_gtf
 from varlake.sources.pipe import annotate, pipe_lines
-from varlake.sources.tables import read_table, select_site_columns, write_table
+from varlake.sources.tables import read_table, select_site_columns, write_and_check, write_table
 from varlake.sources.vcf import VcfHeader, format_vcf_lines, infer_vcf_header, parse_vcf_lines, read_vcf, write_vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,17 +672,13 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/varlake-{name}-{uuid.uuid4().hex}"
-
-
 @query
 def vcf_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two folders of files with different INFO keys and differently ordered samples, read as one table."""
     table = views.variants(spark, sf_dir)
     even = F.col("start") % 20 == 0
     backwards = F.reverse("genotypes")
-    one, two = _scratch(spark, "vcf"), _scratch(spark, "vcf")
+    one, two = scratch(spark, "vcf"), scratch(spark, "vcf")
     write_vcf(table.filter(even).withColumns({"INFO_E": F.col("start"), "genotypes": backwards}), one, SAMPLES)
     write_vcf(table.filter(~even).drop("INFO_AF").withColumn("INFO_O", F.lit(True)), two, SAMPLES)
     read = op.with_genotype_states(read_vcf(spark, [one, two]))
@@ -701,7 +696,7 @@ def vcf_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vcf_block_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted, block-compressed files with an index, each read back by several tasks."""
-    path = _scratch(spark, "vcf-blocks")
+    path = scratch(spark, "vcf-blocks")
     write_vcf_blocks(views.variants(spark, sf_dir), path, SAMPLES)
     read = op.with_genotype_states(read_vcf_blocks(spark, path, part_bytes=1 << 18))
     return read.select(
@@ -717,7 +712,7 @@ def vcf_block_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vcf_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region and a quality, handed down to the index and the scan."""
-    path = _scratch(spark, "vcf-region")
+    path = scratch(spark, "vcf-region")
     write_vcf_blocks(select_site_columns(views.variants(spark, sf_dir), "qual"), path)
     where = f"contigName in ('chr3', 'chr7') and start >= 2000 and end <= 400000 and qual > {MIN_QUAL}"
     return read_vcf_blocks(spark, path, where=where).select("contigName", "start", "end", "qual")
@@ -737,7 +732,7 @@ def pipe_added_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gtf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "gtf")
+    path = scratch(spark, "gtf")
     views.gtf_lines(spark, sf_dir).write.text(path)
     return read_gtf(spark, path, ("gene_id", "transcript_id", "exon_number"))
 
@@ -745,7 +740,7 @@ def gtf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fasta_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A contig of 64 bases in lines of 30 for each order, read in chunks of 32."""
-    path = _scratch(spark, "fasta")
+    path = scratch(spark, "fasta")
     genome = views.repeat_genome(spark, sf_dir)
     contig = F.concat(F.lit(">"), "contigName", F.lit("_"), F.col("chunk_id").cast("string"))
     lines = F.regexp_replace("bases", "(.{30})", "$1\n")
@@ -756,7 +751,7 @@ def fasta_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fasta_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contigs of ``fasta_file`` by an index, those chunks that variants need."""
-    path = _scratch(spark, "fasta-indexed")
+    path = scratch(spark, "fasta-indexed")
     genome = views.repeat_genome(spark, sf_dir)
     contig = F.concat("contigName", F.lit("_"), F.col("chunk_id").cast("string"))
     lines = F.rtrim(F.regexp_replace("bases", "(.{30})", "$1\n"))
@@ -770,14 +765,14 @@ def fasta_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long_repeats(spark: SparkSession, sf_dir: str, by_index: bool) -> DataFrame:
-    path = _scratch(spark, "long-repeats")
+    path = scratch(spark, "long-repeats")
     views.long_repeat_lines(spark, sf_dir).write.text(path)
     if by_index:
         index_fasta(spark, path)
     reference: DataFrame | str = path
     if not by_index:
         # Stored, because every round of the join reads it.
-        chunks = _scratch(spark, "chunks")
+        chunks = scratch(spark, "chunks")
         write_table(read_reference_bases(spark, path), chunks)
         reference = read_table(spark, chunks)
     done = workflows.ingest_variants(views.long_repeat_variants(spark, sf_dir), reference)
@@ -805,6 +800,52 @@ def pipe_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def schema_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of which all records are looked at; half of them hold a number where the others hold text."""
+    mixed = F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).otherwise(F.concat(F.lit('"n'), "k", F.lit('"')))
+    body = [F.lit('{"k":'), "k", F.lit(',"m":'), mixed, F.lit(',"a":[{"b":'), F.col("k") / 4, F.lit("}]}")]
+    events = views.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    text = events.select("event_id", F.concat(*body).alias("text"))
+    schema, conflicts = infer_schema_of_all(text)
+    parsed = text.select("event_id", F.from_json("text", schema).alias("record"))
+    return parsed.select(
+        "event_id",
+        "record.k",
+        "record.m",
+        F.get("record.a", F.lit(0))["b"].alias("b"),
+        F.lit(",".join(conflicts)).alias("conflicts"),
+    )
+
+
+@query
+def schema_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of the packaged schema, looked up by their paths, parse records."""
+    schema = AnnotationSchema(struct=T.StructType.fromJson(preset("vep/basic_schema")["version_99"]))
+    transcripts = T.ArrayType(schema.field("transcript_consequences"))
+    wanted = T.StructType().add("id", schema.field("id")).add("transcript_consequences", transcripts)
+    records = views.annotations(spark, sf_dir)
+    parsed = parse_annotations(records.select(F.to_json(F.struct(*records.columns)).alias("text")), wanted)
+    first = F.get("transcript_consequences", F.lit(0))
+    return parsed.select("id", first["gene_id"].alias("gene_id"), F.size("transcript_consequences").alias("n_transcripts"))
+
+
+@query
+def annotate_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``annotate_pipe``, for tables with one allele and one name a row."""
+    program = '!/^#/ { printf "{\\"seq_region_name\\":\\"%s\\",\\"start\\":%d,\\"id\\":\\"%s\\",\\"input\\":\\"%s\\"}\\n", $1, $2, $3, $5 }'
+    sites = op.scalarise_biallelic(select_site_columns(views.variants(spark, sf_dir)))
+    scalar = {"alt": "alternateAllele", "alt_is_array": False, "id": "concat('v', start)", "id_is_array": False}
+    return annotate(sites, ["awk", "-F", "\t", program], **scalar).select("seq_region_name", "start", "id")
+
+
+@query
+def write_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table stored, read back and shown whole."""
+    nations = views.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return spark.createDataFrame(write_and_check(nations, scratch(spark, "check"), nrows=100))
+
+
 @query
 def annotate_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A command that writes one JSON record per variant line."""
@@ -867,6 +908,6 @@ def position_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def write_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in position order to the cluster's shared folder, and read back."""
-    path = f"{shared_folder(spark)}/varlake-table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     write_table(op.layout_by_position(select_site_columns(views.variants(spark, sf_dir))), path)
     return op.scalarise_biallelic(read_table(spark, path))

@@ -562,6 +562,19 @@ def all_oracles() -> dict[str, str]:
             select contig as "contigName", start0 as start, start0 + 1 as "end", ref as "referenceAllele", alt as alts
             from variant
         """,
+        "schema_inferred": """
+            with e as (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events)
+            select event_id, k, case when k % 2 = 0 then cast(k as varchar) else 'n' || k end as m, k / 4.0::double as b,
+                   'm' as conflicts from e
+        """,
+        "schema_preset": """
+            select 'rs' || l_orderkey as id, p_brand as gene_id, case when l_linenumber % 2 = 0 then 2 else 1 end as n_transcripts
+            from lineitem join part on l_partkey = p_partkey
+        """,
+        "annotate_scalars": f"""
+            with {_VARIANT} select contig as seq_region_name, start0 + 1 as start, 'v' || start0 as id from variant
+        """,
+        "write_check": "select n_nationkey, n_name from nation",
         "annotate_pipe": f"""
             with {_VARIANT}
             select contig as seq_region_name, start0 + 1 as start,

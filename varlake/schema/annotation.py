@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -197,3 +198,29 @@ def infer_schema(spark: SparkSession, record: str | dict) -> T.StructType:
     sample = record if isinstance(record, str) else json.dumps(record)
     ddl = spark.range(1).select(F.schema_of_json(F.lit(sample))).first()[0]
     return T.StructType.fromDDL(ddl)
+
+
+def infer_schema_of_all(df: DataFrame, text: str = "text") -> tuple[T.StructType, list[str]]:
+    """The schema of all records of a JSON column, and the paths at which records disagree; one pass, merged map-side.
+
+    Whole numbers are longs, others doubles. Where records disagree, and where all are null, the type is string. Text that is
+    no JSON object is passed over; without any record the schema is empty.
+    """
+    record = F.try_parse_json(text)
+    objects = F.when(F.schema_of_variant(record).startswith("OBJECT"), record)
+    merged = df.agg(F.schema_of_variant_agg(objects)).first()[0]
+    if merged is None or not merged.startswith("OBJECT<") or merged == "OBJECT<>":
+        return T.StructType(), []
+    ddl = re.sub(r"DECIMAL[(][0-9]+,[0-9]+[)]", "DOUBLE", merged.replace("OBJECT<", "STRUCT<"))
+    conflicts: list[str] = []
+
+    def settled(dtype: T.DataType, path: str) -> T.DataType:
+        if isinstance(dtype, T.StructType):
+            return T.StructType([T.StructField(f.name, settled(f.dataType, f"{path}.{f.name}".lstrip("."))) for f in dtype.fields])
+        if isinstance(dtype, T.ArrayType):
+            return T.ArrayType(settled(dtype.elementType, f"{path}[]"))
+        if isinstance(dtype, T.VariantType):
+            conflicts.append(path)
+        return T.StringType() if isinstance(dtype, (T.VariantType, T.NullType)) else dtype
+
+    return settled(T.DataType.fromDDL(ddl), ""), conflicts

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import subprocess
 import threading
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Literal
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varlake._shared import shared_folder
+from varlake._shared import scratch
 from varlake.functions._columns import as_column
 from varlake.functions.identifiers import variant_spdi
 from varlake.schema.annotation import AnnotationSchema, parse_annotations
@@ -110,7 +109,7 @@ def pipe_lines(
     text = lines.mapInPandas(_through_command(list(command), list(header), dict(env) if env else None), "text string")
     if output_format == "text":
         return text
-    path = f"{shared_folder(df.sparkSession)}/varlake-pipe-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "pipe")
     text.withColumnRenamed("text", "value").write.parquet(path)
     kept = df.sparkSession.read.parquet(path)
     written = header_of_lines(kept)
