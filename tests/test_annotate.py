@@ -107,3 +107,18 @@ def test_ecdf_equals_cume_dist(spark):
     got = v.ecdf(df, "x")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
     assert v.ecdf(df.filter("x < 0"), "x").count() == 0
+
+
+def test_pages_bound_the_lists_of_a_crowded_site(spark):
+    features = [("1", 100, 200, f"f{i}", i) for i in range(1_000)] + [("1", 150, 151, "same", 7)] * 40 + [("2", 0, 5, "g", 1)]
+    df = spark.createDataFrame(features, "contigName string, start long, end long, name string, size int").repartition(7)
+    variants = spark.createDataFrame([("1", 150, 151, "a"), ("1", 150, 151, "b"), ("2", 3, 4, "c"), ("3", 1, 2, "d")], "contigName string, start long, end long, id string")
+    rows = v.annotate_overlap(variants, df, "hit", ["size"], page_size=16).collect()
+    found = {}
+    for row in rows:
+        assert row.hit is None or len(row.hit) <= 16
+        assert (row.id, row.page) not in {key[:2] for key in found.get("pages", [])}
+        found.setdefault(row.id, []).extend(one.name for one in row.hit or [])
+    want = sorted([f"f{i}" for i in range(1_000)] + ["same"] * 40)
+    assert sorted(found["a"]) == sorted(found["b"]) == want and found["c"] == ["g"] and found["d"] == []
+    assert len({(r.id, r.page) for r in rows}) == len(rows) > 2 * 1_040 / 16

@@ -66,3 +66,22 @@ def test_overlap_is_an_equi_join(spark):
     a = spark.createDataFrame([], "contigName string, start long, end long")
     text = plan(v.overlap_pairs(a, a.selectExpr("*", "1 as x")))
     assert "NestedLoop" not in text and "Cartesian" not in text and "__block" in text
+
+
+def test_stored_sites_join_without_an_exchange(spark, tmp_path):
+    sites = [(f"chr{i % 5}", i * 10, i * 10 + 1) for i in range(500)]
+    variants = spark.createDataFrame([(*s, i) for i, s in enumerate(sites)], "contigName string, start long, end long, v int")
+    records = spark.createDataFrame([(*s, i) for i, s in enumerate(sites[::2])], "seq_region_name string, start long, end long, a int")
+    left = v.write_site_table(variants, "test_sites", str(tmp_path / "sites"), 4)
+    right = v.write_site_table(records, "test_records", str(tmp_path / "records"), 4, ("seq_region_name", "start", "end"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        joined = v.join_consequences(left, right, shift_start_by=0)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted((r.v, r.a) for r in joined.collect()) == [(2 * i, i) for i in range(250)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("drop table test_sites")
+        spark.sql("drop table test_records")

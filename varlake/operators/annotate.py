@@ -2,7 +2,8 @@
 
 List annotations come in two shapes. ``nested=True`` gives the annotation format's shape: one array per variant, as
 long as the list of features at that variant. ``nested=False`` gives one row per (variant, feature), null where there
-is none; it keeps no list in memory, so use it when a single site may have very many features.
+is none; it keeps no list in memory, so use it when a single site may have very many features. ``page_size`` gives nested
+lists with a bound: each variant has a row for each page of at most so many features, and a column ``page``.
 
 Coordinates of both sides are 0-based and half-open. Lists are looked up per distinct site, so copies of a site do not
 multiply the work.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlake.functions._columns import quoted, with_computed
@@ -23,11 +24,32 @@ from varlake.operators.variants import minimal_alleles
 SITE = ["contigName", "start", "end"]
 
 
+#: Windows over which a site's features are dealt before they are numbered for pages.
+DEALT = 64
+
+
+def _paged(found: DataFrame, keys: Sequence[str], name: str, page_size: int) -> DataFrame:
+    """Lists of at most ``page_size`` entries per key and ``page``. A key's entries are numbered in DEALT windows, not in one."""
+    dealt = found.withColumn("__part", F.spark_partition_id() % DEALT)
+    place = F.row_number().over(Window.partitionBy(*[quoted(k) for k in keys], "__part").orderBy(quoted(name)))
+    page = (F.floor((place - 1) / page_size) * DEALT + F.col("__part")).cast("long")
+    pages = dealt.withColumn("page", page).groupBy(*[quoted(k) for k in keys], "page")
+    return pages.agg(F.array_sort(F.collect_list(name)).alias(name))
+
+
 def _attach(
-    variants: DataFrame, pairs: DataFrame, keys: Sequence[str], entry: Column, name: str, nested: bool
+    variants: DataFrame,
+    pairs: DataFrame,
+    keys: Sequence[str],
+    entry: Column,
+    name: str,
+    nested: bool,
+    page_size: int | None = None,
 ) -> DataFrame:
     found = pairs.select(*[quoted(k) for k in keys], entry.alias(name))
-    if nested:
+    if page_size is not None:
+        found = _paged(found, keys, name, page_size)
+    elif nested:
         found = found.groupBy(*[quoted(k) for k in keys]).agg(F.array_sort(F.collect_list(name)).alias(name))
         # One row per site on the right, so only copies of a site can be many, and those are on the side that is split.
         return variants.join(found, list(keys), "left")
@@ -66,6 +88,7 @@ def annotate_overlap(
     allele_col: str | None = None,
     nested: bool = True,
     force_coordinates: bool = False,
+    page_size: int | None = None,
 ) -> DataFrame:
     """Add every feature that overlaps the variant by at least one base as ``struct<name, allele, fields>``.
 
@@ -76,7 +99,7 @@ def annotate_overlap(
     sites = variants.select(*SITE).distinct()
     pairs = overlap_pairs(sites, _needed_columns(features, needed))
     entry = _custom_entry(fields, name_col, allele_col, _coordinates("contigName", "feature_start", "feature_end"))
-    return _attach(variants, pairs, SITE, entry, short_name, nested)
+    return _attach(variants, pairs, SITE, entry, short_name, nested, page_size)
 
 
 def annotate_exact(
@@ -91,6 +114,7 @@ def annotate_exact(
     ref_col: str | None = None,
     variant_ref_col: str | None = None,
     force_coordinates: bool = False,
+    page_size: int | None = None,
 ) -> DataFrame:
     """Add the features with exactly the variant's coordinates and, if both allele columns are named, its allele.
 
@@ -103,14 +127,14 @@ def annotate_exact(
     entries = _needed_columns(features, needed)
     entry = _custom_entry(fields, name_col, allele_col, _coordinates(*SITE))
     if not (variant_allele_col and allele_col):
-        return _attach(variants, entries, SITE, entry, short_name, nested)
+        return _attach(variants, entries, SITE, entry, short_name, nested, page_size)
     if not (ref_col and variant_ref_col):
         keys = [*SITE, variant_allele_col]
-        return _attach(variants, entries.withColumn(variant_allele_col, quoted(allele_col)), keys, entry, short_name, nested)
+        return _attach(variants, entries.withColumn(variant_allele_col, quoted(allele_col)), keys, entry, short_name, nested, page_size)
     keys = ["__contig", "__start", "__ref", "__alt"]
     left = _with_minimal_alleles(variants, variant_ref_col, variant_allele_col)
     right = _with_minimal_alleles(entries, ref_col, allele_col)
-    return _attach(left, right, keys, entry, short_name, nested).drop(*keys)
+    return _attach(left, right, keys, entry, short_name, nested, page_size).drop(*keys)
 
 
 def _with_minimal_alleles(df: DataFrame, ref: str, alt: str) -> DataFrame:
@@ -125,7 +149,7 @@ def _with_minimal_alleles(df: DataFrame, ref: str, alt: str) -> DataFrame:
     )
 
 
-def annotate_colocated(variants: DataFrame, known: DataFrame, nested: bool = True) -> DataFrame:
+def annotate_colocated(variants: DataFrame, known: DataFrame, nested: bool = True, page_size: int | None = None) -> DataFrame:
     """Add known variants at the same coordinates as ``colocated_variants``.
 
     ``known`` needs ``contigName, start, end, strand, id, allele_string``; reported starts are 1-based.
@@ -138,7 +162,7 @@ def annotate_colocated(variants: DataFrame, known: DataFrame, nested: bool = Tru
         F.col("id").cast("string").alias("id"),
         F.col("allele_string").cast("string").alias("allele_string"),
     )
-    return _attach(variants, known, SITE, entry, "colocated_variants", nested)
+    return _attach(variants, known, SITE, entry, "colocated_variants", nested, page_size)
 
 
 def annotate_cadd(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from varlake.sources.bgzip import read_vcf_blocks, write_vcf_blocks
 from varlake.sources.fasta import index_fasta, read_indexed_bases, read_reference_bases
 from varlake.sources.gtf import parse_gtf_lines, read_gtf
 from varlake.sources.pipe import annotate, pipe_lines
-from varlake.sources.tables import read_table, select_site_columns, write_and_check, write_table
+from varlake.sources.tables import read_table, select_site_columns, write_and_check, write_site_table, write_table
 from varlake.sources.vcf import VcfHeader, format_vcf_lines, infer_vcf_header, parse_vcf_lines, read_vcf, write_vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,6 +417,17 @@ def join_consequences_on_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_columns(op.join_consequences(genotypes, consequences, on_id=True))
 
 
+@query
+def join_stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables stored in buckets by site: genotypes and consequences meet without an exchange."""
+    names = [f"varlake_{part}_{uuid.uuid4().hex}" for part in ("variants", "annotations")]
+    variants = write_site_table(op.shift_start(views.variants(spark, sf_dir)), names[0], scratch(spark, "sites"), 16)
+    keys = ("seq_region_name", "start", "end")
+    annotations = write_site_table(views.annotations(spark, sf_dir), names[1], scratch(spark, "records"), 16, keys)
+    rows = op.explode_genotypes(op.with_genotype_states(op.scalarise_biallelic(variants)))
+    return _joined_columns(op.join_consequences(rows, op.explode_transcript_consequences(annotations), shift_start_by=0))
+
+
 # --- annotation joins -------------------------------------------------------------------------------------------------
 
 _SITE = ["contigName", "start", "end"]
@@ -439,6 +451,17 @@ def annotate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def annotate_overlap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of at most two features a row; none is lost."""
+    rows = op.annotate_overlap(views.repeated(views.sites(spark, sf_dir)), views.features(spark, sf_dir), "feature", ["size"], page_size=2)
+    return rows.groupBy(*_SITE).agg(
+        F.sum(F.coalesce(F.size("feature"), F.lit(0))).cast("long").alias("n_features"),
+        F.coalesce(F.max(F.size("feature")) <= 2, F.lit(True)).alias("bounded"),
+        F.sum(F.aggregate(F.coalesce("feature.fields.size", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda s, x: s + x)).alias("sizes"),
+    )
+
+
 @query
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = op.overlap_pairs(views.sites(spark, sf_dir), views.features(spark, sf_dir))

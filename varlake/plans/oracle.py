@@ -387,6 +387,14 @@ def all_oracles() -> dict[str, str]:
         "join_consequences": _JOINED,
         "join_consequences_unshifted": _JOINED,
         "join_consequences_on_id": _JOINED,
+        "join_stored_sites": _JOINED,
+        "annotate_overlap_pages": f"""
+            with {_SITES}
+            select site.contig as "contigName", s as start, e as "end", count(name) as n_features, true as bounded,
+                   cast(coalesce(sum(size), 0) as bigint) as sizes
+            from site_copy site left join feature on site.contig = feature.contig and s < fe and fs < e
+            group by site.contig, s, e
+        """,
         "annotate_overlap": f"""
             with {_SITES}
             select site.contig as "contigName", s as start, e as "end", count(name) as n_features,

@@ -31,6 +31,19 @@ def write_table(
     writer.save(path)
 
 
+def write_site_table(
+    df: DataFrame, name: str, path: str, buckets: int, keys: Sequence[str] = ("contigName", "start", "end")
+) -> DataFrame:
+    """Stores a table in ``buckets`` by its site, sorted in each, as ``name`` in the session's catalog, and reads it.
+
+    Two tables of as many buckets join on all of ``keys`` without moving a row of either, as often as they are joined: the
+    keys must be as the join wants them, so a start that has to be shifted is shifted before. A site's rows share a bucket.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_and_check(df: DataFrame, path: str, fmt: str = "parquet", nrows: int = 5, **options) -> pd.DataFrame:
     """Store a table, read it back and return a preview of what was stored."""
     write_table(df, path, fmt, **options)
