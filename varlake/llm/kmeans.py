@@ -22,12 +22,16 @@ def _long_array(numbers: list[int]) -> str:
     return "array(" + ", ".join(f"{n}L" for n in numbers) + ")"
 
 
-def nearest(vector: str, centroids: list[list[int]]) -> Column:
-    """Struct (distance, cluster) of the nearest centroid by squared distance; ties go to the smaller number."""
+def nearest(vector: str, norm: str, centroids: list[list[int]]) -> Column:
+    """Struct (distance, cluster) of the nearest centroid by squared distance; ties go to the smaller number.
+
+    ``norm`` is the column of the vectors' own squares: a distance is norm - 2 * product + the centroid's square.
+    """
     choices = []
     for number, centroid in enumerate(centroids):
-        squares = f"zip_with({vector}, {_long_array(centroid)}, (a, b) -> (a - b) * (a - b))"
-        choices.append(f"struct(aggregate({squares}, 0L, (s, x) -> s + x) as distance, {number} as cluster)")
+        products = f"zip_with({vector}, {_long_array(centroid)}, (a, b) -> a * b)"
+        distance = f"{norm} - 2 * aggregate({products}, 0L, (s, x) -> s + x) + {sum(c * c for c in centroid)}L"
+        choices.append(f"struct({distance} as distance, {number} as cluster)")
     return F.expr(f"array_min(array({', '.join(choices)}))")
 
 
@@ -42,7 +46,7 @@ def moved(vectors: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """One round: every centroid becomes the componentwise floor of its vectors' mean; one without vectors stays."""
     dims = len(centroids[0])
     sums = [F.sum(F.col("vector")[at]).alias(f"s{at}") for at in range(dims)]
-    assigned = vectors.select("vector", nearest("vector", centroids)["cluster"].alias("cluster"))
+    assigned = vectors.select("vector", nearest("vector", "norm", centroids)["cluster"].alias("cluster"))
     out = list(centroids)
     for row in assigned.groupBy("cluster").agg(F.count("*").alias("n"), *sums).collect():
         out[row["cluster"]] = [row[f"s{at}"] // row["n"] for at in range(dims)]
@@ -57,14 +61,15 @@ def clustered(rows: DataFrame, vector: str = "embedding", dims: int = 64, k: int
     is the distance summed over the cluster, and over all. An empty table, or one without such vectors, gives no rows.
     """
     narrow = rows.select("vec_id", F.col(vector).alias("vector")).where(F.size("vector") == dims)
-    vectors = stored(integers(narrow, "vector"), "vectors")
+    norm = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    vectors = stored(integers(narrow, "vector").withColumn("norm", norm), "vectors")
     centroids = first_centroids(vectors, k)
     if not centroids:
         kind = rows.schema["vec_id"].dataType.simpleString()
         return rows.sparkSession.createDataFrame([], RESULT.format(id=kind))
     for _ in range(rounds):
         centroids = moved(vectors, centroids)
-    best = nearest("vector", centroids)
+    best = nearest("vector", "norm", centroids)
     assigned = vectors.select("vec_id", best.alias("best")).select("vec_id", "best.cluster", "best.distance")
     inertia = [0] * len(centroids)
     for row in assigned.groupBy("cluster").agg(F.sum("distance").alias("n")).collect():
