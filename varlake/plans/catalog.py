@@ -23,7 +23,7 @@ from varlake.schema.annotation import AnnotationSchema, infer_schema_of_all, par
 from varlake.sources.bgzip import read_vcf_blocks, write_vcf_blocks
 from varlake.sources.fasta import index_fasta, read_indexed_bases, read_reference_bases
 from varlake.sources.gtf import parse_gtf_lines, read_gtf
-from varlake.sources.pipe import annotate, pipe_lines
+from varlake.sources.pipe import annotate, pipe_lines, pipe_resumable
 from varlake.sources.tables import read_table, select_site_columns, write_and_check, write_site_table, write_table
 from varlake.sources.vcf import VcfHeader, format_vcf_lines, infer_vcf_header, parse_vcf_lines, read_vcf, write_vcf
 
@@ -823,6 +823,16 @@ def pipe_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def pipe_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command run part by part, each output line held against the line that it came from."""
+    sites = select_site_columns(views.variants(spark, sf_dir)).withColumn("id", F.concat(F.lit("v"), "start"))
+    program = '!/^#/ { print $3 " " $4 $5 }'
+    path = scratch(spark, "resumable")
+    done = pipe_resumable(sites, ["awk", "-F", "\t", program], path, "split(text, ' ')[0]", parts=12, parts_at_once=8)
+    return done.select("key", F.split("text", " ")[1].alias("alleles"))
+
+
 @query
 def schema_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON of which all records are looked at; half of them hold a number where the others hold text."""

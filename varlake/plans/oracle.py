@@ -570,6 +570,9 @@ def all_oracles() -> dict[str, str]:
             select contig as "contigName", start0 as start, start0 + 1 as "end", ref as "referenceAllele", alt as alts
             from variant
         """,
+        "pipe_resumed": f"""
+            with {_VARIANT} select 'v' || start0 as key, ref || alt as alleles from variant
+        """,
         "schema_inferred": """
             with e as (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events)
             select event_id, k, case when k % 2 = 0 then cast(k as varchar) else 'n' || k end as m, k / 4.0::double as b,
