@@ -36,8 +36,8 @@ WEAK_ODDS = 4.0
 FALSE_COST = 10
 #: Lengths of stems, those of stems of short words, and how many letters a short word has besides.
 STEMS, SHORT_STEMS, TAIL = range(4, 8), range(3, 8), 4
-#: Words of which a worker remembers the symbol.
-REMEMBERED = 300_000
+#: Words of which a worker remembers the symbol; terms that it counts before it hands their counts on, and bits of a count.
+REMEMBERED, COUNTED, COUNT_BITS = 200_000, 100_000, 40
 
 # Small closed word classes in the corpus's languages.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting imbecile".split()
@@ -210,7 +210,8 @@ def learned_lexicon(training: DataFrame) -> Lexicon:
     """Words and stems that occur in toxic rows far more often than elsewhere, beyond chance."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, list[int]] = {}
+        # Four counts share a number, which takes far less memory than a list of them.
+        totals: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -219,15 +220,15 @@ def learned_lexicon(training: DataFrame) -> Lexicon:
                     terms = {"=" + word for word in words if len(word) >= STEMS[0]}
                     terms |= {word[:n] for word in words for n in STEMS if len(word) > n}
                     terms.add("")
-                    counts = dict.fromkeys(terms, 1)
-                    counts |= Counter("~" + word[:n] for word in words for n in SHORT_STEMS if n < len(word) <= n + TAIL)
-                    for term, different in counts.items():
-                        row = totals.setdefault(term, [0, 0, 0, 0])
-                        row[1 if toxic else 0] += 1
-                        row[3 if toxic else 2] += different
-            if len(totals) > REMEMBERED:
-                yield _counts(totals)
-                totals = {}
+                    once = (1 | 1 << 2 * COUNT_BITS) << (COUNT_BITS if toxic else 0)
+                    for term in terms:
+                        totals[term] = totals.get(term, 0) + once
+                    families = Counter("~" + word[:n] for word in words for n in SHORT_STEMS if n < len(word) <= n + TAIL)
+                    for term, different in families.items():
+                        totals[term] = totals.get(term, 0) + ((1 | different << 2 * COUNT_BITS) << (COUNT_BITS if toxic else 0))
+                    if len(totals) > COUNTED:
+                        yield _counts(totals)
+                        totals = {}
         yield _counts(totals)
 
     names = ["others", "toxic", "other_words", "toxic_words"]
@@ -267,8 +268,9 @@ def learned_lexicon(training: DataFrame) -> Lexicon:
     return Lexicon(words, stems, short, {row["term"][1:] for row in weak})
 
 
-def _counts(totals: dict[str, list[int]]) -> pa.RecordBatch:
-    columns = [list(totals), *([n[at] for n in totals.values()] for at in range(4))]
+def _counts(totals: dict[str, int]) -> pa.RecordBatch:
+    mask = (1 << COUNT_BITS) - 1
+    columns = [list(totals), *([n >> at * COUNT_BITS & mask for n in totals.values()] for at in range(4))]
     arrays = [pa.array(c, kind) for c, kind in zip(columns, [pa.string(), *[pa.int64()] * 4])]
     return pa.RecordBatch.from_arrays(arrays, names=["term", "others", "toxic", "other_words", "toxic_words"])
 
