@@ -105,3 +105,27 @@ def test_odd_rows(spark, odd, none):
 def test_documents_are_not_shuffled(odd):
     plan = licences.scanned(odd)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_sql_agrees_on_notices_and_wrapped_texts(spark):
+    import duckdb
+
+    heads = [
+        "Copyright (c) 2020 Some One", "copyright holders be liable", "Copyright Some One and others", "Copyright\n2020 Me", "Copyright:\n(c) Me",
+        "\nCopyright\n\nnext", "Copyright\nnext", "Copyright notice: a", "copyright notice and this", "(c) Me", "(c) if you do", "(C)\tYou and me",
+        "All rights reserved.", " * copyrights, patents", "COPYRIGHTED 1999", "copyright", "# Copyright © 2001-2003, Us\n# All Rights Reserved",
+        "copyright holders: Us", "copyright laws of", "prose copyright 2020 in it", "copyright [2020] x", "> (c)", "copyright,1999",
+    ]
+    texts = [text for text, _ in licences.known_texts().items() if "\n" in text]
+    rows = heads + [f"{head}\n\n{text}" for head in heads for text in texts[:3]] + list(licences.headed_texts())
+    for width in (30, 47, 72):
+        rows += ["\n".join(textwrap.wrap(" ".join(text.split()), width)) for text in texts]
+        rows += [" * " + "\n * ".join(textwrap.wrap(" ".join(text.split()), width)) for text in texts]
+    rows += [None, "", "\n\n", "ÄÖ Copyright", "x" * 5_000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r) for r in licences.scanned(docs).collect()}
+    con = duckdb.connect()
+    con.execute("create table rows_ (doc_id bigint, text varchar)")
+    con.executemany("insert into rows_ values (?, ?)", list(enumerate(rows)))
+    want = {r[0]: tuple(r) for r in con.execute(licences.scan_sql("rows_")).fetchall()}
+    assert [(rows[i], got[i], want[i]) for i in want if got[i] != want[i]] == [] and len(got) == len(want)

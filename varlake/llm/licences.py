@@ -116,8 +116,6 @@ COPYRIGHT_NOTICE = (
     rf"|[(]c[)][ \t]*+(?=\S)(?!(?:{ITEM})\b)"
     r"|all rights reserved)[^\n]*"
 )
-#: What ``scan_sql`` drops instead: any line that begins so, also one of a sentence.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;!>-]*(copyright|[(]c[)]|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f“”‘’–—]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -216,33 +214,68 @@ def scanned(docs: DataFrame) -> DataFrame:
     return whole.join(notices, same, "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
+def _dropped_line(bodies: str, at: str) -> str:
+    """SQL: whether line ``at`` of a list of lines without their leaders is a copyright notice.
+
+    Told line by line, with conditions of their own for what ``COPYRIGHT_NOTICE`` says in one expression.
+    """
+    line, before, after = (f"coalesce({bodies}[{place}], '')" for place in (at, f"{at} - 1", f"{at} + 1"))
+    mark = "([(]c[)]|[(<{\\[]?[0-9]{4})"
+    word = "^copyright(s|ed)?[ \\t:,]*"
+    rest = f"regexp_replace({line}, '^copyrights?[ \\t:]+', '')"
+    holder = f"""(regexp_matches({line}, '^copyrights?[ \\t:]+[^ \\t\\n\\r\\f\\v,.;()''"/-]')
+        and (regexp_matches({rest}, '^(holder|owner|notice)s?[ \\t]*:') or not regexp_matches({rest}, '^({SENTENCE.replace("(?:", "(")})\\b')))"""
+    alone = f"""(regexp_matches({line}, '^copyrights?[ \\t:]*$') and ({at} = 1 or {before} = '') and ({at} = len({bodies}) or {after} = ''))"""
+    listed = f"(regexp_matches({line}, '^[(]c[)][ \\t]*[^ \\t\\n\\r\\f\\v]') and not regexp_matches({line}, '^[(]c[)][ \\t]*({ITEM})\\b'))"
+    return f"""(regexp_matches({line}, '{word}{mark}')
+        or (regexp_matches({line}, '{word}\\r?$') and regexp_matches({after}, '^{mark}'))
+        or ({at} > 1 and regexp_matches({before}, '{word}\\r?$') and regexp_matches({line}, '^{mark}'))
+        or {holder} or {alone} or {listed} or starts_with({line}, 'all rights reserved'))""".replace("\\\\", "\\")
+
+
 def scan_sql(documents: str = "documents") -> str:
-    """``scanned`` as DuckDB SQL, but for ``COPYRIGHT_LINE`` (lines of sentences that begin with the word are lost here) and
-    without the texts of ``HEADINGS`` and ``ENTIRE``."""
+    """``scanned`` as DuckDB SQL: notices are dropped line by line, known texts are canonised by the same SQL."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    def form(text: str) -> str:
+    def lowered(text: str) -> str:
         out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
         for variant, usual in SPELLINGS.items():
             out = f"replace({out}, {quoted(variant)}, {quoted(usual)})"
-        out = f"regexp_replace({out}, {quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
-        return f"regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g')"
+        return out
+
+    def forms(source: str, columns: str) -> str:
+        plain = f"lambda line, i: case when {_dropped_line('bodies', 'i')} then '' else regexp_replace(line, {quoted(PUNCTUATION)}, ' ', 'g') end"
+        return f"""
+            select {columns}, list_transform(lines, {plain}) as lines from (
+                select {columns}, lines, list_transform(lines, lambda line: regexp_replace(line, '^[ \\t*#/;!>-]*', '')) as bodies from (
+                    select {columns}, string_split({lowered("text")}, chr(10)) as lines from {source}))
+        """.replace("\\\\", "\\")
 
     def joined(text: str) -> str:
         return f"trim(regexp_replace({text}, '[ \n]+', ' ', 'g'))"
 
-    values = ", ".join(f"({quoted(text)}, {quoted(licence)})" for text, licence in known_texts().items())
+    texts = known_texts() | headed_texts()
+    values = ", ".join(f"({quoted(text)}, {quoted(licence)})" for text, licence in texts.items())
+    entire = ", ".join(f"({quoted(digest)}, {quoted(licence)})" for digest, licence in ENTIRE.items())
+    whole = joined("array_to_string(lines, chr(10))")
     return f"""
         with texts(text, licence) as (values {values}),
-        known as (select sha256({joined(form("text"))}) as digest, min(licence) as licence from texts group by all),
-        forms as (select row_number() over () as id, doc_id, {form("text")} as form from {documents}),
-        lines as (select id, unnest(string_split(form, chr(10))) as line from forms),
+        entire(digest, licence) as (values {entire}),
+        canonical as ({forms("texts", "licence")}),
+        known as (
+            select digest, min(licence) as licence from (
+                select sha256({whole}) as digest, licence from canonical union all select digest, licence from entire) group by digest
+        ),
+        documents_ as (select row_number() over () as id, doc_id, text from {documents}),
+        forms as ({forms("documents_", "id, doc_id")}),
+        lines as (select id, unnest(lines) as line from forms),
         found as (
             select id, string_agg(distinct licence, ',' order by licence) as notices
             from lines join known on known.digest = sha256({joined("line")}) group by id
-        )
-        select doc_id, sha256({joined("form")}) as digest, licence, coalesce(notices, '') as notices
-        from forms left join known on known.digest = sha256({joined("form")}) left join found using (id)
+        ),
+        digests as (select id, doc_id, sha256({whole}) as digest from forms)
+        select doc_id, digest, licence, coalesce(notices, '') as notices
+        from digests left join known using (digest) left join found using (id)
     """
