@@ -201,3 +201,21 @@ def test_indexed_bases_are_those_of_the_scan(spark, tmp_path, width, end):
     wanted = spark.createDataFrame(some, "contigName string, chunk_id long")
     kept = [(r["contigName"], r["chunk_id"]) for r in read_indexed_bases(spark, str(bgz), wanted, 100, 30).collect()]
     assert sorted(kept) == [("chr1", 3), ("chr2", 6), ("e", 0)]
+
+
+def test_readers_take_block_compressed_files_by_themselves(spark, tmp_path):
+    import varlake as v
+
+    df = table(spark, 2_000)
+    v.write_vcf_blocks(df, str(tmp_path / "out"), partitions=2)
+    for path in (str(tmp_path / "out"), str(tmp_path / "out" / "part-*.bgz")):
+        read = v.read_vcf(spark, path)
+        assert rows_of(read.select(*df.columns)) == rows_of(df)
+        assert "BatchScan vcf_blocks" in read._jdf.queryExecution().executedPlan().toString()
+    gtf = "".join(f"chr1\tm\ttranscript\t{i}\t{i + 5}\t.\t+\t.\tgene_id \"g{i}\";\n" for i in range(1, 3_000)).encode()
+    (tmp_path / "g.gtf.gz").write_bytes(packed(gtf, 5_000))
+    (tmp_path / "g.gtf").write_bytes(gtf)
+    assert rows_of(v.read_gtf(spark, str(tmp_path / "g.gtf.gz"))) == rows_of(v.read_gtf(spark, str(tmp_path / "g.gtf")))
+    with gzip.open(tmp_path / "plain.gtf.gz", "wb") as f:
+        f.write(gtf)
+    assert v.read_gtf(spark, str(tmp_path / "plain.gtf.gz")).count() == 2_999

@@ -276,6 +276,21 @@ def scan_blocks(spark: SparkSession, path: str | Sequence[str], part_bytes: int
     return spark.read.format("vcf_blocks").options(**options).load()
 
 
+def in_blocks(path: str | Sequence[str]) -> bool:
+    """Whether all files of a path end as block-compressed ones do and the first is one, as far as can be seen from here."""
+    try:
+        files = blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES)
+    except (OSError, ValueError):
+        return False
+    return bool(files) and all(name.endswith(SUFFIXES) for name, _ in files) and blocks.is_bgzf(files[0][0])
+
+
+def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(value) of text files: by parts of each file where they are block-compressed, else as Spark reads text."""
+    paths = path if isinstance(path, str) else list(path)
+    return scan_blocks(spark, path).select("value") if in_blocks(path) else spark.read.text(paths)
+
+
 def header_of_blocks(spark: SparkSession, path: str | Sequence[str]) -> VcfHeader:
     """The merged header of all files, of which only the first blocks are read, in one task each."""
     paths = [path] if isinstance(path, str) else list(path)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varlake.sources.bgzip import text_lines
+
 # Attribute keys that become columns by default.
 ATTRIBUTES = ("gene_id", "transcript_id", "gene_name", "gene_biotype", "exon_number", "exon_id", "protein_id")
 
@@ -41,5 +43,5 @@ def parse_gtf_lines(lines: DataFrame, attributes: Sequence[str] = ATTRIBUTES) ->
 
 
 def read_gtf(spark: SparkSession, path: str, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """Read one or more (compressed) GTF files."""
-    return parse_gtf_lines(spark.read.text(path), attributes)
+    """Read one or more (compressed) GTF files; block-compressed ones by many tasks each."""
+    return parse_gtf_lines(text_lines(spark, path), attributes)

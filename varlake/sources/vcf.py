@@ -263,10 +263,13 @@ def read_vcf(
     """Read VCF files as one table; unless a header is given, the headers of all files are read and merged.
 
     A key that only some files declare is a column of all rows, null where absent. See ``merge_headers`` for what fails.
-    A compressed file is one split, so its lines are dealt out again by ``partitions`` before they are parsed, if given.
+    Block-compressed files are read by many tasks each, see ``read_vcf_blocks``. Any other compressed file is one split, so
+    its lines are dealt out again by ``partitions`` before they are parsed, if given.
     """
-    lines = spark.read.text(path)
-    header = header or header_of_lines(lines)
+    from varlake.sources.bgzip import header_of_blocks, in_blocks, text_lines
+
+    lines = text_lines(spark, path)
+    header = header or (header_of_blocks(spark, path) if in_blocks(path) else header_of_lines(lines))
     lines = lines.repartition(partitions) if partitions else lines
     return parse_vcf_lines(lines, header, include_sample_ids, split_to_biallelic)
 
