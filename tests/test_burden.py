@@ -57,7 +57,9 @@ def test_three_plans_agree(tables, measure):
     two_step = v.pivot_zygosity(level(joined))
     one_pass = v.gene_burden(joined, measure)
     early = workflows.burden_table(*tables, measure, TERMS)
-    assert _rows(two_step) == _rows(one_pass) == _rows(early)
+    kept = v.scalarise_biallelic(v.filter_quality(tables[0]))
+    bitmaps = v.gene_burden_by_bitmaps(kept, tables[1], TERMS, measure)
+    assert _rows(two_step) == _rows(one_pass) == _rows(early) == _rows(bitmaps)
     assert one_pass.schema.simpleString() == early.schema.simpleString() == two_step.schema.simpleString()
 
 
@@ -124,3 +126,16 @@ def test_explode_keeps_or_drops(tables):
 
 def test_flag_structs_are_named():
     assert FLAG_STRUCTS == ("consequences", "impact_level", "lof_level")
+
+
+def test_samples_of_several_bitmaps(spark):
+    names = [f"s{i:05d}" for i in range(40_000)]
+    genotypes = [(name, [0, 1] if i in (5, 32_767, 32_768, 39_999) else [0, 0]) for i, name in enumerate(names)]
+    variants = spark.createDataFrame([_variant(10, 0.25, genotypes), _variant(20, 0.25, [("other", [0, 0]), ("s00007", [1, 1])])], VARIANTS)
+    gene = ("g1", "HIGH", "HC", ["missense"], 0.5, None, 2.0)
+    records = spark.createDataFrame([("1", 11, 11, "v10", [gene]), ("1", 21, 21, "v20", [gene])], RECORDS)
+    kept = v.scalarise_biallelic(variants)
+    rows = v.gene_burden_by_bitmaps(kept, records, TERMS).select("sampleId", "heterozygous.consequences.missense", "homozygous.consequences.missense").collect()
+    carried = {r[0]: (r[1], r[2]) for r in rows if r[1] is not None or r[2] is not None}
+    assert len(rows) == 40_001 == len({r[0] for r in rows})
+    assert carried == {**{names[i]: (1, None) for i in (5, 32_767, 32_768, 39_999)}, "s00007": (None, 1)}

@@ -10,6 +10,7 @@ from varlake.operators.annotate import (
 from varlake.operators.burden import (
     count_consequences,
     gene_burden,
+    gene_burden_by_bitmaps,
     gene_burden_from_tables,
     min_af_consequences,
     pivot_zygosity,
@@ -77,6 +78,7 @@ __all__ = [
     "first_colocated",
     "flatten",
     "gene_burden",
+    "gene_burden_by_bitmaps",
     "gene_burden_from_tables",
     "join_consequences",
     "keep_rare_genotypes",

@@ -1,6 +1,6 @@
 """Gene burden: what each sample's variants do to each gene, split by zygosity.
 
-Three equivalent plans are offered.
+Four equivalent plans are offered.
 
 * ``count_consequences`` / ``min_af_consequences`` followed by ``pivot_zygosity``: two aggregations, two shuffles.
 * ``gene_burden``: one conditional aggregation over the joined rows, one shuffle after the join.
@@ -8,14 +8,18 @@ Three equivalent plans are offered.
   exploded, *after* it. Rows number (carriers x genes) per site instead of (samples x transcripts), variants cross the
   network as one row each, and a site holding a large share of all annotation rows collapses in the map-side combine.
   This is the plan to use on large tables.
+* ``gene_burden_by_bitmaps``: the same for carriers; the rows of all other samples, for many samples nearly all of the result,
+  come from bitmaps and are not shuffled. Samples without a name only count where they carry an allele.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,3 +251,79 @@ def gene_burden_from_tables(
         return F.struct(*structs)
 
     return per_sample.groupBy(*GENE_SAMPLE).agg(*[zygosity(n).alias(name) for name, n in ZYGOSITIES.items()])
+
+
+# --- samples as bits -----------------------------------------------------------------------------------------------
+
+
+def sample_dictionary(variants: DataFrame) -> DataFrame:
+    """(sampleId, bucket, bit): each sample's place in bitmaps of 32,768 bits, by name. Distinct lists are taken apart once."""
+    lists = variants.select(F.col("genotypes.sampleId").alias("all")).distinct()
+    names = lists.select(F.explode("all").alias("sampleId")).distinct().where("sampleId is not null")
+    # One row per sample: few enough for one window, whatever the number of variants.
+    numbered = names.withColumn("number", F.row_number().over(Window.orderBy("sampleId")).cast("long"))
+    return numbered.select(
+        "sampleId", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit")
+    )
+
+
+def carrier_bitmaps(variants: DataFrame, sites: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(contigName, gene_id, bucket, carriers, listed): bitmaps of the samples that carry an allele, or are listed at all, at
+    one of the gene's sites.
+
+    ``sites`` are (contigName, start, end, gene_id) in the variants' coordinates, each once. Only bitmaps, single carriers
+    and keys of sample lists are shuffled.
+    """
+    samples = F.col("genotypes.sampleId")
+    pairs = F.arrays_zip(samples.alias("sampleId"), genotype_states("genotypes").alias("state"))
+    carried = F.filter(pairs, lambda p: p.getField("state").isin(*ZYGOSITIES.values()))
+    slim = variants.filter(F.size(samples) > 0).select(
+        "contigName", "start", "end", *_list_key(samples), F.transform(carried, lambda p: p["sampleId"]).alias("carriers")
+    )
+    joined = slim.join(sites, ["contigName", "start", "end"])
+    gene = ["contigName", "gene_id"]
+    single = joined.select(*gene, F.explode("carriers").alias("sampleId")).distinct().join(dictionary, "sampleId")
+    carriers = single.groupBy(*gene, "bucket").agg(F.bitmap_construct_agg("bit").alias("carriers"))
+    lists = variants.filter(F.size(samples) > 0).select(*_list_key(samples), samples.alias("all")).distinct()
+    placed = lists.select(*LIST_KEY, F.explode("all").alias("sampleId")).distinct().join(dictionary, "sampleId")
+    bits = placed.groupBy(*LIST_KEY, "bucket").agg(F.bitmap_construct_agg("bit").alias("list"))
+    listed = joined.select(*gene, *LIST_KEY).distinct().join(bits, list(LIST_KEY))
+    listed = listed.groupBy(*gene, "bucket").agg(F.bitmap_or_agg("list").alias("listed"))
+    right = carriers.withColumnsRenamed({name: f"__{name}" for name in (*gene, "bucket")})
+    same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in (*gene, "bucket")]
+    return listed.join(right, reduce(and_, same), "left").drop(*[f"__{name}" for name in (*gene, "bucket")])
+
+
+def _bit(bitmap: Column) -> Column:
+    """Whether bit ``bit`` of a bitmap is set; false for a null bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce((F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2) == 1, F.lit(False))
+
+
+def gene_burden_by_bitmaps(
+    variants: DataFrame, annotations: DataFrame, terms: Sequence[str], measure: Measure = "count", shift_start_by: int = 1
+) -> DataFrame:
+    """The burden table with the samples that carry nothing told from bitmaps: only carriers are aggregated.
+
+    The rows of the others, whose structs hold nulls, are what is listed but does not carry: they are made at the end, from a
+    join of each gene's bitmaps with the dictionary, and never shuffled one by one.
+    """
+    kept = gene_burden_from_tables(variants, annotations, terms, measure, shift_start_by, complete=False)
+    genes = annotations.select(
+        F.col("seq_region_name").alias("contigName"),
+        (F.col("start") - shift_start_by).alias("start"),
+        "end",
+        F.explode("transcript_consequences.gene_id").alias("gene_id"),
+    ).distinct()
+    dictionary = sample_dictionary(variants)
+    bitmaps = carrier_bitmaps(variants, genes, dictionary)
+    others = bitmaps.join(dictionary, "bucket").where(_bit(F.col("listed")) & ~_bit(F.col("carriers")))
+    nothing = [_nulls(kept.schema[name].dataType).alias(name) for name in ZYGOSITIES]
+    return kept.unionByName(others.select(*GENE_SAMPLE, *nothing))
+
+
+def _nulls(dtype: T.DataType) -> Column:
+    """A struct that is not null, of structs that are not, of nulls."""
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_nulls(f.dataType).alias(f.name) for f in dtype.fields])
+    return F.lit(None).cast(dtype)

@@ -55,6 +55,13 @@ def gene_burden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.flatten(burden)
 
 
+@query
+def gene_burden_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with samples as bits."""
+    kept = op.scalarise_biallelic(op.filter_quality(views.variants(spark, sf_dir)))
+    return op.flatten(op.gene_burden_by_bitmaps(kept, views.annotations(spark, sf_dir), views.TERMS))
+
+
 @query
 def gene_burden_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = workflows.joined_genotypes(views.variants(spark, sf_dir), views.annotations(spark, sf_dir), views.TERMS)

@@ -220,6 +220,7 @@ def all_oracles() -> dict[str, str]:
     return {
         "gene_burden_counts": burden,
         "gene_burden_one_pass": burden,
+        "gene_burden_bitmaps": burden,
         "gene_burden_two_step": burden,
         "gene_burden_min_af": min_af,
         "gene_burden_min_af_two_step": min_af,
