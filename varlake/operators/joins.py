@@ -18,8 +18,10 @@ def join_consequences(
     By default on the site: annotation coordinates are 1-based, so the genotype ``start`` is moved by one
     (``shift_start_by=0`` joins on it as it is). Alleles are not part of that key, and indels, whose annotated start
     differs, do not match. ``on_id`` joins on the variant identifier instead and has neither limit; both sides then
-    need a column ``id``.
+    need a column ``id``. Both sides have many rows for each row of their tables, so neither is broadcast, however small
+    its table is as a file.
     """
+    consequences = consequences.hint("merge")
     if on_id:
         right = consequences.drop("seq_region_name", "start", "end")
         return singlegt.join(right, ["id"], "inner")
