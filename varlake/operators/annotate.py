@@ -53,8 +53,9 @@ def _attach(
         found = found.groupBy(*[quoted(k) for k in keys]).agg(F.array_sort(F.collect_list(name)).alias(name))
         # One row per site on the right, so only copies of a site can be many, and those are on the side that is split.
         return variants.join(found, list(keys), "left")
-    # In a left join only the left side of a hot key is split; an inner join splits both.
-    matched = variants.join(found, list(keys))
+    # In a left join only the left side of a hot key is split; an inner join splits both. Merged, because a table of variants
+    # that is small as a file may hold too many rows to be broadcast.
+    matched = variants.hint("merge").join(found, list(keys))
     bare = variants.join(found.select(*[quoted(k) for k in keys]), list(keys), "left_anti")
     return matched.unionByName(bare, allowMissingColumns=True)
 

@@ -8,6 +8,9 @@ no other candidates: the work is proportional to the input plus the result, howe
 
 Two intervals overlap if the left one's first position is inside the right one, or the right one's first position is
 inside the rest of the left one. Both cases are tagged into the same key, so one join finds all pairs.
+
+The join asks to be merged: Spark takes a table whose rows become many blocks for as small as its file, and would send all
+blocks through the driver.
 """
 
 from __future__ import annotations
@@ -86,4 +89,4 @@ def overlap_pairs(
     rights = right.withColumn("__block", F.explode(right_keys)).withColumnsRenamed(
         {start: "feature_start", end: "feature_end"}
     )
-    return lefts.join(rights, [contig, "__block"], "inner").drop("__block")
+    return lefts.join(rights.hint("merge"), [contig, "__block"], "inner").drop("__block")
