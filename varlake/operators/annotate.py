@@ -216,7 +216,8 @@ def annotate_transcript_scores(
         raise ValueError(f"annotype must be one of {sorted(_ANNOTYPES)}, not {annotype!r}")
     keys = keys or {c: c for c in ("transcript_id", "protein_start", "amino_acids")}
     listed = scores.select(*[quoted(right).alias(left) for left, right in keys.items()], "prediction", "score")
-    wanted = listed.join(consequences.select(*[quoted(k) for k in keys]), list(keys), "left_semi")
+    # Score tables and consequences may be far larger than Spark thinks, so neither is broadcast.
+    wanted = listed.join(consequences.select(*[quoted(k) for k in keys]).hint("merge"), list(keys), "left_semi")
     entry = F.struct("score", "prediction")
     least, most = F.min(entry), F.max(entry)
     error = F.raise_error(F.concat(F.lit(f"{kind} scores differ for one change: "), F.to_json(least), F.lit(" "), F.to_json(most)))
@@ -227,4 +228,4 @@ def annotate_transcript_scores(
         f"{kind}_{part}": (F.col(f"__best.{part}") if part in _ANNOTYPES[annotype] else F.lit(None)).cast(dtype)
         for part, dtype in types.items()
     }
-    return consequences.join(best, list(keys), "left").withColumns(added).drop("__best")
+    return consequences.join(best.hint("merge"), list(keys), "left").withColumns(added).drop("__best")
