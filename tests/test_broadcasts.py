@@ -1,6 +1,9 @@
 """Tables that grow by rows of their own are not broadcast, however small Spark takes them for."""
 
+import pytest
+
 import varlake as v
+from varlake.sources.fasta import IndexedReference, index_fasta
 from test_plans import plan
 
 SITE = "contigName string, start long, end long"
@@ -40,3 +43,29 @@ def test_scores_are_not_broadcast(spark):
     assert merged(scored)
     assert sorted((r.transcript_id or "", r.protein_start, r.sift_score) for r in scored.collect() if r.sift_score) == [("T", 1, 0.5)]
     assert scored.count() == 3
+
+
+def test_indexes_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    contigs = [f"c{i}" for i in range(30)]
+    for k in range(2):
+        text = "".join(f">{name} x\nACGTA\nCGT\n" for name in contigs[k::2])
+        (tmp_path / f"{k}.fa").write_text(text)
+    index_fasta(spark, str(tmp_path))
+    assert (tmp_path / "0.fa.fai").read_text().splitlines()[:2] == ["c0\t8\t6\t5\t6", "c2\t8\t22\t5\t6"]
+    monkeypatch.setattr(IndexedReference, "of", None)
+    rows = v.read_indexed_bases(spark, str(tmp_path), chunk=6, overlap=2).collect()
+    assert sorted(map(tuple, rows)) == sorted(row for c in contigs for row in [(c, 0, 0, "ACGTAC"), (c, 1, 4, "ACGT")])
+    wanted = spark.createDataFrame([("c3", 1), ("c3", 1), ("c3", 2), ("c3", -1), ("c3", 2**62), ("c9", 0), ("d", 0), (None, 0), ("c4", None)], "contigName string, chunk_id long")
+    found = v.read_indexed_bases(spark, str(tmp_path), wanted, 6, 2)
+    assert "BroadcastExchange" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("c3", 1, 4, "ACGT"), ("c9", 0, 0, "ACGTAC")]
+    (tmp_path / "2.fa").write_text(">c3\nAC\n")
+    with pytest.raises(FileNotFoundError):
+        v.read_indexed_bases(spark, str(tmp_path))
+    index_fasta(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="c3 is in more than one place"):
+        v.read_indexed_bases(spark, str(tmp_path))
+    (tmp_path / "3.fa").write_text(">u\nACG\nA\nACG\n")
+    with pytest.raises(Exception, match="lines of u differ"):
+        index_fasta(spark, str(tmp_path / "3.fa"))
+    assert not list(tmp_path.glob("3.fa.*"))

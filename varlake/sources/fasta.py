@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,10 @@ from varlake.sources import blocks
 #: Bases per chunk, and how many bases of the chunk before are stored in front of them.
 CHUNK = 1024
 OVERLAP = 128
-#: Bases that an indexed read takes at a time, and how many such blocks are kept; endings of FASTA files in a folder.
+#: Bases that an indexed read takes at a time, and how many such blocks are kept; lines of an index handed on at a time; endings of
+#: FASTA files in a folder.
 READ, BLOCKS = 1 << 16, 256
+LINES = 10_000
 SUFFIXES = (".fa", ".fasta", ".fna", ".fa.gz", ".fasta.gz", ".fna.gz", ".fa.bgz", ".txt")
 
 
@@ -150,7 +153,7 @@ class IndexedReference:
     def __init__(self, contigs: dict[str, IndexedContig], places: dict[str, list[tuple[int, int]] | None]) -> None:
         self.contigs, self._places = contigs, places
         self._files: dict = {}
-        self._blocks: OrderedDict[tuple[str, int], bytes] = OrderedDict()
+        self._blocks: OrderedDict[tuple[str, int, int], bytes] = OrderedDict()
 
     def __getstate__(self) -> tuple:
         return self.contigs, self._places
@@ -170,33 +173,68 @@ class IndexedReference:
                     contig, *numbers = line.split("\t")
                     if contigs.setdefault(contig, one := IndexedContig(file, *map(int, numbers[:4]))) is not one:
                         raise ValueError(f"contig {contig} is in more than one place")
-            places[file] = blocks.gzi_places(f"{file}.gzi") if blocks.is_bgzf(file) else None
+            places[file] = _places(file)
         return cls(contigs, places)
 
     def bases(self, contig: str, low: int, high: int) -> str:
         """Bases ``low`` to ``high`` of a contig, in upper case."""
-        one = self.contigs[contig]
+        return self.bases_of(self.contigs[contig], low, high)
+
+    def bases_of(self, one: IndexedContig, low: int, high: int) -> str:
+        """As ``bases``, of a contig that need not be among ``contigs``."""
         out = []
         for number in range(low // READ, (high - 1) // READ + 1 if high > low else 0):
-            text = self._block(contig, one, number)
+            text = self._block(one, number)
             out.append(text[max(0, low - number * READ) : high - number * READ])
         return b"".join(out).decode()
 
-    def _block(self, contig: str, one: IndexedContig, number: int) -> bytes:
-        if (contig, number) in self._blocks:
-            self._blocks.move_to_end((contig, number))
-            return self._blocks[contig, number]
+    def _block(self, one: IndexedContig, number: int) -> bytes:
+        key = (one.path, one.offset, number)
+        if key in self._blocks:
+            self._blocks.move_to_end(key)
+            return self._blocks[key]
         if one.path not in self._files:
             system, name = blocks.located(one.path)
             self._files[one.path] = system.open_input_file(name)
+        if one.path not in self._places:
+            self._places[one.path] = _places(one.path)
         low, high = number * READ, min((number + 1) * READ, one.length)
         text = blocks.text_range(self._files[one.path], self._places[one.path], one.place(low), one.place(high - 1) + 1)
-        text = self._blocks[contig, number] = text.replace(b"\n", b"").replace(b"\r", b"").upper()
+        text = self._blocks[key] = text.replace(b"\n", b"").replace(b"\r", b"").upper()
         if len(self._blocks) > BLOCKS:
             self._blocks.popitem(last=False)
         return text
 
 
+def _places(file: str) -> list[tuple[int, int]] | None:
+    """Where the blocks of a block-compressed file are, by the ``.gzi`` beside it; None for plain files."""
+    return blocks.gzi_places(f"{file}.gzi") if blocks.is_bgzf(file) else None
+
+
+def _index_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The lines of all indexes: contigName, path, length, offset, line_bases, line_bytes. Genomes of many contigs have as many."""
+    files = [file for file, _ in blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES)]
+    for file in files:
+        if not blocks.exists(f"{file}.fai"):
+            raise FileNotFoundError(f"{file}.fai")
+    names = spark.createDataFrame([(file,) for file in files], "path string").repartition(max(1, len(files)), "path")
+    kind = "contigName string, path string, length long, offset long, line_bases long, line_bytes long"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                system, name = blocks.located(f"{file}.fai")
+                with system.open_input_stream(name, compression=None) as raw:
+                    lines = _lines(raw)
+                    while some := list(islice(lines, LINES)):
+                        parts = [line.decode().rstrip("\r\n").split("\t") for line in some]
+                        numbers = [pa.array([int(p[k]) for p in parts], pa.int64()) for k in range(1, 5)]
+                        columns = [pa.array([p[0] for p in parts]), pa.array([file] * len(parts)), *numbers]
+                        yield pa.RecordBatch.from_arrays(columns, names=["contigName", "path", "length", "offset", "line_bases", "line_bytes"])
+
+    return names.mapInArrow(read, kind)
+
+
 def index_fasta(spark: SparkSession, path: str | Sequence[str]) -> None:
     """Writes ``.fai`` beside each plain FASTA file, a task for each. Lines of a contig but its last must be of one length."""
     files = blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES)
@@ -205,27 +243,36 @@ def index_fasta(spark: SparkSession, path: str | Sequence[str]) -> None:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = _index_rows(name)
                 system, place = blocks.located(f"{name}.fai")
-                with system.open_output_stream(place, compression=None) as out:
-                    out.write("".join("\t".join(map(str, one)) + "\n" for one in rows).encode())
+                try:
+                    with system.open_output_stream(f"{place}.part", compression=None) as out:
+                        for row in _index_rows(name):
+                            out.write(("\t".join(map(str, row)) + "\n").encode())
+                except BaseException:
+                    system.delete_file(f"{place}.part")
+                    raise
+                system.move(f"{place}.part", place)
             yield batch
 
     names.mapInArrow(index, "path string").count()
 
 
-def _index_rows(path: str) -> list[list]:
-    found: list[list] = []
+def _index_rows(path: str) -> Iterator[list]:
+    """A row for each contig, handed on as soon as the next one begins."""
+    one: list | None = None
     at, ended = 0, False
     system, name = blocks.located(path)
     with system.open_input_stream(name, compression=None) as raw:
         for line in _lines(raw):
             bases = line.rstrip(b"\r\n")
             if line.startswith(b">"):
-                found.append([line[1:].split()[0].decode(), 0, at + len(line), 0, 0])
+                if one is not None:
+                    yield _row(one)
+                one = [line[1:].split()[0].decode(), 0, at + len(line), 0, 0]
                 ended = False
             elif bases:
-                one = found[-1]
+                if one is None:
+                    raise ValueError(f"{path} does not begin with a contig's name")
                 if not one[3]:
                     one[3:] = [len(bases), len(line)]
                 if ended or len(bases) > one[3]:
@@ -233,7 +280,12 @@ def _index_rows(path: str) -> list[list]:
                 ended = len(bases) < one[3]
                 one[1] += len(bases)
             at += len(line)
-    return [one if one[3] else [*one[:3], 1, 1] for one in found]
+    if one is not None:
+        yield _row(one)
+
+
+def _row(one: list) -> list:
+    return one if one[3] else [*one[:3], 1, 1]
 
 
 def _lines(raw) -> Iterator[bytes]:
@@ -258,27 +310,33 @@ def read_indexed_bases(
     Every task reads just the bytes around its chunks, in their order. Chunks that are wanted twice come once, those outside
     of the genome not at all.
     """
-    reference = IndexedReference.of(path)
+    index = _index_table(spark, path)
+    twice = index.groupBy("contigName").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"contig {twice[0]['contigName']} is in more than one place")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reference = IndexedReference({}, {})
         for batch in batches:
             rows = []
-            for contig, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                one = reference.contigs.get(contig)
-                if one is not None and number is not None and 0 <= number * chunk < one.length:
-                    low, high = max(0, number * chunk - overlap), min((number + 1) * chunk, one.length)
-                    rows.append((contig, number, low, reference.bases(contig, low, high)))
+            for contig, number, *line in zip(*[column.to_pylist() for column in batch.columns]):
+                one = IndexedContig(*line)
+                low, high = max(0, number * chunk - overlap), min((number + 1) * chunk, one.length)
+                rows.append((contig, number, low, reference.bases_of(one, low, high)))
             columns = zip(*rows) if rows else [()] * 4
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["contigName", "chunk_id", "chunk_start", "bases"])
 
     if wanted is None:
-        lengths = [(name, one.length) for name, one in reference.contigs.items()]
         ids = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / chunk)))
-        rows = spark.createDataFrame(lengths, "contigName string, length long").where("length > 0")
-        wanted = rows.select("contigName", ids.alias("chunk_id"))
-    narrow = wanted.select("contigName", F.col("chunk_id").cast("long").alias("chunk_id")).distinct()
-    by = ["contigName", "chunk_id"]
-    dealt = narrow.repartitionByRange(partitions, *by) if partitions else narrow.repartitionByRange(*by)
+        placed = index.where("length > 0").select("*", ids.alias("chunk_id"))
+    else:
+        narrow = wanted.select("contigName", F.col("chunk_id").cast("long").alias("chunk_id")).distinct()
+        # Merged: Spark does not know how many contigs the index has, and there may be millions.
+        held = (F.col("length") > 0) & F.col("chunk_id").between(F.lit(0), F.expr(f"(length - 1) div {chunk}"))
+        placed = narrow.join(index.hint("merge"), "contigName").where(held)
+    placed = placed.select("contigName", "chunk_id", "path", "length", "offset", "line_bases", "line_bytes")
+    by = ["path", "offset", "chunk_id"]
+    dealt = placed.repartitionByRange(partitions, *by) if partitions else placed.repartitionByRange(*by)
     return dealt.sortWithinPartitions(*by).mapInArrow(read, "contigName string, chunk_id long, chunk_start long, bases string")
