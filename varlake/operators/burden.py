@@ -205,7 +205,8 @@ def gene_burden_from_tables(
         *(_list_key(samples) if complete else []),
         F.filter(pairs, lambda p: p.getField("state").isin(*ZYGOSITIES.values())).alias("carriers"),
     )
-    joined = slim.join(per_gene, ["contigName", "start", "end"], "inner")
+    # Merged: a variant's carriers may be far more than the size that Spark takes its file for.
+    joined = slim.hint("merge").join(per_gene, ["contigName", "start", "end"], "inner")
 
     # Carriers become rows. The other samples only have to show up in the result, so each joined row passes on the key of
     # its whole sample list as one more entry; the lists, few different ones as a rule, come back after the aggregation.
