@@ -3,7 +3,9 @@
 import pytest
 
 import varlake as v
+from varlake.plans import workflows
 from varlake.sources.fasta import IndexedReference, index_fasta
+from test_burden import RECORDS, TERMS, VARIANTS
 from test_plans import plan
 
 SITE = "contigName string, start long, end long"
@@ -69,3 +71,13 @@ def test_indexes_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="lines of u differ"):
         index_fasta(spark, str(tmp_path / "3.fa"))
     assert not list(tmp_path.glob("3.fa.*"))
+
+
+def test_genotypes_are_spread_after_the_join(spark):
+    variants, records = spark.createDataFrame([], VARIANTS), spark.createDataFrame([], RECORDS)
+    joined = workflows.joined_genotypes(variants, records, TERMS)
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Join") :]
+    assert "Generate" in text[: text.index("Join")] and "num_alt_alleles" in below and "genotype#" not in below
+    burden = workflows.burden_table(variants, records, "count", TERMS)
+    assert "SortMergeJoin" in plan(burden)

@@ -62,9 +62,15 @@ def joined_genotypes(
     quality_mode: Literal["and", "or"] = "and",
     min_qual: float = 99,
 ) -> DataFrame:
-    """One row per (variant, sample, transcript consequence): input of the row-level burden plans."""
-    singlegt = explode_genotypes(prepare_variants(variants, quality_mode, min_qual))
-    return join_consequences(singlegt, prepare_consequences(annotations, terms))
+    """One row per (variant, sample, transcript consequence): input of the row-level burden plans.
+
+    Variants cross the network as one row each, and consequences without their flags: both are spread out after the join.
+    """
+    if terms is None:
+        terms = vocabulary(annotations, ["transcript_consequences"])["transcript_consequences"]
+    sites = prepare_variants(variants, quality_mode, min_qual)
+    joined = join_consequences(sites, explode_transcript_consequences(annotations))
+    return explode_genotypes(with_consequence_flags(joined, terms))
 
 
 def rare_burden_table(
