@@ -206,3 +206,30 @@ def test_read_fasta(spark, tmp_path, width, max_bytes):
     finally:
         spark.conf.set(key, old)
     assert sorted(map(tuple, got)) == sorted(chunked(genome, 64, 16))
+
+
+def test_fasta_lines_find_their_places_without_windows(spark, tmp_path):
+    rng = random.Random(5)
+    genome = {f"c{i}": _genome(rng, 1 + i * 7) for i in range(60)} | {"long": _genome(rng, 9_000)}
+    lines = [line for name, bases in genome.items() for line in [f">{name} x", *[bases[i : i + 50] for i in range(0, len(bases), 50)], ""]]
+    (tmp_path / "a.fa").write_text("\n".join(lines[: len(lines) - 120]) + "\n  \n")
+    (tmp_path / "b.fa").write_text(">d\nACGTACGTAC\nAC\n>d\nTTTTT\nGGGGGGGG\n>e\n>f\nacg")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    whole = read_reference_bases(spark, str(tmp_path / "a.fa"), 64, 16)
+    text = whole._jdf.queryExecution().optimizedPlan().toString()
+    # The only windows are those over one row per file block.
+    assert all("value" not in line for line in text.splitlines() if "Window" in line) and text.count("collect_list") == 1
+    want = sorted(map(tuple, whole.collect()))
+    try:
+        for size in (100, 700):
+            spark.conf.set(key, size)
+            assert sorted(map(tuple, read_reference_bases(spark, str(tmp_path / "a.fa"), 64, 16).collect())) == want
+    finally:
+        spark.conf.set(key, old)
+    assert {r[0] for r in want} <= set(genome) and all(
+        genome[name][start : start + len(bases)] == bases for name, _, start, bases in want
+    )
+    # Contigs of one name overlie each other line by line.
+    twice = sorted(map(tuple, read_reference_bases(spark, str(tmp_path / "b.fa"), 64, 16).collect()))
+    assert twice == [("d", 0, 0, "ACGTACGTACTTTTTGGGGGGGGAC"), ("f", 0, 0, "ACG")]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varlake.sources import blocks
@@ -29,49 +33,28 @@ def read_reference_bases(
     """FASTA → ``contigName, chunk_id, chunk_start, bases`` in upper case.
 
     Chunk ``i`` holds the positions from ``i * chunk - overlap`` (0 for the first chunk) to ``(i + 1) * chunk``. No
-    contig is ever held in one piece: every line finds its own position. Inside a file block a window adds up line
-    lengths since the last header; between blocks only one row per block is passed on.
+    contig is ever held in one piece: every line finds its own position. Each task goes through its file blocks line by line
+    and adds up line lengths since the last header, so no line is sorted or moved for its position; between blocks only one
+    row per block is passed on.
     """
+    value = F.col("value")
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        # Increases with the line inside a block; the numbers come from the scan, so a rerun gives the same ones.
-        F.monotonically_increasing_id().alias("line"),
         F.trim("value").alias("value"),
     )
-    lines = lines.filter(F.length("value") > 0)
-    header = F.col("value").startswith(">")
-    marked = lines.select(
+    header = value.startswith(">")
+    marked = lines.filter(F.length("value") > 0).select(
         "file",
         "block",
-        "line",
-        "value",
         F.when(header, F.regexp_extract("value", r"^>\s*(\S+)", 1)).alias("name"),
-        F.when(header, F.lit(0)).otherwise(F.length("value")).alias("n"),
+        F.when(header, F.lit("")).otherwise(value).alias("value"),
     )
 
-    so_far = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marked.withColumns(
-        {"in_block": F.sum("n").over(so_far), "contig": F.last("name", ignorenulls=True).over(so_far)}
-    ).withColumn("header_at", F.max(F.when(F.col("name").isNotNull(), F.col("in_block"))).over(so_far))
-
     # What a block hands to the next ones: its last contig and the bases after that contig's header.
-    tails = marked.groupBy("file", "block").agg(
-        F.max_by("name", F.when(F.col("name").isNotNull(), F.col("line"))).alias("last_name"),
-        F.max(F.when(F.col("name").isNotNull(), F.col("line"))).alias("last_line"),
-        F.sum("n").alias("n_block"),
-    )
-    after = (
-        marked.join(tails, ["file", "block"])
-        .filter(F.col("last_line").isNull() | (F.col("line") > F.col("last_line")))
-        .groupBy("file", "block")
-        .agg(F.sum("n").alias("n_tail"))
-    )
-    blocks = tails.join(after, ["file", "block"], "left").withColumn("n_tail", F.coalesce("n_tail", F.lit(0)))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = blocks.withColumn(
-        "run", F.count("last_name").over(earlier.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    blocks = marked.withColumn("value", F.length("value").cast("long")).mapInArrow(_block_ends, "file string, block long, last_name string, n_tail long")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = blocks.withColumn("run", F.count("last_name").over(earlier))
     in_run = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     # Bases since the latest header, at the end of each block; the first block of a run is the one with the header.
     ends = grouped.withColumns(
@@ -86,25 +69,112 @@ def read_reference_bases(
         F.lag("open_name").over(Window.partitionBy("file").orderBy("block")).alias("carried_name"),
         F.lag("open_bases").over(Window.partitionBy("file").orderBy("block")).alias("carried_bases"),
     )
-    placed = (
-        counted.filter(F.col("name").isNull())
-        .join(carried, ["file", "block"], "left")
-        .select(
-            F.coalesce("contig", "carried_name").alias("contigName"),
-            (
-                F.col("in_block")
-                - F.col("n")
-                - F.coalesce("header_at", F.lit(0))
-                + F.when(F.col("contig").isNull(), F.coalesce("carried_bases", F.lit(0))).otherwise(F.lit(0))
-            ).alias("at"),
-            F.upper("value").alias("bases"),
-        )
+    pieces = marked.mapInArrow(
+        partial(_pieces, most=chunk), "file string, block long, contigName string, at long, bases string, ends array<int>"
+    )
+    # One row per file block, so it is broadcast; only a block's lines before its first header need it.
+    placed = pieces.join(F.broadcast(carried), ["file", "block"], "left").select(
+        F.coalesce("contigName", "carried_name").alias("contigName"),
+        (F.col("at") + F.when(F.col("contigName").isNull(), F.coalesce("carried_bases", F.lit(0))).otherwise(F.lit(0))).alias("at"),
+        F.upper("bases").alias("bases"),
+        "ends",
     )
     return _cut(placed, chunk, overlap)
 
 
+class _Place:
+    """Where a task is in its lines: file, block, the contig that began in this block, bases since it or the block began."""
+
+    def __init__(self) -> None:
+        self.key: tuple[str, int] | None = None
+        self.contig: str | None = None
+        self.at = 0
+        #: The state at the end of each block that is done.
+        self.ended: list[tuple[str, int, str | None, int]] = []
+
+    def end(self) -> None:
+        if self.key is not None:
+            self.ended.append((*self.key, self.contig, self.at))
+
+    def runs(self, batch: pa.RecordBatch, lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Lines from, to of one contig in one block, by turns; the state is that before the lines while they are handled."""
+        files, starts, names = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+        codes = files.dictionary_encode().indices.to_numpy()
+        is_header = names.is_valid().to_numpy(zero_copy_only=False)
+        changed = np.ones(len(starts), bool)
+        changed[1:] = (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])
+        begins = np.flatnonzero(changed | is_header).tolist()
+        totals = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        for low, high in zip(begins, [*begins[1:], len(starts)]):
+            if changed[low] and (key := (files[low].as_py(), int(starts[low]))) != self.key:
+                self.end()
+                self.key, self.contig, self.at = key, None, 0
+            if is_header[low]:
+                self.contig, self.at = names[low].as_py(), 0
+                low += 1
+            yield low, high
+            self.at += totals[high] - totals[low]
+
+
+def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last contig (null: none begins there) and bases after its header, of each file block."""
+    place = _Place()
+
+    def out() -> pa.RecordBatch:
+        columns = zip(*place.ended) if place.ended else [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+        place.ended = []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["file", "block", "last_name", "n_tail"]
+        )
+
+    for batch in batches:
+        for _ in place.runs(batch, batch.column(3).to_numpy()):
+            pass
+        yield out()
+    place.end()
+    yield out()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Whole lines of a contig put together, up to ``most`` bases (or one line), with the places at which each line ends.
+
+    File and block are given where the contig began in an earlier block, and positions count from the block's begin then.
+    """
+    place = _Place()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(3)
+        lengths = pc.utf8_length(values).to_numpy()
+        totals = np.concatenate([[0], np.cumsum(lengths)])
+        sums = totals.tolist()
+        rows, firsts, counts = [], [], []
+        for low, high in place.runs(batch, lengths):
+            key = place.key if place.contig is None else (None, None)
+            first = low
+            while first < high:
+                after = min(high, max(first + 1, bisect_right(sums, sums[first] + most, first, high + 1) - 1))
+                rows.append((*key, place.contig, place.at + sums[first] - sums[low]))
+                firsts.append(first)
+                counts.append(after - first)
+                first = after
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+        arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 4, kinds)]
+        # Lines follow each other in the batch's buffer, headers being empty: a piece is a stretch of it.
+        wide = values.cast(pa.large_string())
+        offsets = np.frombuffer(wide.buffers()[1], "i8", len(wide) + 1, wide.offset * 8)
+        bounds = offsets[[*firsts, len(wide)]]
+        bases = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(bounds.tobytes()), wide.buffers()[2])
+        ends = totals[1:][batch.column(2).is_null().to_numpy(zero_copy_only=False)] - np.repeat(totals[firsts], counts)
+        at = np.concatenate([[0], np.cumsum(counts)]).astype("i4")
+        listed = pa.ListArray.from_arrays(pa.array(at), pa.array(ends.astype("i4")))
+        arrays += [bases.cast(pa.string()), listed]
+        yield pa.RecordBatch.from_arrays(arrays, names=["file", "block", "contigName", "at", "bases", "ends"])
+
+
 def _cut(pieces: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Pieces of sequence at known positions (``contigName, at, bases``) → overlapping chunks of fixed size."""
+    """Lines of sequence at known positions (``contigName, at, bases, ends``) → overlapping chunks of fixed size."""
     last = F.col("at") + F.length("bases") - 1
     # A base also belongs to the chunk that starts less than `overlap` bases behind it.
     ids = F.sequence(F.floor(F.col("at") / chunk), F.floor((last + overlap) / chunk))
@@ -118,16 +188,34 @@ def _cut(pieces: DataFrame, chunk: int, overlap: int) -> DataFrame:
         "chunk_id",
         start.alias("at"),
         F.substring("bases", (start - F.col("at") + 1).cast("int"), (stop - start).cast("int")).alias("bases"),
+        F.col("at").alias("piece_at"),
+        "ends",
     ).filter(F.length("bases") > 0)
     # Bounded: the pieces of one chunk, at most chunk + overlap bases.
     chunks = clipped.groupBy("contigName", "chunk_id").agg(
         F.min("at").alias("chunk_start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bases"))), lambda p: p["bases"]), "").alias(
-            "bases"
-        ),
+        (F.sum(F.length("bases")) == F.max(F.col("at") + F.length("bases")) - F.min("at")).alias("apart"),
+        F.collect_list(F.struct("at", "bases", "piece_at", "ends")).alias("parts"),
     )
+
+    def text(parts: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(parts), lambda p: p["bases"]), "")
+
+    def lines_of(piece: Column) -> Column:
+        def line(end: Column, k: Column) -> Column:
+            low = F.greatest(piece["piece_at"] + F.coalesce(F.get(piece["ends"], k - 1), F.lit(0)), piece["at"])
+            high = F.least(piece["piece_at"] + end, piece["at"] + F.length(piece["bases"]))
+            inside = F.substring(piece["bases"], (low - piece["at"] + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+            return F.struct(low.alias("at"), inside.alias("bases"))
+
+        return F.filter(F.transform(piece["ends"], line), lambda one: F.length(one["bases"]) > 0)
+
+    # Contigs of one name overlie each other, line by line.
+    joined = F.when(F.col("apart"), text(F.col("parts"))).otherwise(text(F.flatten(F.transform("parts", lines_of))))
     # A chunk made only of overlap lies behind the contig's end.
-    return chunks.filter(F.col("chunk_start") + F.length("bases") > F.col("chunk_id") * chunk)
+    return chunks.select("contigName", "chunk_id", "chunk_start", joined.alias("bases")).filter(
+        F.col("chunk_start") + F.length("bases") > F.col("chunk_id") * chunk
+    )
 
 
 # --- indexed reads -------------------------------------------------------------------------------------------------
@@ -235,6 +323,23 @@ def _index_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return names.mapInArrow(read, kind)
 
 
+def index_bytes(path: str | Sequence[str]) -> int:
+    """Size of all indexes together."""
+    total = 0
+    for file, _ in blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES):
+        total += sum(size for _, size in blocks.listed([f"{file}.fai"], (".fai",)))
+    return total
+
+
+def unique_index(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The lines of all indexes; a contig that is in more than one place is an error."""
+    index = _index_table(spark, path)
+    twice = index.groupBy("contigName").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"contig {twice[0]['contigName']} is in more than one place")
+    return index
+
+
 def index_fasta(spark: SparkSession, path: str | Sequence[str]) -> None:
     """Writes ``.fai`` beside each plain FASTA file, a task for each. Lines of a contig but its last must be of one length."""
     files = blocks.listed([path] if isinstance(path, str) else list(path), SUFFIXES)
@@ -310,10 +415,7 @@ def read_indexed_bases(
     Every task reads just the bytes around its chunks, in their order. Chunks that are wanted twice come once, those outside
     of the genome not at all.
     """
-    index = _index_table(spark, path)
-    twice = index.groupBy("contigName").count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"contig {twice[0]['contigName']} is in more than one place")
+    index = unique_index(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = IndexedReference({}, {})
