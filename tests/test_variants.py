@@ -233,3 +233,13 @@ def test_fasta_lines_find_their_places_without_windows(spark, tmp_path):
     # Contigs of one name overlie each other line by line.
     twice = sorted(map(tuple, read_reference_bases(spark, str(tmp_path / "b.fa"), 64, 16).collect()))
     assert twice == [("d", 0, 0, "ACGTACGTACTTTTTGGGGGGGGAC"), ("f", 0, 0, "ACG")]
+
+
+def test_rows_meet_the_bases_of_chunks_without_their_other_columns(spark):
+    genome = {"1": "G" + "CA" * 400 + "T", "2": "TTTTG" + "CTA" * 300}
+    ref = spark.createDataFrame(chunked(genome, 64, 16), BASES)
+    rows = [("1", 798, 801, ["a"], "ACA", ["A"]), ("1", 798, 801, ["b"], "ACA", ["A"]), ("2", 901, 902, ["c"], "A", ["ACTA"]), ("1", 2, 5, ["d"], "ACA", ["A"]), (None, 3, 6, ["e"], "ACA", ["A"])]
+    done = normalize_variants(spark.createDataFrame(rows, SITE), ref, chunk=64)
+    assert "bases" not in done._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.names[0]: (r.start, r.referenceAllele, r.alternateAlleles[0], r.normalized) for r in done.collect()}
+    assert got == {"a": (0, "GCA", "G", True), "b": (0, "GCA", "G", True), "c": (4, "G", "GCTA", True), "d": (0, "GCA", "G", True), "e": (3, "ACA", "A", None)}

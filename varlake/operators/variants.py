@@ -17,6 +17,8 @@ from varlake.sources.fasta import CHUNK, IndexedReference
 
 #: Bases left of an event that are looked at first, and at most at a time.
 NEAREST, WIDEST = 64, 1 << 20
+#: Chunks that are looked at together where the nearest one does not end a repeat.
+FIRST_ROUND = 8
 
 # --- splitting -----------------------------------------------------------------------------------------------------
 
@@ -191,35 +193,40 @@ def minimal_alleles(ref: Column, alt: Column) -> Column:
     return bind(bind(_common_prefix(F.reverse(ref), F.reverse(alt)), cut_right), cut_left)
 
 
+def _last_difference(a: str, b: str) -> int:
+    """Last place at which two different texts of one length differ."""
+    one, two = (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") for text in (a, b))
+    return int(np.flatnonzero(one != two)[-1])
+
+
+def _expected(seq: str, offset: int, n: int) -> str:
+    """The ``n`` bases that a rotation of ``seq`` needs to its left after ``offset`` steps."""
+    turn = -(offset + n) % len(seq)
+    return (seq[turn:] + seq * (n // len(seq) + 1))[:n]
+
+
+def _first_mismatch(seq: str | None, bases: str | None, n: int | None, offset: int | None) -> int | None:
+    if not seq or bases is None or n is None or offset is None or n <= 0:
+        return None
+    if n > len(bases):
+        # Bases that the chunk does not have differ.
+        return offset
+    context, expected = bases[:n], _expected(seq, offset, n)
+    return None if context == expected else offset + n - 1 - _last_difference(context, expected)
+
+
 def _rotation_mismatch(seq: Column, bases: Column, bases_start: Column, right: Column, offset: Column) -> Column:
     """First step ``i >= offset`` at which the context differs, looking at bases ``[bases_start, right)`` only.
 
     ``right`` is the position right of the nearest context base, which belongs to step ``offset``. Null: no mismatch.
     """
-    m = F.length(seq)
-    n = (right - bases_start).cast("int")
-
-    def differs(k: Column) -> Column:
-        step = (offset + k).cast("int")
-        context = F.substring(bases, n - k, F.lit(1))
-        return context != F.substring(seq, m - F.pmod(step, m), F.lit(1))
-
-    def nearest(length: Column) -> Column:
-        steps = F.when(length > 0, F.sequence(F.lit(0), length - 1))
-        return _first_true(F.transform(steps, differs))
 
-    def farther() -> Column:
-        # One comparison of texts shows whether all agrees; only else are single bases looked at, which are then cut once.
-        turn = F.pmod(-(offset + n), m).cast("int")
-        turned = F.concat(F.substring(seq, turn + 1, F.length(seq)), F.repeat(seq, (n / m).cast("int") + 1))
-        context, expected = F.substring(bases, F.lit(1), n), F.substring(turned, F.lit(1), n)
-        pairs = F.reverse(F.arrays_zip(F.split(context, "", -1).alias("a"), F.split(expected, "", -1).alias("b")))
-        # Both lists may end in an empty text, which is equal in both.
-        unequal = F.transform(F.filter(pairs, lambda pair: pair["a"] != ""), lambda pair: pair["a"] != pair["b"])
-        return F.when(context != expected, _first_true(unequal))
+    @F.arrow_udf("long")
+    def found(seqs: pa.Array, texts: pa.Array, ns: pa.Array, offsets: pa.Array) -> pa.Array:
+        rows = zip(seqs.to_pylist(), texts.to_pylist(), ns.to_pylist(), offsets.to_pylist())
+        return pa.array([_first_mismatch(*row) for row in rows], pa.int64())
 
-    # Most events move a few bases at most: look at the nearest ones first.
-    return F.coalesce(nearest(F.least(n, F.lit(16))), farther()) + offset
+    return found(seq, bases, (right - bases_start).cast("long"), offset.cast("long"))
 
 
 def _moved(df: DataFrame) -> DataFrame:
@@ -275,12 +282,13 @@ def _look_left(indels: DataFrame, reference_bases: DataFrame, chunk: int) -> Dat
 def _look_further(unresolved: DataFrame, reference_bases: DataFrame, chunk: int) -> list[DataFrame]:
     """Follow repeats beyond the first chunk; returns resolved rows ``(key, __shift, __anchor)`` per round.
 
-    Each round compares eight times as many chunks as the one before, every (variant, chunk) pair by itself, and
-    merges the pairs by the rightmost mismatch: nothing is concatenated, and the work is proportional to the length of
-    the repeat. The rounds end when no row is left, which is checked on checkpointed rows.
+    The first round compares FIRST_ROUND chunks, each later one eight times as many as the one before, every (variant, chunk)
+    pair by itself, and merges the pairs by the rightmost mismatch: nothing is concatenated, and the work is proportional to
+    the length of the repeat. Every round moves the reference once, so few rounds are better than few pairs. They end when no
+    row is left, which is checked on checkpointed rows.
     """
     done = []
-    width = 1
+    width = FIRST_ROUND
     while not unresolved.isEmpty():
         last = F.floor((F.col("__seen_to") - 1) / chunk)
         first = F.greatest(last - (width - 1), F.lit(0))
@@ -331,11 +339,9 @@ def _left_of(reference: IndexedReference, contig: str, start: int, seq: str) ->
     shift, width = 0, NEAREST
     while shift < start:
         context = reference.bases(contig, max(0, start - shift - width), start - shift)
-        n, turn = len(context), -(shift + len(context)) % len(seq)
-        expected = (seq[turn:] + seq * (n // len(seq) + 1))[:n]
+        n, expected = len(context), _expected(seq, shift, len(context))
         if context != expected:
-            differs = np.frombuffer(context.encode(), "u1") != np.frombuffer(expected.encode(), "u1")
-            last = int(np.flatnonzero(differs)[-1])
+            last = _last_difference(context, expected)
             return shift + n - 1 - last, context[last]
         shift, width = shift + n, min(16 * width, WIDEST)
     return start, None
@@ -396,23 +402,27 @@ def normalize_variants(
         }
     ).drop("__trim")
     by_index = not isinstance(reference_bases, DataFrame)
-    looked = _looked_up(indels, reference_bases) if by_index else _look_left(indels, reference_bases, chunk)
-    if follow_long_repeats and not by_index:
-        narrow = _look_left(indels.select(*_KEY, "__seq", "__start"), reference_bases, chunk)
-        open_rows = narrow.filter(F.col("__shift").isNull() & F.col("__seen_to").isNotNull())
+    if by_index:
+        looked = _looked_up(indels, reference_bases)
+    elif not follow_long_repeats:
+        looked = _look_left(indels, reference_bases, chunk)
+    else:
+        # Only coordinates and alleles meet the bases, once; whole rows meet what was found.
         ensure_checkpoint_dir(df.sparkSession)
-        unresolved = open_rows.select(*_KEY, "__seq", "__start", "__seen_to").distinct().checkpoint()
-        rounds = _look_further(unresolved, reference_bases, chunk)
+        narrow = _look_left(indels.select(*_KEY, "__seq", "__start").distinct(), reference_bases, chunk).checkpoint()
+        open_rows = narrow.filter(F.col("__shift").isNull() & F.col("__seen_to").isNotNull())
+        rounds = _look_further(open_rows.select(*_KEY, "__seq", "__start", "__seen_to").distinct(), reference_bases, chunk)
+        found = narrow.select(*_KEY, "__shift", "__anchor")
         if rounds:
             fixes = reduce(DataFrame.unionByName, rounds).withColumnsRenamed(
                 {"__shift": "__far_shift", "__anchor": "__far_anchor"}
             )
-            looked = looked.join(fixes, _KEY, "left").withColumns(
-                {
-                    "__anchor": F.when(F.col("__shift").isNull(), F.col("__far_anchor")).otherwise(F.col("__anchor")),
-                    "__shift": F.coalesce("__shift", "__far_shift"),
-                }
+            found = found.join(fixes, _KEY, "left").select(
+                *_KEY,
+                F.coalesce("__shift", "__far_shift").alias("__shift"),
+                F.when(F.col("__shift").isNull(), F.col("__far_anchor")).otherwise(F.col("__anchor")).alias("__anchor"),
             )
+        looked = indels.join(found, _KEY, "left")
     moved = _moved(looked)
 
     def finish(part: DataFrame) -> DataFrame:
