@@ -235,6 +235,25 @@ def test_fasta_lines_find_their_places_without_windows(spark, tmp_path):
     assert twice == [("d", 0, 0, "ACGTACGTACTTTTTGGGGGGGGAC"), ("f", 0, 0, "ACG")]
 
 
+def test_by_a_large_index_as_by_a_small_one(spark, tmp_path, monkeypatch):
+    genome = {f"c{i}": "G" + "CA" * (20 + i) + "TTTT" for i in range(40)}
+    for k in range(2):
+        (tmp_path / f"{k}.fa").write_text("".join(f">{n}\n" + "\n".join(b[i : i + 30] for i in range(0, len(b), 30)) + "\n" for n, b in list(genome.items())[k::2]))
+    index_fasta(spark, str(tmp_path))
+    rows = [(name, len(b) - 7, len(b) - 4, [name], "ACA"[: 3 if i % 2 else 1], ["A" if i % 2 else "ACA"]) for i, (name, b) in enumerate(genome.items())]
+    rows += [("nowhere", 5, 7, ["n"], "AA", ["A"]), (None, 5, 7, ["null"], "AA", ["A"]), ("c1", 10**6, 10**6 + 2, ["far"], "AA", ["A"]), rows[3], ("c1", 2, 3, ["one"], "C", ["T"])]
+    df = spark.createDataFrame(rows, SITE)
+    want = sorted(map(str, normalize_variants(df, str(tmp_path)).collect()))
+    assert sum("normalized=True" in row for row in want) == 41
+    monkeypatch.setattr("varlake.operators.variants.SMALL_INDEX", 0)
+    monkeypatch.setattr("varlake.sources.fasta.IndexedReference.of", None)
+    assert sorted(map(str, normalize_variants(df, str(tmp_path)).collect())) == want
+    (tmp_path / "2.fa").write_text(">c3\nAC\n")
+    index_fasta(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="c3 is in more than one place"):
+        normalize_variants(df, str(tmp_path))
+
+
 def test_rows_meet_the_bases_of_chunks_without_their_other_columns(spark):
     genome = {"1": "G" + "CA" * 400 + "T", "2": "TTTTG" + "CTA" * 300}
     ref = spark.createDataFrame(chunked(genome, 64, 16), BASES)

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from varlake._shared import ensure_checkpoint_dir
 from varlake.functions._columns import bind, with_computed
-from varlake.sources.fasta import CHUNK, IndexedReference
+from varlake.sources.fasta import CHUNK, IndexedContig, IndexedReference, index_bytes, unique_index
 
 #: Bases left of an event that are looked at first, and at most at a time.
 NEAREST, WIDEST = 64, 1 << 20
 #: Chunks that are looked at together where the nearest one does not end a repeat.
 FIRST_ROUND = 8
+#: Bytes of indexes, some 30,000 contigs, up to which every task holds them.
+SMALL_INDEX = 1 << 20
 
 # --- splitting -----------------------------------------------------------------------------------------------------
 
@@ -328,17 +330,16 @@ def _look_further(unresolved: DataFrame, reference_bases: DataFrame, chunk: int)
     return done
 
 
-def _left_of(reference: IndexedReference, contig: str, start: int, seq: str) -> tuple[int | None, str | None]:
+def _left_of(reference: IndexedReference, known: IndexedContig | None, start: int, seq: str) -> tuple[int | None, str | None]:
     """How far ``seq``, which begins at ``start``, can move left, and the base where that ends (None: the contig's begin).
 
     Looks at ever larger pieces, so that the work is proportional to the repeat. (None, None): outside of the reference.
     """
-    known = reference.contigs.get(contig)
     if known is None or not 0 <= start <= known.length:
         return None, None
     shift, width = 0, NEAREST
     while shift < start:
-        context = reference.bases(contig, max(0, start - shift - width), start - shift)
+        context = reference.bases_of(known, max(0, start - shift - width), start - shift)
         n, expected = len(context), _expected(seq, shift, len(context))
         if context != expected:
             last = _last_difference(context, expected)
@@ -347,18 +348,44 @@ def _left_of(reference: IndexedReference, contig: str, start: int, seq: str) ->
     return start, None
 
 
+def _found_array(found: list[tuple[int | None, str | None]]) -> pa.Array:
+    columns = [pa.array([one[0] for one in found], pa.int64()), pa.array([one[1] for one in found], pa.string())]
+    return pa.StructArray.from_arrays(columns, ["shift", "anchor"])
+
+
 def _looked_up(indels: DataFrame, path: str | Sequence[str]) -> DataFrame:
-    """``__shift`` and ``__anchor`` of each indel by reads of an indexed genome: no join, and no shuffle of rows."""
-    reference = IndexedReference.of(path)
-
-    @F.arrow_udf("shift long, anchor string")
-    def left_of(contigs: pa.Array, starts: pa.Array, seqs: pa.Array) -> pa.Array:
-        found = [_left_of(reference, *row) for row in zip(contigs.to_pylist(), starts.to_pylist(), seqs.to_pylist())]
-        return pa.StructArray.from_arrays(
-            [pa.array([one[0] for one in found], pa.int64()), pa.array([one[1] for one in found], pa.string())], ["shift", "anchor"]
-        )
+    """``__shift`` and ``__anchor`` of each indel by reads of an indexed genome.
+
+    A small index is held by the tasks: no join, and no shuffle of rows. A large one, of a genome of very many contigs, is read
+    by tasks and merged with the rows; it passes through neither the driver nor any one task.
+    """
+    if index_bytes(path) <= SMALL_INDEX:
+        reference = IndexedReference.of(path)
+
+        @F.arrow_udf("shift long, anchor string")
+        def left_of(contigs: pa.Array, starts: pa.Array, seqs: pa.Array) -> pa.Array:
+            rows = zip(contigs.to_pylist(), starts.to_pylist(), seqs.to_pylist())
+            return _found_array([_left_of(reference, reference.contigs.get(contig), *row) for contig, *row in rows])
 
-    looked = indels.withColumn("__found", left_of("contigName", "__start", "__seq"))
+        looked = indels.withColumn("__found", left_of("contigName", "__start", "__seq"))
+    else:
+        line = ["path", "length", "offset", "line_bases", "line_bytes"]
+        index = unique_index(indels.sparkSession, path).select("contigName", *[F.col(c).alias(f"__{c}") for c in line])
+
+        # Each task has its own copy, with the files that it opened.
+        reference = IndexedReference({}, {})
+
+        @F.arrow_udf("shift long, anchor string")
+        def left_of_line(starts: pa.Array, seqs: pa.Array, *lines: pa.Array) -> pa.Array:
+            rows = zip(starts.to_pylist(), seqs.to_pylist(), *[column.to_pylist() for column in lines])
+            return _found_array(
+                [_left_of(reference, IndexedContig(*row) if row[0] is not None else None, start, seq) for start, seq, *row in rows]
+            )
+
+        joined = indels.join(index.hint("merge"), "contigName", "left")
+        looked = joined.withColumn("__found", left_of_line("__start", "__seq", *[f"__{c}" for c in line])).drop(
+            *[f"__{c}" for c in line]
+        )
     return looked.withColumns({"__shift": F.col("__found.shift"), "__anchor": F.col("__found.anchor")}).drop("__found")
 
 
@@ -369,9 +396,9 @@ def normalize_variants(
 
     ``reference_bases`` is a table of chunks, or the path of FASTA files with indexes. By index, each pure insertion or deletion
     reads the bases left of it, as far as its repeat goes: no join and no shuffle, the plan stays lazy, and the input is read
-    twice. A table of chunks is joined on the chunk left of each such event; events in repeats that reach beyond one chunk
-    are looked up first, by an extra job over the coordinate and allele columns of the indels, and followed to their end
-    whatever the length. Everything else is trimmed in place. Rows whose outcome hangs on bases that the reference does not
+    twice. Only where the indexes are large (SMALL_INDEX) are these rows merged with their lines, after a check of the names. A
+    table of chunks is joined on the chunk left of each such event, by an extra job over the coordinate and allele columns of
+    the indels; repeats that reach beyond one chunk are followed to their end whatever the length. Everything else is trimmed in place. Rows whose outcome hangs on bases that the reference does not
     hold, however near or far, keep their input alleles and get ``normalized = null``; so does a row without exactly one
     plain alternate allele, and with ``follow_long_repeats=False`` one whose repeat reaches beyond a chunk.
     """
