@@ -680,7 +680,7 @@ def promoter_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = {f"INFO_X{j}": F.expr(f"cast((INFO_AC[0] + {j}) % 97 as int)") for j in range(50)}
-    table = views.variants(spark, sf_dir).withColumns(more)
+    table = views.variants(spark, sf_dir, spread=True).withColumns(more)
     header = VcfHeader.parse(infer_vcf_header(table.schema, SAMPLES))
     parsed = op.with_genotype_states(parse_vcf_lines(format_vcf_lines(table, SAMPLES), header))
     return parsed.select(

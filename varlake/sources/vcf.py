@@ -158,10 +158,12 @@ def _genotype(values: Column, sample_id: Column | None, formats: Sequence[Declar
     for at, (name, declaration) in enumerate(zip(_column_names(formats, GENOTYPE_FIELDS), formats)):
         raw = F.get(values, F.col(f"__at_{at}"))
         if declaration.key == "GT":
-            calls = F.split(raw, "[/|]")
+            # One separator of one character is found without a pattern, which would be compiled for every sample.
+            calls = F.split(F.replace(raw, F.lit("|"), F.lit("/")), "/")
             fields.append(F.coalesce(F.contains(raw, F.lit("|")), F.lit(False)).alias("phased"))
             fields.append(
-                F.transform(calls, lambda c: F.coalesce(c.try_cast("int"), F.lit(-1))).alias("calls")
+                # A failed cast throws inside, which costs more than all else; missing calls are common.
+                F.transform(calls, lambda c: F.coalesce(F.when(c != ".", c.try_cast("int")), F.lit(-1))).alias("calls")
             )
         else:
             fields.append(_typed(raw, declaration).alias(name))
@@ -397,7 +399,8 @@ def format_vcf_lines(df: DataFrame, sample_ids: Sequence[str] | None = None) ->
                 g.getField("calls"), lambda c: F.when(c >= 0, c.cast("string")).otherwise(missing)
             )
             gt = F.when(phased, F.array_join(calls, "|")).otherwise(F.array_join(calls, "/"))
-            values = [F.nullif(gt, F.lit("")), *[_text(g.getField(f.name), f.dataType) for _, f in keys]]
+            # Without calls the text is empty; to compare the text itself would make it twice.
+            values = [F.when(F.size(g.getField("calls")) > 0, gt), *[_text(g.getField(f.name), f.dataType) for _, f in keys]]
             return F.concat_ws(":", *[F.coalesce(v, missing) for v in values])
 
         named = sample_ids is not None and "sampleId" in element.fieldNames()
