@@ -705,7 +705,7 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vcf_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two folders of files with different INFO keys and differently ordered samples, read as one table."""
-    table = views.variants(spark, sf_dir)
+    table = views.variants(spark, sf_dir, spread=True)
     even = F.col("start") % 20 == 0
     backwards = F.reverse("genotypes")
     one, two = scratch(spark, "vcf"), scratch(spark, "vcf")
