@@ -39,6 +39,23 @@ def test_genome_text_is_spread_before_it_is_made(spark, tmp_path):
     assert views.long_repeat_lines(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
 
 
+def test_stored_sites_meet_as_one_row_each_in_buckets_by_size(spark, tables, monkeypatch):
+    joined = catalog.join_stored_sites(spark, tables)
+    want = sorted(map(str, joined.collect()))
+    assert len(want) > 100
+    assert want == sorted(map(str, catalog.join_consequences(spark, tables).collect()))
+    # Below the join no row is spread out: the explodes of one value that compute the states once do not count.
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    above = text[: text.index("Join")]
+    assert "explode(arrays_zip" in above and "explode(transcript_consequences" in above
+    assert plan(joined).count("16 out of 16") == 2
+    monkeypatch.setattr(catalog, "BUCKET_ROWS", 4)
+    more = catalog.join_stored_sites(spark, tables)
+    n = views.table(spark, tables, "lineitem").count() // 4
+    assert n > 16 and plan(more).count(f"{n} out of {n}") == 2 and "Exchange" not in plan(more)
+    assert sorted(map(str, more.collect())) == want
+
+
 def test_calls_are_written_and_read_without_patterns_or_throws(spark):
     kind = "contigName string, start long, referenceAllele string, alternateAlleles array<string>, genotypes array<struct<sampleId:string,phased:boolean,calls:array<int>>>"
     calls = [[0, 1], [-1, 10], [], None, [2], [None, 1], [0, -1, 3]]

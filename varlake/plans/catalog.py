@@ -31,6 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: A quality that about half of the orders reach; the usual 99 would keep all, and the queries that filter show nothing.
 MIN_QUAL = 150_000
+#: Annotation records of a bucket of stored sites, beyond 16 buckets.
+BUCKET_ROWS = 1 << 18
 SAMPLES = [f"S{k}" for k in range(views.N_SAMPLES)]
 
 _registry: dict[str, Query] = {}
@@ -426,13 +428,15 @@ def join_consequences_on_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def join_stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both tables stored in buckets by site: genotypes and consequences meet without an exchange."""
+    """Both tables stored in buckets by site: they meet without an exchange, one row a variant and record, and are spread out then."""
     names = [f"varlake_{part}_{uuid.uuid4().hex}" for part in ("variants", "annotations")]
-    variants = write_site_table(op.shift_start(views.variants(spark, sf_dir)), names[0], scratch(spark, "sites"), 16)
+    buckets = max(16, views.table(spark, sf_dir, "lineitem").count() // BUCKET_ROWS)
+    variants = write_site_table(op.shift_start(views.variants(spark, sf_dir)), names[0], scratch(spark, "sites"), buckets)
     keys = ("seq_region_name", "start", "end")
-    annotations = write_site_table(views.annotations(spark, sf_dir), names[1], scratch(spark, "records"), 16, keys)
-    rows = op.explode_genotypes(op.with_genotype_states(op.scalarise_biallelic(variants)))
-    return _joined_columns(op.join_consequences(rows, op.explode_transcript_consequences(annotations), shift_start_by=0))
+    annotations = write_site_table(views.annotations(spark, sf_dir), names[1], scratch(spark, "records"), buckets, keys)
+    sites = op.with_genotype_states(op.scalarise_biallelic(variants))
+    joined = op.join_consequences(sites, annotations, shift_start_by=0)
+    return _joined_columns(op.explode_genotypes(op.explode_transcript_consequences(joined)))
 
 
 # --- annotation joins -------------------------------------------------------------------------------------------------
