@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from conftest_llm import prose
 from pyspark.sql import functions as F
+from test_plans import plan
 
 from varlake.llm import quality
 
@@ -100,3 +101,17 @@ def test_samples_are_whole_at_any_share(spark):
     counted = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 97).alias("word_chars"))
     assert 20 < quality._sample(counted, 50).count() < 100
     assert quality._sample(counted, 10**9).count() == 100_000
+
+
+def test_neither_documents_nor_labels_go_through_the_driver(spark, tmp_path, monkeypatch):
+    docs, labels = labelled(spark, 64)
+    labels.write.parquet(f"{tmp_path}/labels")
+    small = spark.read.parquet(f"{tmp_path}/labels")
+    kind, plans = type(docs), []
+    for name in ("collect", "count"):
+        monkeypatch.setattr(kind, name, lambda self, run=getattr(kind, name): plans.append(plan(self)) or run(self))
+    judged = quality.judged(docs, small)
+    # The labelled rows' count and the pool that holds them, and the calibration.
+    joins = [text for text in plans if "Join" in text]
+    assert len(joins) == 3 and all("SortMergeJoin" in text and "Broadcast" not in text for text in joins)
+    assert judged.count() == 64

@@ -157,7 +157,8 @@ def fitted_forests(
     valued = [column.alias(name) for name, column in zip(names, columns)]
     pool = _sample(usable, n).select(*valued)
     if labels is not None:
-        known = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        # Both are one row per document in small files: Spark would take either for small and send it through the driver.
+        known = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().hint("merge")
         pool = pool.unionByName(_sample(usable.join(known, "doc_id", "left_semi"), n).select(*valued))
     points = np.array(sorted(map(tuple, pool.collect())), "f8").reshape(-1, len(columns))
     if len(points):
@@ -194,8 +195,9 @@ def thresholds(scored: DataFrame, labels: DataFrame, label: str = "quality", mos
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
     bins = F.transform("anomalies", lambda score: F.floor(score * BINS).cast("int"))
-    joined = scored.where(~base_failed()).select("doc_id", F.posexplode(bins).alias("forest", "bin")).join(known, "doc_id")
-    rows = joined.groupBy("forest", "bin", (F.col("__label") > 0).alias("good")).agg(F.count("*").alias("n")).collect()
+    joined = scored.where(~base_failed()).select("doc_id", bins.alias("__bins")).join(known.hint("merge"), "doc_id")
+    spread = joined.select((F.col("__label") > 0).alias("good"), F.posexplode("__bins").alias("forest", "bin"))
+    rows = spread.groupBy("forest", "bin", "good").agg(F.count("*").alias("n")).collect()
     n_forests = len(features()) + 1
     counts = np.zeros((n_forests, 2, BINS + 2))
     for row in rows:
