@@ -1,11 +1,13 @@
 import gzip
 import io
 import random
+import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from varlake.plans import catalog
 from varlake.sources import bgzip, blocks
 from varlake.sources.fasta import index_fasta, read_indexed_bases, read_reference_bases
 from varlake.sources.vcf import read_vcf, write_vcf
@@ -88,6 +90,61 @@ def test_index_finds_all_records_of_a_region(tmp_path):
     assert len(parts) > 3 and parts[0][0] == first and parts[-1][1] == after and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
 
 
+def numbered(start, end, depth):
+    """The bin that the format's description gives for [start, end)."""
+    shift, first = 14, ((1 << depth * 3) - 1) // 7
+    for level in range(depth, 0, -1):
+        if start >> shift == (end - 1) >> shift:
+            return first + (start >> shift)
+        shift, first = shift + 3, first - (1 << (level - 1) * 3)
+    return 0
+
+
+@pytest.mark.parametrize("most, depth", [(1 << 29, 5), ((1 << 29) + 1, 6), (1 << 32, 6), ((1 << 32) + 1, 7), (1 << 36, 8)])
+def test_index_of_any_positions(tmp_path, most, depth):
+    rng = random.Random(depth)
+    index, offset, records = blocks.Tabix(), 1 << 16, []
+    spans = [(start, min(most, start + rng.choice([1, 5, 40_000, 1 << 28]))) for start in sorted(rng.randrange(most - 1) for _ in range(600))]
+    for contig, start, end in [("chr1", 10, 20), *(("chr2", *span) for span in [*spans, (most - 1, most)])]:
+        after = offset + rng.choice([10, 90, 1 << 16])
+        index.add(contig, start, end, offset, after)
+        records.append((contig, start, end, offset))
+        offset = after
+    assert index.depth == depth and index.suffix == (".tbi" if depth == 5 else ".csi")
+    path = tmp_path / f"x.vcf.gz{index.suffix}"
+    path.write_bytes(index.to_bytes())
+    again = blocks.Tabix.of(str(tmp_path / "x.vcf.gz"))
+    assert {c: one.bins for c, one in again.contigs.items()} == {c: one.bins for c, one in index.contigs.items()}
+    for low, high in [(0, 1), (most - 1, most), (0, most)] + [(low, low + rng.choice([1, 1 << 20])) for low in (rng.randrange(most) for _ in range(200))]:
+        ranges = again.ranges("chr2", low, high)
+        for contig, start, end, at in records:
+            if contig == "chr2" and start < high and end > low:
+                assert any(a <= at < b for a, b in ranges)
+    assert len(again.ranges("chr2", most - 1, most)[0]) == 2 and again.ranges("chr2", most + (1 << 40)) == []
+    data = gzip.decompress(path.read_bytes())
+    if depth == 5:
+        return
+    # Byte by byte as the format's description says: head, names, then bins with their least offsets.
+    assert data[:4] == b"CSI\x01" and struct.unpack_from("<3i", data, 4) == (14, depth, 38)
+    assert struct.unpack_from("<7i", data, 16) == (2, 1, 2, 0, 35, 0, 10) and data[44:54] == b"chr1\0chr2\0"
+    place, found = 58, []
+    for contig in ("chr1", "chr2"):
+        (n_bins,) = struct.unpack_from("<i", data, place)
+        place += 4
+        for _ in range(n_bins):
+            number, least, n_chunks = struct.unpack_from("<IQi", data, place)
+            chunks = struct.unpack_from(f"<{2 * n_chunks}Q", data, place + 16)
+            found.append((contig, number, least, list(zip(chunks[::2], chunks[1::2]))))
+            place += 16 + 16 * n_chunks
+    assert place == len(data)
+    of = {(contig, number): (least, chunks) for contig, number, least, chunks in found}
+    for contig, start, end, at in records:
+        least, chunks = of[contig, numbered(start, end, depth)]
+        assert least <= at and any(a <= at < b for a, b in chunks)
+    with pytest.raises(ValueError, match="positions beyond"):
+        index.add("chr2", 0, 1 << 45, offset, offset + 1)
+
+
 def table(spark, n=3_000):
     rng = random.Random(8)
     rows = []
@@ -126,6 +183,33 @@ def test_sink_scan_and_regions(spark, tmp_path):
         bgzip.write_vcf_blocks(df, path)
 
 
+def test_positions_that_a_tabix_index_cannot_hold(spark, tmp_path):
+    far = (1 << 31) - 1_500_000
+    df = table(spark).withColumns({name: F.when(F.col("contigName") == "chr1", F.col(name)).otherwise(F.col(name) + far) for name in ("start", "end")})
+    path = str(tmp_path / "out")
+    bgzip.write_vcf_blocks(df, path, partitions=3)
+    names = sorted(p.name for p in (tmp_path / "out").glob("*.[tc][bs]i"))
+    assert names[1:] == ["part-00001.vcf.bgz.csi", "part-00002.vcf.bgz.csi"]
+    back = bgzip.read_vcf_blocks(spark, path, part_bytes=5_000)
+    assert rows_of(back.select(*df.columns)) == rows_of(df)
+    for low in (1_000_000, far + 1_000_000, (1 << 31) - 100_000):
+        where = f"contigName in ('chr1', 'chr2') and start >= {low} and start < {low + 200_000} and qual > 50"
+        part = bgzip.read_vcf_blocks(spark, path, where=where)
+        assert rows_of(part.select(*df.columns)) == rows_of(df.where(where)) != []
+    wanted = bgzip.Wanted(contigs=frozenset(["chr2"]), start=(far + 1_000_000, far + 1_010_000))
+    some, whole = (sum(part.compressed() for part in bgzip.planned([path], one, 1 << 30)) for one in (wanted, bgzip.Wanted(contigs=frozenset(["chr1", "chr2", "chrX"]))))
+    assert 0 < some < whole
+
+
+def test_a_table_whose_positions_pass_the_tabix_limit(spark, tmp_path):
+    keys = [*range(53_687_080, 53_687_100), 7, 7, 250_000_000]
+    orders = [(k, k % 11, "FOP"[k % 3], float(i)) for i, k in enumerate(keys)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = catalog.vcf_block_round_trip(spark, str(tmp_path)).collect()
+    assert sorted(r["start"] for r in rows) == sorted(10 * k for k in keys)
+    assert all(r["samples"] == ",".join(catalog.SAMPLES) for r in rows)
+
+
 def test_bytes_read_fall_with_the_region(spark, tmp_path):
     df, path = table(spark, 120_000), str(tmp_path / "out")
     bgzip.write_vcf_blocks(df, path, partitions=1)

@@ -75,7 +75,7 @@ class Wanted:
         """Positions that every wanted record overlaps."""
         low = max(self.start[0], self.end[0] - 1, 0)
         high = min(self.start[1] + 1, self.end[1])
-        return int(low), int(min(high, 1 << 29))
+        return int(low), int(min(high, 1 << 62))
 
     def holds(self, contig: str, start: int, end: int, qual: float | None) -> bool:
         if self.contigs is not None and contig not in self.contigs:
@@ -103,8 +103,8 @@ def planned(paths: Sequence[str], wanted: Wanted, part_bytes: int) -> list[Part]
     """The parts that a scan reads. Where an index stands beside a file and a contig is asked for, only its region."""
     parts: list[Part] = []
     for path, size in blocks.listed(list(paths), SUFFIXES):
-        if wanted.contigs is not None and blocks.exists(f"{path}.tbi"):
-            index = blocks.Tabix.read(f"{path}.tbi")
+        index = None if wanted.contigs is None else blocks.Tabix.of(path)
+        if index is not None:
             for contig in sorted(wanted.contigs & set(index.contigs)):
                 for first, after in index.ranges(contig, *wanted.region()):
                     parts += [Part(path, size, a, b, True) for a, b in index.cut(contig, first, after, part_bytes)]
@@ -215,9 +215,10 @@ class BlockFileWriter(DataSourceArrowWriter):
             return Written()
         writer.close()
         sink.close()
-        with system.open_output_stream(f"{root}/{name}.tbi", compression=None) as out:
+        beside = f"{name}{index.suffix}"
+        with system.open_output_stream(f"{root}/{beside}", compression=None) as out:
             out.write(index.to_bytes())
-        return Written([(f"{root}/{one}", one) for one in (name, f"{name}.tbi")])
+        return Written([(f"{root}/{one}", one) for one in (name, beside)])
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = blocks.located(self.path)
@@ -338,7 +339,7 @@ def write_vcf_blocks(
 ) -> None:
     """Writes a variant table sorted by (contigName, start), as block-compressed files with an index beside each.
 
-    The files' names ascend with their positions. Nothing is at ``path`` before all tasks have ended: they write to a folder
+    The files' names ascend with their positions; indexes are tabix ones, or CSI where positions go beyond 2**29. Nothing is at ``path`` before all tasks have ended: they write to a folder
     of their own, and only the files of those that counted are moved. An existing ``path`` is an error.
     """
     if blocks.exists(path):
